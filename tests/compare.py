@@ -61,13 +61,15 @@ def duck(folder):
 
 def compare(spark, con, folder, fn, sql):
     df = fn(spark, folder)
+    start = time.time()
     got = rows_of(df.columns, [tuple(r) for r in df.collect()])
+    spent = f"[run {time.time() - start:.1f}s] "
     if sql is None:
-        return "rows-only", len(got[1]), ""
+        return "rows-only", len(got[1]), spent
     cur = con.execute(sql)
     want = rows_of([d[0] for d in cur.description], cur.fetchall())
     if got == want:
-        return "match", len(got[1]), ""
+        return "match", len(got[1]), spent
     detail = f"columns {got[0]} vs {want[0]}; rows {len(got[1])} vs {len(want[1])}"
     if got[0] == want[0]:
         a, b = set(map(repr, got[1])), set(map(repr, want[1]))

@@ -5,22 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vitagrain.catalog import sqlkit as sk
+from vitagrain.catalog.base import Catalog
 from vitagrain.operators import matching as mt
 from vitagrain.session import spread
 from vitagrain.sources.tables import read_table
 
-QUERIES = {}
-ORACLES = {}
-
-
-def query(name, sql=None):
-    def register(fn):
-        QUERIES[name] = fn
-        if sql:
-            ORACLES[name] = sql
-        return fn
-    return register
-
+catalog = Catalog()
+query = catalog.query
 
 DOC_TERMS = f"doc_terms AS ({sk.exploded('documents', 'doc_id')})"
 ITEM_TERMS = f"item_terms AS ({sk.exploded('benchmark', 'item_id')})"

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from vitagrain.catalog import coverage
+from vitagrain.catalog import activity, coverage
 
-GROUPS = [coverage]
+CATALOGS = [coverage.catalog, activity.catalog]
 
 
 def queries():
-    return {name: fn for group in GROUPS for name, fn in group.QUERIES.items()}
+    return {name: fn for c in CATALOGS for name, fn in c.queries.items()}
 
 
 def oracle_sql():
-    return {name: sql for group in GROUPS for name, sql in group.ORACLES.items()}
+    return {name: sql for c in CATALOGS for name, sql in c.oracles.items()}

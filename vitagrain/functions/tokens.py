@@ -1,4 +1,4 @@
-"""Keyword tokens and stems as row-local array columns.
+"""Keyword tokens and stems as row-local arrays (Spark SQL expression text).
 
 A text never leaves its row: tokens are de-duplicated before any further work,
 so cost follows the number of distinct words rather than the text length.
@@ -6,78 +6,69 @@ so cost follows the number of distinct words rather than the text length.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from vitagrain.functions import lexicon as lx
+from vitagrain.functions import sqltext as st
 
-# Fixed value: what counts as a token.
+# What counts as a token, and what is trimmed from its edges.
 TOKEN_PATTERN = r"[A-Za-z][A-Za-z0-9+.#/_-]{1,}"
-EDGE_CHARACTERS = ".,-"
+EDGE = "'.,-'"
 
 
-def raw_tokens(text: Column) -> Column:
+def raw_tokens(text: str) -> str:
     """Distinct lower-case tokens, edges trimmed."""
-    found = F.array_distinct(
-        F.regexp_extract_all(F.lower(text), F.lit(TOKEN_PATTERN), F.lit(0))
-    )
-    return F.transform(found, lambda t: F.trim(t, F.lit(EDGE_CHARACTERS)))
-
-
-def slash_parts(tokens: Column) -> Column:
-    """Parts of slash compounds; the compounds themselves are kept elsewhere."""
-    compounds = F.filter(tokens, lambda t: t.contains("/"))
-    return F.flatten(
-        F.transform(
-            compounds,
-            lambda t: F.transform(
-                F.split(t, "/"), lambda p: F.trim(p, F.lit(EDGE_CHARACTERS))
-            ),
-        )
+    return (f"transform(array_distinct(regexp_extract_all(lower({text}), "
+            f"{st.raw(TOKEN_PATTERN)}, 0)), t -> trim(BOTH {EDGE} FROM t))")
+
+
+def with_slash_parts(tokens: str) -> str:
+    """Tokens followed by the parts of every slash compound."""
+    return st.let(
+        "ts", tokens,
+        f"concat(ts, flatten(transform(filter(ts, t -> contains(t, '/')), "
+        f"t -> transform(split(t, '/'), p -> trim(BOTH {EDGE} FROM p)))))",
     )
 
 
-def drop_stopwords(tokens: Column) -> Column:
+def drop_stopwords(tokens: str) -> str:
     """Distinct tokens longer than two characters that are not stopwords."""
-    kept = F.filter(tokens, lambda t: F.length(t) > 2)
-    return F.array_except(kept, F.array(*[F.lit(w) for w in lx.STOPWORDS]))
+    return (f"array_except(filter({tokens}, t -> length(t) > 2), "
+            f"split({st.text(' '.join(lx.STOPWORDS))}, ' '))")
 
 
-def keywords(text: Column) -> Column:
+def keywords(text: str) -> str:
     """Sorted distinct keywords of a text."""
-    tokens = raw_tokens(text)
-    return F.array_sort(drop_stopwords(F.concat(tokens, slash_parts(tokens))))
-
+    return f"array_sort({drop_stopwords(with_slash_parts(raw_tokens(text)))})"
 
 
-def _family_map() -> Column:
-    return F.create_map(*[F.lit(x) for pair in lx.WORD_FAMILIES.items() for x in pair])
+_FAMILY_MAP = "str_to_map({}, ',', ':')".format(
+    st.text(",".join(f"{word}:{root}" for word, root in lx.WORD_FAMILIES.items()))
+)
 
 
-def stem(token: Column) -> Column:
+def stem(t: str) -> str:
     """Light stem: word family first, then one suffix from longer words.
 
     The membership test is a hash lookup, so the map is only searched for the
     few tokens that belong to a family.
     """
-    size = F.length(token)
-
-    def without(n: int) -> Column:
-        return token.substr(F.lit(1), size - n)
-
     return (
-        F.when(token.isin(*lx.WORD_FAMILIES), F.element_at(_family_map(), token))
-        .when(size <= 5, token)
-        .when(token.endswith("ies") & (size > 6), F.concat(without(3), F.lit("y")))
-        .when(token.endswith("ing") & (size > 6), without(3))
-        .when(token.endswith("edly") & (size > 7), without(4))
-        .when(token.endswith("ed"), without(2))
-        .when(token.endswith("es"), without(2))
-        .when(token.endswith("s"), without(1))
-        .otherwise(token)
+        f"CASE WHEN {t} IN ({st.items(lx.WORD_FAMILIES)}) THEN element_at({_FAMILY_MAP}, {t}) "
+        f"WHEN length({t}) <= 5 THEN {t} "
+        f"WHEN endswith({t}, 'ies') AND length({t}) > 6 "
+        f"THEN concat(left({t}, length({t}) - 3), 'y') "
+        f"WHEN endswith({t}, 'ing') AND length({t}) > 6 THEN left({t}, length({t}) - 3) "
+        f"WHEN endswith({t}, 'edly') AND length({t}) > 7 THEN left({t}, length({t}) - 4) "
+        f"WHEN endswith({t}, 'ed') THEN left({t}, length({t}) - 2) "
+        f"WHEN endswith({t}, 'es') THEN left({t}, length({t}) - 2) "
+        f"WHEN endswith({t}, 's') THEN left({t}, length({t}) - 1) ELSE {t} END"
     )
 
 
-def stems(keyword_array: Column) -> Column:
+def stem_each(keyword_array: str) -> str:
+    """Stem of every keyword, in place."""
+    return f"transform({keyword_array}, t -> {stem('t')})"
+
+
+def stems(keyword_array: str) -> str:
     """Distinct stems of a keyword array."""
-    return F.array_distinct(F.transform(keyword_array, stem))
+    return f"array_distinct({stem_each(keyword_array)})"

@@ -33,12 +33,12 @@ def round_score(value: Column) -> Column:
 
 def with_keywords(df: DataFrame, text: str = "text") -> DataFrame:
     """Replace a text by its keyword array."""
-    return df.withColumn("keywords", tk.keywords(F.col(text))).drop(text)
+    return df.withColumn("keywords", F.expr(tk.keywords(text))).drop(text)
 
 
 def document_stems(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, ..., stems): stems replace the text, then one shuffle by key."""
-    slim = with_keywords(docs).withColumn("stems", tk.stems(F.col("keywords"))).drop("keywords")
+    slim = with_keywords(docs).withColumn("stems", F.expr(tk.stems("keywords"))).drop("keywords")
     return slim.repartition(key)
 
 
@@ -48,7 +48,7 @@ def posting_terms(postings: DataFrame, key: str = "item_id") -> DataFrame:
         with_keywords(postings)
         .withColumn("n_required", F.size("keywords"))
         .select(key, "n_required", F.explode("keywords").alias("keyword"))
-        .withColumn("stem", tk.stem(F.col("keyword")))
+        .withColumn("stem", F.expr(tk.stem("keyword")))
         .groupBy(key, "n_required", "stem")
         .agg(F.count("*").alias("n_terms"))
     )
@@ -109,14 +109,6 @@ def best_documents(scored: DataFrame, k: int = 1, key: str = "item_id") -> DataF
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def match_columns(required: Column, have_stems: Column) -> tuple[Column, Column]:
-    """Matched and missing terms of one pair, compared inside the row."""
-    return (
-        F.filter(required, lambda t: F.array_contains(have_stems, tk.stem(t))),
-        F.filter(required, lambda t: ~F.array_contains(have_stems, tk.stem(t))),
-    )
-
-
 def pair_terms(pairs: DataFrame, docs: DataFrame, items: DataFrame) -> DataFrame:
     """Explode the required terms of given pairs: (pair columns, term, stem, present).
 
@@ -125,7 +117,7 @@ def pair_terms(pairs: DataFrame, docs: DataFrame, items: DataFrame) -> DataFrame
     joined = pairs.join(items, "item_id").join(docs, "doc_id")
     return (
         joined.select(*pairs.columns, "stems", F.explode("terms").alias("term"))
-        .withColumn("stem", tk.stem(F.col("term")))
+        .withColumn("stem", F.expr(tk.stem("term")))
         .withColumn("present", F.array_contains("stems", F.col("stem")))
         .drop("stems")
     )
@@ -159,7 +151,7 @@ def required_terms(items: DataFrame) -> DataFrame:
     """(item_id, terms, term_stems) from a posting keyword array."""
     return items.select(
         "item_id", F.col("keywords").alias("terms"),
-        F.transform("keywords", tk.stem).alias("term_stems"),
+        F.expr(tk.stem_each("keywords")).alias("term_stems"),
     )
 
 
@@ -172,7 +164,7 @@ def family_dimension(spark) -> DataFrame:
         for term in members
     ]
     dim = spark.createDataFrame(rows, "tier INT, family INT, term STRING")
-    return dim.withColumn("stem", tk.stem(F.col("term")))
+    return dim.withColumn("stem", F.expr(tk.stem("term")))
 
 
 def sibling_dimension(spark, mode: str = "accurate") -> DataFrame:
