@@ -41,9 +41,10 @@ RANK = ("CASE WHEN host = 'djinni.co' OR suffix(host, '.djinni.co') THEN 0 "
 
 
 # --- scans, lookups, exports -----------------------------------------------------
-@query("scan_activity_s1", f"WITH {R} SELECT * EXCLUDE (value) FROM records")
+@query("scan_activity_s1", f"WITH {R} SELECT * EXCLUDE (value, created_at), strftime(created_at, '%Y-%m-%d %H:%M') AS created_at FROM records")
 def scan_activity(spark, sf):
-    return records(spark, sf).drop("value")
+    return records(spark, sf).drop("value").withColumn(
+        "created_at", F.date_format("created_at", "yyyy-MM-dd HH:mm"))
 
 
 @query("scan_corpus_s2", "SELECT doc_id, lang, length(text) AS n_read FROM documents")
@@ -64,11 +65,11 @@ def nested_json(spark, sf):
         "d.id", "d.contact.email", "d.contact.role", F.col("d.flags")[0].alias("is_active"))
 
 
-@query("activity_days_s5", f"""WITH {R} SELECT CAST(created_at AS DATE) AS day,
+@query("activity_days_s5", f"""WITH {R} SELECT strftime(created_at, '%Y-%m-%d') AS day,
 count(*) AS n_rows, count(DISTINCT file_id) AS n_files FROM records GROUP BY 1""")
 def activity_days(spark, sf):
     """Row and file counts per append partition."""
-    return records(spark, sf).groupBy(F.to_date("created_at").alias("day")).agg(
+    return records(spark, sf).groupBy(F.to_date("created_at").cast("string").alias("day")).agg(
         F.count("*").alias("n_rows"), F.countDistinct("file_id").alias("n_files"))
 
 
@@ -363,15 +364,17 @@ DAYS = f"""{R}, days AS (SELECT user_id, CAST({BERLIN} AS DATE) AS local_day, co
 count(*) FILTER (NOT is_fake) AS n_live FROM records GROUP BY 1, 2)"""
 
 
-@query("local_day_counts_a15_d4", f"WITH {DAYS} SELECT * FROM days")
+@query("local_day_counts_a15_d4", f"WITH {DAYS} SELECT * REPLACE (strftime(local_day, '%Y-%m-%d') AS local_day) FROM days")
 def local_day_counts(spark, sf):
-    return ac.local_day_counts(records(spark, sf), "Europe/Berlin")
+    return ac.local_day_counts(records(spark, sf), "Europe/Berlin").withColumn(
+        "local_day", F.col("local_day").cast("string"))
 
 
-@query("week_earlier_d6", f"""WITH {DAYS} SELECT d.*, coalesce(e.n_live, 0) AS n_week_earlier FROM days d
+@query("week_earlier_d6", f"""WITH {DAYS} SELECT d.* REPLACE (strftime(d.local_day, '%Y-%m-%d') AS local_day), coalesce(e.n_live, 0) AS n_week_earlier FROM days d
 LEFT JOIN days e ON e.user_id = d.user_id AND e.local_day + 7 = d.local_day""")
 def week_earlier(spark, sf):
-    return ac.week_earlier(ac.local_day_counts(records(spark, sf), "Europe/Berlin"))
+    return ac.week_earlier(ac.local_day_counts(records(spark, sf), "Europe/Berlin")).withColumn(
+        "local_day", F.col("local_day").cast("string"))
 
 
 @query("day_tiers_d5", f"""WITH {R}, l AS (SELECT id, {BERLIN} AS t FROM records)

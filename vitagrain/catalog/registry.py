@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from vitagrain.catalog import activity, coverage
+from vitagrain.catalog import activity, coverage, profiles
 
-CATALOGS = [coverage.catalog, activity.catalog]
+CATALOGS = [coverage.catalog, profiles.catalog, activity.catalog]
 
 
 def queries():

@@ -45,9 +45,12 @@ def let(name: str, value: str, body: str) -> str:
     return f"get(transform(array({value}), {name} -> {body}), 0)"
 
 
-def strip(value: str, characters: str = r"\s") -> str:
-    """Trim a character class from both ends."""
-    return f"regexp_replace({value}, {raw(f'^[{characters}]+|[{characters}]+$')}, '')"
+WHITE_SPACE = r"' \t\n\r\u000B\u000C'"
+
+
+def strip(value: str, characters: str | None = None) -> str:
+    """Trim a set of characters, white space by default, from both ends."""
+    return f"trim(BOTH {WHITE_SPACE if characters is None else text(characters)} FROM {value})"
 
 
 def collapse(value: str) -> str:

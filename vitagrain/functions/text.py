@@ -6,8 +6,8 @@ from vitagrain.functions import lexicon as lx
 from vitagrain.functions import sqltext as st
 
 # Characters and separators removed from extracted text.
-BROKEN = r"[\x{FFFD}\x{FFFC}\x{FEFF}\x{25A0}-\x{25FF}\x{2B1B}\x{2B1C}\x{E000}-\x{F8FF}]+"
-CONTROLS = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
+BROKEN = (r"[\x{FFFD}\x{FFFC}\x{FEFF}\x{25A0}-\x{25FF}\x{2B1B}\x{2B1C}\x{E000}-\x{F8FF}"
+          r"\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
 REPEATED_PIPES = r"(?:\s*\|\s*){2,}"
 EDGE_SEPARATORS = r"^(?:\s*[|•]\s*)+|(?:\s*[|•]\s*)+$"
 JUNK_PREFIX = r"^[\s\x{FEFF}\x{FFFD}•●◦○□■▪▫?\-]+\s*"
@@ -72,13 +72,22 @@ def all_lines(text: str) -> str:
 
 
 def clean(text: str) -> str:
-    """Drop glyphs that print as boxes, then tidy separators and blanks."""
-    out = f"coalesce({text}, '')"
-    for pattern, by in [(BROKEN, ""), (CONTROLS, ""), (REPEATED_PIPES, " | "),
-                        (EDGE_SEPARATORS, ""), (r"[ \t]+", " "), (r" *\n *", "\n"),
-                        (r"\n{3,}", "\n\n")]:
-        out = f"regexp_replace({out}, {st.raw(pattern)}, '{by}')".replace("\n", "\\n") \
-            if "\n" in by else st.replace(out, pattern, by)
+    """Drop glyphs that print as boxes, then tidy separators and blanks.
+
+    Each rewrite only runs where a plain substring test says it can apply, so
+    ordinary text pays for one pattern pass.
+    """
+    rules = [
+        ("contains(z, '|')", REPEATED_PIPES, "' | '"),
+        ("contains(z, '|') OR contains(z, '•')", EDGE_SEPARATORS, "''"),
+        ("contains(z, '  ') OR contains(z, '\\t')", r"[ \t]+", "' '"),
+        ("contains(z, ' \\n') OR contains(z, '\\n ')", r" *\n *", "'\\n'"),
+        ("contains(z, '\\n\\n\\n')", r"\n{3,}", "'\\n\\n'"),
+    ]
+    out = st.replace(f"coalesce({text}, '')", BROKEN)
+    for test, pattern, by in rules:
+        out = st.let("z", out, f"CASE WHEN {test} THEN "
+                               f"regexp_replace(z, {st.raw(pattern)}, {by}) ELSE z END")
     return st.strip(out)
 
 
@@ -90,7 +99,7 @@ def clean_items(array: str) -> str:
 def clean_extracted(text: str) -> str:
     """Also strip bullet glyphs and a leading field label."""
     out = st.replace(st.replace(clean(text), JUNK_PREFIX), MAJOR_PREFIX)
-    return clean(st.strip(out, r" |,\-–—"))
+    return clean(st.strip(out, " |,-–—"))
 
 
 # --- links ---------------------------------------------------------------------
@@ -224,14 +233,13 @@ def vocabulary_hits(keywords: str, lower_text: str, vocabulary: list[str],
                     cap: int | None = None) -> str:
     """Vocabulary terms in a text: more words first, then alphabetical.
 
-    One-word terms that tokenise are found in the keyword array. The rest need
-    the text itself and share one alternation pass: every hit of the pattern
-    that is bounded by non-word characters.
+    A term counts when it is a keyword or stands alone in the text; the pattern
+    only runs where a plain substring test has already hit.
     """
     ordered = sorted(vocabulary, key=lambda t: (-len(t.split()), t))
     tests = [
-        f"CASE WHEN array_contains({keywords}, {st.text(t)}) OR {term_present(t, lower_text)} "
-        f"THEN {st.text(t)} END"
+        f"CASE WHEN array_contains({keywords}, {st.text(t)}) OR (contains({lower_text}, "
+        f"{st.text(t)}) AND {term_present(t, lower_text)}) THEN {st.text(t)} END"
         for t in ordered
     ]
     hits = f"filter(array({', '.join(tests)}), t -> t IS NOT NULL)"
@@ -314,10 +322,17 @@ def numbered(values: str) -> str:
 
 
 def distinct_folded(values: str) -> str:
-    """Keep the first of values equal up to case, in order, dropping blanks."""
-    keys = f"transform({values}, v -> lower({st.strip('v')}))"
-    return st.let("ks", keys, (
-        f"filter({values}, (v, i) -> get(ks, i) <> '' AND array_position(ks, get(ks, i)) = i + 1)"
+    """Keep the first of values equal up to case, in order, dropping blanks.
+
+    Sorting by (key, position) puts equal keys side by side, so the cost is
+    that of two sorts whatever the number of repeats.
+    """
+    keyed = (f"array_sort(transform({values}, (v, i) -> "
+             f"named_struct('k', lower({st.strip('v')}), 'i', i, 'v', v)))")
+    firsts = "filter(kd, (s, j) -> s.k <> '' AND (j = 0 OR s.k <> get(kd, j - 1).k))"
+    return st.let("kd", keyed, (
+        f"transform(array_sort(transform({firsts}, s -> named_struct('i', s.i, 'v', s.v))), "
+        f"s -> s.v)"
     ))
 
 

@@ -34,9 +34,8 @@ MAX_JOBS = 4
 
 
 def pick(values: list[str], index: str) -> str:
-    """CASE that indexes a short list with a non-negative integer expression."""
-    arms = " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values))
-    return f"CASE CAST(({index}) % {len(values)} AS INT) {arms} END"
+    """Index a short list with a non-negative integer expression."""
+    return f"split_part('{';'.join(values)}', ';', CAST(({index}) % {len(values)} AS INT) + 1)"
 
 
 # --- activity ------------------------------------------------------------------
