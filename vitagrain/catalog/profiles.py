@@ -25,6 +25,7 @@ JOBS = "jobs AS (" + " UNION ALL ".join(
     for j in range(dv.MAX_JOBS)) + ")"
 SUMMARY = ("array_to_string(list_filter(list_transform(string_split(text, chr(10)), "
            "lambda x: trim(regexp_replace(x, '[ \\t]+', ' ', 'g'))), lambda x: x <> ''), ' ')")
+SUMMARY = f"trim(regexp_replace({SUMMARY}, '(\\s*[|•]\\s*)+$', ''))"
 SKILLS = f"[{', '.join(dv.profile_skills(K))}]"
 CERT = f"'AWS Certified Developer ' || ({K} % 7)"
 
@@ -33,6 +34,13 @@ def structured(spark, sf):
     return pf.structure(dv.profiles(spark, sf))
 
 
+def exploded_jobs(profiles):
+    """One row per job. The outer form keeps the optimizer from adding a size
+    filter that would evaluate the parsing expressions a second time."""
+    return profiles.select("doc_id", F.posexplode_outer("experience").alias("pos", "j")).filter(
+        "pos IS NOT NULL")
+
+
 @query("structure_profiles_c2", f"""SELECT doc_id, true AS is_structured, 'Person Number' AS name,
 'p' || doc_id || '@example.com' AS email, 'Split, Croatia' AS location, {SUMMARY} AS summary,
 array_to_string({SKILLS}, ';') AS skills, {dv.job_count(K)} AS n_jobs,
@@ -51,7 +59,7 @@ def structure_profiles(spark, sf):
 array_to_string(bullets, ';') AS bullets FROM jobs""")
 def structure_jobs(spark, sf):
     """Every job of every profile, parsed back from the rendered text."""
-    return structured(spark, sf).select("doc_id", F.posexplode("experience").alias("pos", "j")).select(
+    return exploded_jobs(structured(spark, sf)).select(
         "doc_id", "pos", "j.title", "j.company", "j.dates",
         F.array_join("j.bullets", ";").alias("bullets"))
 

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitagrain.functions import lexicon as lx
+from vitagrain.functions import sqltext as st
 from vitagrain.functions import tokens as tk
 from vitagrain.session import checkpointed
 
@@ -130,12 +131,10 @@ def score_pairs(pairs: DataFrame, docs: DataFrame, items: DataFrame) -> DataFram
     both arrays run in parallel. Membership uses one array intersection per
     pair, and an empty requirement set scores 1.0.
     """
-    joined = pairs.join(items, "item_id").join(docs, "doc_id")
-    present = joined.withColumn("hit_stems", F.array_intersect("term_stems", "stems"))
-    hits = present.withColumn(
-        "matched",
-        F.filter("terms", lambda t, i: F.array_contains("hit_stems", F.get("term_stems", i))),
-    )
+    # The intersection is bound once per pair, ahead of the filter over terms.
+    matched = st.let("hs", "array_intersect(term_stems, stems)",
+                     "filter(terms, (t, i) -> array_contains(hs, get(term_stems, i)))")
+    hits = pairs.join(items, "item_id").join(docs, "doc_id").withColumn("matched", F.expr(matched))
     return hits.select(
         *pairs.columns,
         "matched",
@@ -183,35 +182,3 @@ def sibling_dimension(spark, mode: str = "accurate") -> DataFrame:
         .agg(F.array_sort(F.collect_list(F.struct("tier", "family", "sibling", "sibling_stem")))
              .alias("siblings"))
     )
-
-
-def transferable(missing: DataFrame, spark, mode: str = "accurate") -> DataFrame:
-    """Attach the first supported sibling to each missing term.
-
-    ``missing`` carries (term, stems); terms without one get a null.
-    """
-    dim = F.broadcast(sibling_dimension(spark, mode))
-    supported = F.filter(
-        "siblings", lambda s: F.array_contains("stems", s["sibling_stem"])
-    )
-    return (
-        missing.join(dim, "term", "left")
-        .withColumn("related", F.get(supported, F.lit(0))["sibling"])
-        .drop("siblings")
-    )
-
-
-def prioritise_jobs(jobs: Column, term_stems: Column, job_stems) -> Column:
-    """Job indices by overlap with the terms, ties in original order.
-
-    ``jobs`` is an array; ``job_stems`` maps one job to its stem array.
-    """
-    scored = F.transform(
-        jobs,
-        lambda job, i: F.struct(
-            (-F.size(F.filter(term_stems, lambda s: F.array_contains(job_stems(job), s))))
-            .alias("key"),
-            i.alias("idx"),
-        ),
-    )
-    return F.transform(F.array_sort(scored), lambda s: s["idx"])
