@@ -242,7 +242,7 @@ def report_defaults(spark, sf):
 
 
 # --- joins ---------------------------------------------------------------------------
-@query("history_j1_o1_p5", f"""WITH {R}, {T} SELECT r.id, r.user_id, r.main_stack, coalesce(t.slug, 'unknown') AS template_slug
+@query("history_c7_j1_o1_p5", f"""WITH {R}, {T} SELECT r.id, r.user_id, r.main_stack, coalesce(t.slug, 'unknown') AS template_slug
 FROM records r LEFT JOIN templates t ON t.id = r.template_id ORDER BY r.id DESC LIMIT 500""")
 def history(spark, sf):
     return ac.history(records(spark, sf), templates(spark, sf), limit=500).select(

@@ -55,7 +55,7 @@ def structure_profiles(spark, sf):
         F.array_join("certifications_raw", ";").alias("certifications"))
 
 
-@query("structure_jobs_c2_w5_w6_w8_w9_t16", f"""WITH {JOBS} SELECT doc_id, CAST(pos AS INT) AS pos, title, company, dates,
+@query("structure_jobs_c2_w5_w6_w7_w8_w9_t16", f"""WITH {JOBS} SELECT doc_id, CAST(pos AS INT) AS pos, title, company, dates,
 array_to_string(bullets, ';') AS bullets FROM jobs""")
 def structure_jobs(spark, sf):
     """Every job of every profile, parsed back from the rendered text."""

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from vitagrain.catalog import activity, coverage, profiles
+from vitagrain.catalog import activity, audits, coverage, profiles, texts
 
-CATALOGS = [coverage.catalog, profiles.catalog, activity.catalog]
+CATALOGS = [coverage.catalog, profiles.catalog, audits.catalog, texts.catalog,
+            activity.catalog]
 
 
 def queries():

@@ -355,3 +355,13 @@ def display_form(term: str, cv_skills: str) -> str:
         f"CASE WHEN lower(q) IN ({st.items(lx.ACRONYMS)}) THEN upper(q) "
         f"ELSE concat(upper(left(q, 1)), substr(q, 2)) END)"
     ))
+
+
+def dictionary_tag(hint: str, words: list[str], content: str = "''",
+                   cues: list[tuple[str, str]] = ()) -> str:
+    """Longest whole dictionary word in a hint, else the first content cue."""
+    ranked = sorted(words, key=lambda w: (-len(w), w))
+    arms = [f"WHEN {st.matches('hn', rf'(?i)\b{escaped(w)}\b')} THEN {st.text(w)}" for w in ranked]
+    arms += [f"WHEN contains(lower({content}), {st.text(c)}) THEN {st.text(t)}" for c, t in cues]
+    spaced = f"regexp_replace({hint}, '[_-]+', ' ')"
+    return st.let("hn", spaced, f"CASE {' '.join(arms)} ELSE '' END")

@@ -100,3 +100,48 @@ def first_by_key(values: str, key: str) -> str:
     return st.let("kd", keyed, (
         "transform(array_sort(transform(filter(kd, (s, j) -> j = 0 OR s.k <> get(kd, j - 1).k), "
         "s -> named_struct('i', s.i, 'v', s.v))), s -> s.v)"))
+
+
+def jobs_by_bullets(kinds: str) -> str:
+    """Groups where a non-bullet that follows a bullet opens a new job.
+
+    ``kinds`` is an array of struct(line, bullet).
+    """
+    opens = "NOT x.bullet AND i > 0 AND get(gb, i - 1).bullet"
+    starts = (f"concat(CASE WHEN size(gb) > 0 THEN array(0) ELSE CAST(array() AS ARRAY<INT>) END, "
+              f"{positions('gb', opens)})")
+    return st.let("gb", kinds, slices("gb", starts))
+
+
+def filled(jobs: str, size: int) -> str:
+    """Each job's distinct bullets, topped up from its siblings' unseen ones."""
+    own = "array_distinct(get(fj, i))"
+    pool = f"array_except(flatten(filter(fj, (y, k) -> k <> i)), {own})"
+    return st.let("fj", jobs, f"transform(fj, (x, i) -> slice(concat({own}, {pool}), 1, {size}))")
+
+
+def aligned(questions: str, drafts: str) -> str:
+    """Answer of each question: the draft of the same wording, else the first left.
+
+    A fold, because every question consumes one draft. ``drafts`` holds
+    struct(question, answer); the result is an array of nullable answers.
+    """
+    wording = st.collapse("{0}")
+    hit = (f"CAST(array_position(transform(a.rest, d -> lower({wording.format('d.question')})), "
+           f"lower(q)) AS INT)")
+    use = f"CASE WHEN {hit} = 0 AND size(a.rest) > 0 THEN 1 ELSE {hit} END"
+    step = st.let("u", use, (
+        "named_struct('rest', filter(a.rest, (d, i) -> i <> u - 1), "
+        "'out', concat(a.out, array(get(a.rest, u - 1).answer)))"))
+    start = (f"named_struct('rest', filter({drafts}, d -> trim(d.answer) <> ''), "
+             f"'out', CAST(array() AS ARRAY<STRING>))")
+    return f"aggregate({questions}, {start}, (a, q) -> {step}, a -> a.out)"
+
+
+def digest(jobs: str, n_jobs: int = 3, n_bullets: int = 3) -> str:
+    """Short text of the first jobs and their first bullets."""
+    bullets = (f"array_join(transform(slice(j.bullets, 1, {n_bullets}), "
+               f"b -> concat('  - ', b)), '\\n')")
+    block = f"concat(j.title, ' at ', j.company, ' (', j.dates, ')\\n', {bullets})"
+    joined = f"array_join(transform(slice({jobs}, 1, {n_jobs}), j -> {block}), '\\n\\n')"
+    return f"coalesce(nullif({joined}, ''), '(no experience listed)')"

@@ -202,3 +202,60 @@ def postings(spark: SparkSession, folder: str) -> DataFrame:
     """(item_id, text): one rendered posting per stored benchmark item."""
     items = read_table(spark, folder, "benchmark")
     return items.selectExpr("item_id", f"{posting_text('item_id', 'text')} AS text")
+
+
+# --- master and tailored records ------------------------------------------------
+def tailored_fields(k: str, j: int) -> dict[str, str]:
+    """Tailored job fields: some drift from the master on purpose."""
+    title, company, dates = job_title(k, j), job_company(k, j), job_dates(k, j)
+    return {
+        "title": f"CASE WHEN {k} % 4 = 0 AND {j} = 0 THEN CONCAT({title}, ' II') ELSE {title} END",
+        "company": f"CASE WHEN {k} % 5 = 0 AND {j} = 1 THEN 'Other Co' ELSE {company} END",
+        "dates": f"CASE WHEN {k} % 7 = 0 AND {j} = 0 THEN '' ELSE {dates} END",
+    }
+
+
+def tailored_bullets(k: str, j: int) -> list[str]:
+    return job_bullets(k, j) + [
+        "'Moved Laravel and PHP jobs to the cloud'",
+        f"CONCAT('Wrote Django and Scala tools for ', CAST({k} % 9 AS STRING), ' users')",
+        "'Kept Rails alive during the move'",
+    ]
+
+
+def tailored_summary(k: str) -> str:
+    return pick([
+        "Engineer with 8+ years of delivery. Calm under load.",
+        "Platform engineer. Likes tests",
+        "Seasoned builder with care. Hands-on with a, b, c.",
+        "Curious person. Writes well.",
+        "Quiet builder",
+    ], k)
+
+
+def tailored_certification(k: str) -> str:
+    return f"CASE WHEN {k} % 6 = 0 THEN '' ELSE CONCAT('AWS Certified Developer ', CAST({k} % 7 AS STRING)) END"
+
+
+def tailored(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, master, tailored, ...): one master with its tailored form per document."""
+    k = "doc_id"
+
+    def jobs(fields, bullets) -> str:
+        items = ", ".join(
+            f"named_struct('n', {j}, " + ", ".join(f"'{f}', {v}" for f, v in fields(j).items())
+            + f", 'bullets', array({', '.join(bullets(j))}))" for j in range(MAX_JOBS))
+        return (f"transform(filter(array({items}), x -> x.n < {job_count(k)}), x -> named_struct("
+                f"'title', x.title, 'company', x.company, 'dates', x.dates, 'bullets', x.bullets))")
+
+    docs = spread(read_table(spark, folder, "documents"), "doc_id")
+    master = jobs(lambda j: {"title": job_title(k, j), "company": job_company(k, j),
+                             "dates": job_dates(k, j)}, lambda j: job_bullets(k, j))
+    drifted = jobs(lambda j: tailored_fields(k, j), lambda j: tailored_bullets(k, j))
+    return docs.selectExpr(
+        "doc_id", "text AS raw_text", f"{k} % 10 <> 9 AS is_structured", f"{master} AS master",
+        f"{drifted} AS tailored", f"{pick(STACKS, k)} AS main_stack",
+        f"{tailored_summary(k)} AS summary",
+        f"array(CONCAT('AWS Certified Developer ', CAST({k} % 7 AS STRING))) AS master_certs",
+        f"filter(array({tailored_certification(k)}), c -> c <> '') AS tailored_certs",
+    )
