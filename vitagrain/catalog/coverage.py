@@ -36,9 +36,12 @@ def corpus(spark, sf):
     return spread(read_table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
 
 
-def scored_corpus(spark, sf):
-    docs = corpus(spark, sf).withColumn("weak_lines", weak_lines())
-    return mt.coverage(mt.document_stems(docs), read_table(spark, sf, "benchmark"))
+def weighed_corpus(spark, sf):
+    return mt.document_stems(corpus(spark, sf).withColumn("weak_lines", weak_lines()))
+
+
+def best_of_corpus(spark, sf, k=1):
+    return mt.best_documents(weighed_corpus(spark, sf), read_table(spark, sf, "benchmark"), k)
 
 
 @query("best_document_per_posting_o6_j14", f"""WITH {PAIRS},
@@ -47,9 +50,17 @@ SELECT item_id, doc_id, n_matched, n_required, score, CAST(weak_lines AS INT) AS
 FROM scored JOIN weak USING (doc_id)
 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, weak_lines, doc_id) = 1""")
 def best_document(spark, sf):
-    return mt.best_documents(scored_corpus(spark, sf)).drop("rank")
+    return best_of_corpus(spark, sf).drop("rank")
 
 
 @query("coverage_matrix_j14_a1", f"WITH {PAIRS} SELECT doc_id, item_id, n_matched, n_required, score FROM scored")
 def coverage_matrix(spark, sf):
-    return scored_corpus(spark, sf).drop("weak_lines")
+    return mt.coverage(mt.document_stems(corpus(spark, sf)), read_table(spark, sf, "benchmark"))
+
+
+@query("top_documents_per_posting_o6", f"""WITH {PAIRS},
+weak AS (SELECT doc_id, {WEAK} AS weak_lines FROM documents)
+SELECT item_id, doc_id, score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, weak_lines, doc_id) AS INT) AS rank
+FROM scored JOIN weak USING (doc_id) QUALIFY rank <= 5""")
+def top_documents(spark, sf):
+    return best_of_corpus(spark, sf, 5).select("item_id", "doc_id", "score", "rank")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from vitagrain.catalog import sqlkit as sk
 from vitagrain.catalog.base import Catalog
 from vitagrain.catalog.coverage import PAIRS as SCORED
-from vitagrain.catalog.coverage import WEAK, corpus, scored_corpus
+from vitagrain.catalog.coverage import WEAK, best_of_corpus, corpus
 from vitagrain.catalog.profiles import JOBS, PREFERRED, REQUIRED, exploded_jobs
 from vitagrain.functions import headers as hd
 from vitagrain.functions import lexicon as lx
@@ -50,7 +50,7 @@ QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, weak_lines,
 
 def best_terms(spark, sf):
     """Required terms of every posting beside the stems of its best document."""
-    best = mt.best_documents(scored_corpus(spark, sf)).select("item_id", "doc_id")
+    best = best_of_corpus(spark, sf).select("item_id", "doc_id")
     terms = mt.with_keywords(read_table(spark, sf, "benchmark")).select(
         "item_id", F.explode_outer("keywords").alias("term")).filter("term IS NOT NULL")
     terms = terms.join(best, "item_id").withColumn("stem", F.expr(tk.stem("term")))

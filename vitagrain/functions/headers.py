@@ -47,12 +47,19 @@ def _heading_pattern() -> str:
 HEADING = _heading_pattern()
 
 
+def _may_open_section(line: str) -> str:
+    """Hash test on the first letters; spares most lines the pattern."""
+    starts = sorted({h[:5] for hs in lx.SECTION_HEADINGS.values() for h in hs})
+    return f"lower(left({line}, 5)) IN ({st.items(starts)})"
+
+
 def heading(line: str) -> str:
     """struct(kind, rest): section kind, null for content, and glued content."""
     kinds = " ".join(f"WHEN lower(lb) IN ({st.items(hs)}) THEN '{k}'"
                      for k, hs in lx.SECTION_HEADINGS.items())
     rest = f"regexp_extract({line}, {st.raw(HEADING)}, 2)"
-    return st.let("lb", f"regexp_extract({line}, {st.raw(HEADING)}, 1)", (
+    label = f"regexp_extract({line}, {st.raw(HEADING)}, 1)"
+    return st.let("lb", f"CASE WHEN {_may_open_section(line)} THEN {label} ELSE '' END", (
         f"named_struct('kind', CASE {kinds} END, 'rest', CASE WHEN lb = '' THEN '' "
         f"WHEN {st.matches(rest, r'^[(][^0-9]{0,39}$')} THEN '' ELSE {rest} END)"
     ))

@@ -78,8 +78,9 @@ def clean(text: str) -> str:
     ordinary text pays for one pattern pass.
     """
     rules = [
-        ("contains(z, '|')", REPEATED_PIPES, "' | '"),
-        ("contains(z, '|') OR contains(z, '•')", EDGE_SEPARATORS, "''"),
+        (f"contains(z, '|') AND {st.matches('z', REPEATED_PIPES)}", REPEATED_PIPES, "' | '"),
+        (f"left({st.strip('z')}, 1) IN ('|', '•') OR right({st.strip('z')}, 1) IN ('|', '•')",
+         EDGE_SEPARATORS, "''"),
         ("contains(z, '  ') OR contains(z, '\\t')", r"[ \t]+", "' '"),
         ("contains(z, ' \\n') OR contains(z, '\\n ')", r" *\n *", "'\\n'"),
         ("contains(z, '\\n\\n\\n')", r"\n{3,}", "'\\n\\n'"),

@@ -1,20 +1,27 @@
 """Keyword coverage of documents against postings.
 
-Two access paths share one definition of a match:
+Three access paths share one definition of a match:
 
 * ``score_pairs`` - a given list of (document, posting) pairs. Both sides are
   joined by id and compared inside the row, so the cost is linear in the pairs.
-* ``coverage`` / ``best_documents`` - every document against every posting
-  through an inverted index (stem -> postings). Document stems are hash
-  partitioned by document once; the index is broadcast only in slices of a
-  checked size, so counts per (document, posting) need no further shuffle and
-  no stem, however common, is ever gathered in one task.
+* ``coverage`` - every overlapping pair through an inverted index (stem ->
+  postings). Document stems are hash partitioned by document once, so counts
+  per (document, posting) need no further shuffle.
+* ``best_documents`` - the top documents per posting. Overlaps are counted as
+  blocks of a count matrix inside each task and reduced there.
+
+The index is broadcast only in slices of a checked size, and no stem, however
+common, is ever gathered in one task.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +32,8 @@ from vitagrain.session import checkpointed
 
 # One broadcast slice holds at most this many index entries (about 64 MB).
 INDEX_SLICE_ENTRIES = 1_000_000
+# One block of the (documents x postings) count matrix inside a task.
+MATRIX_CELLS = 4_000_000
 
 
 def round_score(value: Column) -> Column:
@@ -37,10 +46,9 @@ def with_keywords(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn("keywords", F.expr(tk.keywords(text))).drop(text)
 
 
-def document_stems(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, ..., stems): stems replace the text, then one shuffle by key."""
-    slim = with_keywords(docs).withColumn("stems", F.expr(tk.stems("keywords"))).drop("keywords")
-    return slim.repartition(key)
+def document_stems(docs: DataFrame) -> DataFrame:
+    """(..., stems): the stems of a text in its place."""
+    return with_keywords(docs).withColumn("stems", F.expr(tk.stems("keywords"))).drop("keywords")
 
 
 def posting_terms(postings: DataFrame, key: str = "item_id") -> DataFrame:
@@ -73,55 +81,114 @@ def _overlaps(doc_stems: DataFrame, index: DataFrame, carried: list[str], key: s
     )
 
 
+def index_slices(terms: DataFrame, key: str, slice_entries: int) -> list[DataFrame]:
+    """Split measured index rows by posting so that no slice exceeds the bound.
+
+    An index beyond one slice is written once through the checkpoint folder, as
+    every slice reads it again.
+    """
+    entries = terms.count()
+    n = max(1, -(-entries // slice_entries))
+    if n == 1:
+        return [terms]
+    terms = checkpointed(terms)
+    slot = F.pmod(F.xxhash64(key), F.lit(n))
+    return [terms.filter(slot == i) for i in range(n)]
+
+
 def coverage(doc_stems: DataFrame, postings: DataFrame, key: str = "item_id",
              slice_entries: int = INDEX_SLICE_ENTRIES) -> DataFrame:
-    """Overlapping (document, posting) pairs with matched count and score.
+    """Every overlapping (document, posting) pair with matched count and score.
 
-    The index is measured first. When it exceeds one slice it is written once
-    through the checkpoint folder and matched slice by slice; slices split the
-    postings, so each pair is counted in exactly one of them.
+    Slices split the postings, so each pair is counted in exactly one of them.
     """
     carried = [c for c in doc_stems.columns if c != "stems"]
-    terms = posting_terms(postings, key)
-    entries = terms.count()
-    slices = max(1, -(-entries // slice_entries))
-    if slices > 1:
-        terms, doc_stems = checkpointed(terms), checkpointed(doc_stems)
-    slot = F.pmod(F.xxhash64(key), F.lit(slices))
-    parts = [
-        _overlaps(doc_stems, _index(terms.filter(slot == i) if slices > 1 else terms, key),
-                  carried, key)
-        for i in range(slices)
-    ]
-    return reduce(DataFrame.unionByName, parts).withColumn(
-        "score", round_score(F.col("n_matched") / F.col("n_required"))
-    )
+    slices = index_slices(posting_terms(postings, key), key, slice_entries)
+    if len(slices) > 1:
+        doc_stems = checkpointed(doc_stems)
+    doc_stems = doc_stems.repartition("doc_id")
+    parts = [_overlaps(doc_stems, _index(s, key), carried, key) for s in slices]
+    return with_score(reduce(DataFrame.unionByName, parts))
 
 
-def best_documents(scored: DataFrame, k: int = 1, key: str = "item_id") -> DataFrame:
-    """Top k documents per posting: score, then fewer weak lines, then id.
+def with_score(counted: DataFrame) -> DataFrame:
+    return counted.withColumn("score", round_score(F.col("n_matched") / F.col("n_required")))
 
-    The rank filter is applied before the shuffle as well as after it, so each
-    task sends at most k rows per posting.
-    """
-    order = Window.partitionBy(key).orderBy(
-        F.col("score").desc(), F.col("weak_lines"), F.col("doc_id")
-    )
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
+def _top_in_batches(terms: pd.DataFrame, key: str, k: int):
+    """Arrow-batch function: count overlaps of a batch with one index slice and
+    keep each posting's k best documents of the batch.
 
-def pair_terms(pairs: DataFrame, docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Explode the required terms of given pairs: (pair columns, term, stem, present).
+    Documents enter in tie-break order, so a stable sort by count is the rank.
+    """
+    stem_codes, stem_values = pd.factorize(terms["stem"])
+    item_codes, item_ids = pd.factorize(terms[key])
+    required = np.zeros(len(item_ids), np.int64)
+    required[item_codes] = terms["n_required"].to_numpy()
+    by_stem = np.argsort(stem_codes, kind="stable")
+    items, weights = item_codes[by_stem], terms["n_terms"].to_numpy()[by_stem]
+    sizes = np.bincount(stem_codes, minlength=len(stem_values))
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    vocabulary = pa.array(stem_values)
+    rows_at_once = max(1, MATRIX_CELLS // max(1, len(item_ids)))
+
+    def count(stems: pa.ListArray) -> np.ndarray:
+        found = pc.index_in(stems.flatten(), value_set=vocabulary)
+        hit = pc.is_valid(found).to_numpy(zero_copy_only=False)
+        stem = found.filter(pa.array(hit)).to_numpy()
+        doc = np.repeat(np.arange(len(stems)), pc.list_value_length(stems).to_numpy())[hit]
+        n = sizes[stem]
+        ends = np.cumsum(n)
+        at = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n, n) + np.repeat(starts[stem], n)
+        cells = np.repeat(doc, n) * len(item_ids) + items[at]
+        flat = np.bincount(cells, weights[at], minlength=len(stems) * len(item_ids))
+        return flat.reshape(len(stems), len(item_ids)).astype(np.int64)
+
+    def run(batches):
+        for batch in batches:
+            table = pa.Table.from_batches([batch]).sort_by(
+                [("weak_lines", "ascending"), ("doc_id", "ascending")])
+            for at in range(0, table.num_rows, rows_at_once):
+                part = table.slice(at, rows_at_once).combine_chunks()
+                counts = count(part["stems"].combine_chunks())
+                if k == 1:
+                    doc = counts.argmax(axis=0)[None, :]
+                else:
+                    doc = np.argsort(-counts, axis=0, kind="stable")[:k]
+                item = np.broadcast_to(np.arange(len(item_ids)), doc.shape)
+                n = counts[doc, item].ravel()
+                keep = n > 0
+                doc, item = doc.ravel()[keep], item.ravel()[keep]
+                yield pa.RecordBatch.from_pydict({
+                    "doc_id": part["doc_id"].to_numpy()[doc],
+                    "weak_lines": part["weak_lines"].to_numpy()[doc].astype(np.int32),
+                    key: np.asarray(item_ids)[item],
+                    "n_required": required[item].astype(np.int32),
+                    "n_matched": n[keep].astype(np.int32),
+                })
+
+    return run
+
+
+def best_documents(doc_stems: DataFrame, postings: DataFrame, k: int = 1, key: str = "item_id",
+                   slice_entries: int = INDEX_SLICE_ENTRIES) -> DataFrame:
+    """Top k documents per posting: score, then fewer weak lines, then id.
 
-    ``docs`` is (doc_id, stems), ``items`` is (item_id, terms array).
+    ``doc_stems`` is (doc_id, weak_lines, stems). Each task reduces its batches
+    to at most k rows per posting before anything is shuffled, so neither the
+    pair matrix nor the document stems ever cross the network.
     """
-    joined = pairs.join(items, "item_id").join(docs, "doc_id")
-    return (
-        joined.select(*pairs.columns, "stems", F.explode("terms").alias("term"))
-        .withColumn("stem", F.expr(tk.stem("term")))
-        .withColumn("present", F.array_contains("stems", F.col("stem")))
-        .drop("stems")
+    slices = index_slices(posting_terms(postings, key), key, slice_entries)
+    if len(slices) > 1:
+        doc_stems = checkpointed(doc_stems)
+    source = doc_stems.select("doc_id", "weak_lines", "stems")
+    schema = f"doc_id BIGINT, weak_lines INT, {key} BIGINT, n_required INT, n_matched INT"
+    parts = [source.mapInArrow(_top_in_batches(s.toPandas(), key, k), schema) for s in slices]
+    order = Window.partitionBy(key).orderBy(
+        F.col("score").desc(), F.col("weak_lines"), F.col("doc_id")
     )
+    found = with_score(reduce(DataFrame.unionByName, parts))
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def score_pairs(pairs: DataFrame, docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -10,11 +10,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vitagrain.functions import lexicon as lx
+from vitagrain.functions import sqltext as st
 from vitagrain.functions import tokens as tk
 from vitagrain.operators import matching as mt
 from vitagrain.plans import postings as po
 from vitagrain.plans import profiles as pf
 
+FAMILY_TERMS = sorted({t for tier in lx.SKILL_FAMILIES for family in tier for t in family})
+
 
 def profile_terms(profiles: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, stems, job_stems): stems of the whole record and of each job."""
@@ -26,6 +30,8 @@ def profile_terms(profiles: DataFrame, key: str = "doc_id") -> DataFrame:
             f"array_distinct(concat({tk.keywords(pf.flat_text())}, {listed}))"))
         .selectExpr(key, f"array_distinct(concat({tk.stem_each('words')}, {own})) AS stems",
                     f"transform(experience, j -> {per_job}) AS job_stems")
+        # Only these few can ever support a missing term, whatever the posting.
+        .withColumn("family_stems", F.expr(f"array_intersect(stems, {tk.stem_each(st.array(FAMILY_TERMS))})"))
     )
 
 
@@ -63,7 +69,7 @@ def match(pairs: DataFrame, profiles: DataFrame, analyses: DataFrame,
         "others": F.expr(
             "transform(filter(needs, n -> NOT array_contains(hits, n.stem)), n -> named_struct("
             "'term', n.term, 'preferred', n.preferred, 'related', get(filter(n.siblings, "
-            "s -> array_contains(stems, s.sibling_stem)), 0).sibling))"),
+            "s -> array_contains(family_stems, s.sibling_stem)), 0).sibling))"),
     })
     linked = "filter(others, o -> o.related IS NOT NULL{})"
     label = "o -> concat(o.term, ' (related: ', o.related, ')')"
