@@ -411,3 +411,15 @@ def reading_order(spark, sf):
         "l_orderkey AS page", "round(l_quantity / 7, 1) AS y", "round(l_tax, 1) AS x",
         "l_partkey AS block", "CASE WHEN l_returnflag = 'N' THEN ' ' ELSE 'text' END AS text")
     return blocks.filter(F.trim("text") != "").drop("text").orderBy("page", "y", "x", "block")
+
+
+@query("company_from_bullet_w25_w7", f"""SELECT doc_id, {dv.job_title(K, 0)} AS title, {dv.job_company(K, 0)} AS company,
+CASE WHEN doc_id % 2 = 0 THEN 'Ran ' || (doc_id % 30 + 2) || ' services' ELSE 'ran both sites' END AS bullets FROM documents""")
+def company_from_bullet(spark, sf):
+    """Headers without an employer take it from a company-like first bullet."""
+    text = (f"concat('Ann Lee\\nSummary\\n', text, '\\nCareer\\nsome stray remark.\\n', {dv.job_title(K, 0)}, ' ', {dv.job_dates(K, 0)}, "
+            f"'\\n- ', {dv.job_company(K, 0)}, '\\n- ', CASE WHEN doc_id % 2 = 0 THEN concat('Ran ', doc_id % 30 + 2, ' services') "
+            f"ELSE 'ran both sites' END)")
+    docs = corpus(spark, sf).selectExpr("doc_id", f"{text} AS text")
+    return exploded_jobs(pf.structure(docs)).select(
+        "doc_id", "j.title", "j.company", F.array_join("j.bullets", ";").alias("bullets"))
