@@ -113,7 +113,7 @@ def host(url: str) -> str:
 
 def on_domain(host_text: str, domain: str) -> str:
     """The domain itself or a subdomain of it."""
-    return f"({host_text} = '{domain}' OR endswith({host_text}, '.{domain}'))"
+    return st.let("hx", host_text, f"(hx = '{domain}' OR endswith(hx, '.{domain}'))")
 
 
 def link_key(url: str) -> str:

@@ -53,14 +53,17 @@ def unique_links(records: DataFrame, users: DataFrame | None = None,
 def history(records: DataFrame, templates: DataFrame, user_id: int | None = None,
             limit: int | None = None) -> DataFrame:
     """Records with their template slug, newest first."""
+    newest = F.col("id").desc()
+    rows = scope_owner(records, user_id)
+    if limit is not None:  # the join keeps every record once, so cut first
+        rows = rows.orderBy(newest).limit(limit)
     slugs = templates.select(F.col("id").alias("template_id"), F.col("slug"))
-    out = (
-        scope_owner(records, user_id).join(slugs, "template_id", "left")
+    return (
+        rows.join(slugs, "template_id", "left")
         .withColumn("template_slug", F.coalesce("slug", F.lit("unknown")))
         .drop("slug")
-        .orderBy(F.col("id").desc())
+        .orderBy(newest)
     )
-    return out if limit is None else out.limit(limit)
 
 
 def record_counts(users: DataFrame, records: DataFrame) -> DataFrame:

@@ -196,12 +196,13 @@ def score_pairs(pairs: DataFrame, docs: DataFrame, items: DataFrame) -> DataFram
 
     ``docs`` is (doc_id, stems); ``items`` is (item_id, terms, term_stems), where
     both arrays run in parallel. Membership uses one array intersection per
-    pair, and an empty requirement set scores 1.0.
+    pair, and an empty requirement set scores 1.0. Documents are joined first,
+    while pairs are still thin; postings, the smaller side, come last.
     """
     # The intersection is bound once per pair, ahead of the filter over terms.
     matched = st.let("hs", "array_intersect(term_stems, stems)",
                      "filter(terms, (t, i) -> array_contains(hs, get(term_stems, i)))")
-    hits = pairs.join(items, "item_id").join(docs, "doc_id").withColumn("matched", F.expr(matched))
+    hits = pairs.join(docs, "doc_id").join(items, "item_id").withColumn("matched", F.expr(matched))
     return hits.select(
         *pairs.columns,
         "matched",

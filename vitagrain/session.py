@@ -25,10 +25,12 @@ def build_session(cores: str = "*", app: str = "vitagrain", memory: str = "16g")
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for cut lineage; a private one only when none is named."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        folder = context.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder every executor shares")
+        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder)
     return folder
