@@ -29,7 +29,7 @@ def canonical(value):
     if isinstance(value, Decimal):
         value = float(value)
     if isinstance(value, float):
-        return None if math.isnan(value) else round(value, 6)
+        return None if math.isnan(value) else value
     if isinstance(value, dt.datetime):
         return value.replace(tzinfo=None).isoformat()
     if isinstance(value, (list, tuple)):

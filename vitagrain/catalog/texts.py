@@ -423,3 +423,16 @@ def company_from_bullet(spark, sf):
     docs = corpus(spark, sf).selectExpr("doc_id", f"{text} AS text")
     return exploded_jobs(pf.structure(docs)).select(
         "doc_id", "j.title", "j.company", F.array_join("j.bullets", ";").alias("bullets"))
+
+
+@query("skill_digest_w18_t41", f"""SELECT doc_id, concat_ws(', ', {S4[0]}, 'Fjord', {S4[1]}, {S4[2]}) AS digest,
+'Languages: ' || {S4[0]} || '~Cloud: Fjord~Tools: ' || {S4[1]} || ', ' || lower({S4[0]}) || ', ' || {S4[2]} AS lines FROM documents""")
+def skill_digest(spark, sf):
+    """Grouped skills as labelled lines, and as one digest without repeats."""
+    held = {"languages": f"array({S4[0]})", "cloud": "array('Fjord')",
+            "tools": f"array({S4[1]}, lower({S4[0]}), {S4[2]})"}
+    groups = [(label, held.get(g, pf.EMPTY_TEXTS)) for g, label in lx.SKILL_GROUPS.items()]
+    flat = f"concat({', '.join(v for _, v in groups)})"
+    return corpus(spark, sf).select(
+        "doc_id", F.expr(tx.skill_digest(flat)).alias("digest"),
+        F.expr(f"array_join({tx.labelled_lines(groups)}, '~')").alias("lines"))

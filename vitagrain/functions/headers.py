@@ -65,10 +65,6 @@ def heading(line: str) -> str:
     ))
 
 
-def heading_kind(line: str) -> str:
-    return f"{heading(line)}.kind"
-
-
 # --- line classifiers -------------------------------------------------------------
 def _flags(line: str) -> str:
     r = st.collapse(line)
@@ -96,11 +92,6 @@ def _is_company(m: str) -> str:
             f"AND {spaces} <= 5 AND NOT right({m}.r, 1) IN ('.', ';'))")
 
 
-def is_title(line: str) -> str:
-    """A job title standing on its own line."""
-    return st.let("mt", _flags(line), _is_title("mt"))
-
-
 def is_company(line: str) -> str:
     """A short employer line."""
     return st.let("mc", _flags(line), _is_company("mc"))

@@ -349,9 +349,10 @@ SECTION_HEADINGS: dict[str, list[str]] = {
 }
 
 # --- Fixed values: skill groups of a tailored profile ------------------------
-SKILL_GROUPS = ["languages", "backend", "frontend", "cloud", "devops", "databases", "ai", "tools"]
-SKILL_GROUP_LABELS = ["Languages", "Backend", "Frontend", "Cloud", "DevOps", "Databases", "AI",
-                      "Tools"]
+SKILL_GROUPS = {
+    "languages": "Languages", "backend": "Backend", "frontend": "Frontend", "cloud": "Cloud",
+    "devops": "DevOps", "databases": "Databases", "ai": "AI", "tools": "Tools",
+}
 
 # --- Fixed values: limits ----------------------------------------------------
 MAX_PER_CATEGORY = 12

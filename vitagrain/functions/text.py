@@ -309,7 +309,7 @@ def with_tenure(summary: str, phrase: str) -> str:
 
 
 def labelled_lines(groups: list[tuple[str, str]]) -> str:
-    """``Label: a, b`` per non-empty group; a flat line when none has a label."""
+    """``Label: a, b`` per non-empty group."""
     parts = ", ".join(
         f"CASE WHEN size({value}) > 0 THEN concat('{label}: ', array_join({value}, ', ')) END"
         for label, value in groups
@@ -337,6 +337,12 @@ def distinct_folded(values: str) -> str:
     ))
 
 
+def skill_digest(values: str, limit: int = lx.SKILL_DIGEST_LIMIT) -> str:
+    """The first distinct skills as one line."""
+    joined = f"array_join(slice({distinct_folded(values)}, 1, {limit}), ', ')"
+    return f"coalesce(nullif({joined}, ''), '(none listed)')"
+
+
 def skill_category(term: str) -> str:
     """Skill group of a bare term, null when it is not a skill."""
     c = lx.CATEGORIES

@@ -152,14 +152,20 @@ def attach_payload(records: DataFrame, payloads: DataFrame, key: str = "file_id"
 
 
 def identity_match(profiles: DataFrame, users: DataFrame) -> DataFrame:
-    """Match by external id, else by e-mail; null marks a new account."""
+    """Match by external id, else by e-mail; null marks a new account.
+
+    Profiles without an external id would all meet in one task; each gets a key
+    of its own that no account can carry.
+    """
+    own_key = F.concat(F.lit("\u0000"), F.xxhash64("email").cast("string"))
+    keyed = profiles.withColumn("external_key", F.coalesce("external_id", own_key))
     by_external = users.filter(F.col("external_id").isNotNull()).select(
-        "external_id", F.col("id").alias("id_by_external"))
+        F.col("external_id").alias("external_key"), F.col("id").alias("id_by_external"))
     by_email = users.select("email", F.col("id").alias("id_by_email"))
     return (
-        profiles.join(by_external, "external_id", "left").join(by_email, "email", "left")
+        keyed.join(by_external, "external_key", "left").join(by_email, "email", "left")
         .withColumn("user_id", F.coalesce("id_by_external", "id_by_email"))
-        .drop("id_by_external", "id_by_email")
+        .drop("external_key", "id_by_external", "id_by_email")
     )
 
 
