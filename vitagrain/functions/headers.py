@@ -116,16 +116,15 @@ def line_kinds(line: str) -> str:
     company_date = f"(k.remainder <> '' AND {is_company('k.remainder')})"
     combined = (f"(k.remainder <> '' AND ({st.matches('k.remainder', TITLE_KEYWORD)} "
                 f"OR contains(m.r, '|')))")
-    full = st.let("emp", employer, (
+    full = st.let("emp", employer, st.let("dh", f"({company_date} OR {combined})", (
         "named_struct('line', " + line + ", 'title', k.title, 'company', k.company, "
         "'boundary', k.boundary, 'date_only', k.date_only, 'bullet', m.bullet, "
-        f"'company_date', {company_date}, 'combined', {combined}, 'employer', emp, "
+        "'employer', emp, "
         "'trailing', NOT k.boundary AND NOT m.noise AND (k.title OR emp OR "
         "(m.kw AND NOT m.bullet AND (contains(m.r, '|') OR contains(m.r, '/')))), "
         f"'continues', m.r <> '' AND length({line}) < 160 AND NOT m.bullet AND NOT m.duty AND "
-        f"(k.date_only OR {company_date} OR {combined} OR "
-        "(NOT m.dated AND (k.company OR k.title OR emp))))"
-    ))
+        "(k.date_only OR dh OR (NOT m.dated AND (k.company OR k.title OR emp))))"
+    )))
     return st.let("m", _flags(line), st.let("k", basic, full))
 
 
@@ -194,32 +193,43 @@ def pipe_split(value: str) -> str:
 DANGLING_NUMBER = r"\s*/\s*(\d{2,5})\s*$"
 
 
+def _sides(lines: str) -> str:
+    """struct(v, kw, company, piped) of each content line, dates removed."""
+    return (
+        f"transform({lines}, x -> " + st.let("dv", st.collapse(without_dates("x")), (
+            f"named_struct('v', dv, 'kw', {st.matches('dv', TITLE_KEYWORD)}, "
+            f"'company', {is_company('dv')}, 'piped', {pipe_split('dv')})")) + ")"
+    )
+
+
+def _pair(title: str, company: str) -> str:
+    return f"named_struct('title', {title}, 'company', {company})"
+
+
 def _two_lines(a: str, b: str) -> str:
     """Header of two content lines, in either order."""
-    def pair(t: str, c: str) -> str:
-        return f"named_struct('title', {t}, 'company', {c})"
-
-    number = f"regexp_extract({a}, {st.raw(DANGLING_NUMBER)}, 1)"
-    head = st.strip(st.replace(a, DANGLING_NUMBER), WIDE_EDGES)
+    number = f"regexp_extract({a}.v, {st.raw(DANGLING_NUMBER)}, 1)"
+    head = st.strip(st.replace(f"{a}.v", DANGLING_NUMBER), WIDE_EDGES)
+    plain = _pair(f"{a}.v", f"{b}.v")
+    swapped = _pair(f"{b}.v", f"CASE WHEN {a}.company THEN {a}.v ELSE '' END")
+    numbered = _pair(f"coalesce(nullif({head}, ''), {a}.v)", f"concat({number}, ' ', {b}.v)")
     return (
-        f"CASE WHEN {st.matches(b, TITLE_KEYWORD)} AND NOT {st.matches(a, TITLE_KEYWORD)} "
-        f"THEN coalesce({pipe_split(b)}, {pair(b, f'CASE WHEN {is_company(a)} THEN {a} ELSE {chr(39) * 2} END')}) "
-        f"WHEN {is_company(b)} THEN CASE WHEN {number} <> '' "
-        f"THEN {pair(f'coalesce(nullif({head}, {chr(39) * 2}), {a})', f'concat({number}, {chr(39)} {chr(39)}, {b})')} "
-        f"ELSE {pair(a, b)} END ELSE coalesce({pipe_split(a)}, {pair(a, b)}) END"
+        f"CASE WHEN {b}.kw AND NOT {a}.kw THEN coalesce({b}.piped, {swapped}) "
+        f"WHEN {b}.company THEN CASE WHEN {number} <> '' THEN {numbered} ELSE {plain} END "
+        f"ELSE coalesce({a}.piped, {plain}) END"
     )
 
 
 def _one_line(a: str) -> str:
-    parts = f"filter(transform(split({a}, {st.raw(SEPARATOR)}), x -> trim(x)), x -> x <> '')"
-    by_separator = st.let("sp", parts, (
-        f"named_struct('title', coalesce(get(sp, 0), {a}), 'company', coalesce(get(sp, 1), ''))"))
-    return (
-        f"CASE WHEN NOT {st.matches(a, TITLE_KEYWORD)} AND {is_company(a)} "
-        f"THEN named_struct('title', '', 'company', {a}) ELSE coalesce({pipe_split(a)}, "
-        + st.let("ss", slash_split(a), f"CASE WHEN contains({a}, '/') AND ss.title <> '' "
-                 f"AND ss.company <> '' THEN ss ELSE {by_separator} END") + ") END"
-    )
+    """Header of a single content line."""
+    parts = f"filter(transform(split({a}.v, {st.raw(SEPARATOR)}), x -> trim(x)), x -> x <> '')"
+    by_separator = st.let("sp", parts, _pair(f"coalesce(get(sp, 0), {a}.v)", "coalesce(get(sp, 1), '')"))
+    by_slash = st.let("ss", slash_split(f"{a}.v"), (
+        f"CASE WHEN contains({a}.v, '/') AND ss.title <> '' AND ss.company <> '' THEN ss "
+        f"ELSE {by_separator} END"))
+    employer = _pair("''", f"{a}.v")
+    return (f"CASE WHEN NOT {a}.kw AND {a}.company THEN {employer} "
+            f"ELSE coalesce({a}.piped, {by_slash}) END")
 
 
 def job_header(lines: str) -> str:
@@ -227,11 +237,9 @@ def job_header(lines: str) -> str:
     found = f"regexp_extract(array_join(hl, ' | '), {st.raw(dt.FULL_RANGE)}, 0)"
     content = st.let("ct", f"filter(hl, x -> NOT {st.matches('x', dt.WHOLE_RANGE)})",
                      "CASE WHEN size(ct) = 0 THEN hl ELSE ct END")
-    sides = f"transform(hc, x -> {without_dates('x')})"
-    body = st.let("hc", content, st.let("hs", sides, (
-        f"CASE WHEN size(hs) >= 2 THEN {st.let('ha', 'hs[0]', st.let('hb', 'hs[1]', _two_lines('ha', 'hb')))} "
-        f"ELSE {st.let('ha', st.collapse('get(hs, 0)'), _one_line('ha'))} END"
-    )))
+    body = st.let("hs", _sides(f"slice({content}, 1, 2)"), st.let("ha", "get(hs, 0)", st.let(
+        "hb", "get(hs, 1)", f"CASE WHEN hb IS NOT NULL THEN {_two_lines('ha', 'hb')} "
+                            f"ELSE {_one_line('ha')} END")))
     return st.let("hl", f"filter(transform({lines}, x -> {st.strip('x')}), x -> x <> '')", (
         f"CASE WHEN size(hl) = 0 THEN named_struct('title', '', 'company', '', 'dates', '') ELSE "
         + st.let("tc", body, f"named_struct('title', tc.title, 'company', tc.company, "
