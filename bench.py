@@ -1,7 +1,9 @@
 """Time the headline queries and print one JSON line.
 
 BENCH_SF_DIR selects the data (default /root/testdata/sf0.1) and BENCH_CPUS the
-local cores (default 8). Every query is built and run in full into a no-op sink.
+local cores (default 8). Every query is built and run in full into a no-op sink;
+planning time is included. One untimed pass over the smallest tables beside the
+selected ones warms the JVM and the Python workers.
 """
 
 from __future__ import annotations
@@ -38,8 +40,11 @@ def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     spark = build_session(os.environ.get("BENCH_CPUS", "8"), "bench")
     spark.sparkContext.setLogLevel("ERROR")
-    spark.range(1000).selectExpr("sum(id)").collect()
     queries = registry.queries()
+    smallest = Path(folder).parent / "sf0.001"
+    if smallest.is_dir():
+        for name in HEADLINE:
+            queries[name](spark, str(smallest)).write.format("noop").mode("overwrite").save()
     seconds = {}
     for name in HEADLINE:
         start = time.perf_counter()
