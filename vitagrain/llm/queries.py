@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vitagrain.llm import bpe, store
+from vitagrain.llm import bpe, packing, store, toxicity, urls
 from vitagrain.llm.common import shared_folder, table
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
+WORD_VOCABULARY = "word_bpe_49k.json"
 
 
 def op3_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
@@ -22,8 +23,23 @@ def op6_token_store(spark: SparkSession, folder: str) -> DataFrame:
     return store.digest(spark, path)
 
 
+def op4_harmonic_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.digest(table(spark, folder, "documents"), WORD_VOCABULARY, end_id=2)
+
+
+def op7_toxic_segments(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.judged(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op9_url_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.judge(table(spark, folder, "pages").select("page_id", "url")).drop("url")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe_round_trip": op3_bpe_round_trip,
+    "op4_harmonic_packing": op4_harmonic_packing,
     "op6_token_store": op6_token_store,
+    "op7_toxic_segments": op7_toxic_segments,
+    "op9_url_rules": op9_url_rules,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op9_url_rules": urls.ORACLE}
