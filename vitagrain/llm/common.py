@@ -90,3 +90,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(27))
     x = x * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+def bit_table(keys: DataFrame, slots: int = 1 << 23) -> np.ndarray:
+    """A bit for the slot of each key (xxhash64 modulo slots): a fixed amount of memory for any number of keys."""
+    slot = F.pmod(F.xxhash64(*keys.columns), F.lit(slots))
+    words = keys.select(slot.alias("slot")).groupBy(F.expr("slot div 64").alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 AS int))")).alias("bits")).toPandas()  # at most slots / 64 rows
+    out = np.zeros(slots // 64, np.int64)
+    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    return out.view(np.uint8)
+
+
+def slot_column(*columns: str, slots: int = 1 << 23):
+    """The slot of a row in a bit table over the same columns."""
+    return F.pmod(F.xxhash64(*columns), F.lit(slots))
+
+
+def held_bits(table_bits: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    """Whether the slots' bits are set."""
+    return (table_bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vitagrain.llm import bpe, packing, store, toxicity, urls
+from vitagrain.llm import bpe, ngram_join, packing, store, toxicity, urls
 from vitagrain.llm.common import shared_folder, table
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
@@ -35,11 +35,16 @@ def op9_url_rules(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge(table(spark, folder, "pages").select("page_id", "url")).drop("url")
 
 
+def op10_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.classes(table(spark, folder, "documents"), size=4, num=85, den=100)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe_round_trip": op3_bpe_round_trip,
     "op4_harmonic_packing": op4_harmonic_packing,
     "op6_token_store": op6_token_store,
     "op7_toxic_segments": op7_toxic_segments,
     "op9_url_rules": op9_url_rules,
+    "op10_ngram_join": op10_ngram_join,
 }
-ORACLE_SQL: dict[str, str] = {"op9_url_rules": urls.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op9_url_rules": urls.ORACLE, "op10_ngram_join": ngram_join.ORACLE}
