@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from vitagrain.llm.common import fresh
 
 LONG_PARTS = 64
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 #: One of these after letters is a pre-token of its own.
 TAILS = ".,;:!?"
 #: Fixed value: the split pattern that the public vocabulary's library applies ahead of the merges.

@@ -4,6 +4,7 @@ Documents are range partitioned by key and sorted; every task cuts its sorted
 run into shards. A shard is one row of a Parquet table (Spark's writers reach
 any store and a lost task is simply run again) and holds
 
+- `before`: the ids of earlier shards of its part;
 - `payload`: the ids of all its documents as raw little-endian integers, two
   bytes each if the vocabulary allows it, else four;
 - `seeds`, `prints`, `ends`: a minimal perfect hash over its keys (hash and
@@ -14,8 +15,8 @@ any store and a lost task is simply run again) and holds
 - `keys`: the keys in order, for sequential reading.
 
 A key is a document id and its occurrence (0, 1, ...), so repeated ids are all
-stored and addressable. Global starts need the shard totals only: running sums
-inside each part by a window, and sums over parts (as many as partitions).
+stored and addressable. A shard knows the ids before it in its part, so global
+starts need the totals of parts only, which are as many as shuffle partitions.
 
 Defined cases: null or empty text has just the end id; rows with a null id are
 stored ahead of all others under the null key; ties of the id are ordered by
@@ -37,7 +38,7 @@ from vitagrain.llm.tokens import codec
 
 SHARD_DOCS = 4096
 SHARD_IDS = 1 << 20
-SHARD = ("part long, shard long, low long, high long, n_docs long, n_ids long, width int, keys binary, "
+SHARD = ("part long, shard long, before long, low long, high long, n_docs long, n_ids long, width int, keys binary, "
          "seeds binary, slots binary, prints binary, ends binary, payload binary")
 NULL_KEY = -(1 << 63)
 
@@ -111,22 +112,22 @@ def take(shard: dict, at: int) -> bytes:
 def _shards(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int, width: int) -> Iterator[pa.RecordBatch]:
     part, number = TaskContext.get().partitionId(), 0
     held: list[tuple[int, int, bytes]] = []
-    size, last, turn = 0, None, 0
+    size, last, turn, before = 0, None, 0, 0
     tail = np.array([end_id], "<u4").tobytes()
     kind = "<u2" if width == 2 else "<u4"
     names = [f.split()[0] for f in SHARD.split(", ")]
 
     def close() -> pa.RecordBatch:
-        nonlocal held, size, number
+        nonlocal held, size, number, before
         keys = np.array([h[0] for h in held], "<i8")
         turns = np.array([h[1] for h in held], "<u4")
         seeds, slots, prints = build_index(key_hash(keys, turns))
         ends = np.cumsum([len(h[2]) // 4 for h in held], dtype="<u8")
-        row = [part, number, int(keys[0]), int(keys[-1]), len(held), int(ends[-1]), width,
+        row = [part, number, before, int(keys[0]), int(keys[-1]), len(held), int(ends[-1]), width,
                keys.tobytes() + turns.tobytes(), seeds.tobytes(), slots.astype("<u4").tobytes(), prints.tobytes(),
                ends.tobytes(), np.frombuffer(b"".join(h[2] for h in held), "<u4").astype(kind).tobytes()]
-        kinds = [pa.int64()] * 6 + [pa.int32()] + [pa.binary()] * 6
-        held, size, number = [], 0, number + 1
+        kinds = [pa.int64()] * 7 + [pa.int32()] + [pa.binary()] * 6
+        held, size, number, before = [], 0, number + 1, before + int(ends[-1])
         return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names=names)
 
     encode = codec(vocabulary).encode
@@ -160,15 +161,10 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int, width: int =
 def shards(spark: SparkSession, path: str) -> DataFrame:
     """The stored shards with the number of ids ahead of each (`start`)."""
     held = spark.read.schema(SHARD).parquet(path)
-    totals = held.select("part", "shard", "n_ids")
-    inside = totals.withColumn("before", F.sum("n_ids").over(
-        Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)))
     # one row for each part that holds documents, that is at most one for each shuffle partition
-    ahead = totals.groupBy("part").agg(F.sum("n_ids").alias("n")).withColumn("ahead", F.sum("n").over(
-        Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
-    starts = inside.join(F.broadcast(ahead), "part").select(
-        "part", "shard", (F.coalesce("before", F.lit(0)) + F.coalesce("ahead", F.lit(0))).alias("start"))
-    return held.join(starts, ["part", "shard"])
+    ahead = held.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", F.coalesce(F.sum("n").over(
+        Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
+    return held.join(F.broadcast(ahead), "part").withColumn("start", F.col("ahead") + F.col("before")).drop("ahead", "before")
 
 
 READ = "doc_id long, occurrence long, start long, n_tokens long, ids binary"

@@ -10,7 +10,10 @@ from __future__ import annotations
 
 import os
 
-from vitagrain.llm.bpe import TAILS, Generations, chunks_of, packed, vocabulary_path
+from vitagrain.llm.bpe import TAILS, Generations, alphabet, chunks_of, packed, vocabulary_path
+
+#: Letters below this code point are letters in every version of Unicode.
+LATIN_END = "\u0250"
 
 
 class LibraryCodec:
@@ -28,8 +31,16 @@ class LibraryCodec:
             return packed(held.encode(text, add_special_tokens=False).ids)
 
         tails = {c: one(c) for c in TAILS}
+        lead = held.pre_tokenizer.pre_tokenize_str(" a")[0][0][:-1]  # what stands for the space, if it is kept
+        stands_for = {b: c for c, b in alphabet().items()}
+        normal = held.normalizer.normalize_str if held.normalizer else str
+        model = held.model
 
         def later(word: str) -> bytes:
+            """Ids of a space and the word; letters alone are one pre-token and go straight to the library's model."""
+            if word.isalpha() and max(word) < LATIN_END and (plain := normal(word)).isalpha():
+                mapped = plain.encode().decode("latin-1").translate(stands_for)
+                return packed([token.id for token in model.tokenize(lead + mapped)])
             if word[-1:] in tails and word[:-1].isalpha():
                 return self.rest[word[:-1]] + tails[word[-1]]
             return one(" " + word)
