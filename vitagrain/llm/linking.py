@@ -27,9 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitagrain.llm.common import written
+from vitagrain.llm.common import held_bits, mix, shared_folder, written
 
 LEADER_ROUNDS = 3
+#: The bit table of shared keys has two to this power bits: 4 MB.
+SLOT_BITS = 25
 PIVOTS = np.arange(-7, 8, dtype=np.int64) << np.int64(60)
 
 
@@ -62,53 +64,108 @@ def components(edges: DataFrame, folder: str, name: str) -> DataFrame:
         now.selectExpr("low AS node", "low AS component").distinct())
 
 
-def _shared(left: pa.Array, right: pa.Array, least: float | None) -> np.ndarray:
-    """Intersection sizes of sorted distinct lists; with `least`, -1 where a partition bound rules a link out."""
+Measure = Callable[[pa.Array, pa.Array, "float | None"], tuple[np.ndarray, np.ndarray]]
+
+
+def common(a: np.ndarray, b: np.ndarray) -> int:
+    """Items that two sorted distinct arrays share."""
+    both = np.concatenate([a, b])
+    both.sort()
+    return int((both[1:] == both[:-1]).sum())
+
+
+def ruled_out(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """Suffix filter: sorted sets cut at fixed pivots share at most the smaller part of each cell."""
+    cells = [np.diff(np.searchsorted(x, PIVOTS), prepend=0, append=len(x)) for x in (a, b)]
+    return np.minimum(*cells).sum() < least * (len(a) + len(b)) / (1 + least) - 1e-6
+
+
+def measure_sets(left: pa.Array, right: pa.Array, least: float | None) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of intersection and union of sorted distinct lists; with `least`, 0 shared where ruled out."""
     lo, ro = left.offsets.to_numpy(), right.offsets.to_numpy()
     lv, rv = left.values.to_numpy(), right.values.to_numpy()
-    out = np.empty(len(left), np.int64)
+    shared = np.zeros(len(left), np.int64)
     for i in range(len(left)):
         a, b = lv[lo[i]: lo[i + 1]], rv[ro[i]: ro[i + 1]]
-        if least is not None:
-            # suffix filter: sets cut at fixed pivots share at most the smaller part of each cell
-            cells = [np.diff(np.searchsorted(x, PIVOTS), prepend=0, append=len(x)) for x in (a, b)]
-            if np.minimum(*cells).sum() < least * (len(a) + len(b)) / (1 + least) - 1e-6:
-                out[i] = -1
-                continue
-        both = np.concatenate([a, b])
-        both.sort()
-        out[i] = (both[1:] == both[:-1]).sum()
-    return out
-
-
-def measured(pairs: DataFrame, sets: DataFrame, num: int, den: int, bound: bool) -> DataFrame:
-    """pairs (a, b) with `shared` (intersection size, -1 if bound and ruled out), `united` and `linked`."""
-    least = num / den if bound else None
-
-    @F.arrow_udf("long")
-    def shared(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for left, right in columns:
-            yield pa.array(_shared(left, right, least))
+        if least is None or not ruled_out(a, b, least):
+            shared[i] = common(a, b)
+    return shared, np.diff(lo) + np.diff(ro) - shared
 
-    a = sets.selectExpr("node AS a", "items AS left_items")
-    b = sets.selectExpr("node AS b", "items AS right_items")
-    met = pairs.join(a, "a").join(b, "b").select("a", "b", (F.size("left_items") + F.size("right_items")).alias("total"),
-                                                 shared("left_items", "right_items").alias("shared"))
-    met = met.withColumn("united", F.col("total") - F.greatest("shared", F.lit(0)))
-    return met.select("a", "b", "shared", "united", (
-        (F.col("shared") > 0) & (F.col("shared") * den >= F.col("united") * num)).alias("linked"))
 
+def measured(pairs: DataFrame, items: DataFrame, measure: Measure, num: int, den: int, bound: bool) -> DataFrame:
+    """pairs (a, b) with `shared`, `united` and `linked`; bound lets the measure leave out what cannot link."""
+    least = num / den if bound else None
 
-def link(postings: DataFrame, fetch: Callable[[DataFrame], DataFrame], num: int, den: int, folder: str,
+    @F.arrow_udf("struct<shared: long, united: long>")
+    def sizes(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for left, right in columns:
+            yield pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in measure(left, right, least)],
+                                             names=["shared", "united"])
+
+    a = items.selectExpr("node AS a", "items AS left_items")
+    b = items.selectExpr("node AS b", "items AS right_items")
+    met = pairs.join(a, "a").join(b, "b").select("a", "b", sizes("left_items", "right_items").alias("sizes"))
+    return met.selectExpr("a", "b", "sizes.shared AS shared", "sizes.united AS united",
+                          f"sizes.shared > 0 AND sizes.shared * {den} >= sizes.united * {num} AS linked")
+
+
+def _spread(batches: Iterator[pa.RecordBatch], asked) -> Iterator[pa.RecordBatch]:
+    """Postings of the keys whose slot is in the bit table."""
+    for batch in batches:
+        keys = batch.column(2)
+        offsets = keys.offsets.to_numpy()
+        values = keys.values.to_numpy()[offsets[0]: offsets[-1]]
+        row = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+        pos = np.arange(len(values)) - (offsets[:-1] - offsets[0])[row]
+        held = held_bits(asked.value, key_slot(values))
+        names = ["key", "node", "n", "pos"]
+        yield pa.RecordBatch.from_arrays([pa.array(values[held]), *(
+            pa.array(batch.column(k).to_numpy()[row[held]]) for k in (0, 1)), pa.array(pos[held].astype(np.int64))],
+            names=names)
+
+
+def key_slot(keys: np.ndarray) -> np.ndarray:
+    """Slot of a key in the bit table: its top bits, mixed."""
+    return (mix(keys.view(np.uint64)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def _key_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of the bit table that the keys of a task set."""
+    bits = np.zeros(1 << SLOT_BITS, bool)
+    for batch in batches:
+        bits[key_slot(batch.column(0).to_numpy())] = True
+    words = np.packbits(bits, bitorder="little").view(np.int64)
+    at = np.flatnonzero(words)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(words[at])], names=["word", "bits"])
+
+
+def shared_postings(nodes: DataFrame) -> DataFrame:
+    """key, node, n and pos of every key that two nodes or more hold.
+
+    Keys are counted first; a bit table of the shared ones (fixed size, broadcast) then
+    keeps most other postings from being shuffled, and a join removes the rest.
+    """
+    spark = nodes.sparkSession
+    counts = nodes.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("held")).where("held > 1")
+    counts = written(counts.select("key"), shared_folder(spark), "keys")
+    words = counts.mapInArrow(_key_bits, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    table = np.zeros((1 << SLOT_BITS) // 64, np.int64)
+    table[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    asked = spark.sparkContext.broadcast(table.view(np.uint8))
+    postings = nodes.select("node", "n", "keys").mapInArrow(
+        lambda b: _spread(b, asked), "key long, node long, n long, pos long")
+    return postings.join(counts, "key")
+
+
+def link(nodes: DataFrame, fetch: Callable[[DataFrame], DataFrame], measure: Measure, num: int, den: int, folder: str,
          positional: bool) -> DataFrame:
     """node and component of all nodes in a component of two or more.
 
-    postings: key, node, n (set size) and pos (place of the key in the node's global
-    order, used if positional). fetch(nodes) gives node and items, the sorted distinct
-    hashes of each asked node. Sets link when shared / united >= num / den.
+    nodes: node, n (set size) and keys (distinct; in the global order if positional).
+    fetch(nodes) gives node and items of each asked node, which measure compares. Sets
+    link when shared / united >= num / den.
     """
-    counts = postings.groupBy("key").agg(F.count("*").alias("held")).where("held > 1")
-    shared = written(postings.join(counts, "key").select("key", "node", "n", "pos"), folder, "shared")
+    shared = written(shared_postings(nodes), folder, "shared")
     sets = written(fetch(shared.select("node").distinct()), folder, "sets")
     reach = (den - num) / den + 1e-9
     checked, labels, first = None, None, None
@@ -138,7 +195,7 @@ def link(postings: DataFrame, fetch: Callable[[DataFrame], DataFrame], num: int,
             tries = tries.join(known, ["a", "b"], "left_anti")
         best = tries.groupBy("a").agg(F.max(F.struct("keys", (-F.col("b")).alias("less"))).alias("best"))
         pairs = best.selectExpr("a", "-best.less AS b").selectExpr("least(a, b) AS a", "greatest(a, b) AS b").distinct()
-        found = written(measured(pairs, sets, num, den, False), folder, f"round_{turn}")
+        found = written(measured(pairs, sets, measure, num, den, False), folder, f"round_{turn}")
         if turn == 0:
             # distance of each node to the leader it was first compared with
             first = found.selectExpr("b AS node", "a AS leader", "1 - shared / united AS gap")
@@ -163,7 +220,7 @@ def link(postings: DataFrame, fetch: Callable[[DataFrame], DataFrame], num: int,
         F.col("in_major") | (F.col("a") < F.col("b"))) & fits & ~F.coalesce(far, F.lit(False)))
     pairs = pairs.selectExpr("least(a, b) AS a", "greatest(a, b) AS b").distinct()
     pairs = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
-    last = written(measured(pairs, sets, num, den, True), folder, "last")
+    last = written(measured(pairs, sets, measure, num, den, True), folder, "last")
     if last.where("linked").take(1) or labels is None:
         labels = written(components(checked.unionAll(last).where("linked"), folder, "labels_last"), folder, "components_last")
     return labels

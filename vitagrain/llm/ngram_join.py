@@ -41,7 +41,7 @@ from vitagrain.llm.common import (
     slot_column,
     written,
 )
-from vitagrain.llm.linking import link
+from vitagrain.llm.linking import link, measure_sets
 from vitagrain.llm.shingles import set_hash, word_shingles
 
 FREQUENT = 1 << 19
@@ -128,10 +128,8 @@ def _labelled(docs: DataFrame, size: int, num: int, den: int, most: int) -> tupl
     signed = written(texts.mapInArrow(lambda b: _prefixed(b, size, num, den, order),
                                       "doc_id long, n long, h1 long, h2 long, prefix array<long>"), folder, "signed")
     nodes = signed.where("n > 0").groupBy("h1", "h2").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+        F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("prefix").alias("keys"))
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), folder, "nodes")
-    postings = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "key"))
-
     def fetch(asked: DataFrame) -> DataFrame:
         """Shingle sets of the asked classes, from the text of the class's first document.
 
@@ -143,7 +141,7 @@ def _labelled(docs: DataFrame, size: int, num: int, den: int, most: int) -> tupl
             lambda b: _items(b, size, bits), "h1 long, h2 long, items array<long>")
         return wanted.join(made, ["h1", "h2"]).groupBy("node").agg(F.first("items").alias("items"))
 
-    labels = link(postings, fetch, num, den, folder, positional=True)
+    labels = link(nodes, fetch, measure_sets, num, den, folder, positional=True)
     named = nodes.select("node", "h1", "h2", "doc_id").join(labels, "node", "left").withColumn(
         "component", F.coalesce("component", "node"))
     return signed, named

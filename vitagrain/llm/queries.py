@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vitagrain.llm import bpe, ngram_join, packing, store, toxicity, urls
+from vitagrain.llm import bpe, line_dedup, ngram_join, packing, store, toxicity, urls
 from vitagrain.llm.common import shared_folder, table
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
@@ -17,6 +17,11 @@ def op3_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(table(spark, folder, "documents"), BYTE_VOCABULARY)
 
 
+def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return line_dedup.dedup(docs, kept="n_kept", every="n_lines").select("doc_id", "n_lines", "n_kept", "text")
+
+
 def op6_token_store(spark: SparkSession, folder: str) -> DataFrame:
     path = f"{shared_folder(spark)}/store"
     store.write(table(spark, folder, "documents"), path, BYTE_VOCABULARY, end_id=0)
@@ -42,6 +47,7 @@ def op10_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe_round_trip": op3_bpe_round_trip,
     "op4_harmonic_packing": op4_harmonic_packing,
+    "op5_line_dedup": op5_line_dedup,
     "op6_token_store": op6_token_store,
     "op7_toxic_segments": op7_toxic_segments,
     "op9_url_rules": op9_url_rules,
