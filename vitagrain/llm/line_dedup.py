@@ -115,13 +115,12 @@ def _asked(batches: Iterator[pa.RecordBatch], asked) -> Iterator[pa.RecordBatch]
                 columns, [pa.int64(), pa.int64(), pa.string()])], names=["h1", "h2", "items"])
 
 
-def measure_lines(left: pa.Array, right: pa.Array, least: float | None) -> tuple[np.ndarray, np.ndarray]:
+def measure_lines(left: pa.Array, right: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Sizes of intersection and union of the lines' shingle sets."""
     shared, united = np.zeros(len(left), np.int64), np.ones(len(left), np.int64)
     for i in range(len(left)):
         a, b = (np.unique(_laid([x[i].as_py()])[0]) for x in (left, right))
-        if least is None or min(len(a), len(b)) >= least * max(len(a), len(b)) - 1e-9:
-            shared[i] = common(a, b)
+        shared[i] = common(a, b)
         united[i] = len(a) + len(b) - shared[i]
     return shared, united
 
@@ -138,8 +137,8 @@ def lost_lines(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
                                            F.first("keys").alias("keys"))
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), folder, "nodes")
 
-    def fetch(asked: DataFrame) -> DataFrame:
-        wanted = written(nodes.join(asked, "node", "left_semi").select("node", "h1", "h2", "place.doc_id"), folder, "wanted")
+    def fetch(asked: DataFrame, name: str) -> DataFrame:
+        wanted = written(nodes.join(asked, "node", "left_semi").select("node", "h1", "h2", "place.doc_id"), folder, f"{name}_wanted")
         bits = spark.sparkContext.broadcast(bit_table(wanted.select("doc_id")))
         made = texts.select(slot_column("doc_id").alias("slot"), "text").mapInArrow(
             lambda b: _asked(b, bits), "h1 long, h2 long, items string")

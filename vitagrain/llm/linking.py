@@ -32,7 +32,8 @@ from vitagrain.llm.common import held_bits, mix, shared_folder, written
 LEADER_ROUNDS = 3
 #: The bit table of shared keys has two to this power bits: 4 MB.
 SLOT_BITS = 25
-PIVOTS = np.arange(-7, 8, dtype=np.int64) << np.int64(60)
+#: Sets have two to this power cells, whose counts end at FULL_CELL.
+CELL_BITS, FULL_CELL = 6, 65535
 
 
 def components(edges: DataFrame, folder: str, name: str) -> DataFrame:
@@ -64,7 +65,7 @@ def components(edges: DataFrame, folder: str, name: str) -> DataFrame:
         now.selectExpr("low AS node", "low AS component").distinct())
 
 
-Measure = Callable[[pa.Array, pa.Array, "float | None"], tuple[np.ndarray, np.ndarray]]
+Measure = Callable[[pa.Array, pa.Array], tuple[np.ndarray, np.ndarray]]
 
 
 def common(a: np.ndarray, b: np.ndarray) -> int:
@@ -74,32 +75,49 @@ def common(a: np.ndarray, b: np.ndarray) -> int:
     return int((both[1:] == both[:-1]).sum())
 
 
-def ruled_out(a: np.ndarray, b: np.ndarray, least: float) -> bool:
-    """Suffix filter: sorted sets cut at fixed pivots share at most the smaller part of each cell."""
-    cells = [np.diff(np.searchsorted(x, PIVOTS), prepend=0, append=len(x)) for x in (a, b)]
-    return np.minimum(*cells).sum() < least * (len(a) + len(b)) / (1 + least) - 1e-6
+def cells_of(items: np.ndarray) -> bytes:
+    """How many of a set's hashes fall into each of CELLS equal parts of the hash range."""
+    counts = np.bincount((items >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=1 << CELL_BITS)
+    return np.minimum(counts, FULL_CELL).astype("<u2").tobytes()
 
 
-def measure_sets(left: pa.Array, right: pa.Array, least: float | None) -> tuple[np.ndarray, np.ndarray]:
-    """Sizes of intersection and union of sorted distinct lists; with `least`, 0 shared where ruled out."""
+def may_reach(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """Suffix filter by partitions: pairs whose sets could share enough.
+
+    Two sets share at most the smaller part of each cell, so the sum of these bounds the
+    intersection; what stays below the needed overlap cannot link.
+    """
+    least = num / den
+
+    @F.arrow_udf("boolean")
+    def enough(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for columns_now in columns:
+            a, b = (np.frombuffer(b"".join(x.to_pylist()), "<u2").reshape(len(x), -1).astype(np.int64)
+                    for x in columns_now)
+            need = least / (1 + least) * (a.sum(axis=1) + b.sum(axis=1)) - 1e-6
+            full = np.maximum(a, b).max(axis=1, initial=0) >= FULL_CELL
+            yield pa.array(full | (np.minimum(a, b).sum(axis=1) >= need))
+
+    a = nodes.selectExpr("node AS a", "cells AS left_cells")
+    b = nodes.selectExpr("node AS b", "cells AS right_cells")
+    return pairs.join(a, "a").join(b, "b").where(enough("left_cells", "right_cells")).select("a", "b")
+
+
+def measure_sets(left: pa.Array, right: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of intersection and union of sorted distinct lists."""
     lo, ro = left.offsets.to_numpy(), right.offsets.to_numpy()
     lv, rv = left.values.to_numpy(), right.values.to_numpy()
-    shared = np.zeros(len(left), np.int64)
-    for i in range(len(left)):
-        a, b = lv[lo[i]: lo[i + 1]], rv[ro[i]: ro[i + 1]]
-        if least is None or not ruled_out(a, b, least):
-            shared[i] = common(a, b)
+    shared = np.array([common(lv[lo[i]: lo[i + 1]], rv[ro[i]: ro[i + 1]]) for i in range(len(left))], np.int64)
     return shared, np.diff(lo) + np.diff(ro) - shared
 
 
-def measured(pairs: DataFrame, items: DataFrame, measure: Measure, num: int, den: int, bound: bool) -> DataFrame:
-    """pairs (a, b) with `shared`, `united` and `linked`; bound lets the measure leave out what cannot link."""
-    least = num / den if bound else None
+def measured(pairs: DataFrame, items: DataFrame, measure: Measure, num: int, den: int) -> DataFrame:
+    """pairs (a, b) with `shared` (intersection size), `united` and `linked`."""
 
     @F.arrow_udf("struct<shared: long, united: long>")
     def sizes(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for left, right in columns:
-            yield pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in measure(left, right, least)],
+            yield pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in measure(left, right)],
                                              names=["shared", "united"])
 
     a = items.selectExpr("node AS a", "items AS left_items")
@@ -157,16 +175,26 @@ def shared_postings(nodes: DataFrame) -> DataFrame:
     return postings.join(counts, "key")
 
 
-def link(nodes: DataFrame, fetch: Callable[[DataFrame], DataFrame], measure: Measure, num: int, den: int, folder: str,
+def link(nodes: DataFrame, fetch: Callable[[DataFrame, str], DataFrame], measure: Measure, num: int, den: int, folder: str,
          positional: bool) -> DataFrame:
     """node and component of all nodes in a component of two or more.
 
-    nodes: node, n (set size) and keys (distinct; in the global order if positional).
-    fetch(nodes) gives node and items of each asked node, which measure compares. Sets
+    nodes: node, n (set size), keys (distinct; in the global order if positional) and, if
+    there are any, cells. fetch(nodes, name) gives node and items of each asked node, which
+    measure compares. Sets
     link when shared / united >= num / den.
     """
     shared = written(shared_postings(nodes), folder, "shared")
-    sets = written(fetch(shared.select("node").distinct()), folder, "sets")
+
+    def compared(pairs: DataFrame, name: str) -> DataFrame:
+        """All pairs, measured where the cells allow a link; the others are not linked."""
+        pairs = written(pairs, folder, f"{name}_pairs")
+        near = written(may_reach(pairs, nodes, num, den), folder, f"{name}_near") if "cells" in nodes.columns else pairs
+        asked = near.select(F.col("a").alias("node")).unionAll(near.select(F.col("b").alias("node"))).distinct()
+        found = measured(near, written(fetch(asked, name), folder, f"{name}_items"), measure, num, den)
+        return written(pairs.join(found, ["a", "b"], "left").withColumn("linked", F.coalesce("linked", F.lit(False))),
+                       folder, name)
+
     reach = (den - num) / den + 1e-9
     checked, labels, first = None, None, None
     fits = F.expr(f"least(n, other_n) * {den} >= greatest(n, other_n) * {num}")
@@ -195,10 +223,10 @@ def link(nodes: DataFrame, fetch: Callable[[DataFrame], DataFrame], measure: Mea
             tries = tries.join(known, ["a", "b"], "left_anti")
         best = tries.groupBy("a").agg(F.max(F.struct("keys", (-F.col("b")).alias("less"))).alias("best"))
         pairs = best.selectExpr("a", "-best.less AS b").selectExpr("least(a, b) AS a", "greatest(a, b) AS b").distinct()
-        found = written(measured(pairs, sets, measure, num, den, False), folder, f"round_{turn}")
+        found = compared(pairs, f"round_{turn}")
         if turn == 0:
             # distance of each node to the leader it was first compared with
-            first = found.selectExpr("b AS node", "a AS leader", "1 - shared / united AS gap")
+            first = found.where("united > 0").selectExpr("b AS node", "a AS leader", "1 - shared / united AS gap")
         checked = found if checked is None else checked.unionAll(found)
         if not found.where("linked").take(1):
             break
@@ -220,7 +248,7 @@ def link(nodes: DataFrame, fetch: Callable[[DataFrame], DataFrame], measure: Mea
         F.col("in_major") | (F.col("a") < F.col("b"))) & fits & ~F.coalesce(far, F.lit(False)))
     pairs = pairs.selectExpr("least(a, b) AS a", "greatest(a, b) AS b").distinct()
     pairs = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
-    last = written(measured(pairs, sets, measure, num, den, True), folder, "last")
+    last = compared(pairs, "last")
     if last.where("linked").take(1) or labels is None:
         labels = written(components(checked.unionAll(last).where("linked"), folder, "labels_last"), folder, "components_last")
     return labels
