@@ -100,21 +100,23 @@ def place(made: DataFrame, carry: Callable[[Column], Column], capacity: int = CA
     full = counts.groupBy("class").agg(F.floor(F.sum("n") / F.col("class")).alias("bins"))
     full = full.withColumn("base", F.coalesce(F.sum("bins").over(
         Window.orderBy("class").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    ranked = made.join(ahead, ["part", "class"]).join(F.broadcast(full), "class").withColumn(
+    full = full.withColumn("first", F.sum("bins").over(Window.partitionBy()))
+    at_piece = ["part", "class", "number"]
+    numbered = made.select("doc_id", "start", "length", "doc_tokens", *at_piece, carry(F.col("ids")).alias("carried"))
+    ranked = numbered.join(ahead, ["part", "class"]).join(F.broadcast(full), "class").withColumn(
         "rank", F.col("ahead") + F.col("number"))
     inside = F.col("rank") < F.col("bins") * F.col("class")
     kept = ["doc_id", "start", "length", "doc_tokens"]
-    bins = ranked.where(inside).select(*kept, carry(F.col("ids")).alias("carried"), "rank", (
+    bins = ranked.where(inside).select(*kept, "carried", "rank", (
         F.col("base") + F.floor(F.col("rank") / F.col("class"))).alias("sequence_id"))
     before = F.sum("length").over(
         Window.partitionBy("sequence_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1))
     bins = bins.select(*kept, "carried", "sequence_id", F.coalesce(before, F.lit(0)).alias("offset"))
 
-    # under one bin for each class: a constant number of rows and ids
-    rest = ranked.where(~inside).withColumn("at", F.coalesce(F.sum("length").over(
-        Window.orderBy("class", "rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    last = F.broadcast(full.agg(F.coalesce(F.sum("bins"), F.lit(0)).alias("first")))
-    rest = rest.join(last).withColumn("bin", F.explode(F.sequence(
+    # under one bin for each class: a constant number of rows and ids, whatever the input
+    rest = ranked.where(~inside).select(*at_piece, "first", F.coalesce(F.sum("length").over(
+        Window.orderBy("class", "rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("at"))
+    rest = made.join(F.broadcast(rest), at_piece).withColumn("bin", F.explode(F.sequence(
         F.floor(F.col("at") / capacity), F.floor((F.col("at") + F.col("length") - 1) / capacity))))
     low = F.greatest(F.col("at"), F.col("bin") * capacity)
     high = F.least(F.col("at") + F.col("length"), (F.col("bin") + 1) * capacity)
