@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vitagrain.llm import bpe, line_dedup, ngram_join, packing, store, toxicity, urls
+from vitagrain.llm import bpe, line_dedup, ngram_join, packing, spotsigs, store, surrogates, toxicity, urls
 from vitagrain.llm.common import shared_folder, table
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
 WORD_VOCABULARY = "word_bpe_49k.json"
 
 
+def op1_spot_signatures(spark: SparkSession, folder: str) -> DataFrame:
+    return spotsigs.edited_likeness(table(spark, folder, "documents"))
+
+
 def op3_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(table(spark, folder, "documents"), BYTE_VOCABULARY)
 
@@ -36,6 +40,11 @@ def op7_toxic_segments(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.judged(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op8_surrogates(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return surrogates.replace(docs, count="n_entities").select("doc_id", "n_entities", "text")
+
+
 def op9_url_rules(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge(table(spark, folder, "pages").select("page_id", "url")).drop("url")
 
@@ -45,11 +54,13 @@ def op10_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_spot_signatures": op1_spot_signatures,
     "op3_bpe_round_trip": op3_bpe_round_trip,
     "op4_harmonic_packing": op4_harmonic_packing,
     "op5_line_dedup": op5_line_dedup,
     "op6_token_store": op6_token_store,
     "op7_toxic_segments": op7_toxic_segments,
+    "op8_surrogates": op8_surrogates,
     "op9_url_rules": op9_url_rules,
     "op10_ngram_join": op10_ngram_join,
 }
