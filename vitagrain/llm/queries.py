@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vitagrain.llm import bpe, line_dedup, ngram_join, packing, spotsigs, store, surrogates, toxicity, urls
+from vitagrain.llm import bpe, line_dedup, neural_lsh, ngram_join, packing, spotsigs, store, surrogates, toxicity, urls
 from vitagrain.llm.common import shared_folder, table
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
@@ -17,6 +17,10 @@ def op1_spot_signatures(spark: SparkSession, folder: str) -> DataFrame:
     return spotsigs.edited_likeness(table(spark, folder, "documents"))
 
 
+def op2_neural_lsh(spark: SparkSession, folder: str) -> DataFrame:
+    return neural_lsh.search(table(spark, folder, "embeddings"), "pmod(vec_id, 50) = 0")
+
+
 def op3_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(table(spark, folder, "documents"), BYTE_VOCABULARY)
 
@@ -55,6 +59,7 @@ def op10_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_spot_signatures": op1_spot_signatures,
+    "op2_neural_lsh": op2_neural_lsh,
     "op3_bpe_round_trip": op3_bpe_round_trip,
     "op4_harmonic_packing": op4_harmonic_packing,
     "op5_line_dedup": op5_line_dedup,
