@@ -23,6 +23,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,28 +41,36 @@ PIECES = ("doc_id long, start long, length long, doc_tokens long, class int, par
           "ids binary")  # number counts the pieces of its part and class
 
 
+@lru_cache(maxsize=1 << 16)
+def _rest_cuts(n: int, capacity: int, least: int, more: int) -> tuple[int, tuple[int, ...]]:
+    """Slots left empty and lengths for a rest of n ids, with up to `more` cuts."""
+    best = (capacity // (capacity // n) - n, (n,))
+    if not more:
+        return best
+    for k in range(capacity // n + 1, capacity // least + 1):
+        at = capacity // k
+        if best[0] and n - at >= least:
+            empty, held = _rest_cuts(n - at, capacity, least, more - 1)
+            if empty < best[0]:
+                best = (empty, (at, *held))
+    return best
+
+
 def cuts(n: int, capacity: int = CAPACITY, slack: float = SLACK, least: int = LEAST) -> list[int]:
     """Lengths of the pieces of a document with n ids, in order.
 
-    A rest whose slot would stay emptier than slack is cut once, at the
-    reciprocal C/k that leaves the least of the remainder's slot empty.
+    A rest is cut no more often than needed (twice at most) to leave slots emptier
+    than slack; cuts lie at reciprocals C/k, where a piece fills its slot.
     """
     out = [capacity] * (n // capacity)
     n %= capacity
     if not n:
         return out
-    per_bin = capacity // n
-    empty = capacity // per_bin - n
-    if empty <= slack * n:
-        return [*out, n]
-    best, at = empty, 0
-    for k in range(per_bin + 1, capacity // least + 1):
-        rest = n - capacity // k
-        if rest >= least and (empty := capacity // (capacity // rest) - rest) < best:
-            best, at = empty, capacity // k
-            if best <= slack / 4 * n:
-                break
-    return [*out, at, n - at] if at else [*out, n]
+    for more in range(3):
+        empty, held = _rest_cuts(n, capacity, least, more)
+        if empty <= slack * n:
+            break
+    return [*out, *held]
 
 
 def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = CAPACITY, slack: float = SLACK) -> DataFrame:

@@ -207,7 +207,9 @@ def lookup(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
     wanted = wanted.join(F.broadcast(spans), (F.col("key") >= F.col("low_")) & (F.col("key") <= F.col("high_")))
     wanted = wanted.select("key", "part")
     near = wanted.join(held.select("part", "shard", "low", "high"), "part")
-    near = near.where("key between low and high").select("part", "shard", "key")
+    near = near.where("key between low and high").selectExpr("part AS in_part", "shard AS in_shard", "key")
+    opened = shards(spark, path).join(near.select("in_part", "in_shard").distinct(), F.expr(
+        "part = in_part AND shard = in_shard"), "left_semi")
 
     def run(_, left: pa.Table, right: pa.Table) -> pa.Table:
         shard = {n: right.column(n)[0].as_py() for n in right.column_names}
@@ -227,8 +229,7 @@ def lookup(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
         return pa.Table.from_batches([_rows([f[0] for f in found], [f[1] for f in found], starts,
                                             [take(shard, f[2]) for f in found])])
 
-    groups = near.groupBy("part", "shard").cogroup(held.join(
-        near.select("part", "shard").distinct(), ["part", "shard"], "left_semi").groupBy("part", "shard"))
+    groups = near.groupBy("in_part", "in_shard").cogroup(opened.groupBy("part", "shard"))
     return groups.applyInArrow(run, READ)
 
 
