@@ -58,14 +58,12 @@ def corpus():
     return texts + ["", None, "w1", "w1", "w1 w2 w3"]
 
 
-@pytest.mark.parametrize(("size", "num", "den"), [(4, 85, 100), (5, 4, 5)])
-def test_ngram_join_equals_brute_force(make, corpus, size, num, den):
+def test_ngram_join_equals_brute_force(make, corpus):
+    size, num, den = 4, 85, 100
     want = brute([shingle_set(t, size) for t in corpus], num, den)
     rows = sorted(ngram_join.classes(make(corpus), size, num, den).collect())
     assert [r.component_id for r in rows] == want
     assert [r.n_shingles for r in rows] == [len(shingle_set(t, size)) for t in corpus]
-    few = sorted(ngram_join.classes(make(corpus), size, num, den, most=3).collect())
-    assert rows == few  # the order of shingles changes nothing
 
 
 def test_one_of_each(make, corpus, odd, none):
@@ -161,7 +159,7 @@ def test_spots_by_hand(spark):
 
 
 def test_spot_signatures_of_odd_rows(odd, none):
-    rows = spotsigs.edited_likeness(odd.drop("text").withColumn("text", odd["text"])).collect()
+    rows = spotsigs.edited_likeness(odd).collect()
     assert len(rows) == odd.count()
     assert spotsigs.edited_likeness(none).collect() == []
 

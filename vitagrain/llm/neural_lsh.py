@@ -54,6 +54,16 @@ class Router:
         return np.argsort(-scores, axis=1, kind="stable")[:, :most]
 
 
+def _levelled(rows: np.ndarray) -> np.ndarray:
+    """Rows times powers of two that bring their largest component near 1: no digit changes, no square leaves the range."""
+    return np.ldexp(rows, -np.frexp(np.abs(rows).max(axis=-1, keepdims=True))[1])
+
+
+def _units(rows: np.ndarray) -> np.ndarray:
+    rows = _levelled(rows)
+    return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+
+
 def parts_for(rows: int) -> int:
     """Number of parts: grows with the square root of the rows, up to what the sample can teach."""
     return min(SAMPLE // 16, max(2, math.ceil(math.sqrt(max(rows, 1)) / 8)))
@@ -128,7 +138,7 @@ def soft_max_fit(unit: np.ndarray, wanted: np.ndarray, steps: int = 300, rate: f
 
 def train(vectors: np.ndarray, parts: int, target: float = TARGET, k: int = NEIGHBOURS) -> Router:
     """Graph, parts and classifier of a sample; the last fifth chooses the number of probes."""
-    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    unit = _units(vectors)
     k = min(k, len(unit) - 1)
     if parts < 2 or k < 1 or len(unit) < 4 * parts:
         return Router(np.zeros((vectors.shape[1] + 1, 1)), 1)
@@ -161,14 +171,9 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return values[offsets[0]: offsets[-1]].reshape(len(column), -1)
 
 
-def _units(rows: np.ndarray) -> np.ndarray:
-    scale = np.abs(rows).max(axis=1, keepdims=True)  # very small or large components must not leave the range
-    rows = rows / scale
-    return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
-
-
 def cosines(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Cosines of one vector and many, each summed in the same order."""
+    query, rows = _levelled(query), _levelled(rows)
     return (rows * query).sum(axis=1) / (np.sqrt((query * query).sum()) * np.sqrt((rows * rows).sum(axis=1)))
 
 

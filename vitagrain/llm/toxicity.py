@@ -11,7 +11,7 @@ text has a negative expectation.
 Scoring. Ruzzo and Tompa's scan finds all maximal scoring segments of a text in
 linear time; runs without a weighted token are one step. Scores are scaled by
 the Karlin-Altschul lambda, the root of E[exp(lambda * score)] = 1 under the
-corpus frequencies, and compared with the log of the text's length as an
+clean frequencies, and compared with the log of the text's length as an
 extreme-value law asks; a logistic curve over best segment, length and further
 significant segments, fitted on the labelled rows, gives the score.
 
@@ -213,13 +213,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
         return F.log((F.col(mine) + prior) / F.greatest(F.lit(all_mine + PRIOR) - F.col(mine) - prior, F.lit(1e-9)))
 
     spread = F.sqrt(1 / (F.col("n_toxic") + prior) + 1 / (F.col("n_clean") + prior))
-    scored = counts.where("unit <> ''").select("unit", "n", (
+    share_clean = (F.col("n_clean") + prior) / (total.n_clean + PRIOR)
+    scored = counts.where("unit <> ''").select("unit", share_clean.alias("share"), (
         log_odds("n_toxic", total.n_toxic) - log_odds("n_clean", total.n_clean)).alias("weight"), spread.alias("spread"))
     strong = scored.withColumn("z", F.abs(F.col("weight") / F.col("spread"))).where(F.col("z") >= Z)
     rows = strong.orderBy(F.desc("z"), "unit").limit(LEXICON_WORDS).collect()  # the model, at most LEXICON_WORDS rows
     lexicon = {r.unit: r.weight for r in rows}
     words = [r for r in rows if not r.unit.endswith("~")]
-    share = np.array([r.n / total.n for r in words] + [max(0.0, 1 - sum(r.n for r in words) / total.n)])
+    share = np.array([r.share for r in words])
+    share = np.append(share, max(0.0, 1 - share.sum()))
     scale = karlin_lambda(np.array([r.weight for r in words] + [-DRIFT]), share)
     sampled = marked.where("toxic IS NOT NULL").mapInArrow(
         lambda batches: _featured(batches, lexicon, scale), "best double, size double, more double, toxic int").toPandas()
