@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitagrain.llm.common import bit_table, fresh, held_bits, mix, shared_folder, slot_column, written
-from vitagrain.llm.linking import common, link
+from vitagrain.llm.linking import bits_of, common, key_slot, link
 from vitagrain.llm.shingles import _PLACE, character_codes, character_shingles
 
 SHINGLE = 8
@@ -103,14 +103,19 @@ def _lines(batches: Iterator[pa.RecordBatch], signed: bool) -> Iterator[pa.Recor
             yield out(rows, texts)
 
 
-def _asked(batches: Iterator[pa.RecordBatch], asked) -> Iterator[pa.RecordBatch]:
-    """The plain lines of rows whose slot is in the bit table."""
+def _asked(batches: Iterator[pa.RecordBatch], rows, lines) -> Iterator[pa.RecordBatch]:
+    """The plain lines whose row and hash are in the bit tables, each once a task."""
+    given = set()
     for batch in batches:
-        batch = batch.filter(pa.array(held_bits(asked.value, batch.column(0).to_numpy())))
+        batch = batch.filter(pa.array(held_bits(rows.value, batch.column(0).to_numpy())))
         for low in range(0, batch.num_rows, 200):
-            found = [(*line_hash(line), line) for text in batch.column(1).slice(low, 200)
-                     for x in text.as_py().split("\n") if (line := plain(x))]
-            columns = list(zip(*found)) or [()] * 3
+            found = {line_hash(line): line for text in batch.column(1).slice(low, 200)
+                     for x in text.as_py().split("\n") if (line := plain(x))}
+            marks = np.array(list(found), np.int64).reshape(-1, 2)
+            held = held_bits(lines.value, key_slot(np.ascontiguousarray(marks[:, 0])))
+            out = [(*mark, line) for (mark, line), keep in zip(found.items(), held) if keep and mark not in given]
+            given.update(x[:2] for x in out)
+            columns = list(zip(*out)) or [()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(
                 columns, [pa.int64(), pa.int64(), pa.string()])], names=["h1", "h2", "items"])
 
@@ -138,14 +143,13 @@ def lost_lines(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), folder, "nodes")
 
     def fetch(asked: DataFrame, name: str) -> DataFrame:
-        wanted = written(nodes.join(asked, "node", "left_semi").select("node", "h1", "h2", "place.doc_id"), folder, f"{name}_wanted")
-        bits = spark.sparkContext.broadcast(bit_table(wanted.select("doc_id")))
-        made = texts.select(slot_column("doc_id").alias("slot"), "text").mapInArrow(
-            lambda b: _asked(b, bits), "h1 long, h2 long, items string")
-        return made.join(wanted.select("node", "h1", "h2"), ["h1", "h2"]).groupBy("node").agg(
-            F.max("items").alias("items"))
-
-    labels = link(nodes.select("node", F.lit(1).cast("long").alias("n"), "keys"), fetch, measure_lines, num, den, folder,
+        wanted = nodes.join(asked, "node", "left_semi")
+        rows = spark.sparkContext.broadcast(bit_table(wanted.select("place.doc_id")))
+        lines = spark.sparkContext.broadcast(bits_of(wanted.select("h1")))
+        return texts.select(slot_column("doc_id").alias("slot"), "text").mapInArrow(
+            lambda b: _asked(b, rows, lines), "h1 long, h2 long, items string")
+
+    labels = link(nodes.select("node", "h1", "h2", F.lit(1).cast("long").alias("n"), "keys"), fetch, measure_lines, num, den, folder,
                   positional=False)
     # classes that neither repeat nor have a component lose nothing
     named = nodes.select("node", "h1", "h2", "place", "copies").join(labels, "node", "left").where(

@@ -111,8 +111,8 @@ def measure_sets(left: pa.Array, right: pa.Array) -> tuple[np.ndarray, np.ndarra
     return shared, np.diff(lo) + np.diff(ro) - shared
 
 
-def measured(pairs: DataFrame, items: DataFrame, measure: Measure, num: int, den: int) -> DataFrame:
-    """pairs (a, b) with `shared` (intersection size), `united` and `linked`."""
+def measured(pairs: DataFrame, nodes: DataFrame, items: DataFrame, measure: Measure, num: int, den: int) -> DataFrame:
+    """pairs (a, b) with `shared` (intersection size), `united` and `linked`; items are found by the nodes' h1, h2."""
 
     @F.arrow_udf("struct<shared: long, united: long>")
     def sizes(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -120,9 +120,12 @@ def measured(pairs: DataFrame, items: DataFrame, measure: Measure, num: int, den
             yield pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in measure(left, right)],
                                              names=["shared", "united"])
 
-    a = items.selectExpr("node AS a", "items AS left_items")
-    b = items.selectExpr("node AS b", "items AS right_items")
-    met = pairs.join(a, "a").join(b, "b").select("a", "b", sizes("left_items", "right_items").alias("sizes"))
+    named = pairs
+    for side in "ab":
+        named = named.join(nodes.selectExpr(f"node AS {side}", f"h1 AS {side}1", f"h2 AS {side}2"), side)
+    for side in "ab":
+        named = named.join(items.selectExpr(f"h1 AS {side}1", f"h2 AS {side}2", f"items AS {side}_items"), [f"{side}1", f"{side}2"])
+    met = named.select("a", "b", sizes("a_items", "b_items").alias("sizes")).dropDuplicates(["a", "b"])
     return met.selectExpr("a", "b", "sizes.shared AS shared", "sizes.united AS united",
                           f"sizes.shared > 0 AND sizes.shared * {den} >= sizes.united * {num} AS linked")
 
@@ -134,12 +137,14 @@ def _spread(batches: Iterator[pa.RecordBatch], asked) -> Iterator[pa.RecordBatch
         offsets = keys.offsets.to_numpy()
         values = keys.values.to_numpy()[offsets[0]: offsets[-1]]
         row = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
-        pos = np.arange(len(values)) - (offsets[:-1] - offsets[0])[row]
+        start = (offsets[:-1] - offsets[0])[row]
         held = held_bits(asked.value, key_slot(values))
-        names = ["key", "node", "n", "pos"]
-        yield pa.RecordBatch.from_arrays([pa.array(values[held]), *(
-            pa.array(batch.column(k).to_numpy()[row[held]]) for k in (0, 1)), pa.array(pos[held].astype(np.int64))],
-            names=names)
+        ahead = np.concatenate([[0], np.cumsum(held)])
+        pos = np.arange(len(values)) - start
+        met = ahead[:-1] - ahead[start]
+        columns = [values, *(batch.column(k).to_numpy()[row] for k in (0, 1)), pos, met]
+        yield pa.RecordBatch.from_arrays([pa.array(c[held].astype(np.int64)) for c in columns],
+                                         names=["key", "node", "n", "pos", "met"])
 
 
 def key_slot(keys: np.ndarray) -> np.ndarray:
@@ -157,8 +162,18 @@ def _key_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(words[at])], names=["word", "bits"])
 
 
+def bits_of(keys: DataFrame) -> np.ndarray:
+    """The bit table of one column of longs, built by tasks and joined word by word: fixed size for any number of keys."""
+    words = keys.mapInArrow(_key_bits, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    table = np.zeros((1 << SLOT_BITS) // 64, np.int64)
+    table[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    return table.view(np.uint8)
+
+
 def shared_postings(nodes: DataFrame) -> DataFrame:
-    """key, node, n and pos of every key that two nodes or more hold.
+    """key, node, n, pos and met of every key that two nodes or more hold.
+
+    pos counts the node's keys before this one, met those of them that are shared.
 
     Keys are counted first; a bit table of the shared ones (fixed size, broadcast) then
     keeps most other postings from being shuffled, and a join removes the rest.
@@ -166,12 +181,9 @@ def shared_postings(nodes: DataFrame) -> DataFrame:
     spark = nodes.sparkSession
     counts = nodes.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("held")).where("held > 1")
     counts = written(counts.select("key"), shared_folder(spark), "keys")
-    words = counts.mapInArrow(_key_bits, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
-    table = np.zeros((1 << SLOT_BITS) // 64, np.int64)
-    table[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
-    asked = spark.sparkContext.broadcast(table.view(np.uint8))
+    asked = spark.sparkContext.broadcast(bits_of(counts))
     postings = nodes.select("node", "n", "keys").mapInArrow(
-        lambda b: _spread(b, asked), "key long, node long, n long, pos long")
+        lambda b: _spread(b, asked), "key long, node long, n long, pos long, met long")
     return postings.join(counts, "key")
 
 
@@ -179,9 +191,9 @@ def link(nodes: DataFrame, fetch: Callable[[DataFrame, str], DataFrame], measure
          positional: bool) -> DataFrame:
     """node and component of all nodes in a component of two or more.
 
-    nodes: node, n (set size), keys (distinct; in the global order if positional) and, if
-    there are any, cells. fetch(nodes, name) gives node and items of each asked node, which
-    measure compares. Sets
+    nodes: node, h1 and h2 (the set's hash), n (set size), keys (distinct; in the global
+    order if positional) and, if there are any, cells. fetch(nodes, name) gives h1, h2 and
+    items of each asked node (more than those does no harm), which measure compares. Sets
     link when shared / united >= num / den.
     """
     shared = written(shared_postings(nodes), folder, "shared")
@@ -191,7 +203,7 @@ def link(nodes: DataFrame, fetch: Callable[[DataFrame, str], DataFrame], measure
         pairs = written(pairs, folder, f"{name}_pairs")
         near = written(may_reach(pairs, nodes, num, den), folder, f"{name}_near") if "cells" in nodes.columns else pairs
         asked = near.select(F.col("a").alias("node")).unionAll(near.select(F.col("b").alias("node"))).distinct()
-        found = measured(near, written(fetch(asked, name), folder, f"{name}_items"), measure, num, den)
+        found = measured(near, nodes, written(fetch(asked, name), folder, f"{name}_items"), measure, num, den)
         return written(pairs.join(found, ["a", "b"], "left").withColumn("linked", F.coalesce("linked", F.lit(False))),
                        folder, name)
 
@@ -199,14 +211,14 @@ def link(nodes: DataFrame, fetch: Callable[[DataFrame, str], DataFrame], measure
     checked, labels, first = None, None, None
     fits = F.expr(f"least(n, other_n) * {den} >= greatest(n, other_n) * {num}")
     if positional:
-        fits &= F.expr(f"(least(pos, other_pos) + 1 + least(n - pos, other_n - other_pos) - 1) * {num + den} "
-                       f">= (n + other_n) * {num}")
+        # keys before this one that no other node holds are in neither intersection
+        fits &= F.expr(f"(least(met, other_met) + least(n - pos, other_n - other_pos)) * {num + den} >= (n + other_n) * {num}")
 
     for turn in range(LEADER_ROUNDS):
         held = shared.join(labels, "node", "left") if labels is not None else shared.withColumn(
             "component", F.lit(None).cast("long"))
         held = held.withColumn("component", F.coalesce("component", "node"))
-        ends = F.struct("component", "node", "n", "pos")
+        ends = F.struct("component", "node", "n", "pos", "met")
         leaders = held.groupBy("key").agg(F.min(ends).alias("low"), F.max(ends).alias("high"))
         leaders = leaders.where("low.component <> high.component")
         met = held.join(leaders, "key")
@@ -214,7 +226,8 @@ def link(nodes: DataFrame, fetch: Callable[[DataFrame, str], DataFrame], measure
         tries = None
         for side in sides:
             one = met.where(f"component <> {side}.component").selectExpr(
-                "node AS a", f"{side}.node AS b", "n", "pos", f"{side}.n AS other_n", f"{side}.pos AS other_pos").where(
+                "node AS a", f"{side}.node AS b", "n", "pos", "met", f"{side}.n AS other_n", f"{side}.pos AS other_pos",
+                f"{side}.met AS other_met").where(
                 fits).select("a", "b")
             tries = one if tries is None else tries.unionAll(one)
         tries = tries.groupBy("a", "b").agg(F.count("*").alias("keys"))
@@ -240,9 +253,9 @@ def link(nodes: DataFrame, fetch: Callable[[DataFrame, str], DataFrame], measure
     major = weights.groupBy("key").agg(F.max(F.struct("size", "component")).alias("top"), F.count("*").alias("kinds"))
     mixed = held.join(major.where("kinds > 1").selectExpr("key", "top.component AS major"), "key")
     few = mixed.where("component <> major").selectExpr(
-        "key", "node AS a", "component AS a_component", "n", "pos", "near AS a_near")
+        "key", "node AS a", "component AS a_component", "n", "pos", "met", "near AS a_near")
     rest = mixed.selectExpr("key", "node AS b", "component AS b_component", "n AS other_n", "pos AS other_pos",
-                            "near AS b_near", "component = major AS in_major")
+                            "met AS other_met", "near AS b_near", "component = major AS in_major")
     far = F.expr(f"a_near.leader = b_near.leader AND abs(a_near.gap - b_near.gap) > {reach}")
     pairs = few.join(rest, "key").where((F.col("a_component") != F.col("b_component")) & (
         F.col("in_major") | (F.col("a") < F.col("b"))) & fits & ~F.coalesce(far, F.lit(False)))

@@ -108,14 +108,18 @@ def _prefixed(batches: Iterator[pa.RecordBatch], size: int, num: int, den: int,
 
 
 def _items(batches: Iterator[pa.RecordBatch], size: int, asked) -> Iterator[pa.RecordBatch]:
-    """Sets of the rows whose slot is in the bit table."""
+    """Sets of the rows whose slot is in the bit table, each once a task."""
+    given = set()
     for batch in batches:
         batch = batch.filter(pa.array(held_bits(asked.value, batch.column(0).to_numpy())))
         for low in range(0, batch.num_rows, 500):
-            rows = [(*set_hash(items), np.sort(items.view(np.int64)))
-                    for items in _sets(batch.column(1).slice(low, 500), size)]
+            rows = []
+            for items in _sets(batch.column(1).slice(low, 500), size):
+                if (mark := set_hash(items)) not in given:
+                    given.add(mark)
+                    rows.append((*mark, np.sort(items.view(np.int64))))
             kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)],
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 3, kinds)],
                                              names=["h1", "h2", "items"])
 
 
@@ -134,13 +138,12 @@ def _labelled(docs: DataFrame, size: int, num: int, den: int, most: int) -> tupl
     def fetch(asked: DataFrame, name: str) -> DataFrame:
         """Shingle sets of the asked classes, from the text of the class's first document.
 
-        The bit table spares most other texts; what it lets through falls away in the join.
+        The bit table spares most other texts; what else it lets through is not asked for later.
         """
-        wanted = written(nodes.join(asked, "node", "left_semi").select("node", "doc_id", "h1", "h2"), folder, f"{name}_wanted")
-        bits = spark.sparkContext.broadcast(bit_table(wanted.select("doc_id")))
-        made = texts.select(slot_column("doc_id").alias("slot"), "text").mapInArrow(
+        wanted = nodes.join(asked, "node", "left_semi").select("doc_id")
+        bits = spark.sparkContext.broadcast(bit_table(wanted))
+        return texts.select(slot_column("doc_id").alias("slot"), "text").mapInArrow(
             lambda b: _items(b, size, bits), "h1 long, h2 long, items array<long>")
-        return wanted.join(made, ["h1", "h2"]).groupBy("node").agg(F.first("items").alias("items"))
 
     labels = link(nodes, fetch, measure_sets, num, den, folder, positional=True)
     named = nodes.select("node", "h1", "h2", "doc_id").join(labels, "node", "left").withColumn(
