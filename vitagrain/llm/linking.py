@@ -3,10 +3,11 @@
 Sets (by node) meet under keys: prefix n-grams or signature bands. A key shared
 by many nodes must not yield all their pairs, so linking goes in rounds:
 
-1. Leader rounds. Each key names one or two leaders, of different components;
-   every node is compared with the one leader of another component that it
-   shares most keys with. A round compares each node once, so a group of any
-   size costs as many comparisons as it has nodes. Links join components.
+1. Leader rounds. Each key names up to LEADERS leaders, of different components:
+   nodes with few keys of their own, hence near the middle of their group. Every
+   node is compared with the LEADERS leaders of other components that it shares
+   most keys with, so a group of any size costs a fixed number of comparisons
+   for each of its nodes. Links join components.
 2. Last round. Nodes that still share a key but no component are compared in
    full: those outside a key's largest component against all others of the key.
    Jaccard distance is a metric: where both were measured against the same
@@ -24,12 +25,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitagrain.llm.common import held_bits, mix, shared_folder, written
 
-LEADER_ROUNDS = 3
+LEADER_ROUNDS, LEADERS = 3, 3
 #: The bit table of shared keys has two to this power bits: 4 MB.
 SLOT_BITS = 25
 #: Sets have two to this power cells, whose counts end at FULL_CELL.
@@ -142,9 +143,11 @@ def _spread(batches: Iterator[pa.RecordBatch], asked) -> Iterator[pa.RecordBatch
         ahead = np.concatenate([[0], np.cumsum(held)])
         pos = np.arange(len(values)) - start
         met = ahead[:-1] - ahead[start]
-        columns = [values, *(batch.column(k).to_numpy()[row] for k in (0, 1)), pos, met]
+        ends = (offsets[1:] - offsets[0])[row]
+        own = ends - start - (ahead[ends] - ahead[start])
+        columns = [values, *(batch.column(k).to_numpy()[row] for k in (0, 1)), pos, met, own]
         yield pa.RecordBatch.from_arrays([pa.array(c[held].astype(np.int64)) for c in columns],
-                                         names=["key", "node", "n", "pos", "met"])
+                                         names=["key", "node", "n", "pos", "met", "own"])
 
 
 def key_slot(keys: np.ndarray) -> np.ndarray:
@@ -171,9 +174,10 @@ def bits_of(keys: DataFrame) -> np.ndarray:
 
 
 def shared_postings(nodes: DataFrame) -> DataFrame:
-    """key, node, n, pos and met of every key that two nodes or more hold.
+    """key, node, n, pos, met and own of every key that two nodes or more hold.
 
-    pos counts the node's keys before this one, met those of them that are shared.
+    pos counts the node's keys before this one, met those of them that are shared, own
+    all keys of the node that no other node holds.
 
     Keys are counted first; a bit table of the shared ones (fixed size, broadcast) then
     keeps most other postings from being shuffled, and a join removes the rest.
@@ -183,7 +187,7 @@ def shared_postings(nodes: DataFrame) -> DataFrame:
     counts = written(counts.select("key"), shared_folder(spark), "keys")
     asked = spark.sparkContext.broadcast(bits_of(counts))
     postings = nodes.select("node", "n", "keys").mapInArrow(
-        lambda b: _spread(b, asked), "key long, node long, n long, pos long, met long")
+        lambda b: _spread(b, asked), "key long, node long, n long, pos long, met long, own long")
     return postings.join(counts, "key")
 
 
@@ -218,28 +222,26 @@ def link(nodes: DataFrame, fetch: Callable[[DataFrame, str], DataFrame], measure
         held = shared.join(labels, "node", "left") if labels is not None else shared.withColumn(
             "component", F.lit(None).cast("long"))
         held = held.withColumn("component", F.coalesce("component", "node"))
-        ends = F.struct("component", "node", "n", "pos", "met")
-        leaders = held.groupBy("key").agg(F.min(ends).alias("low"), F.max(ends).alias("high"))
-        leaders = leaders.where("low.component <> high.component")
-        met = held.join(leaders, "key")
-        sides = ["low"] if turn == 0 else ["low", "high"]
-        tries = None
-        for side in sides:
-            one = met.where(f"component <> {side}.component").selectExpr(
-                "node AS a", f"{side}.node AS b", "n", "pos", "met", f"{side}.n AS other_n", f"{side}.pos AS other_pos",
-                f"{side}.met AS other_met").where(
-                fits).select("a", "b")
-            tries = one if tries is None else tries.unionAll(one)
+        # the most typical node of each component under a key, and of these the LEADERS most typical
+        ends = F.struct("own", "node", "component", "n", "pos", "met")
+        heads = held.groupBy("key", "component").agg(F.min(ends).alias("head")).withColumn("place", F.row_number().over(
+            Window.partitionBy("key").orderBy("head"))).where(F.col("place") <= LEADERS).select("key", "head")
+        tries = held.join(heads, "key").where("component <> head.component").selectExpr(
+            "node AS a", "head.node AS b", "n", "pos", "met", "head.n AS other_n", "head.pos AS other_pos",
+            "head.met AS other_met").where(fits)
         tries = tries.groupBy("a", "b").agg(F.count("*").alias("keys"))
         if checked is not None:
             known = checked.select("a", "b").unionAll(checked.selectExpr("b AS a", "a AS b"))
             tries = tries.join(known, ["a", "b"], "left_anti")
-        best = tries.groupBy("a").agg(F.max(F.struct("keys", (-F.col("b")).alias("less"))).alias("best"))
-        pairs = best.selectExpr("a", "-best.less AS b").selectExpr("least(a, b) AS a", "greatest(a, b) AS b").distinct()
+        best = Window.partitionBy("a").orderBy(F.desc("keys"), "b")
+        pairs = tries.withColumn("place", F.row_number().over(best)).where(F.col("place") <= LEADERS).selectExpr(
+            "least(a, b) AS a", "greatest(a, b) AS b").distinct()
         found = compared(pairs, f"round_{turn}")
         if turn == 0:
-            # distance of each node to the leader it was first compared with
-            first = found.where("united > 0").selectExpr("b AS node", "a AS leader", "1 - shared / united AS gap")
+            # distance of each node to one of the nodes that it was first compared with
+            gap = found.where("united > 0").selectExpr("a", "b", "1 - shared / united AS gap")
+            sides = gap.selectExpr("a AS node", "b AS leader", "gap").unionAll(gap.selectExpr("b AS node", "a AS leader", "gap"))
+            first = sides.groupBy("node").agg(F.min(F.struct("leader", "gap")).alias("near"))
         checked = found if checked is None else checked.unionAll(found)
         if not found.where("linked").take(1):
             break
@@ -248,7 +250,7 @@ def link(nodes: DataFrame, fetch: Callable[[DataFrame, str], DataFrame], measure
     held = shared.join(labels, "node", "left") if labels is not None else shared.withColumn(
         "component", F.lit(None).cast("long"))
     held = held.withColumn("component", F.coalesce("component", "node"))
-    held = held.join(first.select("node", F.struct("leader", "gap").alias("near")), "node", "left")
+    held = held.join(first, "node", "left")
     weights = held.groupBy("key", "component").agg(F.count("*").alias("size"))
     major = weights.groupBy("key").agg(F.max(F.struct("size", "component")).alias("top"), F.count("*").alias("kinds"))
     mixed = held.join(major.where("kinds > 1").selectExpr("key", "top.component AS major"), "key")
