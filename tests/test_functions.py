@@ -194,3 +194,19 @@ def test_vocabulary_quirks(spark):
 
 def test_hedge(spark):
     assert value(spark, f"t RLIKE r\"{tx.HEDGE}\"", t="I don't have it") is True
+
+
+@pytest.mark.parametrize(("link", "want"), [
+    ("https://t.me/a b", "t.me"), ("https://t.me/job|1", "t.me"), ("https://www.t.me/{id}", "t.me"),
+    ("https://my_host.t.me/x", "my_host.t.me"), ("T.me/jobs", "t.me"), ("http://user:pw@jobs.t.me:8080/x?y#z", "jobs.t.me"),
+    ("https://example.org?next=https://t.me", "example.org"), ("https://[::1]:80/x", "[::1]"), ("", ""), (None, ""),
+])
+def test_host_of_any_link(spark, link, want):
+    df = spark.createDataFrame([(link,)], "link STRING")
+    assert df.selectExpr(tx.host("link")).first()[0] == want
+
+
+def test_limits_are_off_unless_given(spark):
+    df = spark.createDataFrame([([f"v{i}" for i in range(30)],)], "v ARRAY<STRING>")
+    row = df.selectExpr(f"{tx.skill_digest('v')} AS all_of", f"{tx.skill_digest('v', 3)} AS some").first()
+    assert row.all_of.count(",") == 29 and row.some == "v0, v1, v2"

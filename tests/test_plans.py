@@ -134,20 +134,20 @@ def brute_force(docs, items):
     return scores
 
 
-@pytest.mark.parametrize("slice_entries", [1_000_000, 20])
-def test_coverage_and_best_match_brute_force(spark, slice_entries):
-    docs, items, d, i = corpus(spark)
-    want = brute_force(docs, items)
-    got = {(r.doc_id, r.item_id): r.n_matched
-           for r in mt.coverage(d, i, slice_entries=slice_entries).collect()}
-    assert got == want
+@pytest.mark.parametrize("per_slot", [1_000, 3])
+def test_best_documents_brute_force(spark, monkeypatch, per_slot):
+    monkeypatch.setattr(mt, "POSTINGS_PER_SLOT", per_slot)
+    docs, items, d, _ = corpus(spark)
+    items += [(100, "a of"), (101, "unheard xylophone")]  # without keywords, and without overlap
+    i = spark.createDataFrame(items, "item_id BIGINT, text STRING")
+    hits = brute_force(docs, items)
     for k in (1, 4):
-        best = mt.best_documents(d, i, k, slice_entries=slice_entries).collect()
+        best = mt.best_documents(d, i, k).collect()
         for item, _ in items:
-            ranked = sorted((-n, 1 if dict(docs)[doc].find("7") >= 0 else 2, doc)
-                            for (doc, it), n in want.items() if it == item)[:k]
+            ranked = sorted((-hits.get((doc, item), 0), 1 if text.find("7") >= 0 else 2, doc) for doc, text in docs)[:k]
             mine = sorted((-r.n_matched, r.weak_lines, r.doc_id) for r in best if r.item_id == item)
             assert mine == ranked
+            assert {r.score for r in best if r.item_id == item} == {1.0} if item == 100 else True
 
 
 def test_matched_and_missing_partition_the_terms(spark):

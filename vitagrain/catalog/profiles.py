@@ -70,7 +70,7 @@ S = dv.posting_skills(P)
 REQUIRED = f"[CAST({P} % 6 + 2 AS STRING) || '+ years of experience with ' || {S[0]}, 'Strong ' || {S[1]} || ' and google cloud']"
 PREFERRED = f"[{S[2]} || ' is a plus', {S[3]} || ' and agile/scrum', 'AWS Certified Developer preferred']"
 DUTIES = ("list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), "
-          "lambda x: x <> '' AND length(x) <= 200)[1:12]")
+          "lambda x: x <> '')")
 TITLE = dv.pick(dv.TITLES, P)
 YEARS = f"CAST({P} % 6 + 2 AS STRING) || '+ years'"
 LEVEL = (f"CASE WHEN regexp_matches({TITLE}, 'Staff') THEN 'Principal/Staff (' || {YEARS} || ')' "

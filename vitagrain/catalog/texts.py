@@ -36,11 +36,11 @@ def keywords(spark, sf):
     return corpus(spark, sf).select("doc_id", joined(tk.keywords("text"), "keywords"))
 
 
-@query("stems_t4", f"SELECT doc_id, string_agg(DISTINCT stem, ';' ORDER BY stem) AS stems FROM ({sk.exploded('documents', 'doc_id')}) GROUP BY 1")
+@query("stems_t4", f"SELECT d.doc_id, coalesce(string_agg(DISTINCT stem, ';' ORDER BY stem), '') AS stems FROM documents d LEFT JOIN ({sk.exploded('documents', 'doc_id')}) e USING (doc_id) GROUP BY 1")
 def stems(spark, sf):
     out = corpus(spark, sf).select("doc_id", joined(
         f"array_sort({tk.stems(tk.keywords('text'))})", "stems"))
-    return out.filter("stems <> ''")
+    return out
 
 
 BEST = f"""WITH {SCORED}, weak AS (SELECT doc_id, {WEAK} AS weak_lines FROM documents),
@@ -48,26 +48,22 @@ best AS (SELECT item_id, doc_id FROM scored JOIN weak USING (doc_id)
 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, weak_lines, doc_id) = 1)"""
 
 
-def best_terms(spark, sf):
-    """Required terms of every posting beside the stems of its best document."""
+def best_terms(spark, sf, kind):
+    """Matched or missing terms of every posting with its best document, from one pass over the pairs."""
     best = best_of_corpus(spark, sf).select("item_id", "doc_id")
-    terms = mt.with_keywords(read_table(spark, sf, "benchmark")).select(
-        "item_id", F.explode_outer("keywords").alias("term")).filter("term IS NOT NULL")
-    terms = terms.join(best, "item_id").withColumn("stem", F.expr(tk.stem("term")))
-    have = mt.document_stems(corpus(spark, sf).join(best.select("doc_id").distinct(), "doc_id", "left_semi"))
-    return terms, have.select("doc_id", F.explode_outer("stems").alias("stem"))
+    items = mt.required_terms(mt.with_keywords(read_table(spark, sf, "benchmark")))
+    scored = mt.score_pairs(best, mt.document_stems(corpus(spark, sf)), items)
+    return scored.select("item_id", "doc_id", F.explode_outer(kind).alias("term")).filter("term IS NOT NULL")
 
 
 @query("matched_terms_j6_g3", f"{BEST} SELECT t.item_id, t.doc_id, t.term FROM (SELECT * FROM item_terms JOIN best USING (item_id)) t SEMI JOIN stems s ON s.doc_id = t.doc_id AND s.stem = t.stem")
 def matched_terms(spark, sf):
-    terms, have = best_terms(spark, sf)
-    return terms.join(have, ["doc_id", "stem"], "left_semi").select("item_id", "doc_id", "term")
+    return best_terms(spark, sf, "matched")
 
 
 @query("missing_terms_j7_g4", f"{BEST} SELECT t.item_id, t.doc_id, t.term FROM (SELECT * FROM item_terms JOIN best USING (item_id)) t ANTI JOIN stems s ON s.doc_id = t.doc_id AND s.stem = t.stem")
 def missing_terms(spark, sf):
-    terms, have = best_terms(spark, sf)
-    return terms.join(have, ["doc_id", "stem"], "left_anti").select("item_id", "doc_id", "term")
+    return best_terms(spark, sf, "missing")
 
 
 VOCAB = "vocab(category, term) AS (VALUES " + ", ".join(
@@ -78,8 +74,7 @@ PROFILE = f"p AS (SELECT doc_id, {dv.profile_text(K, 'text')} AS text FROM docum
 @query("dictionary_matches_t6_w15", f"""WITH {PROFILE}, {VOCAB}, k AS (SELECT doc_id, lower(text) AS lt, {sk.tokens('text')} AS kw FROM p),
 hits AS (SELECT doc_id, category, term FROM k JOIN vocab ON list_contains(kw, term) OR
 (contains(lt, term) AND regexp_matches(lt, '(^|[^\\p{{L}}\\p{{N}}_])' || regexp_replace(term, '([.+])', '\\\\\\1', 'g') || '($|[^\\p{{L}}\\p{{N}}_])') AND regexp_matches(term, '^[a-z0-9].*[a-z0-9]$|^[a-z]$')))
-SELECT doc_id, category, string_agg(term, ';' ORDER BY len(string_split(term, ' ')) DESC, term) AS terms FROM (
-SELECT *, row_number() OVER (PARTITION BY doc_id, category ORDER BY len(string_split(term, ' ')) DESC, term) AS rn FROM hits) WHERE rn <= 12 GROUP BY 1, 2""")
+SELECT doc_id, category, string_agg(term, ';' ORDER BY len(string_split(term, ' ')) DESC, term) AS terms FROM hits GROUP BY 1, 2""")
 def dictionary_matches(spark, sf):
     base = dv.profiles(spark, sf).selectExpr(
         "doc_id", "lower(text) AS lt", f"{tk.keywords('text')} AS kw")
@@ -206,18 +201,17 @@ BULLETS = "b AS (SELECT doc_id, pos, unnest(bullets) AS bullet, generate_subscri
 
 @query("filled_bullets_w21", f"""WITH {JOBS}, {BULLETS}, c AS (SELECT t.doc_id, t.pos, b.bullet, CASE WHEN b.pos = t.pos THEN 0 ELSE 1 END AS src, b.pos AS bpos, b.n
 FROM (SELECT doc_id, pos FROM jobs) t JOIN b USING (doc_id)),
-d AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY doc_id, c.pos, bullet ORDER BY src, bpos, n) = 1),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, pos ORDER BY src, bpos, n) AS rn FROM d)
-SELECT doc_id, CAST(pos AS INT) AS pos, string_agg(bullet, ';' ORDER BY rn) AS bullets FROM r WHERE rn <= 8 GROUP BY 1, 2""")
+d AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY doc_id, c.pos, bullet ORDER BY src, bpos, n) = 1)
+SELECT doc_id, CAST(pos AS INT) AS pos, string_agg(bullet, ';' ORDER BY src, bpos, n) AS bullets FROM d GROUP BY 1, 2""")
 def filled_bullets(spark, sf):
     jobs = "transform(master, j -> transform(j.bullets, b -> replace(b, '  ', ' ')))"
     rows = bullets_of(spark, sf).select("doc_id", F.posexplode_outer(F.expr(
-        ln.filled(jobs, lx.BULLETS_PER_JOB))).alias("pos", "b")).filter("pos IS NOT NULL")
+        ln.filled(jobs))).alias("pos", "b")).filter("pos IS NOT NULL")
     return rows.select("doc_id", "pos", F.array_join("b", ";").alias("bullets"))
 
 
 @query("job_digest_w19", f"""WITH {JOBS} SELECT doc_id, string_agg(title || ' at ' || company || ' (' || dates || ')' || chr(10) ||
-array_to_string(list_transform(bullets[1:2], lambda b: '  - ' || b), chr(10)), chr(10) || chr(10) ORDER BY pos) AS digest FROM jobs WHERE pos < 3 GROUP BY 1""")
+array_to_string(list_transform(bullets[1:2], lambda b: '  - ' || b), chr(10)), chr(10) || chr(10) ORDER BY pos) AS digest FROM jobs GROUP BY 1""")
 def job_digest(spark, sf):
     tidy = ("transform(master, j -> named_struct('title', j.title, 'company', j.company, "
             "'dates', j.dates, 'bullets', transform(j.bullets, b -> replace(b, '  ', ' '))))")
@@ -336,14 +330,12 @@ def normalised_skills(spark, sf):
 
 @query("questions_w18", """WITH q AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
 c AS (SELECT doc_id, n, trim(regexp_replace(raw, '\\s+', ' ', 'g')) AS line FROM q WHERE trim(raw) <> ''),
-d AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY doc_id, lower(line) ORDER BY n) = 1),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS rn FROM d)
-SELECT doc_id, string_agg(line, '~' ORDER BY rn) AS questions FROM r WHERE rn <= 12 GROUP BY 1""")
+d AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY doc_id, lower(line) ORDER BY n) = 1)
+SELECT t.doc_id, coalesce(string_agg(line, '~' ORDER BY n), '') AS questions FROM documents t LEFT JOIN d USING (doc_id) GROUP BY 1""")
 def questions(spark, sf):
     lines = f"transform(split(text, '\\n'), x -> {st.collapse('x')})"
     return corpus(spark, sf).select("doc_id", F.expr(
-        f"array_join(slice({tx.distinct_folded(lines)}, 1, {lx.MAX_QUESTIONS}), '~')").alias("questions")
-    ).filter("questions <> ''")
+        f"array_join({st.first(tx.distinct_folded(lines))}, '~')").alias("questions"))
 
 
 Q = "array('Why us?', 'Notice period?', 'Salary?')"

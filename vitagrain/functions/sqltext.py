@@ -45,6 +45,11 @@ def let(name: str, value: str, body: str) -> str:
     return f"get(transform(array({value}), {name} -> {body}), 0)"
 
 
+def first(values: str, limit: int | None = None) -> str:
+    """The first values of an array, all of them without a limit."""
+    return values if limit is None else f"slice({values}, 1, {limit})"
+
+
 WHITE_SPACE = r"' \t\n\r\u000B\u000C'"
 
 

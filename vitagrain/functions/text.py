@@ -103,12 +103,20 @@ def clean_extracted(text: str) -> str:
     return clean(st.strip(out, " |,-–—"))
 
 
+# Scheme, user and host of a link.
+AUTHORITY = r"^(?:[^/?#]*?://)?(?:[^/?#@]*@)*(\[[^\]/?#]*\]|[^/?#:@]*)"
+
+
 # --- links ---------------------------------------------------------------------
 def host(url: str) -> str:
-    """Lower-case host without ``www.``; a missing scheme reads as https."""
+    """Lower-case host without ``www.``; a missing scheme reads as https.
+
+    The authority ends at the first slash, question mark or hash; what stands
+    before an at sign in it, and a port, are no part of the host. Characters that
+    a strict parser refuses (blanks, pipes, braces, underscores) do no harm.
+    """
     u = st.strip(f"coalesce({url}, '')")
-    full = st.let("u", u, "CASE WHEN contains(u, '://') THEN u ELSE concat('https://', u) END")
-    return f"coalesce(regexp_replace(lower(try_parse_url({full}, 'HOST')), '^www[.]', ''), '')"
+    return f"regexp_replace(lower(regexp_extract({u}, {st.raw(AUTHORITY)}, 1)), '^www[.]', '')"
 
 
 def on_domain(host_text: str, domain: str) -> str:
@@ -215,10 +223,11 @@ def business_domain(lower_text: str) -> str:
     return f"CASE {arms} ELSE '' END"
 
 
-def certifications(text: str) -> str:
+def certifications(text: str, limit: int | None = None) -> str:
+    """Distinct certifications that a text names, sorted; all without a limit."""
     found = f"regexp_extract_all({text}, {st.raw(CERTIFICATION)}, 0)"
     trimmed = f"transform({found}, c -> {st.strip(st.replace(st.strip('c'), CERTIFICATION_TAIL))})"
-    return f"slice(array_sort(array_distinct(filter({trimmed}, c -> c <> ''))), 1, {lx.MAX_PER_CATEGORY})"
+    return st.first(f"array_sort(array_distinct(filter({trimmed}, c -> c <> '')))", limit)
 
 
 def escaped(term: str) -> str:
@@ -244,7 +253,7 @@ def vocabulary_hits(keywords: str, lower_text: str, vocabulary: list[str],
         for t in ordered
     ]
     hits = f"filter(array({', '.join(tests)}), t -> t IS NOT NULL)"
-    return f"slice({hits}, 1, {cap or lx.MAX_PER_CATEGORY})"
+    return st.first(hits, cap)
 
 
 # --- prose -------------------------------------------------------------------------
@@ -254,9 +263,9 @@ def truncated(value: str, limit: int, suffix: str = "\n...(truncated)") -> str:
             f"ELSE {value} END")
 
 
-def prose_list(values: str, limit: int = lx.WOVEN_TERMS) -> str:
+def prose_list(values: str, limit: int | None = None) -> str:
     """``a``, ``a and b`` or ``a, b, and c``."""
-    return st.let("w", f"slice({values}, 1, {limit})", (
+    return st.let("w", st.first(values, limit), (
         "CASE WHEN size(w) <= 1 THEN array_join(w, '') "
         "WHEN size(w) = 2 THEN concat(w[0], ' and ', w[1]) "
         "ELSE concat(array_join(slice(w, 1, size(w) - 1), ', '), ', and ', "
@@ -337,9 +346,9 @@ def distinct_folded(values: str) -> str:
     ))
 
 
-def skill_digest(values: str, limit: int = lx.SKILL_DIGEST_LIMIT) -> str:
+def skill_digest(values: str, limit: int | None = None) -> str:
     """The first distinct skills as one line."""
-    joined = f"array_join(slice({distinct_folded(values)}, 1, {limit}), ', ')"
+    joined = f"array_join({st.first(distinct_folded(values), limit)}, ', ')"
     return f"coalesce(nullif({joined}, ''), '(none listed)')"
 
 

@@ -21,13 +21,12 @@ def scope_owner(df: DataFrame, user_id: int | None) -> DataFrame:
 
 
 def newest_per(df: DataFrame, *keys: str, by: str = "id") -> DataFrame:
-    """The newest row of each key."""
-    rest = [c for c in df.columns if c not in keys]
-    return (
-        df.groupBy(*keys)
-        .agg(F.max_by(F.struct(*rest), F.col(by)).alias("newest"))
-        .select(*keys, "newest.*")
-    )
+    """The newest row of each key, null keys included; ``by`` is unique.
+
+    Only the ids are grouped, by hash; the rows themselves meet their winners by id.
+    """
+    newest = df.groupBy(*keys).agg(F.max(by).alias(by)).select(by)
+    return df.join(newest, by, "left_semi").select(*keys, *[c for c in df.columns if c not in keys])
 
 
 def unique_links(records: DataFrame, users: DataFrame | None = None,
@@ -99,11 +98,14 @@ def contains_all(df: DataFrame, **needles: str) -> DataFrame:
 
 def day_between(df: DataFrame, column: str, first: str = "", last: str = "",
                 blank_passes: bool = True) -> DataFrame:
-    """Inclusive day range; rows without a day pass or fail by choice."""
-    day = F.to_date(column)
-    for bound, test in ((first, day >= F.lit(first)), (last, day <= F.lit(last))):
+    """Inclusive day range; rows without a day pass or fail by choice.
+
+    The column itself is compared, so that file statistics and day folders prune.
+    """
+    for bound, test in ((first, F.col(column) >= F.lit(first).cast("date")),
+                        (last, F.col(column) < F.date_add(F.lit(last).cast("date"), 1))):
         if bound:
-            df = df.filter(F.coalesce(test, F.lit(blank_passes)))
+            df = df.filter(test | F.col(column).isNull() if blank_passes else test)
     return df
 
 
@@ -187,8 +189,8 @@ def week_earlier(day_counts: DataFrame, column: str = "n_live") -> DataFrame:
 
 def default_per_owner(rows: DataFrame, owner: str = "user_id") -> DataFrame:
     """Exactly one default per owner: a wanted one, else the lowest slug."""
-    rank = F.struct((~F.col("is_default")).alias("later"), F.col("slug").alias("slug"))
-    chosen = rows.groupBy(owner).agg(F.min(rank)["slug"].alias("default_slug"))
+    wanted = F.when(F.col("is_default"), F.col("slug"))
+    chosen = rows.groupBy(owner).agg(F.coalesce(F.min(wanted), F.min("slug")).alias("default_slug"))
     return (
         rows.join(chosen, owner)
         .withColumn("is_default", F.col("slug") == F.col("default_slug"))

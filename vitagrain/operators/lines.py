@@ -113,11 +113,11 @@ def jobs_by_bullets(kinds: str) -> str:
     return st.let("gb", kinds, slices("gb", starts))
 
 
-def filled(jobs: str, size: int) -> str:
+def filled(jobs: str, size: int | None = None) -> str:
     """Each job's distinct bullets, topped up from its siblings' unseen ones."""
     own = "array_distinct(get(fj, i))"
     pool = f"array_except(flatten(filter(fj, (y, k) -> k <> i)), {own})"
-    return st.let("fj", jobs, f"transform(fj, (x, i) -> slice(concat({own}, {pool}), 1, {size}))")
+    return st.let("fj", jobs, f"transform(fj, (x, i) -> {st.first(f'concat({own}, {pool})', size)})")
 
 
 def aligned(questions: str, drafts: str) -> str:
@@ -138,10 +138,10 @@ def aligned(questions: str, drafts: str) -> str:
     return f"aggregate({questions}, {start}, (a, q) -> {step}, a -> a.out)"
 
 
-def digest(jobs: str, n_jobs: int = 3, n_bullets: int = 3) -> str:
-    """Short text of the first jobs and their first bullets."""
-    bullets = (f"array_join(transform(slice(j.bullets, 1, {n_bullets}), "
+def digest(jobs: str, n_jobs: int | None = None, n_bullets: int | None = None) -> str:
+    """Short text of the first jobs and their first bullets, of all of them by default."""
+    bullets = (f"array_join(transform({st.first('j.bullets', n_bullets)}, "
                f"b -> concat('  - ', b)), '\\n')")
     block = f"concat(j.title, ' at ', j.company, ' (', j.dates, ')\\n', {bullets})"
-    joined = f"array_join(transform(slice({jobs}, 1, {n_jobs}), j -> {block}), '\\n\\n')"
+    joined = f"array_join(transform({st.first(jobs, n_jobs)}, j -> {block}), '\\n\\n')"
     return f"coalesce(nullif({joined}, ''), '(no experience listed)')"

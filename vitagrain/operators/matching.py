@@ -1,39 +1,29 @@
 """Keyword coverage of documents against postings.
 
-Three access paths share one definition of a match:
+Two access paths share one definition of a match:
 
 * ``score_pairs`` - a given list of (document, posting) pairs. Both sides are
   joined by id and compared inside the row, so the cost is linear in the pairs.
-* ``coverage`` - every overlapping pair through an inverted index (stem ->
-  postings). Document stems are hash partitioned by document once, so counts
-  per (document, posting) need no further shuffle.
-* ``best_documents`` - the top documents per posting. Overlaps are counted as
-  blocks of a count matrix inside each task and reduced there.
-
-The index is broadcast only in slices of a checked size, and no stem, however
-common, is ever gathered in one task.
+* ``best_documents`` - the top documents per posting, as a join of document
+  stems with posting stems, a count that combines before its shuffle, and a
+  rank whose limit Spark pushes below the last exchange.
+
+A stem that many postings ask for is split into slots of postings, so no stem
+gathers all of them in one task; a stem of many documents is left to the
+adaptive skew join. Nothing is broadcast by hand or brought to the driver.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-import numpy as np
-import pandas as pd
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitagrain.functions import lexicon as lx
 from vitagrain.functions import sqltext as st
 from vitagrain.functions import tokens as tk
-from vitagrain.session import checkpointed
 
-# One broadcast slice holds at most this many index entries (about 64 MB).
-INDEX_SLICE_ENTRIES = 1_000_000
-# One block of the (documents x postings) count matrix inside a task.
-MATRIX_CELLS = 4_000_000
+#: Postings of one stem that share a join key.
+POSTINGS_PER_SLOT = 1_000
 
 
 def round_score(value: Column) -> Column:
@@ -52,143 +42,57 @@ def document_stems(docs: DataFrame) -> DataFrame:
 
 
 def posting_terms(postings: DataFrame, key: str = "item_id") -> DataFrame:
-    """(key, stem, n_terms, n_required): how many required terms share a stem."""
+    """(key, n_required, stem, n_terms): how many required terms share a stem.
+
+    A posting without keywords is one row without a stem.
+    """
     return (
         with_keywords(postings)
         .withColumn("n_required", F.size("keywords"))
-        .select(key, "n_required", F.explode("keywords").alias("keyword"))
+        .select(key, "n_required", F.explode_outer("keywords").alias("keyword"))
         .withColumn("stem", F.expr(tk.stem("keyword")))
         .groupBy(key, "n_required", "stem")
-        .agg(F.count("*").alias("n_terms"))
-    )
-
-
-def _index(terms: DataFrame, key: str) -> DataFrame:
-    return terms.groupBy("stem").agg(
-        F.collect_list(F.struct(key, "n_required", "n_terms")).alias("postings")
+        .agg(F.count("keyword").alias("n_terms"))
     )
 
 
-def _overlaps(doc_stems: DataFrame, index: DataFrame, carried: list[str], key: str) -> DataFrame:
-    hits = (
-        doc_stems.withColumn("stem", F.explode("stems")).drop("stems")
-        .join(F.broadcast(index), "stem")
-        .select(*carried, F.explode("postings").alias("p"))
-        .select(*carried, f"p.{key}", "p.n_required", "p.n_terms")
-    )
-    return hits.groupBy(*carried, key, "n_required").agg(
-        F.sum("n_terms").cast("int").alias("n_matched")
+def overlaps(doc_stems: DataFrame, terms: DataFrame, key: str = "item_id") -> DataFrame:
+    """Matched count of every document and posting that share a stem."""
+    terms = terms.filter("stem IS NOT NULL")
+    slots = terms.groupBy("stem").agg(F.ceil(F.count("*") / POSTINGS_PER_SLOT).alias("slots"))
+    asked = terms.join(slots, "stem").withColumn("slot", F.expr(f"pmod(xxhash64({key}), slots)"))
+    held = (
+        doc_stems.select("doc_id", "weak_lines", F.explode_outer("stems").alias("stem"))
+        .join(slots, "stem")
+        .withColumn("slot", F.explode(F.expr("sequence(0L, slots - 1)")))
     )
-
-
-def index_slices(terms: DataFrame, key: str, slice_entries: int) -> list[DataFrame]:
-    """Split measured index rows by posting so that no slice exceeds the bound.
-
-    An index beyond one slice is written once through the checkpoint folder, as
-    every slice reads it again.
-    """
-    entries = terms.count()
-    n = max(1, -(-entries // slice_entries))
-    if n == 1:
-        return [terms]
-    terms = checkpointed(terms)
-    slot = F.pmod(F.xxhash64(key), F.lit(n))
-    return [terms.filter(slot == i) for i in range(n)]
-
-
-def coverage(doc_stems: DataFrame, postings: DataFrame, key: str = "item_id",
-             slice_entries: int = INDEX_SLICE_ENTRIES) -> DataFrame:
-    """Every overlapping (document, posting) pair with matched count and score.
-
-    Slices split the postings, so each pair is counted in exactly one of them.
-    """
-    carried = [c for c in doc_stems.columns if c != "stems"]
-    slices = index_slices(posting_terms(postings, key), key, slice_entries)
-    if len(slices) > 1:
-        doc_stems = checkpointed(doc_stems)
-    doc_stems = doc_stems.repartition("doc_id")
-    parts = [_overlaps(doc_stems, _index(s, key), carried, key) for s in slices]
-    return with_score(reduce(DataFrame.unionByName, parts))
+    met = held.drop("slots").join(asked.drop("slots"), ["stem", "slot"])
+    return met.groupBy("doc_id", "weak_lines", key, "n_required").agg(
+        F.sum("n_terms").cast("int").alias("n_matched"))
 
 
 def with_score(counted: DataFrame) -> DataFrame:
-    return counted.withColumn("score", round_score(F.col("n_matched") / F.col("n_required")))
-
+    """The score; a posting that asks for nothing is met in full."""
+    return counted.withColumn("score", round_score(
+        F.when(F.col("n_required") == 0, F.lit(1.0)).otherwise(F.col("n_matched") / F.col("n_required"))))
 
-def _top_in_batches(terms: pd.DataFrame, key: str, k: int):
-    """Arrow-batch function: count overlaps of a batch with one index slice and
-    keep each posting's k best documents of the batch.
 
-    Documents enter in tie-break order, so a stable sort by count is the rank.
-    """
-    stem_codes, stem_values = pd.factorize(terms["stem"])
-    item_codes, item_ids = pd.factorize(terms[key])
-    required = np.zeros(len(item_ids), np.int64)
-    required[item_codes] = terms["n_required"].to_numpy()
-    by_stem = np.argsort(stem_codes, kind="stable")
-    items, weights = item_codes[by_stem], terms["n_terms"].to_numpy()[by_stem]
-    sizes = np.bincount(stem_codes, minlength=len(stem_values))
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    vocabulary = pa.array(stem_values)
-    rows_at_once = max(1, MATRIX_CELLS // max(1, len(item_ids)))
-
-    def count(stems: pa.ListArray) -> np.ndarray:
-        found = pc.index_in(stems.flatten(), value_set=vocabulary)
-        hit = pc.is_valid(found).to_numpy(zero_copy_only=False)
-        stem = found.filter(pa.array(hit)).to_numpy()
-        doc = np.repeat(np.arange(len(stems)), pc.list_value_length(stems).to_numpy())[hit]
-        n = sizes[stem]
-        ends = np.cumsum(n)
-        at = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n, n) + np.repeat(starts[stem], n)
-        cells = np.repeat(doc, n) * len(item_ids) + items[at]
-        flat = np.bincount(cells, weights[at], minlength=len(stems) * len(item_ids))
-        return flat.reshape(len(stems), len(item_ids)).astype(np.int64)
-
-    def run(batches):
-        for batch in batches:
-            table = pa.Table.from_batches([batch]).sort_by(
-                [("weak_lines", "ascending"), ("doc_id", "ascending")])
-            for at in range(0, table.num_rows, rows_at_once):
-                part = table.slice(at, rows_at_once).combine_chunks()
-                counts = count(part["stems"].combine_chunks())
-                if k == 1:
-                    doc = counts.argmax(axis=0)[None, :]
-                else:
-                    doc = np.argsort(-counts, axis=0, kind="stable")[:k]
-                item = np.broadcast_to(np.arange(len(item_ids)), doc.shape)
-                n = counts[doc, item].ravel()
-                keep = n > 0
-                doc, item = doc.ravel()[keep], item.ravel()[keep]
-                yield pa.RecordBatch.from_pydict({
-                    "doc_id": part["doc_id"].to_numpy()[doc],
-                    "weak_lines": part["weak_lines"].to_numpy()[doc].astype(np.int32),
-                    key: np.asarray(item_ids)[item],
-                    "n_required": required[item].astype(np.int32),
-                    "n_matched": n[keep].astype(np.int32),
-                })
-
-    return run
-
-
-def best_documents(doc_stems: DataFrame, postings: DataFrame, k: int = 1, key: str = "item_id",
-                   slice_entries: int = INDEX_SLICE_ENTRIES) -> DataFrame:
+def best_documents(doc_stems: DataFrame, postings: DataFrame, k: int = 1, key: str = "item_id") -> DataFrame:
     """Top k documents per posting: score, then fewer weak lines, then id.
 
-    ``doc_stems`` is (doc_id, weak_lines, stems). Each task reduces its batches
-    to at most k rows per posting before anything is shuffled, so neither the
-    pair matrix nor the document stems ever cross the network.
+    ``doc_stems`` is (doc_id, weak_lines, stems). Every posting gets k documents:
+    beside those that share a stem, the k first documents of the tie order stand
+    in with a count of zero, which is all that a posting without keywords, or
+    without overlap, has to choose from.
     """
-    slices = index_slices(posting_terms(postings, key), key, slice_entries)
-    if len(slices) > 1:
-        doc_stems = checkpointed(doc_stems)
-    source = doc_stems.select("doc_id", "weak_lines", "stems")
-    schema = f"doc_id BIGINT, weak_lines INT, {key} BIGINT, n_required INT, n_matched INT"
-    parts = [source.mapInArrow(_top_in_batches(s.toPandas(), key, k), schema) for s in slices]
-    order = Window.partitionBy(key).orderBy(
-        F.col("score").desc(), F.col("weak_lines"), F.col("doc_id")
-    )
-    found = with_score(reduce(DataFrame.unionByName, parts))
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    terms = posting_terms(postings, key)
+    first = doc_stems.select("doc_id", "weak_lines").orderBy("weak_lines", "doc_id").limit(k)
+    every = terms.select(key, "n_required").distinct()
+    idle = every.join(F.broadcast(first)).withColumn("n_matched", F.lit(0))  # k documents
+    counted = overlaps(doc_stems, terms, key).unionByName(idle)
+    counted = counted.groupBy("doc_id", "weak_lines", key, "n_required").agg(F.max("n_matched").alias("n_matched"))
+    order = Window.partitionBy(key).orderBy(F.col("score").desc(), F.col("weak_lines"), F.col("doc_id"))
+    return with_score(counted).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def score_pairs(pairs: DataFrame, docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -196,13 +100,13 @@ def score_pairs(pairs: DataFrame, docs: DataFrame, items: DataFrame) -> DataFram
 
     ``docs`` is (doc_id, stems); ``items`` is (item_id, terms, term_stems), where
     both arrays run in parallel. Membership uses one array intersection per
-    pair, and an empty requirement set scores 1.0. Documents are joined first,
-    while pairs are still thin; postings, the smaller side, come last.
+    pair, and an empty requirement set scores 1.0. Pairs take the postings first,
+    while they are thin; the wide documents come last and cross the network once.
     """
     # The intersection is bound once per pair, ahead of the filter over terms.
     matched = st.let("hs", "array_intersect(term_stems, stems)",
                      "filter(terms, (t, i) -> array_contains(hs, get(term_stems, i)))")
-    hits = pairs.join(docs, "doc_id").join(items, "item_id").withColumn("matched", F.expr(matched))
+    hits = pairs.join(items, "item_id").join(docs, "doc_id").withColumn("matched", F.expr(matched))
     return hits.select(
         *pairs.columns,
         "matched",

@@ -160,9 +160,11 @@ def _bare(array: str) -> str:
     return f"transform({array}, e -> {st.strip('substring_index(e, ' + chr(39) + ' (related:' + chr(39) + ', 1)')})"
 
 
-def close_gaps(rows: DataFrame, key: str = "doc_id") -> DataFrame:
+def close_gaps(rows: DataFrame, key: str = "doc_id", woven: int | None = None) -> DataFrame:
     """Add supported skills a tailored profile omits and weave preferred ones in.
 
+    ``woven`` bounds the preferred terms that enter the summary; all do by default.
+
     ``rows`` carries match lists (matched_skills, transferable_skills,
     preferred_matched, preferred_transferable), the grouped skills as an array
     of struct(grp, term), the profile's own skill spellings and the summary.
@@ -192,7 +194,7 @@ def close_gaps(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     missing = (
         "filter(preferred, p -> regexp_instr(lower(clean_summary), concat('\\\\b', "
         "regexp_replace(lower(p), '([^A-Za-z0-9 ])', '\\\\\\\\$1'), '\\\\b')) = 0)")
-    df = df.withColumn("woven", F.expr(f"slice({missing}, 1, {lx.WOVEN_TERMS})"))
+    df = df.withColumn("woven", F.expr(st.first(missing, woven)))
     sentence = (f"concat('Additional strengths include ', {tx.prose_list('woven')}, "
                 f"', aligned with this role\\'s preferred qualifications.')")
     return df.selectExpr(

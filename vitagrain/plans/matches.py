@@ -61,8 +61,8 @@ def posting_needs(analyses: DataFrame, mode: str, key: str = "item_id") -> DataF
 def match(pairs: DataFrame, profiles: DataFrame, analyses: DataFrame,
           mode: str = "accurate") -> DataFrame:
     """Matched, transferable and missing terms with job order and score."""
-    joined = pairs.join(profile_terms(profiles), "doc_id").join(
-        posting_needs(analyses, mode), "item_id")
+    # thin pairs take the postings first; the wide documents cross the network once
+    joined = pairs.join(posting_needs(analyses, mode), "item_id").join(profile_terms(profiles), "doc_id")
     df = joined.withColumn("hits", F.expr("array_intersect(transform(needs, n -> n.stem), stems)"))
     df = df.withColumns({
         "found": F.expr("filter(needs, n -> array_contains(hits, n.stem))"),

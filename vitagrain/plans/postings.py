@@ -24,7 +24,6 @@ HEADINGS = [
     ("none", r"(?i)^(about(\s+us)?|role\s+overview|company|benefits|compensation|why\s+join|"
              r"the\s+team|overview|location|equal\s+opportunity|perks)\s*:?\s*$"),
 ]
-MAX_ITEM = 200
 
 
 def heading(line: str) -> str:
@@ -36,19 +35,19 @@ def item(line: str) -> str:
     return st.strip(st.replace(line, tx.POSTING_BULLET))
 
 
-def section_items(segments: str) -> str:
-    """(section, item) of every short line; inline cues reroute to preferred."""
+def section_items(segments: str, longest: int | None = None) -> str:
+    """(section, item) of every line, of any length unless `longest` is given; inline cues reroute to preferred."""
+    short = "" if longest is None else f" AND length(x) <= {longest}"
     per_line = (
         f"transform(filter(transform(s.lines, x -> {item('x')}), "
-        f"x -> x <> '' AND length(x) <= {MAX_ITEM}), x -> named_struct('section', "
+        f"x -> x <> ''{short}), x -> named_struct('section', "
         f"CASE WHEN s.kind = 'required' AND {st.matches('x', tx.INLINE_PREFERRED)} "
         f"THEN 'preferred' ELSE s.kind END, 'item', x))")
     return f"flatten(transform(filter({segments}, s -> s.kind <> 'none'), s -> {per_line}))"
 
 
-def capped(items: str, section: str, cap: int) -> str:
-    return (f"slice(transform(filter({items}, t -> t.section = '{section}'), t -> t.item), "
-            f"1, {cap})")
+def of_section(items: str, section: str, limit: int | None = None) -> str:
+    return st.first(f"transform(filter({items}, t -> t.section = '{section}'), t -> t.item)", limit)
 
 
 def job_title(lines: str) -> str:
@@ -60,8 +59,13 @@ def job_title(lines: str) -> str:
     return (f"coalesce({st.strip(labelled, ' -–—')}, {st.strip(role, ' -–—:')}, '')")
 
 
-def analyse(postings: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
-    """One structured analysis per posting."""
+def analyse(postings: DataFrame, key: str = "item_id", text: str = "text", per_category: int | None = None,
+            preferred: int | None = None, longest: int | None = None) -> DataFrame:
+    """One structured analysis per posting.
+
+    per_category and preferred bound the length of each list, longest the length of
+    a line that counts; none of them cuts anything by default.
+    """
     df = postings.withColumns({
         "keywords": F.expr(tk.keywords(text)),
         "lower_text": F.lower(text),
@@ -69,25 +73,25 @@ def analyse(postings: DataFrame, key: str = "item_id", text: str = "text") -> Da
         "years": F.expr(tx.years_required(text)),
     })
     heads = f"transform(lines, x -> named_struct('kind', {heading('x')}, 'rest', ''))"
-    df = df.withColumn("items", F.expr(section_items(ln.sections("lines", heads))))
+    df = df.withColumn("items", F.expr(section_items(ln.sections("lines", heads), longest)))
     df = df.withColumns({
-        "required_skills": F.expr(capped("items", "required", lx.MAX_PER_CATEGORY)),
-        "preferred_skills": F.expr(capped("items", "preferred", lx.MAX_PREFERRED)),
-        "responsibilities": F.expr(capped("items", "responsibilities", lx.MAX_PER_CATEGORY)),
+        "required_skills": F.expr(of_section("items", "required", per_category)),
+        "preferred_skills": F.expr(of_section("items", "preferred", preferred)),
+        "responsibilities": F.expr(of_section("items", "responsibilities", per_category)),
     })
     both = "concat(required_skills, preferred_skills)"
+    qualifies = st.matches("x", tx.QUALIFICATION)
     return df.selectExpr(
         key, text, "keywords", "required_skills", "preferred_skills",
         f"array_sort(array_intersect(keywords, {st.array(lx.TECHNOLOGIES)})) AS technologies",
         "responsibilities",
         f"{tx.seniority(text, 'years')} AS seniority",
         f"{job_title('lines')} AS target_job_title",
-        *[f"{tx.vocabulary_hits('keywords', 'lower_text', terms)} AS {name}"
+        *[f"{tx.vocabulary_hits('keywords', 'lower_text', terms, per_category)} AS {name}"
           for name, terms in lx.CATEGORIES.items()],
         f"{tx.business_domain('lower_text')} AS business_domain",
-        f"slice(filter({both}, x -> {st.matches('x', tx.QUALIFICATION)}), 1, "
-        f"{lx.MAX_PER_CATEGORY}) AS qualifications",
-        f"{tx.certifications(text)} AS certifications",
+        f"{st.first(f'filter({both}, x -> {qualifies})', per_category)} AS qualifications",
+        f"{tx.certifications(text, per_category)} AS certifications",
         "years AS required_years_experience",
     )
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
+READ_PARTS = "spark.vitagrain.readParts"
+
+
 def build_session(cores: str = "*", app: str = "vitagrain", memory: str = "16g") -> SparkSession:
     """A local session for tests and benchmarks."""
     return (
@@ -16,6 +17,7 @@ def build_session(cores: str = "*", app: str = "vitagrain", memory: str = "16g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", "8")
+        .config(READ_PARTS, cores if cores.isdigit() else "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -23,32 +25,11 @@ def build_session(cores: str = "*", app: str = "vitagrain", memory: str = "16g")
     )
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for cut lineage; a private one only when none is named."""
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not folder:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor shares")
-        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(folder)
-    return folder
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared folder so lost executors cost no replay."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-partition a small input that would otherwise run in too few tasks.
+def read_parts(df: DataFrame, key: str) -> DataFrame:
+    """Deal a scan out by key into as many parts as the session setting READ_PARTS names.
 
-    A large scan already has many splits and is returned untouched, so no
-    shuffle of raw text is added at scale.
+    Unset, as on a cluster, the scan's own splits stay. Local sessions set it, since a
+    small file of one row group is one split.
     """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= slots:
-        return df
-    return df.repartition(slots, key)
+    parts = df.sparkSession.conf.get(READ_PARTS, None)
+    return df.repartition(int(parts), key) if parts else df

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vitagrain.session import spread
+from vitagrain.session import read_parts
 from vitagrain.sources.tables import read_table
 
 TITLES = [
@@ -173,7 +173,7 @@ def profile_text(k: str, body: str) -> str:
 
 def profiles(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, text): one rendered profile per stored document."""
-    docs = spread(read_table(spark, folder, "documents"), "doc_id")
+    docs = read_parts(read_table(spark, folder, "documents"), "doc_id")
     return docs.selectExpr("doc_id", f"{profile_text('doc_id', 'text')} AS text")
 
 
@@ -248,7 +248,7 @@ def tailored(spark: SparkSession, folder: str) -> DataFrame:
         return (f"transform(filter(array({items}), x -> x.n < {job_count(k)}), x -> named_struct("
                 f"'title', x.title, 'company', x.company, 'dates', x.dates, 'bullets', x.bullets))")
 
-    docs = spread(read_table(spark, folder, "documents"), "doc_id")
+    docs = read_parts(read_table(spark, folder, "documents"), "doc_id")
     master = jobs(lambda j: {"title": job_title(k, j), "company": job_company(k, j),
                              "dates": job_dates(k, j)}, lambda j: job_bullets(k, j))
     drifted = jobs(lambda j: tailored_fields(k, j), lambda j: tailored_bullets(k, j))
