@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vitagrain.catalog.base import Catalog
-from vitagrain.catalog.profiles import exploded_jobs
+from vitagrain.catalog.profiles import exploded_jobs, structured
 from vitagrain.functions import dates as dt
 from vitagrain.functions import lexicon as lx
 from vitagrain.functions import stacks as sk
@@ -116,7 +116,8 @@ def audit_clean(spark, sf):
 @query("tenure_a7_a8_a9_t36", f"""WITH {S} SELECT doc_id, strftime(first_month, '%Y-%m-%d') AS first_month, strftime(last_month, '%Y-%m-%d') AS last_month,
 CAST(months AS INT) AS months, CAST(months // 12 AS INT) AS years, phrase, {NEW_SUMMARY} AS summary FROM phrases JOIN career USING (doc_id)""")
 def tenure(spark, sf):
-    df = dv.tailored(spark, sf).select("doc_id", "summary", F.expr(au.span("master", AS_OF)).alias("s"))
+    df = structured(spark, sf).select(
+        "doc_id", F.expr(SUMMARY).alias("summary"), F.expr(au.span("experience", AS_OF)).alias("s"))
     df = df.withColumn("months", F.expr(dt.months_inclusive("s.starts", "s.ends")))
     df = df.withColumn("phrase", F.expr(dt.tenure_phrase("months")))
     return df.select(
@@ -129,7 +130,7 @@ def tenure(spark, sf):
 @query("job_periods_d1_d2_d8_p14", f"""WITH s AS ({SPANS}) SELECT doc_id, CAST(pos AS INT) AS pos, strftime(starts, '%Y-%m') AS starts,
 strftime(ends, '%Y-%m') AS ends, ends >= DATE '2016-03-01' AS allowed FROM s""")
 def job_periods(spark, sf):
-    jobs = exploded_jobs(dv.tailored(spark, sf).selectExpr("doc_id", "master AS experience"))
+    jobs = exploded_jobs(structured(spark, sf))
     p = jobs.select("doc_id", "pos", F.expr(dt.period("j.dates", AS_OF)).alias("p"))
     return p.select("doc_id", "pos", F.date_format("p.starts", "yyyy-MM").alias("starts"),
                     F.date_format("p.ends", "yyyy-MM").alias("ends"),
@@ -139,7 +140,7 @@ def job_periods(spark, sf):
 @query("date_ranges_d3", f"""WITH {M} SELECT doc_id, CAST(pos AS INT) AS pos, true AS dated, company || ' |  x' AS rest FROM m""")
 def date_ranges(spark, sf):
     """Detect and strip the period inside a header line."""
-    jobs = exploded_jobs(dv.tailored(spark, sf).selectExpr("doc_id", "master AS experience"))
+    jobs = exploded_jobs(structured(spark, sf))
     line = "concat(j.company, ' | ', j.dates, ' x')"
     return jobs.select("doc_id", "pos", F.expr(au.st.matches(line, dt.FULL_RANGE)).alias("dated"),
                        F.expr(au.st.replace(line, dt.FULL_RANGE)).alias("rest"))
@@ -148,7 +149,7 @@ def date_ranges(spark, sf):
 @query("forbidden_technologies_j9", f"""WITH s AS ({SPANS}), {ALL_ERAS} SELECT doc_id, CAST(pos AS INT) AS pos, rule_key FROM s JOIN rules ON ends < introduced""")
 def forbidden_technologies(spark, sf):
     """Rules newer than each job; the rule list is a literal, so no join is needed."""
-    jobs = exploded_jobs(dv.tailored(spark, sf).selectExpr("doc_id", "master AS experience"))
+    jobs = exploded_jobs(structured(spark, sf))
     ended = jobs.select("doc_id", "pos", F.expr(f"{dt.period('j.dates', AS_OF)}.ends").alias("ends"))
     return ended.select("doc_id", "pos", F.explode_outer(F.expr(sk.forbidden("ends"))).alias("r")) \
         .filter("r IS NOT NULL").select("doc_id", "pos", "r.rule_key")
@@ -157,7 +158,7 @@ def forbidden_technologies(spark, sf):
 @query("technology_mentions_j10", f"""WITH {M}, {ERAS}, b AS (SELECT doc_id, pos, unnest(bullets) AS bullet, generate_subscripts(bullets, 1) AS n FROM m)
 SELECT doc_id, CAST(pos AS INT) AS pos, CAST(n - 1 AS INT) AS bullet_pos, rule_key FROM b JOIN era ON contains(bullet, word)""")
 def technology_mentions(spark, sf):
-    jobs = exploded_jobs(dv.tailored(spark, sf).selectExpr("doc_id", "master AS experience"))
+    jobs = exploded_jobs(structured(spark, sf))
     bullets = jobs.select("doc_id", "pos", F.posexplode_outer("j.bullets").alias("bullet_pos", "b"))
     return bullets.select("doc_id", "pos", "bullet_pos",
                           F.explode_outer(F.expr(sk.mentions("b"))).alias("m")) \

@@ -8,7 +8,7 @@ from vitagrain.catalog import sqlkit as sk
 from vitagrain.catalog.base import Catalog
 from vitagrain.catalog.coverage import PAIRS as SCORED
 from vitagrain.catalog.coverage import WEAK, best_of_corpus, corpus
-from vitagrain.catalog.profiles import JOBS, PREFERRED, REQUIRED, exploded_jobs
+from vitagrain.catalog.profiles import JOBS, PREFERRED, REQUIRED, exploded_jobs, structured
 from vitagrain.functions import headers as hd
 from vitagrain.functions import lexicon as lx
 from vitagrain.functions import sqltext as st
@@ -193,7 +193,8 @@ def jobs_by_bullets(spark, sf):
 
 
 def bullets_of(spark, sf):
-    return dv.tailored(spark, sf).selectExpr("doc_id", "master", "tailored")
+    """Jobs parsed back from the rendered profile, whole stored text included."""
+    return structured(spark, sf).selectExpr("doc_id", "experience AS master", "experience AS tailored")
 
 
 BULLETS = "b AS (SELECT doc_id, pos, unnest(bullets) AS bullet, generate_subscripts(bullets, 1) AS n FROM jobs)"
@@ -211,12 +212,12 @@ def filled_bullets(spark, sf):
 
 
 @query("job_digest_w19", f"""WITH {JOBS} SELECT doc_id, string_agg(title || ' at ' || company || ' (' || dates || ')' || chr(10) ||
-array_to_string(list_transform(bullets[1:2], lambda b: '  - ' || b), chr(10)), chr(10) || chr(10) ORDER BY pos) AS digest FROM jobs GROUP BY 1""")
+array_to_string(list_transform(bullets, lambda b: '  - ' || b), chr(10)), chr(10) || chr(10) ORDER BY pos) AS digest FROM jobs GROUP BY 1""")
 def job_digest(spark, sf):
     tidy = ("transform(master, j -> named_struct('title', j.title, 'company', j.company, "
             "'dates', j.dates, 'bullets', transform(j.bullets, b -> replace(b, '  ', ' '))))")
     return bullets_of(spark, sf).selectExpr("doc_id", f"{tidy} AS jobs").select(
-        "doc_id", F.expr(ln.digest("jobs", 3, 2)).alias("digest"))
+        "doc_id", F.expr(ln.digest("jobs")).alias("digest"))
 
 
 @query("positional_zip_n4_n2_n8", f"""WITH {JOBS} SELECT doc_id, string_agg(title || '@' || company, ';' ORDER BY pos) AS headers, count(*) AS n_jobs FROM jobs GROUP BY 1""")

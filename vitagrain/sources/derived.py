@@ -220,6 +220,7 @@ def tailored_bullets(k: str, j: int) -> list[str]:
         "'Moved Laravel and PHP jobs to the cloud'",
         f"CONCAT('Wrote Django and Scala tools for ', CAST({k} % 9 AS STRING), ' users')",
         "'Kept Rails alive during the move'",
+        "CONCAT('Noted: ', translate(coalesce(text, ''), concat(chr(10), '.#'), '   '))",  # the whole stored text
     ]
 
 
