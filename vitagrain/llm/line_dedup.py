@@ -121,13 +121,25 @@ def _asked(batches: Iterator[pa.RecordBatch], rows, lines) -> Iterator[pa.Record
 
 
 def measure_lines(left: pa.Array, right: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Sizes of intersection and union of the lines' shingle sets."""
+    """Sizes of intersection and union of the lines' shingle sets; many lines are shingled at a time."""
     shared, united = np.zeros(len(left), np.int64), np.ones(len(left), np.int64)
-    for i in range(len(left)):
-        a, b = (np.unique(_laid([x[i].as_py()])[0]) for x in (left, right))
-        shared[i] = common(a, b)
-        united[i] = len(a) + len(b) - shared[i]
-    return shared, united
+    for low in range(0, len(left), 2000):
+        pairs = [left.slice(low, 2000).to_pylist(), right.slice(low, 2000).to_pylist()]
+        lines = list(dict.fromkeys(pairs[0] + pairs[1]))
+        hashes, offsets = _laid(lines)
+        line = np.repeat(np.arange(len(lines)), np.diff(offsets))
+        order = np.lexsort((hashes, line))
+        hashes, line = hashes[order], line[order]
+        first = np.ones(len(hashes), bool)
+        first[1:] = (hashes[1:] != hashes[:-1]) | (line[1:] != line[:-1])
+        hashes, sizes = hashes[first], np.bincount(line[first], minlength=len(lines))
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        number = {x: i for i, x in enumerate(lines)}
+        a, b = (np.array([number[x] for x in side]) for side in pairs)
+        for i, (x, y) in enumerate(zip(a, b), low):
+            shared[i] = common(hashes[starts[x]: starts[x + 1]], hashes[starts[y]: starts[y + 1]])
+        united[low: low + len(a)] = sizes[a] + sizes[b]
+    return shared, np.maximum(united - shared, 1)
 
 
 def lost_lines(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:

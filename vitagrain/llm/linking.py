@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from vitagrain.llm.common import held_bits, mix, shared_folder, written
 
-LEADER_ROUNDS, LEADERS = 3, 3
+LEADER_ROUNDS, LEADERS = 2, 3
 #: The bit table of shared keys has two to this power bits: 4 MB.
 SLOT_BITS = 25
 #: Sets have two to this power cells, whose counts end at FULL_CELL.
