@@ -122,10 +122,10 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
     rows = keyed(docs)
     asked = successors(rows).select(F.col("id").alias("to_id"), F.col("mark").alias("to_mark"), "n_chars",
                                     F.col("next_id").alias("id"), F.col("next_mark").alias("mark"))
-    once = rows.dropDuplicates(["id", "mark"])
     half = F.expr("substring(text, 1, cast(n_chars div 2 AS int))")
-    sent = with_spots(once.join(asked, ["id", "mark"]), "text", "next_spots").select(
+    sent = with_spots(rows.join(asked, ["id", "mark"]), "text", "next_spots").select(
         F.col("to_id").alias("id"), F.col("to_mark").alias("mark"), "n_chars", half.alias("half"), "next_spots")
+    sent = sent.dropDuplicates(["id", "mark"])  # a repeated next row sends the same
     met = rows.join(sent, ["id", "mark"])
     met = met.withColumn("edited", F.expr("concat(substring(text, 1, cast(n_chars - n_chars div 2 AS int)), half)"))
     met = with_spots(with_spots(met, "text", "own"), "edited", "other")
