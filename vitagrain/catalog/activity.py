@@ -454,6 +454,16 @@ def link_page(spark, sf):
         .select("id", "link_key")
 
 
+@query("link_report_c7", f"""WITH {LIVE}, newest AS (SELECT * FROM live WHERE {NOT_EXCLUDED}
+QUALIFY row_number() OVER (PARTITION BY link_key ORDER BY id DESC) = 1)
+SELECT id, link_key, CAST({RANK} AS INT) AS source_rank FROM newest
+WHERE CAST(created_at AS DATE) BETWEEN DATE '2024-01-03' AND DATE '2024-01-20' AND contains(lower(main_stack), 'a')
+ORDER BY source_rank, id DESC LIMIT 15 OFFSET 15""")
+def link_report(spark, sf):
+    return ac.link_report(records(spark, sf), first="2024-01-03", last="2024-01-20", stack=" A ", page=2, size=15) \
+        .select("id", "link_key", "source_rank")
+
+
 @query("users_by_id_o7", f"WITH {U} SELECT id, name FROM users ORDER BY id")
 def users_by_id(spark, sf):
     return users(spark, sf).select("id", "name").orderBy("id")
@@ -497,6 +507,18 @@ def cascade_erase(spark, sf):
     return mn.erase(records(spark, sf), gone, "user_id").select("id", "user_id")
 
 
+@query("erase_members_m2", f"""WITH {R}, {U}, {T}, gone AS (SELECT id FROM users WHERE NOT is_active)
+SELECT 'records' AS part, id FROM records WHERE user_id NOT IN (SELECT id FROM gone)
+UNION ALL SELECT 'templates', id FROM templates WHERE user_id NOT IN (SELECT id FROM gone)
+UNION ALL SELECT 'users', id FROM users WHERE is_active""")
+def erase_members(spark, sf):
+    """Records, templates and the members themselves."""
+    held = mn.erase_members({"records": records(spark, sf), "templates": templates(spark, sf)}, users(spark, sf),
+                            users(spark, sf).filter(~F.col("is_active")))
+    parts = [df.select(F.lit(name).alias("part"), "id") for name, df in held.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 CHANGES = """SELECT o_custkey AS id, CASE WHEN max(o_orderkey) % 2 = 0 THEN true WHEN max(o_orderkey) % 3 = 0 THEN false END AS is_approved,
 CASE WHEN max(o_orderkey) % 5 = 0 THEN false END AS is_active FROM orders WHERE o_totalprice > 400000 GROUP BY o_custkey"""
 

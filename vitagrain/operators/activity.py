@@ -117,6 +117,14 @@ def page_slice(df: DataFrame, order: list[Column], page: int, size: int,
     return df.orderBy(*order).offset((page - 1) * size).limit(size)
 
 
+def link_report(records: DataFrame, users: DataFrame | None = None, first: str = "", last: str = "",
+                stack: str = "", page: int = 1, size: int = 20) -> DataFrame:
+    """One page of the job-link report: unique links, filters on their newest rows, source rank."""
+    rows = day_between(unique_links(records, users, drop_excluded=True), "created_at", first, last)
+    rows = contains_all(rows, main_stack=stack).withColumn("source_rank", F.expr(tx.link_rank("job_link")))
+    return page_slice(rows, [F.col("source_rank"), F.col("id").desc()], page, size)
+
+
 def facet(df: DataFrame, column: str) -> DataFrame:
     """Distinct non-blank values in order."""
     return (

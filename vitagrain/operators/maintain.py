@@ -16,6 +16,11 @@ def erase(table: DataFrame, keys: DataFrame, column: str, key: str = "id") -> Da
     return table.join(keys.select(F.col(key).alias(column)), column, "left_anti")
 
 
+def erase_members(tables: dict[str, DataFrame], users: DataFrame, gone: DataFrame) -> dict[str, DataFrame]:
+    """Every table that names a member by user_id, and the members, without the erased ones."""
+    return {n: erase(t, gone, "user_id") for n, t in tables.items()} | {"users": erase(users, gone, "id")}
+
+
 def update_access(users: DataFrame, changes: DataFrame) -> DataFrame:
     """Apply optional approve/active changes; approval implies active."""
     asked = changes.select("id", F.col("is_approved").alias("new_approved"),
