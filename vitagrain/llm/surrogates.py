@@ -54,20 +54,23 @@ SYLLABLES = {"latin": "ba ce di fo gu ha ke li mo nu pa re si to va we".split(),
              "cyrillic": "ба ве ги до жу за ки ле мо ну па ре си то фу ха".split(),
              "greek": "βα γε δι ζο θυ κα λε μι νο πα ρε σι το φα χε ψι".split()}
 TITLES = "|".join(t.replace("-", r"\-") for t in MALE + FEMALE + NEUTRAL)
-#: (type, pattern); the first that fits at a place wins.
+FIRSTS = "".join(sorted({t[0] for t in MALE + FEMALE + NEUTRAL}))
+#: (type, pattern); the first that fits at a place wins. Tests of the first character keep the scan cheap.
 KINDS = (
-    ("email", r"[\p{L}0-9][\p{L}0-9._%+\-]*@[\p{L}0-9\-]+(?:\.[\p{L}0-9\-]+)*\.\p{L}{2,}"),
-    ("secret", r"\b(?i:password|passwd|pwd|secret|token|api[_\-]?key)\s{0,2}[=:]\s{0,2}[\"']?[^\s\"']{4,}"),
-    ("access", r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|\b(?:sk|ghp|xox[abp])[_\-][0-9A-Za-z_\-]{16,}"),
+    ("email", r"(?<![\p{L}0-9])[\p{L}0-9][\p{L}0-9._%+\-]*+@[\p{L}0-9\-]+(?:\.[\p{L}0-9\-]+)*\.\p{L}{2,}"),
+    ("secret", r"\b(?=[PpSsTtAa])(?i:password|passwd|pwd|secret|token|api[_\-]?key)\s{0,2}[=:]\s{0,2}[\"']?[^\s\"']{4,}"),
+    ("access", r"\b(?:A[KS]IA[0-9A-Z]{16}\b|(?:sk|ghp|xox[abp])[_\-][0-9A-Za-z_\-]{16,})"),
     ("bank", r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"),
     ("address", r"\b(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}\b(?!\.[0-9])"),
     ("identity", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b"),
     ("card", r"\b[0-9]{4}(?:[ \-]?[0-9]{4}){2}[ \-]?[0-9]{1,7}\b|\b3[47][0-9]{2}[ \-]?[0-9]{6}[ \-]?[0-9]{5}\b"),
     ("phone", r"(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{2,4}\)|\b[0-9]{2,4})[ .\-][0-9]{3,4}[ .\-][0-9]{3,5}\b"
               r"|\+[0-9]{1,3}[ .\-]?[0-9]{6,12}\b"),
-    ("name", rf"\b(?:{TITLES})\.? \p{{Lu}}[\p{{L}}'’\-]+(?: \p{{Lu}}[\p{{L}}'’\-]+)?"),
+    ("name", rf"\b(?=[{FIRSTS}])(?:{TITLES})\.? \p{{Lu}}[\p{{L}}'’\-]+(?: \p{{Lu}}[\p{{L}}'’\-]+)?"),
 )
-PATTERN = "|".join(f"(?:{p})" for _, p in KINDS)
+NUMBERS = ("address", "identity", "card", "phone")
+PATTERN = "|".join([*(f"(?:{p})" for k, p in KINDS if k not in (*NUMBERS, "name")),
+                    f"(?=[0-9+(])(?:{'|'.join(f'(?:{p})' for k, p in KINDS if k in NUMBERS)})", f"(?:{dict(KINDS)['name']})"])
 DIGITS = ("bank", "address", "identity", "card", "phone")
 
 
