@@ -93,7 +93,9 @@ def test_analyse_posting(spark):
     text = ("Senior Engineer\nRequirements\n- Kafka is a plus\n- " + "x" * 201 +
             "\n- Bachelor degree\nBenefits\nGym\nDuties:\n- Own it\n")
     df = spark.createDataFrame([(1, text)], "item_id BIGINT, text STRING")
-    r = po.analyse(df).first()
+    whole = po.analyse(df).first()
+    assert whole.required_skills == ["x" * 201, "Bachelor degree"]
+    r = po.analyse(df, longest=200).first()
     assert r.preferred_skills == ["Kafka is a plus"] and r.required_skills == ["Bachelor degree"]
     assert r.responsibilities == ["Own it"] and r.qualifications == ["Bachelor degree"]
     assert r.target_job_title == "Senior Engineer" and r.technologies == ["kafka"]
