@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 
 from vitagrain.llm.common import held_bits, mix, shared_folder, written
 
-LEADER_ROUNDS, LEADERS = 2, 3
-#: The bit table of shared keys has two to this power bits: 4 MB.
-SLOT_BITS = 25
+LEADER_ROUNDS, LEADERS = 1, 3
+#: The bit table of shared keys has two to this power bits: 2 MB.
+SLOT_BITS = 24
 #: Sets have two to this power cells, whose counts end at FULL_CELL.
 CELL_BITS, FULL_CELL = 6, 65535
 

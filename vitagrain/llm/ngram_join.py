@@ -44,7 +44,7 @@ from vitagrain.llm.common import (
 from vitagrain.llm.linking import cells_of, link, measure_sets
 from vitagrain.llm.shingles import set_hash, word_shingles
 
-FREQUENT = 1 << 19
+FREQUENT = 1 << 17
 #: Shingle counts that a task holds before it passes the repeated ones on.
 HELD = 1 << 22
 
