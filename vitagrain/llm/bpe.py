@@ -14,7 +14,8 @@ cut there and most words come from the cache.
 
 Defined cases: null and empty texts have no ids and decode to the empty text;
 the text of a special token in a document is that token, as in the library;
-repeated rows, null keys and extra columns pass through unchanged.
+repeated rows, null keys and extra columns pass through unchanged; the name of
+the new column is the caller's and must be new.
 """
 
 from __future__ import annotations
@@ -31,8 +32,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitagrain.llm.common import fresh
-
 LONG_PARTS = 64
 CACHE_WORDS = 600_000
 #: One of these after letters is a pre-token of its own.
@@ -248,5 +247,3 @@ def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
 
-
-__all__ = ["RankArrayBpe", "encode", "decode", "encoder", "fresh", "round_trip"]
