@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from vitagrain.catalog.base import Catalog
 from vitagrain.catalog.profiles import exploded_jobs, structured
 from vitagrain.functions import dates as dt
-from vitagrain.functions import lexicon as lx
 from vitagrain.functions import stacks as sk
 from vitagrain.plans import audits as au
 from vitagrain.sources import derived as dv

@@ -354,7 +354,7 @@ SKILL_GROUPS = {
     "devops": "DevOps", "databases": "Databases", "ai": "AI", "tools": "Tools",
 }
 
-# --- Fixed values: limits ----------------------------------------------------
+# --- Fixed values: limits that callers may pass; nothing applies them by default ---
 MAX_PER_CATEGORY = 12
 MAX_PREFERRED = 20
 MAX_QUESTIONS = 12
