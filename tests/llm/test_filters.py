@@ -114,6 +114,23 @@ def test_surrogates_stay_distinct(spark, make, tmp_path):
     assert not {t.split()[1] for t in out} & {t.split()[1] for t in people}
 
 
+def test_surrogates_settle_whatever_the_space(make):
+    hidden = ["password: ****", "token: ----", "secret=....", "password=密码密码", "sk_----------------"]
+    short = [f"{'abcdefghij'[i % 10]}@m{i}.net" for i in range(200)] + ["李@mail.cn"]
+    taken = [f"{c}@example.{end}" for c in "abcdefghijklmnopqrstuvwxyz" for end in ("com", "net", "org")]
+    texts = hidden + short + taken
+    out = [r.text for r in surrogates.replace(make(texts)).orderBy("doc_id").collect()]
+    assert len(set(out)) == len(texts) and not set(out) & set(texts)
+    assert re.fullmatch(r"password: [a-z0-9]{4}", out[0]) and re.fullmatch("password=[a-z]{4}", out[3])
+    assert all(re.fullmatch(r"[a-z][a-z0-9]*@example\.(com|net|org)", t) for t in out[len(hidden):])
+
+
+def test_many_names_get_a_wide_first_draw(make, spark, tmp_path):
+    units = spark.createDataFrame([("surname-latin", f"name{i}") for i in range(3000)], "type string, canon string")
+    rows = surrogates.settled(units, "key", str(tmp_path)).collect()
+    assert len({r.new for r in rows}) == 3000 and len(list(tmp_path.glob("units_*"))) <= 4
+
+
 def test_surrogates_of_odd_rows(odd, none):
     rows = surrogates.replace(odd)
     assert rows.columns == odd.columns and rows.count() == odd.count()

@@ -12,7 +12,9 @@ stay valid), letters for letters in their case, names from lists of the same
 script and of the gender that the title tells. Units are distinct rows of the
 corpus; a surrogate that another unit has, or that occurs in the corpus itself,
 is drawn again with the next attempt number until none collides, so different
-entities stay different.
+entities stay different. Later attempts have room for any number of units: names
+take syllables (as many from the start as the number of names asks for), e-mails
+and secrets letters, telephone and identity numbers digits at their end.
 
 Texts without an entity pass by; of the others only entities travel to the
 units, and the text meets its replacements once.
@@ -75,6 +77,10 @@ DIGITS = ("bank", "address", "identity", "card", "phone")
 
 
 HEX = "0123456789abcdef"
+#: What stands for characters of texts that hold no letter or digit, and what later attempts append.
+ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789"
+#: Attempts in the shape of the original, before characters are appended.
+SHAPED, SHAPED_DIGITS = 2, 6
 SECRET_LABEL = r"^((?i:password|passwd|pwd|secret|token|api[_\-]?key)\s{0,2}[=:]\s{0,2}[\"\']?)"
 
 
@@ -119,13 +125,30 @@ def _value(stream: str, place: str) -> str:
 
 
 def _shaped(text: str, stream: str = "stream") -> str:
-    """SQL: every digit, small and capital letter replaced by another of its class, all else kept."""
+    """SQL: every digit, capital and other letter replaced by another of its class, all else kept."""
     v = _value(stream, "i")
     return (f"array_join(transform(split({text}, ''), (c, i) -> CASE WHEN c BETWEEN '0' AND '9' THEN cast({v} % 10 AS string) "
-            f"WHEN c BETWEEN 'A' AND 'Z' THEN chr(65 + {v} % 26) WHEN lower(c) <> upper(c) THEN chr(97 + {v} % 26) "
+            f"WHEN c BETWEEN 'A' AND 'Z' THEN chr(65 + {v} % 26) WHEN c RLIKE '[\\\\p{{L}}\\\\p{{N}}]' THEN chr(97 + {v} % 26) "
             f"ELSE c END), '')")
 
 
+def _drawn(text: str, stream: str = "stream") -> str:
+    """SQL: every character replaced by one of the alphabet."""
+    return (f"array_join(transform(split({text}, ''), (c, i) -> substring('{ALPHABET}', 1 + {_value(stream, 'i')} % "
+            f"{len(ALPHABET)}, 1)), '')")
+
+
+def _hidden(text: str) -> str:
+    """SQL: the shape of a text that has a letter or digit, else characters of the alphabet."""
+    return f"IF({text} RLIKE '[\\\\p{{L}}\\\\p{{N}}]', {_shaped(text)}, {_drawn(text)})"
+
+
+def _tail(after: int, kinds: int) -> str:
+    """SQL: a keyed letter or digit (of the alphabet's last `kinds`) for every attempt beyond `after`."""
+    return (f"array_join(transform(sequence(0, greatest(attempt - {after - 1}, 0)), (x, i) -> IF(i = 0, '', "
+            f"substring('{ALPHABET[-kinds:]}', 1 + {_value('more', 'i')} % {kinds}, 1))), '')")
+
+
 def _check_digit(body: str) -> str:
     """SQL: the Luhn digit that completes a string of digits."""
     doubled = "int(c) * 2 - IF(int(c) > 4, 9, 0)"
@@ -143,6 +166,7 @@ def _bank(country: str, rest: str) -> str:
 def drawn(units: DataFrame, key: str) -> DataFrame:
     """Units (type, canon, attempt) with `new`, the canonical form of their surrogate."""
     made = units.withColumn("stream", F.sha2(F.concat_ws("\n", F.lit(key), "type", "canon", F.col("attempt").cast("string")), 512))
+    made = made.withColumn("more", F.sha2("stream", 512))
     lists = {k: v for k, v in NAMES.items()}
     names = F.create_map(*(x for k, v in lists.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
     sounds = F.create_map(*(x for k, v in SYLLABLES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
@@ -151,23 +175,30 @@ def drawn(units: DataFrame, key: str) -> DataFrame:
     name = (f"lower(concat(get(names, {pick} % size(names)), array_join(transform(sequence(0, attempt), "
             f"i -> IF(i = 0, '', get(sounds, {_value('stream', 'i')} % 16))), '')))")
     local = "substring_index(canon, '@', 1)"
-    mail = f"concat({_shaped(local)}, '@', get(array('example.com', 'example.net', 'example.org'), {pick} % 3))"
+    mail = f"concat({_shaped(local)}, {_tail(SHAPED, 36)}, '@', get(array('example.com', 'example.net', 'example.org'), {pick} % 3))"
     address = "concat_ws('.', " + ", ".join(f"1 + {_value('stream', str(i))} % 254" for i in range(4)) + ")"
     kept = "greatest(length(canon) - 10, 0)"
     phone = (f"concat(substring(canon, 1, {kept}), translate(substring({_shaped('canon')}, {kept} + 1, 1), '01', '78'), "
-             f"substring({_shaped('canon')}, {kept} + 2))")
+             f"substring({_shaped('canon')}, {kept} + 2), {_tail(SHAPED_DIGITS, 10)})")
     body = f"concat(substring(canon, 1, 1), substring({_shaped('canon')}, 2, length(canon) - 2))"
     bank = _bank("substring(canon, 1, 2)", f"substring({_shaped('canon')}, 5)")
-    access = f"concat(substring(canon, 1, 4), substring({_shaped('canon')}, 5))"
+    access = f"concat(substring(canon, 1, 4), {_hidden('substring(canon, 5)')}, {_tail(SHAPED, 36)})"
+    secret = f"concat({_hidden('canon')}, {_tail(SHAPED, 36)})"
+    identity = f"concat({_shaped('canon')}, {_tail(SHAPED_DIGITS, 10)})"
     new = (f"CASE WHEN names IS NOT NULL THEN {name} WHEN type = 'email' THEN {mail} WHEN type = 'address' THEN {address} "
            f"WHEN type = 'phone' THEN {phone} WHEN type = 'card' THEN concat({body}, {_check_digit(body)}) "
-           f"WHEN type = 'bank' THEN {bank} WHEN type = 'access' THEN {access} ELSE {_shaped('canon')} END")
+           f"WHEN type = 'bank' THEN {bank} WHEN type = 'access' THEN {access} WHEN type = 'secret' THEN {secret} "
+           f"ELSE {identity} END")
     return made.withColumn("new", F.expr(new)).select("type", "canon", "attempt", "new")
 
 
 def settled(units: DataFrame, key: str, folder: str) -> DataFrame:
     """type, canon and new of every unit; no two share a surrogate and none is the canonical form of another."""
-    now = units.select("type", "canon", F.lit(0).alias("attempt"), F.lit(False).alias("done"))
+    # names start with the syllables that give four times as many surrogates as there are names of the type
+    many = units.where(F.col("type").isin(*NAMES)).groupBy("type").agg(F.count("*").alias("many"))  # a dozen rows
+    first = F.greatest(F.ceil(F.log(16.0, 4.0 * F.col("many"))) - 1, F.lit(0)).cast("int")
+    now = units.join(F.broadcast(many), "type", "left").select(
+        "type", "canon", F.coalesce(first, F.lit(0)).alias("attempt"), F.lit(False).alias("done"))
     turn = 0
     while True:
         tried = drawn(now, key).join(now.select("type", "canon", "done"), ["type", "canon"])
@@ -192,7 +223,7 @@ def replacements(surfaces: DataFrame, key: str, folder: str) -> DataFrame:
     filled = ("array_join(transform(split(raw, ''), (c, i) -> IF(c RLIKE '[0-9A-Za-z]', substring(new, "
               "length(regexp_replace(substring(raw, 1, i + 1), '[^0-9A-Za-z]', '')), 1), c)), '')")
     digits = ", ".join(f"'{k}'" for k in DIGITS if k != "address")
-    shown = F.expr(f"CASE WHEN new IS NULL THEN raw WHEN type IN ({digits}) THEN {filled} "
+    shown = F.expr(f"CASE WHEN new IS NULL THEN raw WHEN type IN ({digits}) THEN concat({filled}, substring(new, length(canon) + 1)) "
                    f"WHEN type NOT LIKE '%-%' THEN new WHEN raw = upper(raw) THEN upper(new) ELSE initcap(new) END")
     return met.groupBy("surface").agg(F.array_sort(F.collect_list(F.struct("place", shown.alias("shown")))).alias("shown")).select(
         "surface", F.array_join("shown.shown", "").alias("new_surface"))
