@@ -126,11 +126,34 @@ def test_surrogates_settle_whatever_the_space(make):
 
 
 def test_many_names_get_a_wide_first_draw(make, spark, tmp_path):
-    units = spark.createDataFrame([("surname-latin", f"name{i}") for i in range(3000)], "type string, canon string")
+    units = spark.createDataFrame([("surname-latin", f"name{i}", None) for i in range(3000)], "type string, canon string, gender string")
     rows = surrogates.settled(units, "key", str(tmp_path)).collect()
     assert len({r.new for r in rows}) == 3000 and len(list(tmp_path.glob("units_*"))) <= 4
 
 
+def test_forms_of_telephone_numbers_and_addresses(make):
+    forms = ["030 1234567", "+49 30 1234567", "0151 12345678", "06 12 34 56 78", "555-1234", "5551234567", "+33 6 12 34 56 78",
+             "(030) 1234567", "fe80::1ff:fe23:4567:890a", "2001:0DB8:85a3:0000:0000:8a2e:0370:7334", "2001:db8:85a3::8a2e:370:7334", "::1"]
+    plain = ["at 12:30:45 on 2024-01-31, std::vector a::b", "mac aa:bb:cc:dd:ee:ff, 1700000000 s, pages 12-34"]
+    rows = surrogates.replace(make([f"see {f}, please" for f in forms] + plain), count="n").orderBy("doc_id").collect()
+    assert [r.n for r in rows] == [1] * len(forms) + [0, 0]
+    out = [r.text[4:-8] for r in rows[:len(forms)]]
+    assert all(r.text.startswith("see ") and r.text.endswith(", please") for r in rows[:len(forms)])
+    assert all(o != f and re.sub("[0-9]", "0", o) == re.sub("[0-9]", "0", f) for f, o in zip(forms[:8], out))
+    assert out[9] == out[10] and len(set(out[8:])) == 3 and all(re.fullmatch(r"2001:db8(:[0-9a-f]{1,4}){6}", o) for o in out[8:])
+
+
+def test_names_keep_their_reference(make):
+    texts = ["Mr John Miller came. Miller left, MILLER and John's dog stayed; Millers did not.", "Dr John Miller spoke; Miller's work.",
+             "Miller alone", "Mrs Anna Paul met Mr Paul Carter. Paul sat."]
+    out = [r.text for r in surrogates.replace(make(texts)).orderBy("doc_id").collect()]
+    a = re.fullmatch(r"Mr (\S+) (\S+) came\. (\S+) left, (\S+) and (\S+)'s dog stayed; Millers did not\.", out[0])
+    b = re.fullmatch(r"Dr (\S+) (\S+) spoke; (\S+)'s work\.", out[1])
+    assert a[2] == a[3] == a[4].capitalize() == b[2] == b[3] and a[4].isupper() and a[1] == a[5] == b[1]
+    assert a[1] in surrogates.NAMES["male-latin"] and out[2] == texts[2]
+    assert "Paul sat" not in out[3]
+
+
 def test_surrogates_of_odd_rows(odd, none):
     rows = surrogates.replace(odd)
     assert rows.columns == odd.columns and rows.count() == odd.count()

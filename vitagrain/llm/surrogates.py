@@ -2,14 +2,16 @@
 
 Detection is one pattern over whole texts: e-mail addresses, labelled secrets
 and access keys, bank and card numbers, identity and telephone numbers, network
-addresses, and names behind a title. Every entity splits into literal parts and
-units; a unit is its type and canonical form (digits only, lower case), so all
-spellings of one entity share a unit and stay the same entity afterwards.
+addresses of both versions, and names behind a title. Where a document has a
+titled name, every other capitalised or upper-case mention of its parts in that
+document is an entity too. Every entity splits into literal parts and units; a
+unit is its type and canonical form (digits only, lower case), so all spellings
+of one entity share a unit and stay the same entity afterwards.
 
 A unit's surrogate is a keyed hash rendered in its type: digits for digits with
 separators and length kept (the first digit and the check digit of a card number
 stay valid), letters for letters in their case, names from lists of the same
-script and of the gender that the title tells. Units are distinct rows of the
+script and of the gender that the titles tell (neutral where they differ). Units are distinct rows of the
 corpus; a surrogate that another unit has, or that occurs in the corpus itself,
 is drawn again with the next attempt number until none collides, so different
 entities stay different. Later attempts have room for any number of units: names
@@ -63,17 +65,26 @@ KINDS = (
     ("secret", r"\b(?=[PpSsTtAa])(?i:password|passwd|pwd|secret|token|api[_\-]?key)\s{0,2}[=:]\s{0,2}[\"']?[^\s\"']{4,}"),
     ("access", r"\b(?:A[KS]IA[0-9A-Z]{16}\b|(?:sk|ghp|xox[abp])[_\-][0-9A-Za-z_\-]{16,})"),
     ("bank", r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"),
+    ("address6", r"(?=[0-9A-Fa-f:])(?<![0-9A-Za-z_:.])(?=[0-9A-Fa-f]{0,4}:)(?=[A-Fa-f:]*[0-9])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}"
+                 r"|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}|(?:[0-9A-Fa-f]{1,4}:){1,7}:"
+                 r"|:(?::[0-9A-Fa-f]{1,4}){1,7})(?![0-9A-Za-z_:])"),
     ("address", r"\b(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}\b(?!\.[0-9])"),
     ("identity", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b"),
     ("card", r"\b[0-9]{4}(?:[ \-]?[0-9]{4}){2}[ \-]?[0-9]{1,7}\b|\b3[47][0-9]{2}[ \-]?[0-9]{6}[ \-]?[0-9]{5}\b"),
     ("phone", r"(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{2,4}\)|\b[0-9]{2,4})[ .\-][0-9]{3,4}[ .\-][0-9]{3,5}\b"
-              r"|\+[0-9]{1,3}[ .\-]?[0-9]{6,12}\b"),
+              r"|\+[0-9]{1,3}(?:[ .\-]?[0-9]{6,12}|[ .\-/]?\(?[0-9]{1,5}\)?[ .\-/]?[0-9]{5,9}|[ .\-][0-9](?:[ .\-][0-9]{2}){4})\b"
+              r"|\b0[0-9](?:[ .\-][0-9]{2}){4}\b|\(0[0-9]{1,4}\) ?[0-9]{5,9}\b|\b0[1-9][0-9]{1,3}[ /\-][0-9]{5,9}\b"
+              r"|(?<![0-9.\-])[2-9][0-9]{2}-[0-9]{4}\b(?!-)|\b(?:1?[2-9][0-9]{9}|0[1-9][0-9]{8,10})\b"),
     ("name", rf"\b(?=[{FIRSTS}])(?:{TITLES})\.? \p{{Lu}}[\p{{L}}'’\-]+(?: \p{{Lu}}[\p{{L}}'’\-]+)?"),
 )
 NUMBERS = ("address", "identity", "card", "phone")
 PATTERN = "|".join([*(f"(?:{p})" for k, p in KINDS if k not in (*NUMBERS, "name")),
                     f"(?=[0-9+(])(?:{'|'.join(f'(?:{p})' for k, p in KINDS if k in NUMBERS)})", f"(?:{dict(KINDS)['name']})"])
 DIGITS = ("bank", "address", "identity", "card", "phone")
+#: Between the unit of a bare mention and its word, in `surface`.
+BARE = "\x01"
+#: What a name takes from the text behind it.
+ENDING = r"(?:['’][sS]?|-)$"
 
 
 HEX = "0123456789abcdef"
@@ -84,39 +95,68 @@ SHAPED, SHAPED_DIGITS = 2, 6
 SECRET_LABEL = r"^((?i:password|passwd|pwd|secret|token|api[_\-]?key)\s{0,2}[=:]\s{0,2}[\"\']?)"
 
 
-def _part(raw: Column, kind: Column, canon: Column) -> Column:
-    return F.struct(raw.alias("raw"), kind.alias("type"), canon.alias("canon"))
+def _part(raw: Column, kind: Column, canon: Column, gender: Column | None = None) -> Column:
+    gender = F.lit(None).cast("string") if gender is None else gender
+    return F.struct(raw.alias("raw"), kind.alias("type"), canon.alias("canon"), gender.alias("gender"))
 
 
 def _literal(raw: Column) -> Column:
     return _part(raw, F.lit(None).cast("string"), F.lit(None).cast("string"))
 
 
+def _groups(surface: Column) -> Column:
+    """The eight groups of a version 6 address, without leading zeros."""
+    sides = F.transform(F.split(F.lower(surface), "::"), lambda x: F.filter(F.split(x, ":"), lambda g: g != ""))
+    left, right = F.get(sides, F.lit(0)), F.coalesce(F.get(sides, F.lit(1)), F.array().cast("array<string>"))
+    gap = F.array_repeat(F.lit("0"), F.greatest(8 - F.size(left) - F.size(right), F.lit(0)))
+    return F.array_join(F.transform(F.concat(left, gap, right), lambda g: F.regexp_replace(g, "^0+(?=.)", "")), ":")
+
+
 def with_parts(surfaces: DataFrame) -> DataFrame:
-    """surface, kind and `parts`: raw text with its unit's type and canonical form (null for what stays)."""
+    """surface, kind and `parts`: raw text with its unit's type, canonical form and gender (null for what stays)."""
     surface = F.col("surface")
     kind = F.lit("other")
     for name, pattern in reversed(KINDS):
         kind = F.when(surface.rlike(f"^(?:{pattern})$"), name).otherwise(kind)
+    kind = F.when(surface.rlike(f"^(?:given|surname){BARE}"), "bare").otherwise(kind)
     script = F.when(surface.rlike(r"\p{IsCyrillic}"), "cyrillic").when(surface.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
     words = F.split(surface, " ")
     title = F.rtrim(words[0], F.lit("."))
-    gender = F.when(title.isin(MALE), "male").when(title.isin(FEMALE), "female").otherwise("neutral")
-    given = _part(words[1], F.concat_ws("-", gender, script), F.lower(words[1]))
-    last = F.element_at(words, -1)
+    gender = F.when(title.isin(MALE), "male").when(title.isin(FEMALE), "female")
+    given = _part(words[1], F.concat(F.lit("given-"), script), F.lower(words[1]), gender)
+    ending = F.regexp_extract(surface, ENDING, 0)
+    last = F.regexp_replace(F.element_at(words, -1), ENDING, "")
     surname = _part(last, F.concat(F.lit("surname-"), script), F.lower(last))
     lead = _literal(F.concat(words[0], F.lit(" ")))
+    word = F.substring_index(surface, BARE, -1)
+    bare = _part(word, F.concat(F.substring_index(surface, BARE, 1), F.lit("-"), script), F.lower(word))
     secret = F.regexp_replace(surface, SECRET_LABEL, "")
     label = F.regexp_extract(surface, SECRET_LABEL, 1)
-    canon = F.when(F.col("kind").isin("address", "access"), surface).when(F.col("kind").isin(*DIGITS), F.upper(
-        F.regexp_replace(surface, r"[^0-9A-Za-z]", ""))).otherwise(F.lower(surface))
+    canon = F.when(F.col("kind").isin("address", "access"), surface).when(F.col("kind") == "address6", _groups(surface)).when(
+        F.col("kind").isin(*DIGITS), F.upper(
+            F.regexp_replace(surface, r"[^0-9A-Za-z]", ""))).otherwise(F.lower(surface))
     return surfaces.withColumn("kind", kind).select("surface", "kind", F.when(
-        (F.col("kind") == "name") & (F.size(words) > 2), F.array(lead, given, _literal(F.lit(" ")), surname)).when(
-        F.col("kind") == "name", F.array(lead, surname)).when(
+        (F.col("kind") == "name") & (F.size(words) > 2), F.array(lead, given, _literal(F.lit(" ")), surname, _literal(ending))).when(
+        F.col("kind") == "name", F.array(lead, surname, _literal(ending))).when(F.col("kind") == "bare", F.array(bare)).when(
         F.col("kind") == "secret", F.array(_literal(label), _part(secret, F.lit("secret"), secret))).otherwise(
         F.array(_part(surface, F.col("kind"), canon))).alias("parts"))
 
 
+def _named(found: Column, given: bool) -> Column:
+    """The given names, or the last names, of the titled names among a text's entities, as written and in capitals."""
+    split = F.transform(F.filter(found, lambda x: x.rlike(f"^(?:{dict(KINDS)['name']})$")), lambda x: F.split(x, " "))
+    if given:
+        words = F.transform(F.filter(split, lambda x: F.size(x) > 2), lambda x: x[1])
+    else:
+        words = F.transform(split, lambda x: F.regexp_replace(F.element_at(x, -1), ENDING, ""))
+    return F.array_distinct(F.concat(words, F.transform(words, F.upper), F.transform(words, F.initcap)))
+
+
+def _with_bare(words: Column) -> Column:
+    """The pattern of entities and of the words (letters, hyphens and apostrophes only) of a document."""
+    return F.concat(F.lit(PATTERN + r"|(?<![\p{L}\p{N}])(?:"), words, F.lit(r")(?![\p{L}\p{N}])"))
+
+
 def _value(stream: str, place: str) -> str:
     """SQL for a number from 0 to 255 out of a hexadecimal stream, by place."""
     at = f"(2 * ({place}) % 126)"
@@ -164,41 +204,47 @@ def _bank(country: str, rest: str) -> str:
 
 
 def drawn(units: DataFrame, key: str) -> DataFrame:
-    """Units (type, canon, attempt) with `new`, the canonical form of their surrogate."""
+    """Units (type, canon, gender, attempt) with `new`, the canonical form of their surrogate."""
     made = units.withColumn("stream", F.sha2(F.concat_ws("\n", F.lit(key), "type", "canon", F.col("attempt").cast("string")), 512))
     made = made.withColumn("more", F.sha2("stream", 512))
     lists = {k: v for k, v in NAMES.items()}
+    key_of = F.when(F.col("type").startswith("given-"), F.concat(
+        F.coalesce("gender", F.lit("neutral")), F.lit("-"), F.substring_index("type", "-", -1))).otherwise(F.col("type"))
     names = F.create_map(*(x for k, v in lists.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
     sounds = F.create_map(*(x for k, v in SYLLABLES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
-    made = made.withColumn("names", names[F.col("type")]).withColumn("sounds", sounds[F.substring_index("type", "-", -1)])
+    made = made.withColumn("names", names[key_of]).withColumn("sounds", sounds[F.substring_index("type", "-", -1)])
     pick = _value("stream", "60")
     name = (f"lower(concat(get(names, {pick} % size(names)), array_join(transform(sequence(0, attempt), "
             f"i -> IF(i = 0, '', get(sounds, {_value('stream', 'i')} % 16))), '')))")
     local = "substring_index(canon, '@', 1)"
     mail = f"concat({_shaped(local)}, {_tail(SHAPED, 36)}, '@', get(array('example.com', 'example.net', 'example.org'), {pick} % 3))"
     address = "concat_ws('.', " + ", ".join(f"1 + {_value('stream', str(i))} % 254" for i in range(4)) + ")"
+    address6 = "concat('2001:db8', " + ", ".join(
+        f"':', regexp_replace(substring(stream, {4 * i + 1}, 4), '^0+(?=.)', '')" for i in range(6)) + ")"
     kept = "greatest(length(canon) - 10, 0)"
-    phone = (f"concat(substring(canon, 1, {kept}), translate(substring({_shaped('canon')}, {kept} + 1, 1), '01', '78'), "
-             f"substring({_shaped('canon')}, {kept} + 2), {_tail(SHAPED_DIGITS, 10)})")
+    trunk = (f"concat('0', translate(substring({_shaped('canon')}, 2, 1), '0', '7'), substring({_shaped('canon')}, 3), "
+             f"{_tail(SHAPED_DIGITS, 10)})")
+    phone = (f"IF(canon LIKE '0%', {trunk}, concat(substring(canon, 1, {kept}), translate(substring({_shaped('canon')}, {kept} + 1, 1), '01', '78'), "
+             f"substring({_shaped('canon')}, {kept} + 2), {_tail(SHAPED_DIGITS, 10)}))")
     body = f"concat(substring(canon, 1, 1), substring({_shaped('canon')}, 2, length(canon) - 2))"
     bank = _bank("substring(canon, 1, 2)", f"substring({_shaped('canon')}, 5)")
     access = f"concat(substring(canon, 1, 4), {_hidden('substring(canon, 5)')}, {_tail(SHAPED, 36)})"
     secret = f"concat({_hidden('canon')}, {_tail(SHAPED, 36)})"
     identity = f"concat({_shaped('canon')}, {_tail(SHAPED_DIGITS, 10)})"
-    new = (f"CASE WHEN names IS NOT NULL THEN {name} WHEN type = 'email' THEN {mail} WHEN type = 'address' THEN {address} "
+    new = (f"CASE WHEN names IS NOT NULL THEN {name} WHEN type = 'email' THEN {mail} WHEN type = 'address' THEN {address} WHEN type = 'address6' THEN {address6} "
            f"WHEN type = 'phone' THEN {phone} WHEN type = 'card' THEN concat({body}, {_check_digit(body)}) "
            f"WHEN type = 'bank' THEN {bank} WHEN type = 'access' THEN {access} WHEN type = 'secret' THEN {secret} "
            f"ELSE {identity} END")
-    return made.withColumn("new", F.expr(new)).select("type", "canon", "attempt", "new")
+    return made.withColumn("new", F.expr(new)).select("type", "canon", "gender", "attempt", "new")
 
 
 def settled(units: DataFrame, key: str, folder: str) -> DataFrame:
     """type, canon and new of every unit; no two share a surrogate and none is the canonical form of another."""
     # names start with the syllables that give four times as many surrogates as there are names of the type
-    many = units.where(F.col("type").isin(*NAMES)).groupBy("type").agg(F.count("*").alias("many"))  # a dozen rows
+    many = units.where(F.col("type").contains("-")).groupBy("type").agg(F.count("*").alias("many"))  # a dozen rows
     first = F.greatest(F.ceil(F.log(16.0, 4.0 * F.col("many"))) - 1, F.lit(0)).cast("int")
     now = units.join(F.broadcast(many), "type", "left").select(
-        "type", "canon", F.coalesce(first, F.lit(0)).alias("attempt"), F.lit(False).alias("done"))
+        "type", "canon", "gender", F.coalesce(first, F.lit(0)).alias("attempt"), F.lit(False).alias("done"))
     turn = 0
     while True:
         tried = drawn(now, key).join(now.select("type", "canon", "done"), ["type", "canon"])
@@ -206,10 +252,10 @@ def settled(units: DataFrame, key: str, folder: str) -> DataFrame:
         order = Window.partitionBy("type", "new").orderBy(F.desc("done"), "canon")
         judged = tried.join(taken, ["type", "new"], "left").withColumn(
             "clash", (F.row_number().over(order) > 1) | F.coalesce("in_use", F.lit(False)))
-        judged = written(judged.select("type", "canon", "new", "attempt", "clash"), folder, f"units_{turn}")
+        judged = written(judged.select("type", "canon", "gender", "new", "attempt", "clash"), folder, f"units_{turn}")
         if not judged.where("clash").take(1):
             return judged.select("type", "canon", "new")
-        now = judged.select("type", "canon", (F.col("attempt") + F.col("clash").cast("int")).alias("attempt"),
+        now = judged.select("type", "canon", "gender", (F.col("attempt") + F.col("clash").cast("int")).alias("attempt"),
                             (~F.col("clash")).alias("done"))
         turn += 1
 
@@ -218,7 +264,9 @@ def replacements(surfaces: DataFrame, key: str, folder: str) -> DataFrame:
     """surface and `new_surface` of every distinct entity."""
     split = written(with_parts(surfaces), folder, "parts")
     pieces = split.select("surface", F.posexplode("parts").alias("place", "part")).select("surface", "place", "part.*")
-    units = pieces.where("type IS NOT NULL").select("type", "canon").distinct()
+    told = F.collect_set("gender")  # two values at most
+    units = pieces.where("type IS NOT NULL").groupBy("type", "canon").agg(
+        F.when(F.size(told) == 1, told[0]).alias("gender"))
     met = pieces.join(settled(units, key, folder), ["type", "canon"], "left")
     filled = ("array_join(transform(split(raw, ''), (c, i) -> IF(c RLIKE '[0-9A-Za-z]', substring(new, "
               "length(regexp_replace(substring(raw, 1, i + 1), '[^0-9A-Za-z]', '')), 1), c)), '')")
@@ -237,18 +285,28 @@ def replace(docs: DataFrame, key: str = KEY, count: str | None = None) -> DataFr
     folder = shared_folder(docs.sparkSession)
     text = F.coalesce(docs["text"], F.lit(""))
     stem = fresh(docs, "entity_row")
-    found, ident, mark, new = f"{stem}_found", f"{stem}_id", f"{stem}_mark", f"{stem}_new"
+    ident, mark, new, words = (f"{stem}_{x}" for x in ("id", "mark", "new", "words"))
     some = docs.where(text.rlike(PATTERN)).withColumns({
-        found: F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)),
         ident: F.coalesce(docs["doc_id"].cast("long"), F.lit(LEAST_ID)), mark: F.xxhash64(text)})
-    places = some.select(F.col(ident).alias("id"), F.col(mark).alias("mark"), F.posexplode(found).alias("place", "surface"))
+    listed = some.select(F.col(ident).alias("id"), F.col(mark).alias("mark"), text.alias("text"),
+                         F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)).alias("found"))
+    listed = listed.withColumns({"given": _named(F.col("found"), True), "last": _named(F.col("found"), False)})
+    listed = listed.withColumn("words", F.array_join(F.array_union("given", "last"), "|"))
+    every = F.when(F.col("words") == "", F.col("found")).otherwise(
+        F.regexp_extract_all("text", _with_bare(F.col("words")), F.lit(0)))
+    bare = F.transform(every, lambda x: F.when(F.array_contains("given", x), F.concat(F.lit(f"given{BARE}"), x)).when(
+        F.array_contains("last", x), F.concat(F.lit(f"surname{BARE}"), x)).otherwise(x))
+    places = listed.select("id", "mark", F.nullif("words", F.lit("")).alias("words"), F.posexplode(bare).alias("place", "surface"))
+    places = places.withColumn("words", F.when(F.col("place") == 0, F.col("words")))
     places = written(places, folder, "places")
     mapped = written(replacements(places.select("surface").distinct(), key, folder), folder, "mapped")
     met = places.join(mapped, "surface").groupBy("id", "mark").agg(
-        F.array_sort(F.collect_set(F.struct("place", "new_surface"))).alias("all"))
-    met = met.select(F.col("id").alias(ident), F.col("mark").alias(mark), F.col("all.new_surface").alias(new))
-    joined = some.join(met, [ident, mark]).withColumn(
-        f"{stem}_between", F.split(F.coalesce("text", F.lit("")), PATTERN, -1))
+        F.array_sort(F.collect_set(F.struct("place", "new_surface"))).alias("all"), F.max("words").alias("words"))
+    met = met.select(F.col("id").alias(ident), F.col("mark").alias(mark), F.col("all.new_surface").alias(new),
+                     F.col("words").alias(words))
+    joined = some.join(met, [ident, mark]).withColumn(f"{stem}_between", F.when(
+        F.col(words).isNull(), F.split(F.coalesce("text", F.lit("")), PATTERN, -1)).otherwise(
+        F.split(F.coalesce("text", F.lit("")), _with_bare(F.col(words)), -1)))
     whole = F.array_join(F.transform(f"{stem}_between", lambda x, i: F.concat(
         x, F.coalesce(F.get(F.col(new), i), F.lit("")))), "")
     out = {"text": whole} | ({"n_chars": F.char_length(whole).cast("long")} if "n_chars" in docs.columns else {})
