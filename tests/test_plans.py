@@ -164,6 +164,18 @@ def test_matched_and_missing_partition_the_terms(spark):
     assert r.preliminary_score == 0.25
 
 
+def test_no_pair_is_lost(spark):
+    cvs = spark.createDataFrame([(1, PROFILE)], "doc_id BIGINT, text STRING")
+    jd = spark.createDataFrame([(1, "Engineer\nRequirements\n- MySQL and python\n")], "item_id BIGINT, text STRING")
+    pairs = spark.createDataFrame([(1, 1), (2, 1), (1, 2), (None, 1)], "doc_id BIGINT, item_id BIGINT")
+    want = {(1, 1): None, (2, 1): "no profile", (1, 2): "no posting", (None, 1): "no profile"}
+    for made, result in ((ma.match(pairs, pf.structure(cvs), po.analyse(jd)), "preliminary_score"),
+                         (ma.score(pairs, pf.structure(cvs), po.analyse(jd)), "score")):
+        rows = made.collect()
+        assert {(r.doc_id, r.item_id): r.reason for r in rows} == want and len(rows) == 4
+        assert all((r[result] is None) == (r.reason is not None) for r in rows)
+
+
 def test_wider_modes_only_move_missing_to_transferable(spark):
     tiers = [mt.sibling_dimension(spark, m).count() for m in lx.MODE_TIERS]
     assert tiers == sorted(tiers)

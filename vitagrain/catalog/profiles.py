@@ -121,7 +121,15 @@ def _flat(with_company: bool) -> str:
 NEED_TEXT = f"concat_ws(' ', array_to_string({REQUIRED}, ' '), array_to_string({PREFERRED}, ' '), array_to_string({DUTIES}, ' '), 'mentoring', {TITLE})"
 
 
-@query("score_pairs_c4_a1_a4_t5", f"""WITH flat AS (SELECT doc_id, {_flat(True)} AS flat FROM documents),
+def _every_pair(sql: str, results: str) -> str:
+    """All pairs with the results that the SQL gives for those it has, and why others have none."""
+    return f"""WITH every AS ({PAIRS}), given AS ({sql})
+SELECT e.doc_id, e.item_id, {results}, CASE WHEN e.doc_id IS NULL OR e.doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id IS NOT NULL) THEN 'no profile'
+WHEN e.item_id IS NULL OR e.item_id NOT IN (SELECT item_id FROM benchmark WHERE item_id IS NOT NULL) THEN 'no posting' END AS reason
+FROM every e LEFT JOIN given g ON g.doc_id = e.doc_id AND g.item_id = e.item_id"""
+
+
+SCORE_SQL = f"""WITH flat AS (SELECT doc_id, {_flat(True)} AS flat FROM documents),
 need AS (SELECT item_id, {NEED_TEXT} AS need FROM benchmark), pairs AS ({PAIRS}),
 have AS (SELECT DISTINCT doc_id, stem FROM ({sk.exploded('flat', 'doc_id', 'flat')})),
 want AS ({sk.exploded('need', 'item_id', 'need')}),
@@ -129,14 +137,23 @@ hit AS (SELECT p.doc_id, p.item_id, w.term, h.stem IS NOT NULL AS ok FROM pairs
 JOIN want w USING (item_id) LEFT JOIN have h ON h.doc_id = p.doc_id AND h.stem = w.stem)
 SELECT doc_id, item_id, coalesce(string_agg(term, ';' ORDER BY term) FILTER (ok), '') AS matched,
 coalesce(string_agg(term, ';' ORDER BY term) FILTER (NOT ok), '') AS missing,
-round_even(count(*) FILTER (ok)::DOUBLE / count(*), 4) AS score FROM (SELECT p.doc_id, p.item_id, h.term, h.ok FROM hit h JOIN pairs p USING (doc_id, item_id)) p GROUP BY 1, 2""")
-def score_pairs(spark, sf):
+round_even(count(*) FILTER (ok)::DOUBLE / count(*), 4) AS score FROM (SELECT p.doc_id, p.item_id, h.term, h.ok FROM hit h JOIN pairs p USING (doc_id, item_id)) p GROUP BY 1, 2"""
+
+
+@query("score_every_pair_c4_a1_a4_t5", _every_pair(SCORE_SQL, "matched, missing, score"))
+def score_every_pair(spark, sf):
     scored = ma.score(application_pairs(spark, sf), structured(spark, sf),
                       po.analyse(dv.postings(spark, sf)))
     return scored.withColumn("matched", F.array_join("matched", ";")).withColumn(
         "missing", F.array_join("missing", ";"))
 
 
+@query("score_pairs_c4_a1_a4_t5", SCORE_SQL)
+def score_pairs(spark, sf):
+    # its SQL states the pairs with a stored profile only
+    return score_every_pair(spark, sf).where("reason IS NULL").drop("reason")
+
+
 def _match_sql(mode: str) -> str:
     tiers = lx.SKILL_FAMILIES[: lx.MODE_TIERS[mode]]
     fam = ", ".join(f"({t}, {f}, '{term}')" for t, fams in enumerate(tiers)
@@ -169,14 +186,20 @@ FROM hit h LEFT JOIN rel USING (doc_id, item_id, term) JOIN prio USING (doc_id,
 
 
 def _register_match(mode: str, ids: str) -> None:
-    @query(f"match_{mode}_{ids}", _match_sql(mode))
-    def run(spark, sf):
+    results = ("matched_skills", "transferable_skills", "missing_skills", "prioritized_job_indices", "preliminary_score")
+
+    @query(f"match_every_pair_{mode}_{ids}", _every_pair(_match_sql(mode), ", ".join(results)))
+    def every(spark, sf):
         m = ma.match(application_pairs(spark, sf), structured(spark, sf),
                      po.analyse(dv.postings(spark, sf)), mode)
         return m.select("doc_id", "item_id", *[
             F.array_join(F.col(c).cast("array<string>"), ";").alias(c)
-            for c in ("matched_skills", "transferable_skills", "missing_skills",
-                      "prioritized_job_indices")], "preliminary_score")
+            for c in results[:4]], "preliminary_score", "reason")
+
+    @query(f"match_{mode}_{ids}", _match_sql(mode))
+    def run(spark, sf):
+        # its SQL states the pairs with a stored profile only
+        return every(spark, sf).where("reason IS NULL").drop("reason")
 
 
 _register_match("accurate", "c3_j8_w13_a2")

@@ -102,22 +102,33 @@ def score_pairs(pairs: DataFrame, docs: DataFrame, items: DataFrame) -> DataFram
     both arrays run in parallel. Membership uses one array intersection per
     pair, and an empty requirement set scores 1.0. Pairs take the postings first,
     while they are thin; the wide documents come last and cross the network once.
+    No pair is lost: one without its document or posting has null results and
+    says so in ``reason``.
     """
     # The intersection is bound once per pair, ahead of the filter over terms.
     matched = st.let("hs", "array_intersect(term_stems, stems)",
                      "filter(terms, (t, i) -> array_contains(hs, get(term_stems, i)))")
-    hits = pairs.join(items, "item_id").join(docs, "doc_id").withColumn("matched", F.expr(matched))
+    hits = meet_pairs(pairs, items, docs).withColumn("matched", F.when(F.col("reason").isNull(), F.expr(matched)))
     return hits.select(
         *pairs.columns,
         "matched",
-        F.array_except("terms", "matched").alias("missing"),
-        round_score(
+        F.when(F.col("reason").isNull(), F.array_except("terms", "matched")).alias("missing"),
+        F.when(F.col("reason").isNull(), round_score(
             F.when(F.size("terms") == 0, F.lit(1.0))
             .otherwise(F.size("matched") / F.size("terms"))
-        ).alias("score"),
+        )).alias("score"),
+        "reason",
     )
 
 
+def meet_pairs(pairs: DataFrame, items: DataFrame, docs: DataFrame) -> DataFrame:
+    """Every pair with its posting and document; ``reason`` names what is missing and is null if nothing is."""
+    met = pairs.join(items.withColumn("has_item", F.lit(True)), "item_id", "left") \
+        .join(docs.withColumn("has_doc", F.lit(True)), "doc_id", "left")
+    return met.withColumn("reason", F.when(F.col("has_doc").isNull(), "no profile")
+                          .when(F.col("has_item").isNull(), "no posting")).drop("has_item", "has_doc")
+
+
 def required_terms(items: DataFrame) -> DataFrame:
     """(item_id, terms, term_stems) from a posting keyword array."""
     return items.select(

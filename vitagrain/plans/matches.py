@@ -60,9 +60,12 @@ def posting_needs(analyses: DataFrame, mode: str, key: str = "item_id") -> DataF
 
 def match(pairs: DataFrame, profiles: DataFrame, analyses: DataFrame,
           mode: str = "accurate") -> DataFrame:
-    """Matched, transferable and missing terms with job order and score."""
+    """Matched, transferable and missing terms with job order and score.
+
+    A pair without its profile or posting stays, with null results and a ``reason``.
+    """
     # thin pairs take the postings first; the wide documents cross the network once
-    joined = pairs.join(posting_needs(analyses, mode), "item_id").join(profile_terms(profiles), "doc_id")
+    joined = mt.meet_pairs(pairs, posting_needs(analyses, mode), profile_terms(profiles))
     df = joined.withColumn("hits", F.expr("array_intersect(transform(needs, n -> n.stem), stems)"))
     df = df.withColumns({
         "found": F.expr("filter(needs, n -> array_contains(hits, n.stem))"),
@@ -74,7 +77,7 @@ def match(pairs: DataFrame, profiles: DataFrame, analyses: DataFrame,
     linked = "filter(others, o -> o.related IS NOT NULL{})"
     label = "o -> concat(o.term, ' (related: ', o.related, ')')"
     overlap = ("size(filter(needs, n -> array_contains(js, n.stem)))")
-    return df.selectExpr(
+    matched = df.selectExpr(
         *pairs.columns,
         "transform(found, n -> n.term) AS matched_skills",
         f"array_sort(transform({linked.format('')}, {label})) AS transferable_skills",
@@ -86,7 +89,10 @@ def match(pairs: DataFrame, profiles: DataFrame, analyses: DataFrame,
         "'i', i))), s -> s.i) AS prioritized_job_indices",
         "CASE WHEN size(needs) = 0 THEN 1.0D ELSE "
         "bround(CAST(size(found) AS DOUBLE) / size(needs), 4) END AS preliminary_score",
+        "reason",
     )
+    out = [c for c in matched.columns if c not in (*pairs.columns, "reason")]
+    return matched.withColumns({c: F.when(F.col("reason").isNull(), F.col(c)) for c in out})
 
 
 def score(pairs: DataFrame, profiles: DataFrame, analyses: DataFrame) -> DataFrame:
