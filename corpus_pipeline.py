@@ -32,7 +32,7 @@ def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that another place of the corpus keeps."""
-    return line_dedup.drop_emptied(docs)
+    return line_dedup.drop_emptied(docs, shingle=line_dedup.FINE)
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from vitagrain.llm import line_dedup, neural_lsh, ngram_join, shingles, spotsigs
+from vitagrain.llm import line_dedup, neural_lsh, ngram_join, queries, shingles, spotsigs
 
 
 def words_of(text):
@@ -129,6 +129,19 @@ def test_line_dedup_equals_brute_force(make):
     assert left == {i for i, t in enumerate(want) if t.strip()}
 
 
+def test_lines_changed_in_the_middle(spark, make, tmp_path):
+    pairs = [("Copyright 2023 Example Media Group, all rights reserved", "Copyright 2024 Example Media Group, all rights reserved"),
+             ("sign up for our newsletter to get the latest tips", "sign up for our newsletter to get the newest tips"),
+             ("this page was last edited on 3 May 2021 by a member", "this page was last edited on 7 May 2021 by a member")]
+    texts = [line for pair in pairs for line in pair] + ["an ordinary line of text that resembles none of the others"]
+    sets = [{x.lower()[i: i + line_dedup.FINE] for i in range(len(x) - line_dedup.FINE + 1)} for x in texts]
+    group = brute(sets, 4, 5)
+    make(texts).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = sorted(queries.op5_line_dedup(spark, str(tmp_path)).collect())
+    assert [r.n_kept for r in rows] == [int(group.index(g) == i) for i, g in enumerate(group)]
+    assert rows[0].n_kept == rows[4].n_kept == 1 and rows[1].n_kept == rows[5].n_kept == 0
+
+
 def test_line_dedup_of_odd_rows(odd, none):
     out = line_dedup.dedup(odd)
     assert out.columns == odd.columns and out.count() == odd.count()

@@ -9,6 +9,10 @@ rows of a band are candidates: at the threshold of 0.8 a pair is missed with
 probability (1 - 0.8^4)^10 = 0.5 %, at 0.9 with under 0.003 %. Exact Jaccard on
 the lines themselves decides, and `linking` builds the components.
 
+A changed character in mid-line costs `shingle` shingles on each side, so that at
+0.8 such lines are linked from 10 * shingle - 1 characters on. FINE is what the
+query and the pipeline use.
+
 Of each component the line with the smallest (doc_id, hash of the text, line
 number) stays. Signatures and line numbers travel, texts are joined once.
 
@@ -33,6 +37,8 @@ from vitagrain.llm.linking import bits_of, common, key_slot, link
 from vitagrain.llm.shingles import _PLACE, character_codes, character_shingles
 
 SHINGLE = 8
+#: Short enough for a changed character in a line of 29 characters.
+FINE = 3
 BANDS, ROWS = 10, 4
 NUM, DEN = 4, 5
 #: Lines that a task turns into signatures at a time.
@@ -52,14 +58,14 @@ def line_hash(line: str) -> tuple[int, int]:
     return int.from_bytes(held[:8], "little", signed=True), int.from_bytes(held[8:], "little", signed=True)
 
 
-def _laid(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def _laid(lines: list[str], shingle: int) -> tuple[np.ndarray, np.ndarray]:
     offsets = np.concatenate([[0], np.cumsum([len(x) for x in lines])])
-    return character_shingles(character_codes("".join(lines)), offsets, SHINGLE)
+    return character_shingles(character_codes("".join(lines)), offsets, shingle)
 
 
-def band_keys(lines: list[str]) -> np.ndarray:
+def band_keys(lines: list[str], shingle: int = SHINGLE) -> np.ndarray:
     """Band keys of each non-empty line, one row of BANDS signed longs each."""
-    hashes, offsets = _laid(lines)
+    hashes, offsets = _laid(lines, shingle)
     bins = BANDS * ROWS
     low = np.full(len(lines) * bins, FULL)
     row = np.repeat(np.arange(len(lines)), np.diff(offsets))
@@ -75,14 +81,14 @@ def band_keys(lines: list[str]) -> np.ndarray:
     return mix(keys + np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)).view(np.int64)
 
 
-def _lines(batches: Iterator[pa.RecordBatch], signed: bool) -> Iterator[pa.RecordBatch]:
+def _lines(batches: Iterator[pa.RecordBatch], signed: bool, shingle: int) -> Iterator[pa.RecordBatch]:
     """doc_id, hash of the text, number and hash of every line that is not blank; band keys if signed."""
     names = [f.split()[0] for f in KEEP_SCHEMA.split(", ")]
 
     def out(rows: list[tuple], texts: list[str]) -> pa.RecordBatch:
         columns = [pa.array(c, pa.int64()) for c in zip(*rows)]
         if signed:
-            keys = band_keys(texts)
+            keys = band_keys(texts, shingle)
             offsets = np.arange(0, keys.size + 1, BANDS, dtype=np.int32)
             columns.append(pa.ListArray.from_arrays(offsets, keys.reshape(-1)))
         return pa.RecordBatch.from_arrays(columns, names=names + ["keys"] * signed)
@@ -120,13 +126,13 @@ def _asked(batches: Iterator[pa.RecordBatch], rows, lines) -> Iterator[pa.Record
                 columns, [pa.int64(), pa.int64(), pa.string()])], names=["h1", "h2", "items"])
 
 
-def measure_lines(left: pa.Array, right: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def measure_lines(left: pa.Array, right: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Sizes of intersection and union of the lines' shingle sets; many lines are shingled at a time."""
     shared, united = np.zeros(len(left), np.int64), np.ones(len(left), np.int64)
     for low in range(0, len(left), 2000):
         pairs = [left.slice(low, 2000).to_pylist(), right.slice(low, 2000).to_pylist()]
         lines = list(dict.fromkeys(pairs[0] + pairs[1]))
-        hashes, offsets = _laid(lines)
+        hashes, offsets = _laid(lines, shingle)
         line = np.repeat(np.arange(len(lines)), np.diff(offsets))
         order = np.lexsort((hashes, line))
         hashes, line = hashes[order], line[order]
@@ -142,14 +148,14 @@ def measure_lines(left: pa.Array, right: pa.Array) -> tuple[np.ndarray, np.ndarr
     return shared, np.maximum(united - shared, 1)
 
 
-def lost_lines(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
+def lost_lines(docs: DataFrame, num: int = NUM, den: int = DEN, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, text_hash and `lost`: the numbers of the lines that go, for rows that lose some."""
     spark = docs.sparkSession
     folder = shared_folder(spark)
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
     texts = texts.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "line")
-    signed = texts.mapInArrow(lambda b: _lines(b, True), KEEP_SCHEMA + ", keys array<long>")
+    signed = texts.mapInArrow(lambda b: _lines(b, True, shingle), KEEP_SCHEMA + ", keys array<long>")
     nodes = signed.groupBy("h1", "h2").agg(F.min(place).alias("place"), F.count("*").alias("copies"),
                                            F.first("keys").alias("keys"))
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), folder, "nodes")
@@ -161,24 +167,26 @@ def lost_lines(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
         return texts.select(slot_column("doc_id").alias("slot"), "text").mapInArrow(
             lambda b: _asked(b, rows, lines), "h1 long, h2 long, items string")
 
-    labels = link(nodes.select("node", "h1", "h2", F.lit(1).cast("long").alias("n"), "keys"), fetch, measure_lines, num, den, folder,
+    labels = link(nodes.select("node", "h1", "h2", F.lit(1).cast("long").alias("n"), "keys"), fetch,
+                  lambda left, right: measure_lines(left, right, shingle), num, den, folder,
                   positional=False)
     # classes that neither repeat nor have a component lose nothing
     named = nodes.select("node", "h1", "h2", "place", "copies").join(labels, "node", "left").where(
         "copies > 1 OR component IS NOT NULL").withColumn("component", F.coalesce("component", "node"))
     first = named.groupBy("component").agg(F.min("place").alias("stays"))
     named = named.join(first, "component").select("h1", "h2", "stays")
-    every = texts.mapInArrow(lambda b: _lines(b, False), KEEP_SCHEMA)
+    every = texts.mapInArrow(lambda b: _lines(b, False, shingle), KEEP_SCHEMA)
     lost = every.join(named, ["h1", "h2"]).where(~(place.eqNullSafe(F.col("stays"))))
     return lost.groupBy("doc_id", "text_hash").agg(F.collect_list("line").alias("lost"))
 
 
-def dedup(docs: DataFrame, num: int = NUM, den: int = DEN, kept: str | None = None, every: str | None = None) -> DataFrame:
+def dedup(docs: DataFrame, num: int = NUM, den: int = DEN, kept: str | None = None, every: str | None = None,
+          shingle: int = SHINGLE) -> DataFrame:
     """All documents with lines left out of `text` (and `n_chars`, if there is one, counted anew).
 
     kept and every name columns for the numbers of lines with text after and before.
     """
-    lost = lost_lines(docs, num, den)
+    lost = lost_lines(docs, num, den, shingle)
     held = fresh(docs, "lost_lines")
     lost = lost.select(*(F.col(c).alias(f"{held}_{c}") for c in lost.columns))
     text = F.coalesce(docs["text"], F.lit(""))
@@ -201,7 +209,7 @@ def dedup(docs: DataFrame, num: int = NUM, den: int = DEN, kept: str | None = No
     return met.select(*out)
 
 
-def drop_emptied(docs: DataFrame) -> DataFrame:
+def drop_emptied(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """The deduplicated documents without those whose every line with text was left out."""
     kept, every = fresh(docs, "lines_kept"), fresh(docs, "lines_in_all")
-    return dedup(docs, kept=kept, every=every).where(f"`{every}` = 0 OR `{kept}` > 0").drop(kept, every)
+    return dedup(docs, kept=kept, every=every, shingle=shingle).where(f"`{every}` = 0 OR `{kept}` > 0").drop(kept, every)

@@ -27,7 +27,7 @@ def op3_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
 
 def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    return line_dedup.dedup(docs, kept="n_kept", every="n_lines").select("doc_id", "n_lines", "n_kept", "text")
+    return line_dedup.dedup(docs, kept="n_kept", every="n_lines", shingle=line_dedup.FINE).select("doc_id", "n_lines", "n_kept", "text")
 
 
 def op6_token_store(spark: SparkSession, folder: str) -> DataFrame:
