@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vitagrain.llm import bpe, line_dedup, neural_lsh, ngram_join, packing, spotsigs, store, surrogates, toxicity, urls
+from vitagrain.llm import (
+    bpe, clusters, contamination, line_dedup, mask_search, neural_lsh, ngram_join, packing, spotsigs, store, surrogates, toxicity, urls,
+)
 from vitagrain.llm.common import shared_folder, table
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
@@ -57,6 +59,18 @@ def op10_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.classes(table(spark, folder, "documents"), size=4, num=85, den=100)
 
 
+def op11_prefix_containment(spark: SparkSession, folder: str) -> DataFrame:
+    return contamination.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op12_mask_search(spark: SparkSession, folder: str) -> DataFrame:
+    return mask_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op13_centroid_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return clusters.clustered(table(spark, folder, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_spot_signatures": op1_spot_signatures,
     "op2_neural_lsh": op2_neural_lsh,
@@ -68,5 +82,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_surrogates": op8_surrogates,
     "op9_url_rules": op9_url_rules,
     "op10_ngram_join": op10_ngram_join,
+    "op11_prefix_containment": op11_prefix_containment,
+    "op12_mask_search": op12_mask_search,
+    "op13_centroid_clusters": op13_centroid_clusters,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op9_url_rules": urls.ORACLE,
+    "op10_ngram_join": ngram_join.ORACLE,
+    "op11_prefix_containment": contamination.ORACLE,
+    "op12_mask_search": mask_search.ORACLE,
+    "op13_centroid_clusters": clusters.oracle(),
 }
-ORACLE_SQL: dict[str, str] = {"op9_url_rules": urls.ORACLE, "op10_ngram_join": ngram_join.ORACLE}
