@@ -8,6 +8,7 @@ from vitagrain.catalog import sqlkit as sk
 from vitagrain.catalog.base import Catalog
 from vitagrain.operators import matching as mt
 from vitagrain.session import read_parts
+from vitagrain.sources.scratch import stored
 from vitagrain.sources.tables import read_table
 
 catalog = Catalog()
@@ -39,7 +40,7 @@ def corpus(spark, sf):
 
 
 def weighed_corpus(spark, sf):
-    return mt.document_stems(corpus(spark, sf).withColumn("weak_lines", weak_lines()))
+    return stored(mt.document_stems(corpus(spark, sf).withColumn("weak_lines", weak_lines())))
 
 
 def best_of_corpus(spark, sf, k=1):

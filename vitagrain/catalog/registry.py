@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from vitagrain.catalog import activity, audits, coverage, profiles, texts
+from vitagrain.catalog import activity, audits, coverage, profiles, tables, texts
 
 CATALOGS = [coverage.catalog, profiles.catalog, audits.catalog, texts.catalog,
-            activity.catalog]
+            activity.catalog, tables.catalog]
 
 
 def queries():

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from vitagrain.catalog import sqlkit as sk
 from vitagrain.catalog.base import Catalog
 from vitagrain.catalog.coverage import PAIRS as SCORED
-from vitagrain.catalog.coverage import WEAK, best_of_corpus, corpus
+from vitagrain.catalog.coverage import WEAK, corpus, weighed_corpus
 from vitagrain.catalog.profiles import JOBS, PREFERRED, REQUIRED, exploded_jobs, structured
 from vitagrain.functions import headers as hd
 from vitagrain.functions import lexicon as lx
@@ -50,9 +50,9 @@ QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, weak_lines,
 
 def best_terms(spark, sf, kind):
     """Matched or missing terms of every posting with its best document, from one pass over the pairs."""
-    best = best_of_corpus(spark, sf).select("item_id", "doc_id")
-    items = mt.required_terms(mt.with_keywords(read_table(spark, sf, "benchmark")))
-    scored = mt.score_pairs(best, mt.document_stems(corpus(spark, sf)), items)
+    docs, postings = weighed_corpus(spark, sf), read_table(spark, sf, "benchmark")
+    best = mt.best_documents(docs, postings).select("item_id", "doc_id")
+    scored = mt.score_pairs(best, docs.drop("weak_lines"), mt.required_terms(mt.with_keywords(postings)))
     return scored.select("item_id", "doc_id", F.explode_outer(kind).alias("term")).filter("term IS NOT NULL")
 
 

@@ -8,8 +8,9 @@ from vitagrain.functions import sqltext as st
 # Characters and separators removed from extracted text.
 BROKEN = (r"[\x{FFFD}\x{FFFC}\x{FEFF}\x{25A0}-\x{25FF}\x{2B1B}\x{2B1C}\x{E000}-\x{F8FF}"
           r"\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
-REPEATED_PIPES = r"(?:\s*\|\s*){2,}"
-EDGE_SEPARATORS = r"^(?:\s*[|•]\s*)+|(?:\s*[|•]\s*)+$"
+# Possessive classes instead of repeated groups: linear on any run, and no recursion.
+REPEATED_PIPES = r"(?<!\s)\s*+\|\s*+\|[\s|]*+"
+EDGE_SEPARATORS = r"^\s*+[|•][\s|•]*+|(?<![\s|•])\s*+[|•][\s|•]*+$"
 JUNK_PREFIX = r"^[\s\x{FEFF}\x{FFFD}•●◦○□■▪▫?\-]+\s*"
 MAJOR_PREFIX = r"(?i)^(major|degree|field of study)\s*:\s*"
 BULLET = r"^\s*[•‣▪●◦○\-*\x{F000}-\x{F0FF}]\s+"
@@ -104,7 +105,7 @@ def clean_extracted(text: str) -> str:
 
 
 # Scheme, user and host of a link.
-AUTHORITY = r"^(?:[^/?#]*?://)?(?:[^/?#@]*@)*(\[[^\]/?#]*\]|[^/?#:@]*)"
+AUTHORITY = r"^(?:[^/?#]*?://)?(?:[^/?#]*@)?+(\[[^\]/?#]*\]|[^/?#:@]*)"
 
 
 # --- links ---------------------------------------------------------------------

@@ -21,11 +21,13 @@ def stage_totals(rows: DataFrame, key: str = "file_id") -> DataFrame:
 
 
 def stage_report(rows: DataFrame, key: str = "file_id") -> DataFrame:
-    """Stage totals plus one TOTAL line per key."""
-    known = stage_totals(rows, key)
-    total = known.groupBy(key).agg(F.sum("seconds").alias("seconds")).select(
-        key, F.lit("TOTAL").alias("stage"), "seconds", F.lit(99).alias("stage_order"))
-    return known.drop("target").unionByName(total)
+    """Stage totals plus one TOTAL line per key: grouping sets of one scan and one exchange."""
+    known = rows.select(key, "stage", "seconds").join(F.broadcast(stage_dimension(rows.sparkSession)), "stage")
+    sums = known.groupingSets([[key, "stage", "stage_order"], [key]], key, "stage", "stage_order").agg(
+        F.sum("seconds").alias("seconds"), F.grouping("stage").alias("total"))
+    return sums.select(
+        key, F.when(F.col("total") == 1, "TOTAL").otherwise(F.col("stage")).alias("stage"), "seconds",
+        F.when(F.col("total") == 1, 99).otherwise(F.col("stage_order")).alias("stage_order"))
 
 
 def slow_stages(totals: DataFrame) -> DataFrame:

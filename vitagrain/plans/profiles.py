@@ -142,15 +142,15 @@ def education(lines: str) -> str:
         f"e -> named_struct('degree', e.degree, 'institution', e.institution, 'dates', e.dates))"))
 
 
-def skills(lines: str, merge: bool = True) -> str:
-    """Distinct skill tokens; wrapped lines join the labelled line above."""
+def skills(lines: str, merge: bool = True, limit: int | None = None) -> str:
+    """Distinct skill tokens, shorter than a limit if one is given; wrapped lines join the labelled line above."""
     source = ln.groups_from("kl", st.matches("x", hd.LABEL_PREFIX)) if merge else \
         "transform(kl, x -> array(x))"
     joined = f"transform({source}, g -> array_join(g, ' '))"
     pieces = (f"flatten(transform({joined}, x -> split({st.replace(tx.clean('x'), hd.LABEL_PREFIX)}, "
               f"'[,;|•/]')))")
     tokens = (f"filter(transform({pieces}, x -> {tx.clean(st.strip('x', ' .'))}), "
-              f"x -> x <> '' AND length(x) < 40)")
+              f"x -> x <> ''{'' if limit is None else f' AND length(x) < {limit}'})")
     return st.let("kl", lines, tx.distinct_folded(tokens))
 
 
