@@ -93,7 +93,8 @@ def introductions(spark):
 
 def job_periods(spark, sf):
     p = F.expr(dt.period("j.dates", AS_OF))
-    return exploded_jobs(structured(spark, sf)).select("doc_id", "pos", p.alias("p")).select("doc_id", "pos", "p.starts", "p.ends")
+    jobs = exploded_jobs(structured(spark, sf)).select("doc_id", "pos", p.alias("p"))
+    return stored(jobs.select("doc_id", "pos", "p.starts", "p.ends"))  # the join reads its sides' bounds first
 
 
 @query("forbidden_rules_join_j9", f"""WITH s AS ({SPANS}), {ALL_ERAS} SELECT doc_id, CAST(pos AS INT) AS pos, rule_key FROM s JOIN rules ON ends < introduced""")

@@ -5,6 +5,7 @@ out over bins of ``width`` months that its periods touch, clipped to the months
 occur at all, and the sides meet by an equi-join on the bin. Two periods share several
 bins but are paired in the first one they share only. As few bins may hold all rows,
 the left side is dealt out over ``slots`` keys per bin and the right one repeated.
+The months that occur are read ahead of the join, so hand in stored tables.
 """
 
 from __future__ import annotations
