@@ -105,6 +105,13 @@ def test_surrogates_keep_type_and_identity(make):
     assert names[6] in surrogates.NAMES["male-cyrillic"] and names[8] in surrogates.NAMES["female-cyrillic"]
 
 
+def test_surrogates_of_long_runs(make):
+    runs = ["x a@" + "a." * 100_000 + "org y", "a." * 200_000, "@" * 100_000, "a-" * 100_000 + "@", "x@y.comfoo-john@mail.example.org",
+            "...john@mail.example.org", "a@" + "a." * 120 + "org"]
+    out = [r.text for r in surrogates.replace(make(runs)).orderBy("doc_id").collect()]
+    assert out[1:4] == runs[1:4] and not any("john@mail" in t for t in out) and out[6] != runs[6]
+
+
 def test_surrogates_stay_distinct(spark, make, tmp_path):
     people = [f"Mr. A{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}x Smith" for i in range(100)]
     out = [r.text for r in surrogates.replace(make(people)).orderBy("doc_id").collect()]

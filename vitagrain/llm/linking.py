@@ -21,6 +21,7 @@ everything reused is written to the shared folder.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -46,7 +47,7 @@ def components(edges: DataFrame, folder: str, name: str) -> DataFrame:
     now = written(edges.selectExpr("least(a, b) AS low", "greatest(a, b) AS high").where("low < high").distinct(),
                   folder, f"{name}_edges")
     before = None
-    for turn in range(60):
+    for turn in itertools.count():  # the number of turns grows with the logarithm of the nodes
         mark = now.agg(F.count("*"), F.sum(F.hash("low", "high").cast("long")), F.sum("low")).first()
         if mark == before:
             break

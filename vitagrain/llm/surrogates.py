@@ -12,8 +12,8 @@ A unit's surrogate is a keyed hash rendered in its type: digits for digits with
 separators and length kept (the first digit and the check digit of a card number
 stay valid), letters for letters in their case, names from lists of the same
 script and of the gender that the titles tell (neutral where they differ). Units are distinct rows of the
-corpus; a surrogate that another unit has, or that occurs in the corpus itself,
-is drawn again with the next attempt number until none collides, so different
+corpus; a surrogate that another unit of its type has, or that is itself a unit
+of the corpus, is drawn again with the next attempt number until none collides, so different
 entities stay different. Later attempts have room for any number of units: names
 take syllables (as many from the start as the number of names asks for), e-mails
 and secrets letters, telephone and identity numbers digits at their end.
@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 
 from vitagrain.llm.common import fresh, shared_folder, written
 
-KEY = "vitagrain"
+#: The setting that holds the secret key; KEY stands in where neither it nor the caller gives one, as in tests.
+KEY_SETTING, KEY = "spark.vitagrain.surrogateKey", "vitagrain"
 LEAST_ID = -(1 << 63)
 #: Titles by the gender they tell, per script.
 MALE = "Mr Herr Señor Sr Monsieur Signor Don г-н господин κ".split()
@@ -60,8 +61,10 @@ SYLLABLES = {"latin": "ba ce di fo gu ha ke li mo nu pa re si to va we".split(),
 TITLES = "|".join(t.replace("-", r"\-") for t in MALE + FEMALE + NEUTRAL)
 FIRSTS = "".join(sorted({t[0] for t in MALE + FEMALE + NEUTRAL}))
 #: (type, pattern); the first that fits at a place wins. Tests of the first character keep the scan cheap.
+#: An address is not tried again from the middle of a run that has no at sign, and a domain has 128 labels at
+#: most (a name of 253 characters has no more): long runs of labels neither take quadratic time nor the stack.
 KINDS = (
-    ("email", r"(?<![\p{L}0-9])[\p{L}0-9][\p{L}0-9._%+\-]*+@[\p{L}0-9\-]+(?:\.[\p{L}0-9\-]+)*\.\p{L}{2,}"),
+    ("email", r"(?<![\p{L}0-9])(?:(?<![\p{L}0-9][._%+\-]{1,40})|(?<=@[\p{L}0-9._%+\-]{1,253}))[\p{L}0-9][\p{L}0-9._%+\-]*+@[\p{L}0-9\-]++(?:\.[\p{L}0-9\-]++){0,126}\.\p{L}{2,}"),
     ("secret", r"\b(?=[PpSsTtAa])(?i:password|passwd|pwd|secret|token|api[_\-]?key)\s{0,2}[=:]\s{0,2}[\"']?[^\s\"']{4,}"),
     ("access", r"\b(?:A[KS]IA[0-9A-Z]{16}\b|(?:sk|ghp|xox[abp])[_\-][0-9A-Za-z_\-]{16,})"),
     ("bank", r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"),
@@ -277,11 +280,13 @@ def replacements(surfaces: DataFrame, key: str, folder: str) -> DataFrame:
         "surface", F.array_join("shown.shown", "").alias("new_surface"))
 
 
-def replace(docs: DataFrame, key: str = KEY, count: str | None = None) -> DataFrame:
+def replace(docs: DataFrame, key: str | None = None, count: str | None = None) -> DataFrame:
     """The documents with surrogates for entities in `text` (and `n_chars`, if there is one, counted anew).
 
-    count names a column for the number of entities of a text.
+    count names a column for the number of entities of a text. The key is the caller's,
+    else that of the setting KEY_SETTING; whoever knows it can tell surrogates of a guess.
     """
+    key = key or docs.sparkSession.conf.get(KEY_SETTING, KEY)
     folder = shared_folder(docs.sparkSession)
     text = F.coalesce(docs["text"], F.lit(""))
     stem = fresh(docs, "entity_row")
