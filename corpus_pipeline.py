@@ -8,8 +8,15 @@
 5. packing: token ids of the documents, packed into sequences.
 
 Stages 1 to 4 return the columns of their input. A stage works on every row it is
-given, in any number of tasks, and keeps what it reuses in the shared folder.
-Null and empty texts pass all stages; an empty table gives no rows.
+given, in any number of tasks, and keeps what it reuses in the shared folder. `run`
+writes what each stage keeps there as well and hands on the rows read again, so no
+stage repeats an earlier one's work and a lost executor costs its own tasks.
+
+Defined cases: null and empty texts pass all stages; very long texts are taken whole;
+repeated rows are rows of their own to toxicity and privacy, lose their lines as
+copies do, and of the rows of one group the smallest doc_id stays; ties follow doc_id;
+extra columns, whatever their names, are kept up to packing, which returns its own;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,7 +26,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from vitagrain.llm import line_dedup, ngram_join, packing, surrogates, toxicity
-from vitagrain.llm.common import table
+from vitagrain.llm.common import shared_folder, table, written
 from vitagrain.llm.queries import WORD_VOCABULARY
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -62,8 +69,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order over the documents."""
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
+    """All stages in order over the documents, each reading what the one before wrote."""
+    docs, folder = table(spark, sf_dir, "documents"), shared_folder(spark)
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = written(docs, folder, f"{k}_{name}")
     return docs
