@@ -19,7 +19,7 @@ from vitagrain.sources import tables as tb
 
 PROFILE = """Alex
 Sample
-+381 62 1897164 alex@example.com
++385 55 0101234 alex@example.com
 Split, Croatia
 
 Summary

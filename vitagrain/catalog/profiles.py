@@ -121,7 +121,7 @@ def _flat(with_company: bool) -> str:
 NEED_TEXT = f"concat_ws(' ', array_to_string({REQUIRED}, ' '), array_to_string({PREFERRED}, ' '), array_to_string({DUTIES}, ' '), 'mentoring', {TITLE})"
 
 
-def _every_pair(sql: str, results: str) -> str:
+def every_pair(sql: str, results: str) -> str:
     """All pairs with the results that the SQL gives for those it has, and why others have none."""
     return f"""WITH every AS ({PAIRS}), given AS ({sql})
 SELECT e.doc_id, e.item_id, {results}, CASE WHEN e.doc_id IS NULL OR e.doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id IS NOT NULL) THEN 'no profile'
@@ -140,8 +140,8 @@ coalesce(string_agg(term, ';' ORDER BY term) FILTER (NOT ok), '') AS missing,
 round_even(count(*) FILTER (ok)::DOUBLE / count(*), 4) AS score FROM (SELECT p.doc_id, p.item_id, h.term, h.ok FROM hit h JOIN pairs p USING (doc_id, item_id)) p GROUP BY 1, 2"""
 
 
-@query("score_every_pair_c4_a1_a4_t5", _every_pair(SCORE_SQL, "matched, missing, score"))
-def score_every_pair(spark, sf):
+@query("score_every_pair_c4_a1_a4_t5", every_pair(SCORE_SQL, "matched, missing, score"))
+def scoreevery_pair(spark, sf):
     scored = ma.score(application_pairs(spark, sf), structured(spark, sf),
                       po.analyse(dv.postings(spark, sf)))
     return scored.withColumn("matched", F.array_join("matched", ";")).withColumn(
@@ -151,7 +151,7 @@ def score_every_pair(spark, sf):
 @query("score_pairs_c4_a1_a4_t5", SCORE_SQL)
 def score_pairs(spark, sf):
     # its SQL states the pairs with a stored profile only
-    return score_every_pair(spark, sf).where("reason IS NULL").drop("reason")
+    return scoreevery_pair(spark, sf).where("reason IS NULL").drop("reason")
 
 
 def _match_sql(mode: str) -> str:
@@ -188,7 +188,7 @@ FROM hit h LEFT JOIN rel USING (doc_id, item_id, term) JOIN prio USING (doc_id,
 def _register_match(mode: str, ids: str) -> None:
     results = ("matched_skills", "transferable_skills", "missing_skills", "prioritized_job_indices", "preliminary_score")
 
-    @query(f"match_every_pair_{mode}_{ids}", _every_pair(_match_sql(mode), ", ".join(results)))
+    @query(f"match_every_pair_{mode}_{ids}", every_pair(_match_sql(mode), ", ".join(results)))
     def every(spark, sf):
         m = ma.match(application_pairs(spark, sf), structured(spark, sf),
                      po.analyse(dv.postings(spark, sf)), mode)

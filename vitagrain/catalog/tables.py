@@ -5,21 +5,26 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vitagrain.catalog import sqlkit as sk
-from vitagrain.catalog.activity import R, U, link_export, records, users
-from vitagrain.catalog.audits import ALL_ERAS, AS_OF, ERAS, M, SPANS
+from vitagrain.catalog.activity import R, T, U, link_export, member_detail, member_templates, records, users
+from vitagrain.catalog.audits import ALL_ERAS, AS_OF, ERAS, M, SPANS, SUMMARY
 from vitagrain.catalog.base import Catalog
 from vitagrain.catalog.coverage import corpus
-from vitagrain.catalog.profiles import exploded_jobs, structured
-from vitagrain.catalog.texts import CLEANED, PROFILE, VOCAB
+from vitagrain.catalog.profiles import SCORE_SQL, application_pairs, every_pair, exploded_jobs, structured
+from vitagrain.catalog.texts import CLEANED, PROFILE, VOCAB, reading_order
 from vitagrain.functions import dates as dt
 from vitagrain.functions import lexicon as lx
 from vitagrain.functions import nested as ne
 from vitagrain.functions import stacks
+from vitagrain.functions import text as tx
 from vitagrain.operators import answers as an
 from vitagrain.operators import dictionary as dc
 from vitagrain.operators import intervals as iv
+from vitagrain.operators import lines as ln
 from vitagrain.operators import paging as pg
 from vitagrain.operators import rewrites as rw
+from vitagrain.plans import audits as au
+from vitagrain.plans import matches as ma
+from vitagrain.plans import postings as po
 from vitagrain.sources import derived as dv
 from vitagrain.sources import files as fl
 from vitagrain.sources.scratch import scratch_folder, stored
@@ -250,3 +255,112 @@ def counted_erasure(spark, sf):
     left = rw.read_current(spark, path).select("id", F.lit(True).alias("held"))
     said = asked.join(left, "id", "left").select("id", "reason", F.col("held").isNull().alias("gone"))
     return said.unionByName(left.join(asked, "id", "left_anti").select("id", F.lit("kept").alias("reason"), F.lit(False).alias("gone")))
+
+
+# --- orders as positions --------------------------------------------------------------------
+@query("vocabulary_positions_o5", """SELECT term, row_number() OVER (ORDER BY n_words DESC, term) AS position
+FROM (SELECT DISTINCT p_name AS term, len(string_split(p_name, ' ')) AS n_words FROM part)""")
+def vocabulary_positions(spark, sf):
+    terms = read_table(spark, sf, "part").select(F.col("p_name").alias("term")).distinct()
+    return pg.positions(terms, F.size(F.split("term", " ")).desc(), F.col("term")).select("term", "position")
+
+
+@query("member_positions_o7", f"WITH {U} SELECT id, name, row_number() OVER (ORDER BY id) AS position FROM users")
+def member_positions(spark, sf):
+    return pg.positions(users(spark, sf).select("id", "name"), F.col("id"))
+
+
+@query("reading_positions_o8", """SELECT page, y, x, block, row_number() OVER (ORDER BY page, y, x, block) AS position FROM (
+SELECT l_orderkey AS page, round(l_quantity / 7, 1) AS y, round(l_tax, 1) AS x, l_partkey AS block FROM lineitem WHERE l_returnflag <> 'N')""")
+def reading_positions(spark, sf):
+    return pg.positions(reading_order(spark, sf), "page", "y", "x", "block")
+
+
+@query("template_positions_j4_o4", f"""WITH {U}, {T} SELECT u.id AS user_id, t.slug, t.is_default,
+row_number() OVER (PARTITION BY u.id ORDER BY t.is_default DESC, t.slug) AS position FROM users u LEFT JOIN templates t ON t.user_id = u.id""")
+def template_positions(spark, sf):
+    """Each member's templates with their place in the listing: the default first, then by slug."""
+    return pg.positions(member_templates(spark, sf), F.col("user_id"), F.col("is_default").desc(), F.col("slug"), within="user_id")
+
+
+@query("activity_positions_j5", f"""WITH {R}, {U} SELECT u.id AS user_id, r.id, row_number() OVER (PARTITION BY u.id ORDER BY r.id DESC) AS position
+FROM users u JOIN records r ON r.user_id = u.id""")
+def activity_positions(spark, sf):
+    """Each member's activity with its place, newest first."""
+    rows = member_detail(spark, sf).select("user_id", "id")
+    return pg.positions(rows, F.col("user_id"), F.col("id").desc(), within="user_id")
+
+
+# --- tailored records -------------------------------------------------------------------------
+S4 = dv.profile_skills("doc_id")
+TAILORED_FLAT = f"""concat_ws(' ', {SUMMARY}, text, {S4[0]}, {S4[1]}, {S4[2]}, {S4[3]}, {', '.join(
+    f"CASE WHEN {j} < {dv.job_count('doc_id')} THEN concat_ws(' ', {', '.join([*dv.tailored_fields('doc_id', j).values()][:2])}, {', '.join(dv.job_bullets('doc_id', j))}) END"
+    for j in range(dv.MAX_JOBS))}, 'Bachelor of Science', CASE WHEN doc_id % 6 <> 0 THEN 'AWS Certified Developer ' || (doc_id % 7) END)"""
+SCORE_TAILORED = SCORE_SQL.replace("flat AS (SELECT doc_id, ", f"flat AS (SELECT doc_id, {TAILORED_FLAT} AS flat FROM documents), other AS (SELECT doc_id, ", 1)
+
+
+def tailored_records(spark, sf):
+    """Tailored records with grouped skills; the whole stored text stands in the summary."""
+    s = S4
+    jobs = "transform(tailored, j -> named_struct('title', j.title, 'company', j.company, 'dates', j.dates, 'bullets', slice(j.bullets, 1, 3)))"
+    groups = ", ".join(f"'{g}', {v}" for g, v in [
+        ("languages", f"array({s[0]})"), ("backend", f"array({s[1]})"), ("frontend", "cast(array() AS array<string>)"),
+        ("cloud", f"array({s[2]})"), ("devops", "cast(NULL AS array<string>)"), ("databases", "cast(array() AS array<string>)"),
+        ("ai", "cast(array() AS array<string>)"), ("tools", f"array({s[3]})")])
+    return dv.tailored(spark, sf).selectExpr(
+        "doc_id", "concat_ws(' ', summary, raw_text) AS summary", f"named_struct({groups}) AS skills", f"{jobs} AS experience",
+        "array(named_struct('degree', 'Bachelor of Science', 'institution', '', 'dates', '')) AS education", "tailored_certs AS certifications")
+
+
+@query("score_tailored_c4_t5", every_pair(SCORE_TAILORED, "matched, missing, score"))
+def score_tailored(spark, sf):
+    """Coverage of every application's posting by the tailored record, skill groups and all."""
+    scored = ma.score_tailored(application_pairs(spark, sf), tailored_records(spark, sf), po.analyse(dv.postings(spark, sf)))
+    return scored.withColumn("matched", F.array_join("matched", ";")).withColumn("missing", F.array_join("missing", ";"))
+
+
+def matched_gaps(spark, sf):
+    """What gap closing needs, from matching every profile with a posting: lists, listed skills, summary, tenure."""
+    profiles, analyses = stored(structured(spark, sf)), po.analyse(dv.postings(spark, sf))
+    n_items = read_table(spark, sf, "benchmark").agg(F.greatest(F.count("*"), F.lit(1)).alias("n")).scalar()
+    pairs = profiles.select("doc_id", F.pmod(F.col("doc_id"), n_items).alias("item_id"))
+    found = ma.match(pairs, profiles, analyses, "aggressive_match").where("reason IS NULL").drop("reason")
+    months = dt.months_inclusive("s.starts", "s.ends")
+    own = profiles.select("doc_id", "skills_raw", "summary", F.expr(au.span("experience", AS_OF)).alias("s"))
+    own = own.selectExpr(
+        "doc_id", "skills_raw AS cv_skills", f"{dt.tenure_phrase(months)} AS phrase",
+        "CASE WHEN doc_id % 3 = 0 THEN concat(summary, ' Hands-on with a, b, c.') ELSE summary END AS summary",
+        "transform(slice(skills_raw, 1, 2), s -> named_struct('grp', 'tools', 'term', s)) AS skills")
+    return found.join(own, "doc_id")
+
+
+@query("matched_gaps_c6_n6_g5_t34_t36")
+def closed_gaps(spark, sf):
+    """Gap closing fed by matching: added skills, woven terms, summary with its tenure, and notes."""
+    closed = au.close_gaps(matched_gaps(spark, sf))
+    return closed.select(
+        "doc_id", F.expr("array_join(transform(added, a -> concat(a.grp, ':', a.term, ':', a.kind)), ';')").alias("added"),
+        F.array_join("woven", ";").alias("woven"), F.md5("summary").alias("summary_md5"), F.length("summary").alias("summary_length"),
+        F.expr("array_join(transform(notes, n -> concat(n.rule, '=', n.detail)), ';')").alias("notes"))
+
+
+# --- skills and headers out of stored texts ------------------------------------------------------
+WORDS = "regexp_extract_all(lower({0}), '[a-z]+')"
+
+
+@query("text_skills_w17_w18_t31_t41", f"""WITH w AS (SELECT doc_id, {WORDS.format("coalesce(text, '')")} AS w FROM documents),
+x AS (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS i, len(w) AS n FROM w),
+k AS (SELECT doc_id, t, min(i) AS i FROM x GROUP BY ALL),
+g AS (SELECT k.doc_id, k.t, k.i, CASE WHEN k.i * 2 <= len(w) THEN 'Languages' ELSE 'Tools' END AS label, upper(k.t[1]) || k.t[2:] AS shown FROM k JOIN w USING (doc_id))
+SELECT w.doc_id, coalesce(string_agg(shown, ', ' ORDER BY i), '') AS digest,
+concat_ws('~', 'Languages: ' || string_agg(shown, ', ' ORDER BY i) FILTER (label = 'Languages'), 'Tools: ' || string_agg(shown, ', ' ORDER BY i) FILTER (label = 'Tools')) AS lines
+FROM w LEFT JOIN g USING (doc_id) GROUP BY w.doc_id""")
+def text_skills(spark, sf):
+    """Words of a stored text as two skill groups, repeats across the groups dropped, as a digest and as labelled lines."""
+    words = corpus(spark, sf).select("doc_id", F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z]+"), F.lit(0)).alias("w"))
+    rows = "transform(w, (x, i) -> named_struct('grp', IF((i + 1) * 2 <= size(w), 'languages', 'tools'), 'term', x))"
+    kept = words.selectExpr("doc_id", f"{rows} AS sk").selectExpr("doc_id", f"{ln.first_by_key('sk', 'lower(trim(x.term))')} AS kept")
+    shown = kept.selectExpr("doc_id", "transform(kept, s -> named_struct('grp', s.grp, 'term', concat(upper(left(s.term, 1)), substr(s.term, 2)))) AS kept")
+    groups = [(label, f"transform(filter(kept, s -> s.grp = '{g}'), s -> s.term)") for g, label in lx.SKILL_GROUPS.items()]
+    return shown.select("doc_id", F.expr(tx.skill_digest("transform(kept, s -> s.term)")).alias("digest"),
+                        F.expr(f"array_join({tx.labelled_lines(groups)}, '~')").alias("lines"))

@@ -282,7 +282,7 @@ def education_blocks(spark, sf):
     ).alias("education"))
 
 
-PHONE = "CONCAT('+38162', lpad(CAST(doc_id AS STRING), 6, '0'))"
+PHONE = "CONCAT('+38555', lpad(CAST(doc_id AS STRING), 6, '0'))"
 
 
 @query("contact_blocks_w23_t19", f"""SELECT doc_id, 'Ann Sample' AS name, 'p' || doc_id || '@example.com' AS email, {PHONE} AS phone,

@@ -7,16 +7,13 @@ stated as plain text and kept in one place.
 from __future__ import annotations
 
 # --- Fixed values: words never counted as keywords -------------------------
-FUNCTION_WORDS = """
+STOPWORDS = """
 a an the and or but if then else for to of in on at by with from as is are was
 were be been being this that these those it its we you your they their our us
 he she his her them i me my who whom which what will would can could should
 shall may might must have has had do does did not no so than too very just
 about into over under up down out off again further all any both each few more
 most other some such only own same per etc please
-""".split()
-
-POSTING_WORDS = """
 job role responsibilities responsible requirements required preferred
 qualifications candidate candidates company years year including using based
 within across ability abilities strong excellent experience experienced work
@@ -31,18 +28,13 @@ mission vision values diverse inclusion inclusive world global industry
 background passion passionate self-starter motivated detail-oriented fast paced
 note eeo aa aap knowledge need needed needs familiarity familiar understanding
 solid deep proven demonstrated hands-on hand
-""".split()
-
-LABEL_WORDS = """
 title titled skill skills field fields related conduct conducted drive driven
 driving professional professionally dynamic cutting-edge state-of-the-art tool
 tools methodology methodologies fast-growing fastgrowing similar similarly
 """.split()
 
-STOPWORDS = FUNCTION_WORDS + POSTING_WORDS + LABEL_WORDS
-
 # --- Fixed values: word families, "root: members" --------------------------
-NOUN_VERB_FAMILIES = """
+WORD_FAMILY_LINES = """
 collaborat: collaboration collaborate collaborated collaborating collaborative collaborator collaborators
 optimiz: optimization optimizations optimize optimized optimizing optimal optimally
 automat: automation automate automated automating automatic automatically
@@ -74,9 +66,6 @@ innovat: innovation innovate innovated innovating innovative
 methodolog: methodology methodologies
 technolog: technology technologies
 respons: responsibility responsibilities responsible
-"""
-
-SILENT_E_FAMILIES = """
 improv: improve improves improved improving improvement improvements
 creat: create creates created creating creation creations
 generat: generate generates generated generating generation
@@ -98,7 +87,7 @@ def _families(*blocks: str) -> dict[str, str]:
     return pairs
 
 
-WORD_FAMILIES = _families(NOUN_VERB_FAMILIES, SILENT_E_FAMILIES)
+WORD_FAMILIES = _families(WORD_FAMILY_LINES)
 
 
 def _terms(text: str) -> list[str]:

@@ -195,12 +195,15 @@ def week_earlier(day_counts: DataFrame, column: str = "n_live") -> DataFrame:
         0, ["n_week_earlier"])
 
 
-def default_per_owner(rows: DataFrame, owner: str = "user_id") -> DataFrame:
-    """Exactly one default per owner: a wanted one, else the lowest slug."""
-    wanted = F.when(F.col("is_default"), F.col("slug"))
-    chosen = rows.groupBy(owner).agg(F.coalesce(F.min(wanted), F.min("slug")).alias("default_slug"))
+def default_per_owner(rows: DataFrame, owner: str = "user_id", key: str = "id") -> DataFrame:
+    """Exactly one default per owner: a wanted one, else the lowest slug; equal ones by key.
+
+    The winners are found by an aggregate on the owner that combines ahead of its
+    shuffle, and marked by row id, so that no owner's rows meet in one task.
+    """
+    first = F.struct((~F.col("is_default")).cast("int").alias("unwanted"), "slug", key)
+    chosen = rows.groupBy(owner).agg(F.min_by(key, first).alias(key)).select(key, F.lit(True).alias("chosen"))
     return (
-        rows.join(chosen, owner)
-        .withColumn("is_default", F.col("slug") == F.col("default_slug"))
-        .drop("default_slug")
+        rows.join(chosen, key, "left")
+        .withColumn("is_default", F.coalesce("chosen", F.lit(False))).drop("chosen")
     )

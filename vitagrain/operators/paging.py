@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vitagrain.sources.scratch import stored
+
 WIDTH = 4096
 
 
@@ -45,3 +47,26 @@ def deep_page(df: DataFrame, key: str, page: int, size: int, width: int = 1 << 1
     place = F.row_number().over(Window.orderBy(F.col(key).desc()))  # the rows of the touched buckets
     near = near.withColumn("place", place).withColumn("skip", skip)
     return near.where(f"place > skip AND place <= skip + {size}").drop("place", "skip")
+
+
+def positions(df: DataFrame, *order, within: str | None = None, name: str = "position") -> DataFrame:
+    """Rows with their place (from 1) in an order over any columns, which should tell all rows apart.
+
+    Rows are dealt out by ranges of the order, sorted inside their range and stored once;
+    the rows of earlier ranges are counted, not read. ``within`` restarts the places for
+    each value of a column, the first one of the order.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    row = F.monotonically_increasing_id()  # range number, then place in the range
+    ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    ranged = stored(ranged.withColumn("range", F.shiftright(row, 33)).withColumn("row", row.bitwiseAND((1 << 33) - 1)))
+    counts = ranged.groupBy("range").agg(F.count("*").alias("held"))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    offsets = counts.select("range", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("skip"))
+    placed = ranged.join(offsets, "range").withColumn(name, F.col("row") + F.col("skip") + 1).drop("range", "row", "skip")
+    if within is None:
+        return placed
+    first = placed.groupBy(within).agg(F.min(name).alias("least"))
+    met = F.col(f"p.{within}").eqNullSafe(F.col(f"f.{within}"))
+    return placed.alias("p").join(first.alias("f"), met).select("p.*", "f.least").withColumn(
+        name, F.col(name) - F.col("least") + 1).drop("least")

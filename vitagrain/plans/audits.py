@@ -160,6 +160,20 @@ def _bare(array: str) -> str:
     return f"transform({array}, e -> {st.strip('substring_index(e, ' + chr(39) + ' (related:' + chr(39) + ', 1)')})"
 
 
+#: Marks a word boundary in a text; no stored text holds this character.
+EDGE = "\\u0001"
+
+
+def _edged(value: str) -> str:
+    """A text with every word boundary marked, so that whole words are plain substrings."""
+    return f"regexp_replace({value}, r'\\b', '{EDGE}')"
+
+
+def _stands_alone(term: str, edged: str) -> str:
+    """Whether a term stands alone in a marked text, as between two word boundaries."""
+    return f"contains({edged}, concat('{EDGE}', trim(BOTH '{EDGE}' FROM {_edged(term)}), '{EDGE}'))"
+
+
 def close_gaps(rows: DataFrame, key: str = "doc_id", woven: int | None = None) -> DataFrame:
     """Add supported skills a tailored profile omits and weave preferred ones in.
 
@@ -167,38 +181,43 @@ def close_gaps(rows: DataFrame, key: str = "doc_id", woven: int | None = None) -
 
     ``rows`` carries match lists (matched_skills, transferable_skills,
     preferred_matched, preferred_transferable), the grouped skills as an array
-    of struct(grp, term), the profile's own skill spellings and the summary.
+    of struct(grp, term), the profile's own skill spellings and the summary. Where it
+    also carries the career ``phrase``, that enters the summary last of all.
     Terms are added in order and each one sees the text grown by earlier ones,
-    hence the fold.
+    hence the fold. ``notes`` tells what was done: (rule, detail).
     """
     preferred = tx.distinct_folded(f"concat(preferred_matched, {_bare('preferred_transferable')})")
     df = rows.withColumn("preferred", F.expr(preferred))
     df = df.withColumn("candidates", F.expr(
         f"array_distinct(concat(preferred, matched_skills, {_bare('transferable_skills')}))"))
-    df = df.withColumn("start_text", F.expr(
-        "lower(array_join(transform(skills, s -> s.term), ' '))"))
-    present = ("regexp_instr(a.txt, concat('\\\\b', regexp_replace(t, '([^A-Za-z0-9 ])', "
-               "'\\\\\\\\$1'), '\\\\b')) > 0")
+    df = df.withColumn("start_text", F.expr(_edged("lower(array_join(transform(skills, s -> s.term), ' '))")))
     step = (
         "aggregate(candidates, named_struct('txt', start_text, 'added', "
         "CAST(array() AS ARRAY<STRUCT<grp: STRING, term: STRING, kind: STRING>>)), "
         "(a, c) -> " + st.let("t", f"lower({st.strip('c')})", st.let("g", tx.skill_category("c"), (
-            f"CASE WHEN t = '' OR g IS NULL OR {present} THEN a ELSE named_struct("
-            f"'txt', concat(a.txt, ' ', t), 'added', concat(a.added, array(named_struct("
+            f"CASE WHEN t = '' OR g IS NULL OR {_stands_alone('t', 'a.txt')} THEN a ELSE named_struct("
+            f"'txt', concat(a.txt, ' ', {_edged('t')}), 'added', concat(a.added, array(named_struct("
             f"'grp', g, 'term', {tx.display_form('c', 'cv_skills')}, 'kind', "
             f"CASE WHEN exists(preferred, p -> lower(p) = lower(c)) THEN 'preferred' "
             f"ELSE 'matched/transferable' END)))) END"))) + ", a -> a.added)"
     )
     df = df.withColumn("added", F.expr(step))
     df = df.withColumn("clean_summary", F.expr(tx.summary_prose("summary")))
-    missing = (
-        "filter(preferred, p -> regexp_instr(lower(clean_summary), concat('\\\\b', "
-        "regexp_replace(lower(p), '([^A-Za-z0-9 ])', '\\\\\\\\$1'), '\\\\b')) = 0)")
+    missing = st.let("es", _edged("lower(clean_summary)"), f"filter(preferred, p -> NOT {_stands_alone('lower(p)', 'es')})")
     df = df.withColumn("woven", F.expr(st.first(missing, woven)))
     sentence = (f"concat('Additional strengths include ', {tx.prose_list('woven')}, "
                 f"', aligned with this role\\'s preferred qualifications.')")
+    df = df.withColumn("closed", F.expr(
+        f"CASE WHEN size(woven) = 0 THEN clean_summary ELSE trim(concat(clean_summary, ' ', {sentence})) END"))
+    restated = "phrase" in rows.columns
+    df = df.withColumn("final", F.expr(tx.with_tenure("closed", "phrase") if restated else "closed"))
+    note = "CASE WHEN {0} THEN named_struct('rule', '{1}', 'detail', {2}) END"
+    notes = ", ".join([
+        note.format(f"clean_summary <> {st.strip(chr(99) + 'oalesce(summary, ' + chr(39) * 2 + ')')}", "dump removed", "''"),
+        note.format("size(woven) > 0", "preferred terms woven in", "array_join(woven, ', ')"),
+        note.format("phrase IS NOT NULL AND final <> closed" if restated else "false", "tenure restated", "phrase" if restated else "''"),
+    ])
+    added = "transform(added, a -> named_struct('rule', 'skill added', 'detail', concat(a.term, ' (', a.grp, ', ', a.kind, ')')))"
     return df.selectExpr(
-        key, "added", "woven",
-        f"CASE WHEN size(woven) = 0 THEN clean_summary ELSE "
-        f"trim(concat(clean_summary, ' ', {sentence})) END AS summary",
-    )
+        key, "added", "woven", "final AS summary",
+        f"concat({added}, filter(array({notes}), n -> n IS NOT NULL)) AS notes")

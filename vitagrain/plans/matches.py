@@ -101,3 +101,18 @@ def score(pairs: DataFrame, profiles: DataFrame, analyses: DataFrame) -> DataFra
         .selectExpr("doc_id", f"{tk.stems('words')} AS stems")
     items = analyses.selectExpr("item_id", f"{tk.keywords(po.requirement_text())} AS keywords")
     return mt.score_pairs(pairs, docs, mt.required_terms(items))
+
+
+def tailored_text() -> str:
+    """Searchable text of a tailored record: its eight skill groups in order; spoken languages never count."""
+    groups = ", ".join(f"coalesce(skills.{g}, {pf.EMPTY_TEXTS})" for g in lx.SKILL_GROUPS)
+    return (f"array_join(concat(array(coalesce(summary, '')), {groups}, "
+            "flatten(transform(experience, j -> concat(array(j.title, j.company), j.bullets))), "
+            "flatten(transform(education, e -> array(e.degree, e.institution))), certifications), ' ')")
+
+
+def score_tailored(pairs: DataFrame, records: DataFrame, analyses: DataFrame) -> DataFrame:
+    """Keyword coverage of given pairs by tailored records, whose skills are a struct of eight lists."""
+    docs = records.selectExpr("doc_id", f"{tk.keywords(tailored_text())} AS words").selectExpr("doc_id", f"{tk.stems('words')} AS stems")
+    items = analyses.selectExpr("item_id", f"{tk.keywords(po.requirement_text())} AS keywords")
+    return mt.score_pairs(pairs, docs, mt.required_terms(items))
