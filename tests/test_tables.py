@@ -6,8 +6,11 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from vitagrain.catalog import tables
+from vitagrain.functions import lexicon as lx
 from vitagrain.functions import nested as ne
 from vitagrain.functions import text as tx
+from vitagrain.operators import activity as ac
 from vitagrain.operators import answers as an
 from vitagrain.operators import dictionary as dc
 from vitagrain.operators import intervals as iv
@@ -15,6 +18,8 @@ from vitagrain.operators import lines as ln
 from vitagrain.operators import matching as mt
 from vitagrain.operators import paging as pg
 from vitagrain.operators import rewrites as rw
+from vitagrain.plans import audits as au
+from vitagrain.plans import matches as ma
 from vitagrain.sources import files as fl
 
 
@@ -253,3 +258,91 @@ def test_erasure_is_guarded(spark):
     assert reasons([1, 2, 3, 4, 9], 3) == {1: "last administrator", 2: "", 3: "own account", 4: "", 9: "unknown"}
     assert reasons([1, 2], 2) == {1: "", 2: "own account"}
     assert reasons([1, 1, 3], 4) == {1: "", 3: ""}
+
+
+# --- positions ------------------------------------------------------------------------------------------
+def test_positions_follow_the_order(spark):
+    rng = random.Random(11)
+    rows = [(rng.choice(("hot", "hot", "b", None)), f"t{i:03}", i) for i in rng.sample(range(300), 300)]
+    df = spark.createDataFrame(rows, "k string, t string, i long")
+    got = {r.i: r.position for r in pg.positions(df, F.col("t").desc()).collect()}
+    assert got == {i: n for n, i in enumerate(sorted(got, reverse=True), 1)}
+    within = pg.positions(df, F.col("k"), F.col("i").desc(), within="k").collect()
+    for key in ("hot", "b", None):
+        own = sorted((r.i for r in within if r.k == key), reverse=True)
+        assert {r.i: r.position for r in within if r.k == key} == {i: n for n, i in enumerate(own, 1)}
+    assert pg.positions(df.limit(0), "t").collect() == []
+
+
+def test_one_default_per_owner(spark):
+    rows = [(1, "x", "b", True), (2, "x", "a", False), (3, "x", "b", True), (4, "y", "d", False), (5, "y", "c", False), (6, None, "z", False)]
+    df = spark.createDataFrame(rows, "id long, user_id string, slug string, is_default boolean")
+    out = ac.default_per_owner(df)
+    assert {r.id for r in out.collect() if r.is_default} == {1, 5, 6} and out.count() == 6
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftOuter, (id" in plan
+
+
+# --- gap closing -----------------------------------------------------------------------------------------
+def gaps_of(row):
+    """Brute force: candidates in order, each tested against the text grown so far."""
+    c = lx.CATEGORIES
+    groups = [("languages", c["programming_languages"]), ("frontend", lx.FRONTEND_FRAMEWORKS),
+              ("backend", [t for t in c["frameworks"] if t not in lx.FRONTEND_FRAMEWORKS]), ("cloud", c["cloud_platforms"]),
+              ("devops", c["devops_tools"]), ("databases", c["databases"]), ("ai", c["ai_ml_tools"]), ("tools", c["methodologies"] + lx.EXTRA_TECHNOLOGIES)]
+    group = lambda t: next((g for g, terms in groups if t.lower() in terms), None)
+    alone = lambda t, text: re.search(rf"\b{re.escape(t)}\b", text, re.A) is not None
+    bare = lambda e: e.split(" (related:")[0].strip()
+    preferred = list({t.lower(): t for t in reversed([*row.preferred_matched, *map(bare, row.preferred_transferable)])}.values())[::-1]
+    text, added = " ".join(s.term for s in row.skills).lower(), []
+    for t in dict.fromkeys([*preferred, *row.matched_skills, *map(bare, row.transferable_skills)]):
+        if group(t) and not alone(t.lower(), text):
+            own = [s for s in row.cv_skills if s.lower() == t.lower()]
+            shown = own[-1] if own else t.upper() if t.lower() in lx.ACRONYMS else t[:1].upper() + t[1:]
+            added.append((group(t), shown, "preferred" if t.lower() in {p.lower() for p in preferred} else "matched/transferable"))
+            text += f" {t.lower()}"
+    clean = re.sub(r"(?is)\s+(?:Matched(?:\s+skills|\s+terms)?\s*:|Transferable(?:\s+skills)?\s*:|Transferable experience with\b|Hands-on with\b).*$",
+                   "", row.summary.strip()).rstrip(" ;,")
+    clean += "" if not clean or clean[-1] in ".!?" else "."
+    woven = [p for p in preferred if not alone(p.lower(), clean.lower())]
+    names = " and ".join(woven) if len(woven) < 3 else ", ".join(woven[:-1]) + f", and {woven[-1]}"
+    closed = f"{clean} Additional strengths include {names}, aligned with this role's preferred qualifications.".strip() if woven else clean
+    return added, woven, closed, clean != row.summary.strip()
+
+
+def test_gap_closing_after_matching(spark, sf):
+    inputs = tables.matched_gaps(spark, sf)
+    rows = {r.doc_id: r for r in inputs.collect()}
+    closed = {r.doc_id: r for r in au.close_gaps(inputs).collect()}
+    assert set(rows) == set(closed) and len(rows) == 200
+    texts = []
+    for k, row in rows.items():
+        added, woven, text, dumped = gaps_of(row)
+        assert [tuple(a) for a in closed[k].added] == added and list(closed[k].woven) == woven
+        rules = [n.rule for n in closed[k].notes]
+        assert rules.count("skill added") == len(added) and ("dump removed" in rules) == dumped and ("preferred terms woven in" in rules) == bool(woven)
+        texts.append((k, text, row.phrase))
+    df = spark.createDataFrame(texts, "doc_id long, text string, phrase string")
+    for r in df.selectExpr("doc_id", "text", f"{tx.with_tenure('text', 'phrase')} AS final").collect():
+        assert closed[r.doc_id].summary == r.final
+        assert ("tenure restated" in [n.rule for n in closed[r.doc_id].notes]) == (r.final != r.text)
+    assert any(r.added for r in closed.values()) and any(n.rule == "tenure restated" for r in closed.values() for n in r.notes)
+
+
+def test_gaps_of_terms_with_odd_edges(spark):
+    row = dict(doc_id=1, matched_skills=["c++", "node.js", "java", "sql"], transferable_skills=["docker (related: podman)"], preferred_matched=["go"],
+               preferred_transferable=["Kafka (related: pulsar)"], cv_skills=["NODE.JS"], summary="Runs C++ on Go-lang, javascript; Kafka2")
+    kind = ("doc_id long, matched_skills array<string>, transferable_skills array<string>, preferred_matched array<string>, preferred_transferable array<string>, "
+            "skills array<struct<grp: string, term: string>>, cv_skills array<string>, summary string")
+    df = spark.createDataFrame([(1, row["matched_skills"], row["transferable_skills"], row["preferred_matched"], row["preferred_transferable"],
+                                 [("tools", "JavaScript"), ("tools", "PL/SQL")], row["cv_skills"], row["summary"])], kind)
+    r, want = au.close_gaps(df).first(), gaps_of(df.first())
+    assert [tuple(a) for a in r.added] == want[0] and list(r.woven) == want[1] == ["Kafka"] and r.summary == want[2]
+
+
+def test_tailored_text_takes_all_groups(spark):
+    df = spark.sql("""SELECT 'sum' AS summary, named_struct('languages', array('a'), 'backend', array('b'), 'frontend', array('c'), 'cloud', array('d'),
+        'devops', CAST(NULL AS ARRAY<STRING>), 'databases', array('e'), 'ai', array('f'), 'tools', array('g')) AS skills,
+        array(named_struct('title', 't', 'company', 'co', 'dates', '2020', 'bullets', array('x', 'y'))) AS experience,
+        array(named_struct('degree', 'dg', 'institution', 'in', 'dates', '1')) AS education, array('cert') AS certifications""")
+    assert df.selectExpr(f"{ma.tailored_text()} AS t").first().t == "sum a b c d e f g t co x y dg in cert"
