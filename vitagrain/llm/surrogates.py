@@ -64,7 +64,7 @@ FIRSTS = "".join(sorted({t[0] for t in MALE + FEMALE + NEUTRAL}))
 #: An address is not tried again from the middle of a run that has no at sign, and a domain has 128 labels at
 #: most (a name of 253 characters has no more): long runs of labels neither take quadratic time nor the stack.
 KINDS = (
-    ("email", r"(?<![\p{L}0-9])(?:(?<![\p{L}0-9][._%+\-]{1,40})|(?<=@[\p{L}0-9._%+\-]{1,253}))[\p{L}0-9][\p{L}0-9._%+\-]*+@[\p{L}0-9\-]++(?:\.[\p{L}0-9\-]++){0,126}\.\p{L}{2,}"),
+    ("email", r"(?<![\p{L}0-9])(?=[\p{L}0-9])(?>(?<![._%+\-])|(?<![\p{L}0-9][._%+\-]{1,40})|(?<=@[\p{L}0-9._%+\-]{1,253}))[\p{L}0-9][\p{L}0-9._%+\-]*+@[\p{L}0-9\-]++(?:\.[\p{L}0-9\-]++){0,126}\.\p{L}{2,}"),
     ("secret", r"\b(?=[PpSsTtAa])(?i:password|passwd|pwd|secret|token|api[_\-]?key)\s{0,2}[=:]\s{0,2}[\"']?[^\s\"']{4,}"),
     ("access", r"\b(?:A[KS]IA[0-9A-Z]{16}\b|(?:sk|ghp|xox[abp])[_\-][0-9A-Za-z_\-]{16,})"),
     ("bank", r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"),
