@@ -211,3 +211,11 @@ def test_neighbours_of_odd_rows(spark):
     got = sorted((r.query_id, r.rank, r.vec_id) for r in neural_lsh.search(table, "pmod(vec_id, 50) = 0").collect())
     assert [g for g in got if g[0] == 0] == [(0, 1, 50), (0, 2, 100)]
     assert neural_lsh.search(table.limit(0), "pmod(vec_id, 50) = 0").collect() == []
+
+
+def test_one_odd_vector_drops_no_other(spark):
+    rng = random.Random(12)
+    rows = [(0, [1.0])] + [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(1, 201)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = neural_lsh.search(table, "pmod(vec_id, 50) = 0").collect()
+    assert sorted((r.query_id, r["rank"]) for r in got) == [(q, k) for q in (50, 100, 150, 200) for k in range(1, 6)]

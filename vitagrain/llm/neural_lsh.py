@@ -16,8 +16,8 @@ equal vectors tie exactly and ties go to the smaller id.
 
 Only the classifier (parts x dimensions numbers) is broadcast.
 
-Defined cases: vectors that are null, zero, of another length than the first
-sampled, or hold null or non-finite components take no part; rows repeated under
+Defined cases: vectors that are null, zero, of another length than most (the
+smaller length, if two are as common), or hold null or non-finite components take no part; rows repeated under
 one id count once; a null id takes no part; with fewer than k other rows, all are
 returned; an empty table gives no rows; extra columns are left out.
 """
@@ -202,8 +202,9 @@ def search(vectors: DataFrame, asked: str, k: int = 5, key: str = "vec_id", vect
     spark = vectors.sparkSession
     folder = shared_folder(spark)
     held = usable(vectors, key, vector)
-    shape = held.agg(F.min_by(F.size("v"), "vec_id").alias("size"), F.count("*").alias("n")).first()
-    held = held.where(F.size("v") == (shape["size"] or 0))
+    lengths = held.groupBy(F.size("v").alias("size")).agg(F.count("*").alias("n"))
+    shape = lengths.orderBy(F.desc("n"), "size").first() or {"size": 0, "n": 0}
+    held = held.where(F.size("v") == shape["size"])
     taught = held.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toPandas()  # at most `sample` vectors
     router = train(np.array(taught["v"].tolist()).reshape(len(taught), -1), parts_for(shape["n"])) if len(taught) else Router(
         np.zeros((1, 1)), 1)
