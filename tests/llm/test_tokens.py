@@ -19,7 +19,7 @@ def ids(name, text):
     return np.array(HELD[name].encode(text or "", add_special_tokens=False).ids, "<u4").tobytes()
 
 
-TEXTS = st.lists(st.sampled_from(list("ab Zé.,'\n\t  1日🙂\u0301s\x1f\x85") + ["<|endoftext|>", "the", "  "]), max_size=40).map("".join)
+TEXTS = st.lists(st.sampled_from(list("ab Zéİß\u3000.,'\n\t  1日🙂\u0301s\x1f\x85") + ["<|endoftext|>", "the", "  "]), max_size=40).map("".join)
 
 
 @settings(max_examples=300, deadline=None)
@@ -32,6 +32,12 @@ def test_codecs_equal_library(text):
         assert tokens.codec(name).encode(text) == ids(name, text)
 
 
+@pytest.mark.parametrize("text", ["a İ, b", "x Straße. İİ!", "a\u3000 b", "a \x85b", " a", "a ", "THE Cat"])
+def test_joints_and_case_equal_library(text):
+    assert tokens.codec(WORD).encode(text) == ids(WORD, text)
+    assert tokens.codec(BYTE).encode(text) == ids(BYTE, text)
+
+
 @pytest.mark.parametrize("text", ["a" * 5000, "ab" * 400 + " " + "é" * 300, "x" * 65])
 def test_long_words_merge_like_short_ones(text):
     assert bpe.encoder(BYTE).encode(text) == ids(BYTE, text)
@@ -114,3 +120,10 @@ def test_index_is_minimal_and_perfect(keys):
     assert sorted(slots) == list(range(len(keys)))
     shard = {"seeds": seeds.tobytes(), "slots": slots.astype("<u4").tobytes(), "prints": prints.tobytes()}
     assert (store.find(shard, keys, turns) == np.arange(len(keys))).all()
+
+
+def test_ids_that_do_not_fit_raise(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    with pytest.raises(Exception, match="does not fit into 2 bytes"):
+        store.write(docs, str(tmp_path / "narrow"), BYTE, 70_000)
+    store.write(docs, str(tmp_path / "wide"), BYTE, 70_000, width=4)

@@ -39,8 +39,8 @@ TAILS = ".,;:!?"
 #: Fixed value: the split pattern that the public vocabulary's library applies ahead of the merges.
 PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NO_RANK = 1 << 30
-#: A space next to white space, or at either end, is not a plain joint between words.
-_ODD_SPACE = re.compile(r" \s|[^\S ] |\A | \Z")
+#: White space other than the plain space; the ideographic space U+3000 is the last.
+_OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
 _JOINT = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -53,9 +53,15 @@ def vocabulary_path(vocabulary: str) -> str:
     return public_tokenizers.path(vocabulary)
 
 
+def odd_space(text: str) -> bool:
+    """Whether a space stands next to white space or at either end, hence is no plain joint between words."""
+    return (text[:1] == " " or text[-1:] == " " or "  " in text
+            or any(f" {c}" in text or f"{c} " in text for c in _OTHER_SPACE if c in text))
+
+
 def chunks_of(text: str) -> list[str]:
     """Pieces between plain joints; all but the first stand for a space and the piece."""
-    return _JOINT.split(text) if _ODD_SPACE.search(text) else text.split(" ")
+    return _JOINT.split(text) if odd_space(text) else text.split(" ")
 
 
 def packed(ids: list[int]) -> bytes:

@@ -123,9 +123,12 @@ def _shards(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int, wid
         turns = np.array([h[1] for h in held], "<u4")
         seeds, slots, prints = build_index(key_hash(keys, turns))
         ends = np.cumsum([len(h[2]) // 4 for h in held], dtype="<u8")
+        ids = np.frombuffer(b"".join(h[2] for h in held), "<u4")
+        if width == 2 and ids.max(initial=0) > 0xFFFF:
+            raise ValueError(f"id {ids.max()} does not fit into 2 bytes; write with width=4")
         row = [part, number, before, int(keys[0]), int(keys[-1]), len(held), int(ends[-1]), width,
                keys.tobytes() + turns.tobytes(), seeds.tobytes(), slots.astype("<u4").tobytes(), prints.tobytes(),
-               ends.tobytes(), np.frombuffer(b"".join(h[2] for h in held), "<u4").astype(kind).tobytes()]
+               ends.tobytes(), ids.astype(kind).tobytes()]
         kinds = [pa.int64()] * 7 + [pa.int32()] + [pa.binary()] * 6
         held, size, number, before = [], 0, number + 1, before + int(ends[-1])
         return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names=names)
@@ -149,7 +152,7 @@ def _shards(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int, wid
 def write(docs: DataFrame, path: str, vocabulary: str, end_id: int, width: int = 2) -> None:
     """Encode every document, append the end id and write the shards in ascending key order.
 
-    width is the bytes of an id: 2 holds ids under 65,536.
+    width is the bytes of an id: 2 holds ids under 65,536 and raises an error on others.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -9,11 +9,14 @@ the library once per worker and the ids of a text are joined bytes.
 from __future__ import annotations
 
 import os
+from string import ascii_letters
 
 from vitagrain.llm.bpe import TAILS, Generations, alphabet, chunks_of, packed, vocabulary_path
 
 #: Letters below this code point are letters in every version of Unicode.
 LATIN_END = "\u0250"
+#: The one letter whose lower case ends in a mark, which joins the punctuation behind it.
+DOTTED_I = "\u0130"
 
 
 class LibraryCodec:
@@ -28,20 +31,24 @@ class LibraryCodec:
         held.no_padding()
 
         def one(text: str) -> bytes:
-            return packed(held.encode(text, add_special_tokens=False).ids)
+            return packed(held.encode_batch_fast([text], add_special_tokens=False)[0].ids)  # fast: without offsets
 
         tails = {c: one(c) for c in TAILS}
         lead = held.pre_tokenizer.pre_tokenize_str(" a")[0][0][:-1]  # what stands for the space, if it is kept
         stands_for = {b: c for c, b in alphabet().items()}
         normal = held.normalizer.normalize_str if held.normalizer else str
         model = held.model
+        # letters of ASCII pass both normalisers one by one: as they are or in lower case
+        latin = {ascii_letters: str, ascii_letters.lower(): str.lower}.get(normal(ascii_letters), normal)
 
         def later(word: str) -> bytes:
             """Ids of a space and the word; letters alone are one pre-token and go straight to the library's model."""
+            if word.isalpha() and word.isascii():
+                return packed([token.id for token in model.tokenize(lead + latin(word))])
             if word.isalpha() and max(word) < LATIN_END and (plain := normal(word)).isalpha():
                 mapped = plain.encode().decode("latin-1").translate(stands_for)
                 return packed([token.id for token in model.tokenize(lead + mapped)])
-            if word[-1:] in tails and word[:-1].isalpha():
+            if word[-1:] in tails and word[:-1].isalpha() and word[-2] != DOTTED_I:
                 return self.rest[word[:-1]] + tails[word[-1]]
             return one(" " + word)
 
