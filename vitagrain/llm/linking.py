@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from vitagrain.llm.common import held_bits, mix, shared_folder, written
 
-LEADER_ROUNDS, LEADERS = 1, 3
+LEADERS = 3
 #: The bit table of shared keys has two to this power bits: 2 MB.
 SLOT_BITS = 24
 #: Sets have two to this power cells, whose counts end at FULL_CELL.
@@ -193,8 +193,8 @@ def shared_postings(nodes: DataFrame) -> DataFrame:
 
 
 def link(nodes: DataFrame, fetch: Callable[[DataFrame, str], DataFrame], measure: Measure, num: int, den: int, folder: str,
-         positional: bool) -> DataFrame:
-    """node and component of all nodes in a component of two or more.
+         positional: bool, rounds: int = 1) -> DataFrame:
+    """node and component of all nodes in a component of two or more, after `rounds` leader rounds and the last one.
 
     nodes: node, h1 and h2 (the set's hash), n (set size), keys (distinct; in the global
     order if positional) and, if there are any, cells. fetch(nodes, name) gives h1, h2 and
@@ -219,7 +219,7 @@ def link(nodes: DataFrame, fetch: Callable[[DataFrame, str], DataFrame], measure
         # keys before this one that no other node holds are in neither intersection
         fits &= F.expr(f"(least(met, other_met) + least(n - pos, other_n - other_pos)) * {num + den} >= (n + other_n) * {num}")
 
-    for turn in range(LEADER_ROUNDS):
+    for turn in range(rounds):
         held = shared.join(labels, "node", "left") if labels is not None else shared.withColumn(
             "component", F.lit(None).cast("long"))
         held = held.withColumn("component", F.coalesce("component", "node"))

@@ -4,7 +4,7 @@ A document is the set of its word shingles. Sets of n shingles that reach
 Jaccard num/den share one of the first n - ceil(n * num / den) + 1 shingles of
 each in any common order; the order here puts rare shingles first. It comes
 from document frequencies over all documents: every task counts its shingles,
-those it saw more than once are summed over tasks, and the FREQUENT most
+those it saw more than once are summed over tasks, and the FREQUENT (at most) most
 frequent ones (a bounded list, broadcast) go last, by frequency; all others are
 rarer and go by hash. The order only steers cost, never the result.
 
@@ -44,7 +44,11 @@ from vitagrain.llm.common import (
 from vitagrain.llm.linking import cells_of, link, measure_sets
 from vitagrain.llm.shingles import set_hash, word_shingles
 
-FREQUENT = 1 << 17
+FREQUENT = 1 << 19
+#: Counts are told apart in this many steps an octave where the list of frequent shingles ends.
+STEPS = 16
+#: Leader rounds ahead of the comparison in full: the second one takes what the first left of large groups.
+ROUNDS = 2
 #: Shingle counts that a task holds before it passes the repeated ones on.
 HELD = 1 << 22
 
@@ -74,14 +78,26 @@ def _repeated(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Recor
     yield out(held)
 
 
-def frequent(texts: DataFrame, size: int, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles, sorted by hash, and their document counts."""
+def frequent(texts: DataFrame, size: int, folder: str, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles, sorted by hash, and their document counts: `most` at the most.
+
+    Steps of counts are counted first (a few hundred rows for any input), then the shingles of
+    the highest steps that fit are fetched, so neither a sort nor more than the list meets the driver.
+    """
     counts = texts.select("text").mapInArrow(lambda b: _repeated(b, size), "shingle long, n long")
-    top = counts.groupBy("shingle").agg(F.sum("n").alias("n")).where("n > 2").orderBy(F.desc("n"), "shingle").limit(most)
-    held = top.toPandas()  # at most `most` rows
-    keys = held["shingle"].to_numpy(np.int64).view(np.uint64)
+    counts = counts.groupBy("shingle").agg(F.sum("n").alias("n")).where("n > 2").withColumn(
+        "step", F.floor(F.log2("n") * STEPS).cast("int"))
+    counts = written(counts, folder, "frequent")
+    least, fit = None, 0
+    for row in sorted(counts.groupBy("step").count().collect(), reverse=True):
+        fit += row["count"]
+        if fit > most:
+            break
+        least = row["step"]
+    top = counts.where(F.col("step") >= F.lit(least).cast("int")).select("shingle", "n").toArrow()
+    keys = top.column("shingle").to_numpy().view(np.uint64)
     order = np.argsort(keys)
-    return keys[order], held["n"].to_numpy(np.int64)[order]
+    return keys[order], top.column("n").to_numpy()[order]
 
 
 def prefix_length(n: int, num: int, den: int) -> int:
@@ -128,7 +144,7 @@ def _labelled(docs: DataFrame, size: int, num: int, den: int, most: int) -> tupl
     spark = docs.sparkSession
     folder = shared_folder(spark)
     texts = id_text(docs)
-    order = spark.sparkContext.broadcast(frequent(texts, size, most))
+    order = spark.sparkContext.broadcast(frequent(texts, size, folder, most))
     signed = written(texts.mapInArrow(lambda b: _prefixed(b, size, num, den, order),
                                       "doc_id long, n long, h1 long, h2 long, cells binary, prefix array<long>"), folder, "signed")
     nodes = signed.where("n > 0").groupBy("h1", "h2").agg(
@@ -145,7 +161,7 @@ def _labelled(docs: DataFrame, size: int, num: int, den: int, most: int) -> tupl
         return texts.select(slot_column("doc_id").alias("slot"), "text").mapInArrow(
             lambda b: _items(b, size, bits), "h1 long, h2 long, items array<long>")
 
-    labels = link(nodes, fetch, measure_sets, num, den, folder, positional=True)
+    labels = link(nodes, fetch, measure_sets, num, den, folder, positional=True, rounds=ROUNDS)
     named = nodes.select("node", "h1", "h2", "doc_id").join(labels, "node", "left").withColumn(
         "component", F.coalesce("component", "node"))
     return signed, named
