@@ -225,7 +225,10 @@ def link(nodes: DataFrame, fetch: Callable[[DataFrame, str], DataFrame], measure
         held = held.withColumn("component", F.coalesce("component", "node"))
         # the most typical node of each component under a key, and of these the LEADERS most typical
         ends = F.struct("own", "node", "component", "n", "pos", "met")
-        heads = held.groupBy("key", "component").agg(F.min(ends).alias("head")).withColumn("place", F.row_number().over(
+        # (at first every node is a component of its own and the limit alone works ahead of the shuffle)
+        typical = held.select("key", ends.alias("head")) if labels is None else held.groupBy("key", "component").agg(
+            F.min(ends).alias("head"))
+        heads = typical.withColumn("place", F.row_number().over(
             Window.partitionBy("key").orderBy("head"))).where(F.col("place") <= LEADERS).select("key", "head")
         tries = held.join(heads, "key").where("component <> head.component").selectExpr(
             "node AS a", "head.node AS b", "n", "pos", "met", "head.n AS other_n", "head.pos AS other_pos",
@@ -251,10 +254,11 @@ def link(nodes: DataFrame, fetch: Callable[[DataFrame, str], DataFrame], measure
     held = shared.join(labels, "node", "left") if labels is not None else shared.withColumn(
         "component", F.lit(None).cast("long"))
     held = held.withColumn("component", F.coalesce("component", "node"))
-    held = held.join(first, "node", "left")
     weights = held.groupBy("key", "component").agg(F.count("*").alias("size"))
     major = weights.groupBy("key").agg(F.max(F.struct("size", "component")).alias("top"), F.count("*").alias("kinds"))
+    # only postings of keys with several components are left, and only they meet the distances
     mixed = held.join(major.where("kinds > 1").selectExpr("key", "top.component AS major"), "key")
+    mixed = written(mixed, folder, "mixed").join(first, "node", "left")
     few = mixed.where("component <> major").selectExpr(
         "key", "node AS a", "component AS a_component", "n", "pos", "met", "near AS a_near")
     rest = mixed.selectExpr("key", "node AS b", "component AS b_component", "n AS other_n", "pos AS other_pos",

@@ -61,21 +61,28 @@ def _sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
 def _repeated(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """Shingles that occur in more than one document of the task (of each HELD shingles), with that number."""
 
-    def out(held: list[np.ndarray]) -> pa.RecordBatch:
-        values, counts = np.unique(np.concatenate(held), return_counts=True)
-        many = counts > 1
-        return pa.RecordBatch.from_arrays([pa.array(values[many].view(np.int64)), pa.array(counts[many])],
+    held, n = np.empty(HELD, np.uint64), 0
+
+    def out(run: np.ndarray) -> pa.RecordBatch:
+        run.sort()
+        same = np.zeros(len(run) + 1, bool)
+        same[1:-1] = run[1:] == run[:-1]
+        begins = np.flatnonzero(~same[:-1] & same[1:])
+        ends = np.flatnonzero(same[:-1] & ~same[1:])
+        return pa.RecordBatch.from_arrays([pa.array(run[begins].view(np.int64)), pa.array(ends - begins + 1)],
                                           names=["shingle", "n"])
 
-    held, n = [np.zeros(0, np.uint64)], 0
     for batch in batches:
         for items in _sets(batch.column(0), size):
-            held.append(items)
-            n += len(items)
-            if n >= HELD:
-                yield out(held)
-                held, n = [np.zeros(0, np.uint64)], 0
-    yield out(held)
+            while len(items):
+                some = items[: HELD - n]
+                held[n: n + len(some)] = some
+                n, items = n + len(some), items[len(some):]
+                if n == HELD:
+                    yield out(held)
+                    n = 0
+    if n:
+        yield out(held[:n])
 
 
 def frequent(texts: DataFrame, size: int, folder: str, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
