@@ -13,7 +13,11 @@ linear time; runs without a weighted token are one step. Scores are scaled by
 the Karlin-Altschul lambda, the root of E[exp(lambda * score)] = 1 under the
 clean frequencies, and compared with the log of the text's length as an
 extreme-value law asks; a logistic curve over best segment, length and further
-significant segments, fitted on the labelled rows, gives the score.
+significant segments gives the score. The curve is fitted out of fold: each of
+FOLDS parts of the labelled rows (by the hash that names the held-out rows) is
+measured with a lexicon and a scale learnt from the other parts, so that the curve
+sees segments as strong as those of texts that chose no word of the lexicon.
+Where the other parts lack a class, the lexicon of all rows stands in.
 
 Labels are read from at most SAMPLE rows, taken by the hash of the id among the
 rows that may be learnt from; corpus counts cover all documents. The labels and
@@ -46,9 +50,12 @@ PRIOR = 1000.0
 FLOOR = 0.5
 Z = 2.5
 DRIFT = 0.05
+#: Parts of the learnable rows: the remainders of the id's hash that are not held out.
+FOLDS = 4
 STEMS = (5, 4)
 WORD = re.compile(r"\w+")
-COUNTS = "unit string, n long, n_clean long, n_toxic long"
+COUNTED = ["n", *(f"{kind}_{fold}" for fold in range(FOLDS) for kind in ("clean", "toxic"))]
+COUNTS = "unit string, " + ", ".join(f"{c} long" for c in COUNTED)
 
 
 def units(text: str) -> list[str]:
@@ -61,16 +68,22 @@ def stems(word: str) -> list[str]:
     return [word[:n] + "~" for n in STEMS if len(word) > n]
 
 
+def remainder(key) -> F.Column:
+    """crc32 of the id as text modulo 5."""
+    return F.crc32(key.cast("string").cast("binary")) % (FOLDS + 1)
+
+
 def held_out(key) -> F.Column:
     """Rows kept from learning: crc32 of the id as text is divisible by 5; a null id is not learnt from."""
-    return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 5 == 0, F.lit(True))
+    return F.coalesce(remainder(key) == 0, F.lit(True))
 
 
 def training_labels(labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """doc_id and toxic of at most `sample` rows outside the held-out fold."""
+    """doc_id, toxic and fold (from 0) of at most `sample` rows outside the held-out fold."""
     rows = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["toxic"].cast("int").alias("toxic"))
     rows = rows.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(
         F.max("toxic").alias("toxic"))
+    rows = rows.withColumn("fold", (remainder(F.col("doc_id")) - 1).cast("int"))
     return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
 
@@ -78,19 +91,19 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for low in range(0, batch.num_rows, 2000):
             part = batch.slice(low, 2000)
-            seen = [Counter(), Counter(), Counter()]  # all, clean, toxic
-            for text, toxic in zip(part.column(0), part.column(1)):
+            seen = [Counter() for _ in COUNTED]
+            for text, toxic, fold in zip(*part.columns):
                 words = set(units(text.as_py()))
                 words.update([s for w in words for s in stems(w)])
                 seen[0].update(words)
                 if (label := toxic.as_py()) is not None:
-                    seen[1 + label].update(words)
+                    seen[1 + 2 * fold.as_py() + label].update(words)
             for counter in seen:
                 counter[""] = counter.total()  # the row of totals
             names = list(seen[0])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(names, pa.string()), *(pa.array([c[w] for w in names], pa.int64()) for c in seen)],
-                names=["unit", "n", "n_clean", "n_toxic"])
+                names=["unit", *COUNTED])
 
 
 @dataclass(frozen=True)
@@ -188,45 +201,59 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return beta
 
 
-def _featured(batches: Iterator[pa.RecordBatch], lexicon: dict[str, float], scale: float) -> Iterator[pa.RecordBatch]:
-    weights = Weights(lexicon)
+Learnt = tuple[dict[str, float], float]
+
+
+def _featured(batches: Iterator[pa.RecordBatch], learnt: list[Learnt]) -> Iterator[pa.RecordBatch]:
+    """Features of labelled texts, each by the lexicon and scale of its fold."""
+    weights = [Weights(lexicon) for lexicon, _ in learnt]
     for batch in batches:
-        made = np.array([features(t.as_py(), weights, scale) for t in batch.column(0)], float).reshape(-1, 3)
+        made = np.array([features(text.as_py(), weights[fold.as_py()], learnt[fold.as_py()][1])
+                         for text, _, fold in zip(*batch.columns)], float).reshape(-1, 3)
         yield pa.RecordBatch.from_arrays([*(pa.array(made[:, k]) for k in range(3)), batch.column(1)],
                                          names=["best", "size", "more", "toxic"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """The model of all documents and the sampled labels; None without both classes."""
-    spark = docs.sparkSession
-    chosen = F.broadcast(training_labels(labels, sample))  # at most `sample` pairs of numbers
-    marked = id_text(docs).join(chosen, "doc_id", "left").select("text", "toxic")
-    counts = marked.mapInArrow(_counts, COUNTS).groupBy("unit").agg(
-        *(F.sum(c).alias(c) for c in ("n", "n_clean", "n_toxic")))
-    counts = written(counts.where("n_clean + n_toxic > 0 OR unit = ''"), shared_folder(spark), "counts")
-    total = counts.where("unit = ''").first()
-    if total is None or not total.n_clean or not total.n_toxic:
+def learn(counts: DataFrame, total: dict[str, int], folds: list[int]) -> Learnt | None:
+    """Lexicon and scale by the labelled rows of these folds; None if they lack a class."""
+    n_clean, n_toxic = (sum(total[f"{kind}_{k}"] for k in folds) for kind in ("clean", "toxic"))
+    if not n_clean or not n_toxic:
         return None
-    prior = FLOOR + F.col("n") * (PRIOR / total.n)
+    clean, toxic = (sum((F.col(f"{kind}_{k}") for k in folds), F.lit(0)) for kind in ("clean", "toxic"))
+    prior = FLOOR + F.col("n") * (PRIOR / total["n"])
 
-    def log_odds(mine: str, all_mine: int) -> F.Column:
-        return F.log((F.col(mine) + prior) / F.greatest(F.lit(all_mine + PRIOR) - F.col(mine) - prior, F.lit(1e-9)))
+    def log_odds(mine: F.Column, all_mine: int) -> F.Column:
+        return F.log((mine + prior) / F.greatest(F.lit(all_mine + PRIOR) - mine - prior, F.lit(1e-9)))
 
-    spread = F.sqrt(1 / (F.col("n_toxic") + prior) + 1 / (F.col("n_clean") + prior))
-    share_clean = (F.col("n_clean") + prior) / (total.n_clean + PRIOR)
-    scored = counts.where("unit <> ''").select("unit", share_clean.alias("share"), (
-        log_odds("n_toxic", total.n_toxic) - log_odds("n_clean", total.n_clean)).alias("weight"), spread.alias("spread"))
+    spread = F.sqrt(1 / (toxic + prior) + 1 / (clean + prior))
+    scored = counts.where((F.col("unit") != "") & (clean + toxic > 0)).select(
+        "unit", ((clean + prior) / (n_clean + PRIOR)).alias("share"),
+        (log_odds(toxic, n_toxic) - log_odds(clean, n_clean)).alias("weight"), spread.alias("spread"))
     strong = scored.withColumn("z", F.abs(F.col("weight") / F.col("spread"))).where(F.col("z") >= Z)
-    rows = strong.orderBy(F.desc("z"), "unit").limit(LEXICON_WORDS).collect()  # the model, at most LEXICON_WORDS rows
-    lexicon = {r.unit: r.weight for r in rows}
+    rows = strong.orderBy(F.desc("z"), "unit").limit(LEXICON_WORDS).collect()  # at most LEXICON_WORDS rows
     words = [r for r in rows if not r.unit.endswith("~")]
     share = np.array([r.share for r in words])
     share = np.append(share, max(0.0, 1 - share.sum()))
-    scale = karlin_lambda(np.array([r.weight for r in words] + [-DRIFT]), share)
+    return {r.unit: r.weight for r in rows}, karlin_lambda(np.array([r.weight for r in words] + [-DRIFT]), share)
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
+    """The model of all documents and the sampled labels; None without both classes."""
+    spark = docs.sparkSession
+    chosen = F.broadcast(training_labels(labels, sample))  # at most `sample` rows of numbers
+    marked = id_text(docs).join(chosen, "doc_id", "left").select("text", "toxic", "fold")
+    counts = marked.mapInArrow(_counts, COUNTS).groupBy("unit").agg(*(F.sum(c).alias(c) for c in COUNTED))
+    labelled = sum((F.col(c) for c in COUNTED[1:]), F.lit(0))
+    counts = written(counts.where((labelled > 0) | (F.col("unit") == "")), shared_folder(spark), "counts")
+    total = counts.where("unit = ''").first()
+    whole = learn(counts, total.asDict(), list(range(FOLDS))) if total is not None else None
+    if whole is None:
+        return None
+    others = [learn(counts, total.asDict(), [k for k in range(FOLDS) if k != fold]) or whole for fold in range(FOLDS)]
     sampled = marked.where("toxic IS NOT NULL").mapInArrow(
-        lambda batches: _featured(batches, lexicon, scale), "best double, size double, more double, toxic int").toPandas()
+        lambda batches: _featured(batches, others), "best double, size double, more double, toxic int").toPandas()
     beta = logistic(sampled[["best", "size", "more"]].to_numpy(), sampled["toxic"].to_numpy(float))
-    return Model(lexicon, scale, tuple(float(b) for b in beta))
+    return Model(*whole, tuple(float(b) for b in beta))
 
 
 def with_score(docs: DataFrame, model: Model | None, out: str = "score", text: str = "text") -> DataFrame:
