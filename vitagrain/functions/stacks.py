@@ -35,9 +35,11 @@ def _loose(marker: str) -> bool:
 def _present(family: str, value: str, lower: str) -> str:
     markers = lx.STACK_FAMILIES[family]
     tests = [f"contains({lower}, {st.text(m)})" for m in markers if _loose(m)]
-    words = "|".join(tx.escaped(m) for m in markers if not _loose(m))
-    if words:
-        tests.append(st.matches(value, f"(?i){NOT_WORD_BEFORE}(?:{words}){NOT_WORD_AFTER}"))
+    whole = [m for m in markers if not _loose(m)]
+    if whole:
+        words = "|".join(tx.escaped(m) for m in whole)
+        hint = " OR ".join(f"contains({lower}, {st.text(m.lower())})" for m in whole)  # a match holds one of these
+        tests.append(f"(({hint}) AND {st.matches(value, f'(?i){NOT_WORD_BEFORE}(?:{words}){NOT_WORD_AFTER}')})")
     return f"({' OR '.join(tests)})"
 
 
@@ -95,10 +97,12 @@ def era_rules() -> list[tuple[str, str, list[str]]]:
             for month, names in months.items()]
 
 
-def _alias_test(alias: str, value: str) -> str:
+def _alias_test(alias: str, value: str, lower: str) -> str:
+    """Whether a text, given with its lower-case form, names an alias; the pattern only runs where it can."""
     if " " in alias or "-" in alias:
-        return f"contains(lower({value}), {st.text(alias)})"
-    return st.matches(value, f"(?i){NOT_WORD_BEFORE}{tx.escaped(alias)}{NOT_WORD_AFTER}")
+        return f"contains({lower}, {st.text(alias)})"
+    pattern = f"(?i){NOT_WORD_BEFORE}{tx.escaped(alias)}{NOT_WORD_AFTER}"
+    return f"(contains({lower}, {st.text(alias.lower())}) AND {st.matches(value, pattern)})"
 
 
 def era_rule_array() -> str:
@@ -116,17 +120,25 @@ def forbidden(ends: str) -> str:
 def mentions(value: str) -> str:
     """struct(rule_key, alias, introduced) of every alias a text names."""
     tests = ", ".join(
-        f"CASE WHEN {_alias_test(a, 'mv')} THEN named_struct('rule_key', {st.text(k)}, "
+        f"CASE WHEN {_alias_test(a, 'mv', 'ml')} THEN named_struct('rule_key', {st.text(k)}, "
         f"'alias', {st.text(a)}, 'introduced', DATE'{m}') END"
         for k, m, aliases in era_rules() for a in aliases)
-    return st.let("mv", value, f"filter(array({tests}), m -> m IS NOT NULL)")
+    return st.let("mv", value, st.let("ml", "lower(mv)", f"filter(array({tests}), m -> m IS NOT NULL)"))
 
 
 def neutral_era(value: str, ends: str) -> str:
-    """Replace mentions of technologies newer than the job with neutral wording."""
+    """Replace mentions of technologies newer than the job with neutral wording.
+
+    One pass looks for any such mention; only texts that have one go through the rules.
+    """
+    def newer(month: str) -> str:
+        return f"NOT {dt.allows(ends, f'DATE{chr(39)}{month}{chr(39)}')}"
+
+    found = " OR ".join(f"({newer(month)} AND ({' OR '.join(_alias_test(a, 'nv', 'nl') for a in aliases)}))"
+                        for _, month, aliases in era_rules())
     out = "nv"
     for key, month, aliases in era_rules():
-        named = " OR ".join(_alias_test(a, "ev") for a in aliases)
+        named = " OR ".join(_alias_test(a, "ev", "lower(ev)") for a in aliases)
         new = "ev"
         is_protocol = "mcp" in aliases
         for alias, pattern, by in lx.ERA_SUBSTITUTIONS:
@@ -136,8 +148,7 @@ def neutral_era(value: str, ends: str) -> str:
             pattern = f"(?i){tx.escaped(alias)}" if " " in alias else \
                 f"(?i){NOT_WORD_BEFORE}{tx.escaped(alias)}{NOT_WORD_AFTER}"
             new = st.replace(new, pattern, lx.ERA_FALLBACK)
-        out = st.let("ev", out, f"CASE WHEN NOT {dt.allows(ends, f'DATE{chr(39)}{month}{chr(39)}')} "
-                                f"AND ({named}) THEN {new} ELSE ev END")
+        out = st.let("ev", out, f"CASE WHEN {newer(month)} AND ({named}) THEN {new} ELSE ev END")
     tidy = f"regexp_replace({st.replace('nw', r'\s{2,}', ' ')}, {st.raw(r'\s+([,.;:])')}, '$1')"
-    return st.let("nv", value, st.let(
-        "nw", out, f"CASE WHEN nw = nv THEN nv ELSE {st.strip(tidy, ' -–,;')} END"))
+    changed = st.let("nw", out, f"CASE WHEN nw = nv THEN nv ELSE {st.strip(tidy, ' -–,;')} END")
+    return st.let("nv", value, st.let("nl", "lower(nv)", f"CASE WHEN {found} THEN {changed} ELSE nv END"))
