@@ -67,13 +67,14 @@ def rewrite(spark: SparkSession, path: str, step: Callable[[DataFrame], DataFram
     return newest.n_rows, _write(step(current), path, newest.number + 1, check)
 
 
-def erasable(users: DataFrame, asked: DataFrame, actor: int) -> DataFrame:
+def erasable(users: DataFrame, asked: DataFrame, actor: int | None) -> DataFrame:
     """Asked ids (id) with the reason against erasing them, blank where they may go.
 
     Nobody erases the own account, and of the active administrators one must be left:
-    if all are asked for, the one with the smallest id stays.
+    if all are asked for, the one with the smallest id stays. Without an actor no account
+    is the own one; a role or state that is not known makes no administrator.
     """
-    admin: Column = (F.col("role") == "admin") & F.col("is_active")
+    admin: Column = F.coalesce((F.col("role") == "admin") & F.col("is_active"), F.lit(False))
     known = users.select("id", admin.alias("admin")).join(asked.select("id", F.lit(True).alias("asked")).distinct(), "id", "left")
     left = known.agg(F.count_if(F.col("admin") & (F.col("asked").isNull() | (F.col("id") == actor))).alias("left")).scalar()
     keeper = known.where("admin").agg(F.min("id").alias("id")).scalar()
