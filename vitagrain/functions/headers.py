@@ -60,7 +60,7 @@ def heading(line: str) -> str:
     rest = f"regexp_extract({line}, {st.raw(HEADING)}, 2)"
     label = f"regexp_extract({line}, {st.raw(HEADING)}, 1)"
     return st.let("lb", f"CASE WHEN {_may_open_section(line)} THEN {label} ELSE '' END", (
-        f"named_struct('kind', CASE {kinds} END, 'rest', CASE WHEN lb = '' THEN '' "
+        f"named_struct('kind', CASE WHEN lb = '' THEN NULL {kinds} END, 'rest', CASE WHEN lb = '' THEN '' "
         f"WHEN {st.matches(rest, r'^[(][^0-9]{0,39}$')} THEN '' ELSE {rest} END)"
     ))
 

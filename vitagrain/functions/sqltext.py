@@ -58,6 +58,10 @@ def strip(value: str, characters: str | None = None) -> str:
     return f"trim(BOTH {WHITE_SPACE if characters is None else text(characters)} FROM {value})"
 
 
+#: Runs of white space other than a single blank: what collapsing changes.
+RUNS = r"\s{2,}+|[\t\n\x0B\f\r]"
+
+
 def collapse(value: str) -> str:
     """Runs of white space become one blank; ends are trimmed."""
-    return f"trim(regexp_replace({value}, {raw(chr(92) + 's+')}, ' '))"
+    return f"trim(regexp_replace({value}, {raw(RUNS)}, ' '))"

@@ -18,6 +18,7 @@ MAJOR_PREFIX = r"(?i)^(major|degree|field of study)\s*:\s*"
 BULLET = r"^\s*[•‣▪●◦○\-*\x{F000}-\x{F0FF}]\s+"
 POSTING_BULLET = r"^\s*[•‣▪●◦○\-*–—]\s+"
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}-\x{2029}]"
+LINE_BREAKS = r"[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}-\x{2029}]+"  # where blank lines drop out anyway
 
 # Contact, seniority, qualification and hedge patterns.
 EMAIL = r"[\w.+-]+@[\w-]+\.[\w.-]+"
@@ -66,7 +67,7 @@ TENURE_ROLE = r"(?i)\b(?:engineer|developer|lead|manager|architect|analyst)\b"
 
 def lines(text: str) -> str:
     """Stripped non-blank lines of a text."""
-    return (f"filter(transform(split({text}, {st.raw(LINE_BREAK)}), x -> {st.strip('x')}), "
+    return (f"filter(transform(split({text}, {st.raw(LINE_BREAKS)}), x -> {st.strip('x')}), "
             f"x -> x <> '')")
 
 
@@ -75,25 +76,38 @@ def all_lines(text: str) -> str:
     return f"transform(split({text}, {st.raw(LINE_BREAK)}), x -> {st.strip('x')})"
 
 
+def _edge(value: str, characters: str) -> str:
+    """Whether a text begins or ends with one of a list of literals."""
+    return f"(left({value}, 1) IN ({characters}) OR right({value}, 1) IN ({characters}))"
+
+
+SPACES, SEPARATORS = r"' ', '\t', '\n', '\r', '\u000B', '\u000C'", "'|', '•'"
+
+
 def clean(text: str) -> str:
     """Drop glyphs that print as boxes, then tidy separators and blanks.
 
-    Each rewrite only runs where a cheaper test says it can apply, so ordinary
-    text pays for one fast pass.
+    Each rewrite only runs where a cheaper test says it can apply, and none is tried on a
+    text that has nothing to tidy, so ordinary text pays for one fast pass.
     """
+    broken = st.matches("z", MAYBE_BROKEN)
+    blanks = "contains(z, '  ') OR contains(z, '\\t')"
+    breaks = "contains(z, ' \\n') OR contains(z, '\\n ')"
+    edges = _edge("z", f"{SPACES}, {SEPARATORS}")
     rules = [
         (f"contains(z, '|') AND {st.matches('z', REPEATED_PIPES)}", REPEATED_PIPES, "' | '"),
-        (f"left({st.strip('z')}, 1) IN ('|', '•') OR right({st.strip('z')}, 1) IN ('|', '•')",
-         EDGE_SEPARATORS, "''"),
-        ("contains(z, '  ') OR contains(z, '\\t')", r"[ \t]+", "' '"),
-        ("contains(z, ' \\n') OR contains(z, '\\n ')", r" *\n *", "'\\n'"),
+        (f"{edges} AND {_edge(st.strip('z'), SEPARATORS)}", EDGE_SEPARATORS, "''"),
+        (blanks, r"[ \t]{2,}+|\t", "' '"),
+        (breaks, r" +\n *|\n +", "'\\n'"),
         ("contains(z, '\\n\\n\\n')", r"\n{3,}", "'\\n\\n'"),
     ]
-    out = st.let("z", f"coalesce({text}, '')", f"CASE WHEN {st.matches('z', MAYBE_BROKEN)} THEN {st.replace('z', BROKEN)} ELSE z END")
+    out = f"CASE WHEN {broken} THEN {st.replace('z', BROKEN)} ELSE z END"
     for test, pattern, by in rules:
         out = st.let("z", out, f"CASE WHEN {test} THEN "
                                f"regexp_replace(z, {st.raw(pattern)}, {by}) ELSE z END")
-    return st.strip(out)
+    out = st.let("z", out, f"CASE WHEN {_edge('z', SPACES)} THEN {st.strip('z')} ELSE z END")
+    untidy = f"contains(z, '|') OR {blanks} OR {breaks} OR contains(z, '\\n\\n\\n') OR {edges} OR {broken}"
+    return st.let("z", f"coalesce({text}, '')", f"CASE WHEN {untidy} THEN {out} ELSE z END")
 
 
 def clean_items(array: str) -> str:
@@ -338,11 +352,11 @@ def distinct_folded(values: str) -> str:
     Sorting by (key, position) puts equal keys side by side, so the cost is
     that of two sorts whatever the number of repeats.
     """
-    keyed = (f"array_sort(transform({values}, (v, i) -> "
+    keyed = (f"sort_array(transform({values}, (v, i) -> "
              f"named_struct('k', lower({st.strip('v')}), 'i', i, 'v', v)))")
     firsts = "filter(kd, (s, j) -> s.k <> '' AND (j = 0 OR s.k <> get(kd, j - 1).k))"
     return st.let("kd", keyed, (
-        f"transform(array_sort(transform({firsts}, s -> named_struct('i', s.i, 'v', s.v))), "
+        f"transform(sort_array(transform({firsts}, s -> named_struct('i', s.i, 'v', s.v))), "
         f"s -> s.v)"
     ))
 

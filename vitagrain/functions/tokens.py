@@ -31,13 +31,12 @@ def with_slash_parts(tokens: str) -> str:
 
 def drop_stopwords(tokens: str) -> str:
     """Distinct tokens longer than two characters that are not stopwords."""
-    return (f"array_except(filter({tokens}, t -> length(t) > 2), "
-            f"split({st.text(' '.join(lx.STOPWORDS))}, ' '))")
+    return f"array_distinct(filter({tokens}, t -> length(t) > 2 AND t NOT IN ({st.items(lx.STOPWORDS)})))"
 
 
 def keywords(text: str) -> str:
     """Sorted distinct keywords of a text."""
-    return f"array_sort({drop_stopwords(with_slash_parts(raw_tokens(text)))})"
+    return f"sort_array({drop_stopwords(with_slash_parts(raw_tokens(text)))})"
 
 
 _FAMILY_MAP = "str_to_map({}, ',', ':')".format(

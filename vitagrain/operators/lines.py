@@ -96,9 +96,9 @@ def merge_wrapped(lines: str, marker: str, strip_marker: str) -> str:
 
 def first_by_key(values: str, key: str) -> str:
     """Keep the first value of each key (over ``x``), in order."""
-    keyed = f"array_sort(transform({values}, (x, i) -> named_struct('k', {key}, 'i', i, 'v', x)))"
+    keyed = f"sort_array(transform({values}, (x, i) -> named_struct('k', {key}, 'i', i, 'v', x)))"
     return st.let("kd", keyed, (
-        "transform(array_sort(transform(filter(kd, (s, j) -> j = 0 OR s.k <> get(kd, j - 1).k), "
+        "transform(sort_array(transform(filter(kd, (s, j) -> j = 0 OR s.k <> get(kd, j - 1).k), "
         "s -> named_struct('i', s.i, 'v', s.v))), s -> s.v)"))
 
 

@@ -175,9 +175,7 @@ def score_pairs(pairs: DataFrame, docs: DataFrame, items: DataFrame) -> DataFram
 
     ``docs`` is (doc_id, stems); ``items`` is (item_id, terms, term_stems), where
     both arrays run in parallel. Membership uses one array intersection per
-    pair, and an empty requirement set scores 1.0. Pairs take the postings first,
-    while they are thin; the wide documents come last and cross the network once.
-    No pair is lost: one without its document or posting has null results and
+    pair, and an empty requirement set scores 1.0. No pair is lost: one without its document or posting has null results and
     says so in ``reason``.
     """
     # The intersection is bound once per pair, ahead of the filter over terms.
@@ -197,9 +195,14 @@ def score_pairs(pairs: DataFrame, docs: DataFrame, items: DataFrame) -> DataFram
 
 
 def meet_pairs(pairs: DataFrame, items: DataFrame, docs: DataFrame) -> DataFrame:
-    """Every pair with its posting and document; ``reason`` names what is missing and is null if nothing is."""
-    met = pairs.join(items.withColumn("has_item", F.lit(True)), "item_id", "left") \
-        .join(docs.withColumn("has_doc", F.lit(True)), "doc_id", "left")
+    """Every pair with its posting and document; ``reason`` names what is missing and is null if nothing is.
+
+    Thin pairs take the documents first, so that neither terms nor stems are shuffled once
+    per pair. The postings are stored, so that their size is known: few enough are
+    broadcast by the optimizer's own test and the joined rows stay where they are.
+    """
+    items = stored(items.withColumn("has_item", F.lit(True)))
+    met = pairs.join(docs.withColumn("has_doc", F.lit(True)), "doc_id", "left").join(items, "item_id", "left")
     return met.withColumn("reason", F.when(F.col("has_doc").isNull(), "no profile")
                           .when(F.col("has_item").isNull(), "no posting")).drop("has_item", "has_doc")
 

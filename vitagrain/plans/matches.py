@@ -24,7 +24,7 @@ def profile_terms(profiles: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, stems, job_stems): stems of the whole record and of each job."""
     own = f"transform(skills_raw, s -> {tk.stem('s')})"
     per_job = tk.stems(tk.keywords("array_join(concat(array(j.title), j.bullets), ' ')"))
-    listed = f"array_distinct(flatten(transform(skills_raw, s -> {tk.keywords('s')})))"
+    listed = tk.keywords("array_join(skills_raw, chr(10))")  # no token spans a line break
     return (
         profiles.withColumn("words", F.expr(
             f"array_distinct(concat({tk.keywords(pf.flat_text())}, {listed}))"))
@@ -64,7 +64,6 @@ def match(pairs: DataFrame, profiles: DataFrame, analyses: DataFrame,
 
     A pair without its profile or posting stays, with null results and a ``reason``.
     """
-    # thin pairs take the postings first; the wide documents cross the network once
     joined = mt.meet_pairs(pairs, posting_needs(analyses, mode), profile_terms(profiles))
     df = joined.withColumn("hits", F.expr("array_intersect(transform(needs, n -> n.stem), stems)"))
     df = df.withColumns({
