@@ -45,3 +45,16 @@ def test_pairs_shuffle_thin(spark):
     assert plan.count("SortMergeJoin") == 1 and plan.count("BroadcastHashJoin") == 1
     got = found.groupBy("reason").agg(F.count("*").alias("n"), F.max("score")).orderBy("reason").collect()
     assert [tuple(r) for r in got] == [(None, 23, 0.5), ("no posting", 4, None), ("no profile", 3, None)]
+
+
+def test_vocabulary_by_runs_equals_every_pattern(spark):
+    terms = ["c", "c++", ".net", "asp.net", "machine learning", "ci/cd", "go", "problem-solving"]
+    parts = [*terms, " ", "_", "é", "x", "9", ".", "machine", "  ", "learning", "\n"]
+    draw = random.Random(3)
+    texts = [("".join(draw.choice(parts) for _ in range(draw.randrange(9))),) for _ in range(3_000)]
+    df = spark.createDataFrame(texts, "t STRING").selectExpr("t", f"{tk.keywords('t')} AS kw")
+    df = df.selectExpr("t", "kw", f"{tx.known('kw', terms)} AS few", f"{tx.known_runs('t', terms)} AS rn")
+    assert df.where("size(few) > size(kw) OR size(rn) > 9").limit(1).collect() == []
+    plain, fast = tx.vocabulary_hits("kw", "t", terms), tx.vocabulary_hits("few", "t", terms, runs="rn")
+    assert df.where(f"NOT {plain} <=> {fast}").limit(3).collect() == []
+    assert df.where(f"size({plain}) > 1").limit(1).collect() != []

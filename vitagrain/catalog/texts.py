@@ -76,10 +76,11 @@ hits AS (SELECT doc_id, category, term FROM k JOIN vocab ON list_contains(kw, te
 (contains(lt, term) AND regexp_matches(lt, '(^|[^\\p{{L}}\\p{{N}}_])' || regexp_replace(term, '([.+])', '\\\\\\1', 'g') || '($|[^\\p{{L}}\\p{{N}}_])') AND regexp_matches(term, '^[a-z0-9].*[a-z0-9]$|^[a-z]$')))
 SELECT doc_id, category, string_agg(term, ';' ORDER BY len(string_split(term, ' ')) DESC, term) AS terms FROM hits GROUP BY 1, 2""")
 def dictionary_matches(spark, sf):
-    base = dv.profiles(spark, sf).selectExpr(
-        "doc_id", "lower(text) AS lt", f"{tk.keywords('text')} AS kw")
+    terms = [t for ts in lx.CATEGORIES.values() for t in ts]
+    base = dv.profiles(spark, sf).selectExpr("doc_id", "text", "lower(text) AS lt").selectExpr(
+        "doc_id", "lt", f"{tx.known(tk.keywords('text'), terms)} AS kw", f"{tx.known_runs('lt', terms)} AS rn")
     cats = ", ".join(
-        f"named_struct('category', '{c}', 'terms', array_join({tx.vocabulary_hits('kw', 'lt', ts)}, ';'))"
+        f"named_struct('category', '{c}', 'terms', array_join({tx.vocabulary_hits('kw', 'lt', ts, runs='rn')}, ';'))"
         for c, ts in lx.CATEGORIES.items())
     return base.select("doc_id", F.explode_outer(F.expr(f"array({cats})")).alias("c")).select(
         "doc_id", "c.category", "c.terms").filter("terms <> ''")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable
+
 from vitagrain.functions import lexicon as lx
 from vitagrain.functions import sqltext as st
 
@@ -257,16 +260,45 @@ def term_present(term: str, lower_text: str) -> str:
     return st.matches(lower_text, rf"\b{escaped(term)}\b")
 
 
+#: Longest run of plain characters in a term; where the term stands alone this is a whole run of the text.
+PLAIN_RUN = r"[a-z0-9]+"
+
+
+def plain_runs(lower_text: str) -> str:
+    """Distinct whole runs of plain characters of a lower-case text."""
+    return f"array_distinct(regexp_extract_all({lower_text}, {st.raw(PLAIN_RUN)}, 0))"
+
+
+def _run_of(term: str) -> str:
+    return max(re.findall(PLAIN_RUN, term), key=len, default="")
+
+
+def known(values: str, vocabulary: Iterable[str]) -> str:
+    """The few of many values that a vocabulary has; by hash."""
+    return f"array_intersect({values}, array({st.items(sorted(set(vocabulary)))}))"
+
+
+def known_runs(lower_text: str, vocabulary: Iterable[str]) -> str:
+    """Runs of a lower-case text that a term of the vocabulary needs to stand alone in it."""
+    return known(plain_runs(lower_text), filter(None, map(_run_of, vocabulary)))
+
+
 def vocabulary_hits(keywords: str, lower_text: str, vocabulary: list[str],
-                    cap: int | None = None) -> str:
+                    cap: int | None = None, runs: str | None = None) -> str:
     """Vocabulary terms in a text: more words first, then alphabetical.
 
     A term counts when it is a keyword or stands alone in the text; the pattern
-    only runs where a plain substring test has already hit.
+    only runs where a plain substring test has already hit. ``runs``, where given, holds
+    the text's runs that terms need (``known_runs``); without its run no term is looked for.
     """
     ordered = sorted(vocabulary, key=lambda t: (-len(t.split()), t))
+
+    def possible(term: str) -> str:
+        run = _run_of(term)
+        return f"array_contains({runs}, {st.text(run)}) AND " if runs and run else ""
+
     tests = [
-        f"CASE WHEN array_contains({keywords}, {st.text(t)}) OR (contains({lower_text}, "
+        f"CASE WHEN array_contains({keywords}, {st.text(t)}) OR ({possible(t)}contains({lower_text}, "
         f"{st.text(t)}) AND {term_present(t, lower_text)}) THEN {st.text(t)} END"
         for t in ordered
     ]
