@@ -64,7 +64,7 @@ def matches(texts: DataFrame, dictionary: DataFrame, key: str = "doc_id", text:
     terms = _terms(dictionary, WORD)
     cut = _cut(texts, key, text, terms, WORD)
     every = ("array_distinct(flatten(transform(filter(sizes, n -> size(p) - n + 1 >= first), n -> "
-             "transform(sequence(first, size(p) - n + 1, 2), i -> array_join(slice(p, i, n), '')))))")
+             "transform(sequence(first, size(p) - n + 1, 2), i -> CASE WHEN n = 1 THEN get(p, i - 1) ELSE array_join(slice(p, i, n), '') END))))")
     alone = cut.select(key, F.explode(F.expr(every)).alias("term")).join(terms.drop("n"), "term")
     named = texts.select(key, F.explode(F.expr(tk.keywords(text))).alias("term"))
     named = named.join(dictionary.withColumn("term", F.lower("term")).distinct(), "term")
