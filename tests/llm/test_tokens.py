@@ -127,3 +127,21 @@ def test_ids_that_do_not_fit_raise(spark, tmp_path):
     with pytest.raises(Exception, match="does not fit into 2 bytes"):
         store.write(docs, str(tmp_path / "narrow"), BYTE, 70_000)
     store.write(docs, str(tmp_path / "wide"), BYTE, 70_000, width=4)
+
+
+@pytest.mark.parametrize("name", [BYTE, WORD])
+@pytest.mark.parametrize("text", ["en.\nOn the\nmat", "a\n's b\n1", "x\n<|endoftext|>\ny", "a&&&\nB!!, c'd.", "क़. b\nc", "a\n\nb", "a\n", "\na b",
+                                  "a\r\nb", "a \nb", "a\x1cb\nc", "e\ńx", "İ...\nİ"])
+def test_line_feeds_and_marks_equal_library(name, text):
+    assert tokens.codec(name).encode(text) == ids(name, text)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from([*"abİéक़'.<&\ń 1", "क़", "\n", " ", " the", "<|endoftext|>"]), max_size=30).map("".join))
+def test_line_feeds_among_odd_characters(text):
+    for name in (BYTE, WORD):
+        assert tokens.codec(name).encode(text) == ids(name, text)
+
+
+def test_words_around_line_feeds_are_kept_singly():
+    assert tokens.pieces_of("a.\nB c") == ["a.", "\nB", "c"]
