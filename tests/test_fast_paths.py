@@ -5,9 +5,12 @@ import random
 from pyspark.sql import functions as F
 
 from vitagrain.functions import sqltext as st
+from vitagrain.functions import stacks as sk
 from vitagrain.functions import text as tx
 from vitagrain.functions import tokens as tk
 from vitagrain.operators import matching as mt
+from vitagrain.plans import audits as au
+from vitagrain.sources import derived as dv
 
 
 def odd_texts(n, alphabet):
@@ -58,3 +61,24 @@ def test_vocabulary_by_runs_equals_every_pattern(spark):
     plain, fast = tx.vocabulary_hits("kw", "t", terms), tx.vocabulary_hits("few", "t", terms, runs="rn")
     assert df.where(f"NOT {plain} <=> {fast}").limit(3).collect() == []
     assert df.where(f"size({plain}) > 1").limit(1).collect() != []
+
+
+def test_repeated_bullets_are_tested_once(spark):
+    """Rival and era tests run over the distinct bullets of a record, and the text of a record is made once."""
+    seen = spark.range(1).selectExpr(au.bullets_where(
+        "array(named_struct('bullets', array('a', 'b')), named_struct('bullets', array('b', 'a')), named_struct('bullets', CAST(NULL AS ARRAY<STRING>)))",
+        "x <> ''")).first()[0]
+    assert seen == ["a", "b"]
+    plan = dv.tailored(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Noted: ") == 1
+
+
+def test_rival_and_era_tests_equal_the_plain_ones(spark):
+    words = ["php", "PHPUnit", "spring boot", "node", "asp.net", "C#", "error", "ror", "Ruby", "gpt4", "ChatGPT", "x", " ", ".", "-", "mcp"]
+    draw = random.Random(11)
+    texts = [("".join(draw.choice(words) for _ in range(draw.randrange(6))), f) for f in ("php", "dotnet", "nodejs") for _ in range(1_000)]
+    df = spark.createDataFrame([*texts, (None, "php")], "t STRING, fam STRING")
+    rival = df.selectExpr(f"size({sk.competing('t', 'fam')}) > 0 AS plain", f"coalesce({sk.names_rival('t', 'fam')}, false) AS fast")
+    assert rival.where("plain <> fast").limit(3).collect() == [] and rival.where("fast").limit(1).collect() != []
+    era = df.selectExpr(f"size({sk.mentions('t')}) > 0 AS plain", f"{sk.may_name_technology('t')} AS fast")
+    assert era.where("plain AND NOT fast").limit(3).collect() == [] and era.where("NOT fast").limit(1).collect() != []

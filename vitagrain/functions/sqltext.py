@@ -58,8 +58,8 @@ def strip(value: str, characters: str | None = None) -> str:
     return f"trim(BOTH {WHITE_SPACE if characters is None else text(characters)} FROM {value})"
 
 
-#: Runs of white space other than a single blank: what collapsing changes.
-RUNS = r"\s{2,}+|[\t\n\x0B\f\r]"
+#: Runs of white space other than a single blank: what collapsing changes. One bit class decides most characters.
+RUNS = r"[ \t\n\x0B\f\r](?:\s|(?<! ))\s*+"
 
 
 def collapse(value: str) -> str:

@@ -32,13 +32,21 @@ def _loose(marker: str) -> bool:
     return " " in marker or "." in marker or "#" in marker
 
 
+def _holds_any(markers, lower: str) -> str:
+    """Whether a lower-case text holds a marker; one that holds another marker needs no test of its own."""
+    folded = sorted({m.lower() for m in markers})
+    least = [m for m in folded if not any(o != m and o in m for o in folded)]
+    return " OR ".join(f"contains({lower}, {st.text(m)})" for m in least)
+
+
 def _present(family: str, value: str, lower: str) -> str:
     markers = lx.STACK_FAMILIES[family]
-    tests = [f"contains({lower}, {st.text(m)})" for m in markers if _loose(m)]
+    loose = [m for m in markers if _loose(m)]
+    tests = [_holds_any(loose, lower)] if loose else []
     whole = [m for m in markers if not _loose(m)]
     if whole:
         words = "|".join(tx.escaped(m) for m in whole)
-        hint = " OR ".join(f"contains({lower}, {st.text(m.lower())})" for m in whole)  # a match holds one of these
+        hint = _holds_any(whole, lower)  # a match holds one of these
         tests.append(f"(({hint}) AND {st.matches(value, f'(?i){NOT_WORD_BEFORE}(?:{words}){NOT_WORD_AFTER}')})")
     return f"({' OR '.join(tests)})"
 
@@ -52,6 +60,12 @@ def competing(value: str, primary: str) -> str:
         f"filter(array({tests}), f -> f IS NOT NULL)")))
 
 
+def names_rival(value: str, primary: str) -> str:
+    """Whether a text names a rival family."""
+    tests = " OR ".join(f"({primary} <> '{f}' AND {_present(f, 'cv', 'cl')})" for f in lx.STACK_FAMILIES)
+    return st.let("cv", value, st.let("cl", "lower(cv)", tests))
+
+
 def _rivals(primary: str, bounded: bool) -> str:
     """One pattern over every rival marker, longest first."""
     markers = _by_length(m for f, ms in lx.STACK_FAMILIES.items() if f != primary for m in ms)
@@ -126,6 +140,11 @@ def mentions(value: str) -> str:
     return st.let("mv", value, st.let("ml", "lower(mv)", f"filter(array({tests}), m -> m IS NOT NULL)"))
 
 
+def may_name_technology(value: str) -> str:
+    """Whether a text holds the letters of any alias; without them no era rule changes it."""
+    return st.let("nl", f"lower({value})", f"({_holds_any(lx.TECH_INTRODUCED, 'nl')})")
+
+
 def neutral_era(value: str, ends: str) -> str:
     """Replace mentions of technologies newer than the job with neutral wording.
 

@@ -70,9 +70,15 @@ def restored_jobs() -> str:
             f"'dates', {keep('dates')}, 'bullets', j.bullets)) ELSE tailored END")
 
 
-def excess_positions(bullets: str) -> str:
-    """Bullets naming a rival family beyond the allowance."""
-    rival = ln.positions(bullets, f"size({sk.competing('x', 'primary')}) > 0")
+def bullets_where(jobs: str, test: str) -> str:
+    """Distinct bullets of all jobs for which ``test`` (over ``x``) holds, so that a repeated one is read once."""
+    every = f"flatten(transform({jobs}, j -> coalesce(j.bullets, CAST(array() AS ARRAY<STRING>))))"
+    return f"filter(array_distinct({every}), x -> {test})"
+
+
+def excess_positions(bullets: str, rivals: str) -> str:
+    """Bullets naming a rival family beyond the allowance; ``rivals`` lists those that name one."""
+    rival = ln.positions(bullets, f"array_contains({rivals}, x)")
     return st.let("xp", rival, f"slice(xp, {lx.COMPETING_ALLOWANCE + 1}, size(xp))")
 
 
@@ -92,11 +98,13 @@ def audit(rows: DataFrame, as_of: str, key: str = "doc_id") -> DataFrame:
         "primary": F.expr(sk.resolve("main_stack")),
         "cert_issue": F.expr(certification_issue()),
     })
-    df = df.withColumn("jobs", F.expr(
+    rivals = (f"CASE WHEN primary IS NULL THEN CAST(array() AS ARRAY<STRING>) "
+              f"ELSE {bullets_where('jobs', sk.names_rival('x', 'primary'))} END")
+    df = df.withColumn("jobs", F.expr(st.let("rv", rivals, (
         f"transform(jobs, j -> named_struct('title', j.title, "
         f"'new_title', {sk.neutral_title('j.title', 'primary')}, 'company', j.company, "
         f"'dates', j.dates, 'bullets', j.bullets, 'excess', CASE WHEN primary IS NULL "
-        f"THEN CAST(array() AS ARRAY<INT>) ELSE {excess_positions('j.bullets')} END))"))
+        f"THEN CAST(array() AS ARRAY<INT>) ELSE {excess_positions('j.bullets', 'rv')} END))"))))
     df = df.withColumn("jobs", F.expr(
         f"transform(jobs, j -> named_struct('title', j.title, 'new_title', j.new_title, "
         f"'company', j.company, 'dates', j.dates, 'n_excess', size(j.excess), "
@@ -108,11 +116,12 @@ def audit(rows: DataFrame, as_of: str, key: str = "doc_id") -> DataFrame:
         f"'n_before', size(j.bullets), 'bullets', "
         f"{ln.first_by_key('j.bullets', f'lower({st.collapse(chr(120))})')}, "
         f"'ends', {dt.period('j.dates', as_of)}.ends))"))
-    df = df.withColumn("jobs", F.expr(
+    df = df.withColumn("jobs", F.expr(st.let("dv", bullets_where("jobs", sk.may_name_technology("x")), (
         f"transform(jobs, j -> named_struct('title', j.title, 'new_title', j.new_title, "
         f"'company', j.company, 'dates', j.dates, 'n_excess', j.n_excess, "
         f"'n_before', j.n_before, 'n_after', size(j.bullets), 'ends', j.ends, 'bullets', j.bullets, "
-        f"'final', transform(j.bullets, b -> {sk.neutral_era('b', 'j.ends')})))"))
+        f"'final', transform(j.bullets, b -> CASE WHEN array_contains(dv, b) "
+        f"THEN {sk.neutral_era('b', 'j.ends')} ELSE b END)))"))))
     df = df.withColumn("months", F.expr(span_months(experience_for_tenure(), as_of)))
     df = df.withColumn("phrase", F.expr(dt.tenure_phrase("months")))
     df = df.withColumn("new_summary", F.expr(tx.with_tenure("summary", "phrase")))

@@ -215,12 +215,16 @@ def tailored_fields(k: str, j: int) -> dict[str, str]:
     }
 
 
-def tailored_bullets(k: str, j: int) -> list[str]:
+#: The whole stored text as one bullet.
+NOTED = "CONCAT('Noted: ', translate(coalesce(text, ''), concat(chr(10), '.#'), '   '))"
+
+
+def tailored_bullets(k: str, j: int, noted: str = NOTED) -> list[str]:
     return job_bullets(k, j) + [
         "'Moved Laravel and PHP jobs to the cloud'",
         f"CONCAT('Wrote Django and Scala tools for ', CAST({k} % 9 AS STRING), ' users')",
         "'Kept Rails alive during the move'",
-        "CONCAT('Noted: ', translate(coalesce(text, ''), concat(chr(10), '.#'), '   '))",  # the whole stored text
+        noted,
     ]
 
 
@@ -250,9 +254,12 @@ def tailored(spark: SparkSession, folder: str) -> DataFrame:
                 f"'title', x.title, 'company', x.company, 'dates', x.dates, 'bullets', x.bullets))")
 
     docs = read_parts(read_table(spark, folder, "documents"), "doc_id")
+    # made once for all jobs (several uses keep it in a projection of its own); replaces what NOTED translates
+    plain = "replace(replace(replace(coalesce(text, ''), chr(10), ' '), '.', ' '), '#', ' ')"
+    docs = docs.selectExpr("doc_id", "text", f"CONCAT('Noted: ', {plain}) AS noted")
     master = jobs(lambda j: {"title": job_title(k, j), "company": job_company(k, j),
                              "dates": job_dates(k, j)}, lambda j: job_bullets(k, j))
-    drifted = jobs(lambda j: tailored_fields(k, j), lambda j: tailored_bullets(k, j))
+    drifted = jobs(lambda j: tailored_fields(k, j), lambda j: tailored_bullets(k, j, "noted"))
     return docs.selectExpr(
         "doc_id", "text AS raw_text", f"{k} % 10 <> 9 AS is_structured", f"{master} AS master",
         f"{drifted} AS tailored", f"{pick(STACKS, k)} AS main_stack",
