@@ -8,6 +8,7 @@ from vitagrain.functions import sqltext as st
 from vitagrain.functions import stacks as sk
 from vitagrain.functions import text as tx
 from vitagrain.functions import tokens as tk
+from vitagrain.operators import dictionary as dc
 from vitagrain.operators import matching as mt
 from vitagrain.plans import audits as au
 from vitagrain.sources import derived as dv
@@ -82,3 +83,15 @@ def test_rival_and_era_tests_equal_the_plain_ones(spark):
     assert rival.where("plain <> fast").limit(3).collect() == [] and rival.where("fast").limit(1).collect() != []
     era = df.selectExpr(f"size({sk.mentions('t')}) > 0 AS plain", f"{sk.may_name_technology('t')} AS fast")
     assert era.where("plain AND NOT fast").limit(3).collect() == [] and era.where("NOT fast").limit(1).collect() != []
+
+
+def test_grams_meet_terms_without_inferred_tests(spark):
+    """A text is cut once, and the test of a term runs on terms only."""
+    texts = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").repartition(2)
+    terms = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").select(F.col("text").alias("term"))
+    plan = dc.mentions(texts, terms)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(lower(coalesce(text") == 1 and "RLIKE(array_join" not in plan
+    few = spark.createDataFrame([(1, "a b, a"), (2, ""), (3, None), (4, "..")], "doc_id INT, text STRING")
+    words = spark.createDataFrame([("A",), ("b, a",), (",",), (None,), ("a",)], "term STRING")
+    got = sorted(tuple(r) for r in dc.mentions(few, words).collect())
+    assert got == [(1, 1, 1, "a"), (1, 3, 3, "b, a"), (1, 5, 1, "a")]

@@ -30,17 +30,22 @@ def pieces(text: str, word: str = WORD) -> str:
 
 
 def _terms(dictionary: DataFrame, word: str) -> DataFrame:
-    """Lower-case terms that can stand alone, with their number of pieces and all other columns."""
-    terms = dictionary.withColumn("term", F.lower("term")).distinct()
-    alone = f"term RLIKE {st.raw(f'^[{word}]')} AND term RLIKE {st.raw(f'[{word}]$')}"
-    return terms.where(alone).withColumn("n", F.expr(f"size({pieces('term', word)})"))
+    """Lower-case terms that can stand alone, with their number of pieces and all other columns.
+
+    The test stands inside an array: as a filter the optimizer would infer it for the other
+    side of the join and run it, gram and all, on every n-gram of the texts.
+    """
+    alone = f"t RLIKE {st.raw(f'^[{word}]')} AND t RLIKE {st.raw(f'[{word}]$')}"
+    terms = dictionary.withColumn("term", F.explode(F.expr(f"filter(array(lower(term)), t -> {alone})"))).distinct()
+    return terms.withColumn("n", F.expr(f"size({pieces('term', word)})"))
 
 
 def _cut(texts: DataFrame, key: str, text: str, terms: DataFrame, word: str) -> DataFrame:
     sizes = terms.agg(F.array_sort(F.collect_set("n")).alias("sizes")).scalar()
     cut = texts.select(key, F.expr(pieces(f"lower(coalesce({text}, ''))", word)).alias("p"), sizes.alias("sizes"))
-    first = f"CASE WHEN p[0] RLIKE {st.raw(f'^[{word}]')} THEN 1 ELSE 2 END"
-    return cut.where("size(p) > 0").withColumn("first", F.expr(first))
+    # (texts without pieces have no n-grams either; a filter on p would be pushed down and cut every text twice)
+    first = f"CASE WHEN get(p, 0) RLIKE {st.raw(f'^[{word}]')} THEN 1 ELSE 2 END"
+    return cut.withColumn("first", F.expr(first))
 
 
 def mentions(texts: DataFrame, dictionary: DataFrame, key: str = "doc_id", text: str = "text", word: str = WORD) -> DataFrame:
@@ -48,7 +53,8 @@ def mentions(texts: DataFrame, dictionary: DataFrame, key: str = "doc_id", text:
     terms = _terms(dictionary, word)
     cut = _cut(texts, key, text, terms, word).withColumn("n", F.explode("sizes")).where("size(p) - n + 1 >= first")
     grams = cut.select(key, "n", "p", F.explode(F.expr("sequence(first, size(p) - n + 1, 2)")).alias("at"))
-    grams = grams.select(key, "at", "n", F.expr("array_join(slice(p, at, n), '')").alias("term"))
+    grams = grams.select(key, "at", "n", F.expr(
+        "CASE WHEN n = 1 THEN get(p, at - 1) ELSE array_join(slice(p, at, n), '') END").alias("term"))
     return grams.join(terms.drop("n"), "term").select(key, "at", "n", "term", *[c for c in dictionary.columns if c != "term"])
 
 
