@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from vitagrain.llm import line_dedup, neural_lsh, ngram_join, queries, shingles, spotsigs
+from vitagrain.llm import line_dedup, linking, neural_lsh, ngram_join, queries, shingles, spotsigs
 
 
 def words_of(text):
@@ -219,3 +219,25 @@ def test_one_odd_vector_drops_no_other(spark):
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = neural_lsh.search(table, "pmod(vec_id, 50) = 0").collect()
     assert sorted((r.query_id, r["rank"]) for r in got) == [(q, k) for q in (50, 100, 150, 200) for k in range(1, 6)]
+
+
+def test_marks_never_rule_out_a_link_and_most_unlike_pairs(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in range(400):
+        n, share = int(rng.integers(1, 600)), rng.choice([0.6, 0.8, 0.9, 0.95, 1.0])
+        base = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)
+        other = base.copy()
+        other[: n - int(n * share)] = rng.integers(0, 1 << 63, n - int(n * share), dtype=np.uint64)
+        shared, both = len(np.intersect1d(base, other)), len(np.union1d(base, other))
+        marks = [linking.marks_of(np.unique(x)) for x in (base, other)]
+        odd = [linking.parity_of(np.unique(x)) for x in (base, other)]
+        rows.append((*([int(c) for c in m] for m in marks + odd), len(np.unique(base)), len(np.unique(other)), shared / both))
+    rows.append((None, [0] * 256, [0] * 8, [0] * 8, 40_000, 40_000, 0.9))
+    df = spark.createDataFrame(rows, "a_marks array<tinyint>, b_marks array<tinyint>, a_parity array<long>, b_parity array<long>, n long, other_n long, near double")
+    said = df.select("near", linking.may_reach(85, 100).alias("able"),
+                     linking.may_differ(85, 100).alias("few")).collect()
+    assert all(r.able and r.few for r in said if r.near >= 0.85)
+    unlike = [r for r in said if r.near < 0.7]
+    assert len(unlike) > 100 and max(sum(r.able for r in unlike), sum(r.few for r in unlike)) < 0.1 * len(unlike)
+    assert linking.marks_of(np.arange(200, dtype=np.uint64)) is None

@@ -12,7 +12,8 @@ by many nodes must not yield all their pairs, so linking goes in rounds:
    full: those outside a key's largest component against all others of the key.
    Jaccard distance is a metric: where both were measured against the same
    leader and the distances differ by more than a link may be long, the pair
-   cannot link and is left out. No candidate is capped or dropped.
+   cannot link and is left out, as is one whose sets, given `parity`, differ in too
+   many parts of the hash range. No candidate is capped or dropped.
 
 Pairs inside a component are never compared, since they cannot change it; no
 pair is compared twice. Joins are equi-joins that adaptive execution may split;
@@ -26,7 +27,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitagrain.llm.common import held_bits, mix, shared_folder, written
@@ -34,8 +35,10 @@ from vitagrain.llm.common import held_bits, mix, shared_folder, written
 LEADERS = 3
 #: The bit table of shared keys has two to this power bits: 2 MB.
 SLOT_BITS = 24
-#: Sets have two to this power cells, whose counts end at FULL_CELL.
-CELL_BITS, FULL_CELL = 6, 65535
+#: The hash range has two to this power parts, whose counts are bytes; a set with more than FULL_MARK in one has no marks.
+MARK_BITS, FULL_MARK = 8, 127
+#: Parts whose counts are held as odd or even, one bit each: thin enough to travel with the postings of the last round.
+PARITY_BITS = 9
 
 
 def components(edges: DataFrame, folder: str, name: str) -> DataFrame:
@@ -77,32 +80,35 @@ def common(a: np.ndarray, b: np.ndarray) -> int:
     return int((both[1:] == both[:-1]).sum())
 
 
-def cells_of(items: np.ndarray) -> bytes:
-    """How many of a set's hashes fall into each of CELLS equal parts of the hash range."""
-    counts = np.bincount((items >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=1 << CELL_BITS)
-    return np.minimum(counts, FULL_CELL).astype("<u2").tobytes()
+def marks_of(items: np.ndarray) -> np.ndarray | None:
+    """How many of a set's hashes fall into each part of the hash range, null if one count is too large for a byte."""
+    counts = np.bincount((items >> np.uint64(64 - MARK_BITS)).astype(np.int64), minlength=1 << MARK_BITS)
+    return counts.astype(np.int8) if counts.max(initial=0) <= FULL_MARK else None
 
 
-def may_reach(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
-    """Suffix filter by partitions: pairs whose sets could share enough.
+def parity_of(items: np.ndarray) -> np.ndarray:
+    """Whether the number of a set's hashes in each of many parts of the hash range is odd, 64 parts a long."""
+    counts = np.bincount((items >> np.uint64(64 - PARITY_BITS)).astype(np.int64), minlength=1 << PARITY_BITS)
+    return np.packbits(counts & 1, bitorder="little").view("<i8")
 
-    Two sets share at most the smaller part of each cell, so the sum of these bounds the
-    intersection; what stays below the needed overlap cannot link.
+
+def may_differ(num: int, den: int) -> Column:
+    """Whether sets of n and other_n items with a_parity and b_parity differ in few enough items.
+
+    Every part that is odd in one set only holds an item that one set only has.
     """
-    least = num / den
+    return F.expr("aggregate(zip_with(a_parity, b_parity, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x) "
+                  f"* {num + den} <= (n + other_n) * {den - num}")
 
-    @F.arrow_udf("boolean")
-    def enough(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for columns_now in columns:
-            a, b = (np.frombuffer(b"".join(x.to_pylist()), "<u2").reshape(len(x), -1).astype(np.int64)
-                    for x in columns_now)
-            need = least / (1 + least) * (a.sum(axis=1) + b.sum(axis=1)) - 1e-6
-            full = np.maximum(a, b).max(axis=1, initial=0) >= FULL_CELL
-            yield pa.array(full | (np.minimum(a, b).sum(axis=1) >= need))
 
-    a = nodes.selectExpr("node AS a", "cells AS left_cells")
-    b = nodes.selectExpr("node AS b", "cells AS right_cells")
-    return pairs.join(a, "a").join(b, "b").where(enough("left_cells", "right_cells")).select("a", "b")
+def may_reach(num: int, den: int) -> Column:
+    """Suffix filter by partitions: whether sets of n and other_n items with a_marks and b_marks could share enough.
+
+    Two sets share at most the smaller count of each part, so the sum of these bounds the
+    intersection; what stays below the needed overlap cannot link.
+    """
+    return F.expr("coalesce(aggregate(zip_with(a_marks, b_marks, (x, y) -> least(x, y)), 0, (s, x) -> s + x) "
+                  f"* {num + den} >= (n + other_n) * {num}, true)")
 
 
 def measure_sets(left: pa.Array, right: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -197,16 +203,21 @@ def link(nodes: DataFrame, fetch: Callable[[DataFrame, str], DataFrame], measure
     """node and component of all nodes in a component of two or more, after `rounds` leader rounds and the last one.
 
     nodes: node, h1 and h2 (the set's hash), n (set size), keys (distinct; in the global
-    order if positional) and, if there are any, cells. fetch(nodes, name) gives h1, h2 and
+    order if positional) and, if there are any, marks and parity. fetch(nodes, name) gives h1, h2 and
     items of each asked node (more than those does no harm), which measure compares. Sets
     link when shared / united >= num / den.
     """
     shared = written(shared_postings(nodes), folder, "shared")
 
+    marked = "marks" in nodes.columns
+
     def compared(pairs: DataFrame, name: str) -> DataFrame:
-        """All pairs, measured where the cells allow a link; the others are not linked."""
+        """All pairs, measured where the marks allow a link; the others are not linked."""
         pairs = written(pairs, folder, f"{name}_pairs")
-        near = written(may_reach(pairs, nodes, num, den), folder, f"{name}_near") if "cells" in nodes.columns else pairs
+        near = pairs
+        if marked:
+            a, b = (nodes.selectExpr(f"node AS {x}", f"marks AS {x}_marks", f"n AS {n}") for x, n in (("a", "n"), ("b", "other_n")))
+            near = written(pairs.join(a, "a").join(b, "b").where(may_reach(num, den)).select("a", "b"), folder, f"{name}_near")
         asked = near.select(F.col("a").alias("node")).unionAll(near.select(F.col("b").alias("node"))).distinct()
         found = measured(near, nodes, written(fetch(asked, name), folder, f"{name}_items"), measure, num, den)
         return written(pairs.join(found, ["a", "b"], "left").withColumn("linked", F.coalesce("linked", F.lit(False))),
@@ -259,13 +270,17 @@ def link(nodes: DataFrame, fetch: Callable[[DataFrame, str], DataFrame], measure
     # only postings of keys with several components are left, and only they meet the distances
     mixed = held.join(major.where("kinds > 1").selectExpr("key", "top.component AS major"), "key")
     mixed = written(mixed, folder, "mixed").join(first, "node", "left")
+    mixed = mixed.join(nodes.select("node", "parity"), "node") if marked else mixed.withColumn("parity", F.lit(None))
     few = mixed.where("component <> major").selectExpr(
-        "key", "node AS a", "component AS a_component", "n", "pos", "met", "near AS a_near")
+        "key", "node AS a", "component AS a_component", "n", "pos", "met", "near AS a_near", "parity AS a_parity")
     rest = mixed.selectExpr("key", "node AS b", "component AS b_component", "n AS other_n", "pos AS other_pos",
-                            "met AS other_met", "near AS b_near", "component = major AS in_major")
+                            "met AS other_met", "near AS b_near", "component = major AS in_major", "parity AS b_parity")
     far = F.expr(f"a_near.leader = b_near.leader AND abs(a_near.gap - b_near.gap) > {reach}")
-    pairs = few.join(rest, "key").where((F.col("a_component") != F.col("b_component")) & (
-        F.col("in_major") | (F.col("a") < F.col("b"))) & fits & ~F.coalesce(far, F.lit(False)))
+    able = (F.col("a_component") != F.col("b_component")) & (
+        F.col("in_major") | (F.col("a") < F.col("b"))) & fits & ~F.coalesce(far, F.lit(False))
+    if marked:
+        able &= may_differ(num, den)
+    pairs = few.join(rest, "key").where(able)
     pairs = pairs.selectExpr("least(a, b) AS a", "greatest(a, b) AS b").distinct()
     pairs = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
     last = compared(pairs, "last")

@@ -41,7 +41,7 @@ from vitagrain.llm.common import (
     slot_column,
     written,
 )
-from vitagrain.llm.linking import cells_of, link, measure_sets
+from vitagrain.llm.linking import link, marks_of, measure_sets, parity_of
 from vitagrain.llm.shingles import set_hash, word_shingles
 
 FREQUENT = 1 << 19
@@ -123,11 +123,11 @@ def _prefixed(batches: Iterator[pa.RecordBatch], size: int, num: int, den: int,
                 often = np.where(keys[at] == items, counts[at], 0)
                 if often.any():
                     first = items[np.argsort(often, kind="stable")]
-            rows.append((n, *set_hash(items), cells_of(items), first[: prefix_length(n, num, den)].view(np.int64)))
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+            rows.append((n, *set_hash(items), marks_of(items), parity_of(items), first[: prefix_length(n, num, den)].view(np.int64)))
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int8()), pa.list_(pa.int64()), pa.list_(pa.int64())]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 5, kinds))],
-            names=["doc_id", "n", "h1", "h2", "cells", "prefix"])
+            [batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 6, kinds))],
+            names=["doc_id", "n", "h1", "h2", "marks", "parity", "prefix"])
 
 
 def _items(batches: Iterator[pa.RecordBatch], size: int, asked) -> Iterator[pa.RecordBatch]:
@@ -153,10 +153,10 @@ def _labelled(docs: DataFrame, size: int, num: int, den: int, most: int) -> tupl
     texts = id_text(docs)
     order = spark.sparkContext.broadcast(frequent(texts, size, folder, most))
     signed = written(texts.mapInArrow(lambda b: _prefixed(b, size, num, den, order),
-                                      "doc_id long, n long, h1 long, h2 long, cells binary, prefix array<long>"), folder, "signed")
+                                      "doc_id long, n long, h1 long, h2 long, marks array<tinyint>, parity array<long>, prefix array<long>"), folder, "signed")
     nodes = signed.where("n > 0").groupBy("h1", "h2").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("cells").alias("cells"),
-        F.first("prefix").alias("keys"))
+        F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("marks").alias("marks"),
+        F.first("parity").alias("parity"), F.first("prefix").alias("keys"))
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), folder, "nodes")
     def fetch(asked: DataFrame, name: str) -> DataFrame:
         """Shingle sets of the asked classes, from the text of the class's first document.
