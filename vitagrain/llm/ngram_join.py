@@ -154,9 +154,21 @@ def _labelled(docs: DataFrame, size: int, num: int, den: int, most: int) -> tupl
     order = spark.sparkContext.broadcast(frequent(texts, size, folder, most))
     signed = written(texts.mapInArrow(lambda b: _prefixed(b, size, num, den, order),
                                       "doc_id long, n long, h1 long, h2 long, marks array<tinyint>, parity array<long>, prefix array<long>"), folder, "signed")
-    nodes = signed.where("n > 0").groupBy("h1", "h2").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("marks").alias("marks"),
-        F.first("parity").alias("parity"), F.first("prefix").alias("keys"))
+    # rows of classes of one (the bit table tells most of them) are nodes as they are; only the others are shuffled whole
+    filled = signed.where("n > 0")
+    repeated = filled.groupBy("h1", "h2").agg(F.count("*").alias("held")).where("held > 1").select("h1", "h2")
+    bits = spark.sparkContext.broadcast(bit_table(repeated))
+
+    @F.arrow_udf("boolean")
+    def may_repeat(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            yield pa.array(held_bits(bits.value, column.to_numpy()))
+
+    filled = filled.withColumn("may_repeat", may_repeat(slot_column("h1", "h2")))
+    kept = ["doc_id", "n", "marks", "parity", "prefix"]
+    nodes = filled.where("may_repeat").groupBy("h1", "h2").agg(
+        F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in kept[1:]))
+    nodes = nodes.unionAll(filled.where("NOT may_repeat").select("h1", "h2", *kept)).withColumnRenamed("prefix", "keys")
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), folder, "nodes")
     def fetch(asked: DataFrame, name: str) -> DataFrame:
         """Shingle sets of the asked classes, from the text of the class's first document.
