@@ -241,3 +241,37 @@ def test_marks_never_rule_out_a_link_and_most_unlike_pairs(spark):
     unlike = [r for r in said if r.near < 0.7]
     assert len(unlike) > 100 and max(sum(r.able for r in unlike), sum(r.few for r in unlike)) < 0.1 * len(unlike)
     assert linking.marks_of(np.arange(200, dtype=np.uint64)) is None
+
+
+def test_unlike_lines_of_one_language_seldom_meet():
+    rng = random.Random(21)
+    parts = ["the", "ou", "er", "and", "ing", "th", "re", "he", "an", "in", "on", "at", "nd", "st", "es", "en", "of", "ti", "ed", "to"]
+    lines = ["".join(rng.choice(parts) + " " * (rng.random() < 0.3) for _ in range(rng.randrange(30, 250))).strip() for _ in range(1500)]
+    near = [x[:40] + "q" + x[41:] for x in lines]  # one character changed
+    n, keys, bits = line_dedup.signatures(lines, line_dedup.FINE)
+    assert [int(x) for x in n] == [len({x[i: i + 3] for i in range(len(x) - 2)}) for x in lines]
+    pairs = sum(int((np.unique(band, return_counts=True)[1] ** 2).sum() - len(lines)) // 2 for band in keys.T)
+    assert pairs < 0.05 * len(lines) ** 2 / 2  # bands of four rows: more pairs under keys than there are lines to pair
+    other = line_dedup.signatures(near, line_dedup.FINE)
+    rows, close = (np.column_stack([np.zeros(len(lines), np.int64), np.arange(len(lines)), m, m, b]) for m, b in ((n, bits), (other[0], other[2])))
+    both, at = np.concatenate([rows, close]), np.arange(len(lines))
+    alike = [len(a & b) >= 0.8 * len(a | b) for a, b in (({x[i: i + 3] for i in range(len(x) - 2)} for x in pair) for pair in zip(lines, near))]
+    kept = (keys == other[1]).any(axis=1) & linking._alike(both, at, at + len(lines), 4, 5)
+    assert sum(alike) > 1000 and kept[np.array(alike)].all()
+    assert linking._alike(both, at, (at + 1) % len(lines), 4, 5).mean() < 0.01
+
+
+def test_postings_meet_across_batches():
+    import pyarrow as pa
+    rng = np.random.default_rng(4)
+    keys = np.sort(np.concatenate([rng.integers(0, 300, 900), np.full(200, 77), np.full(linking.LIGHT, 500), np.full(linking.LIGHT + 1, 501)]))
+    rows = np.column_stack([keys, rng.permutation(len(keys)), np.full(len(keys), 50), np.zeros((len(keys), 5), np.int64)])
+    names = ["key", "node", "n", "own", *linking.SKETCH]
+    for step in (1, 7, 64, 5000):
+        batches = (pa.RecordBatch.from_arrays([pa.array(c) for c in rows[i: i + step].T], names=names) for i in range(0, len(rows), step))
+        out = [r for b in linking._meet(batches, 4, 5) for r in b.to_pylist()]
+        many = {(r["key"], r["node"]) for r in out if r["other"] is None}
+        pairs = {(r["node"], r["other"]) for r in out if r["other"] is not None}
+        groups = {k: rows[keys == k, 1].tolist() for k in set(keys.tolist())}
+        assert many == {(k, x) for k, g in groups.items() if len(g) > linking.LIGHT for x in g}
+        assert pairs == {(a, b) for g in groups.values() if len(g) <= linking.LIGHT for a in g for b in g if a < b}

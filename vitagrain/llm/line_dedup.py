@@ -4,10 +4,13 @@ Lines are compared by their characters, lower-cased and with runs of white space
 as one space. Lines equal in that form are one class from the start (a group of
 any size costs one row a task). A class's signature is a one-permutation MinHash
 of its character shingles: BANDS * ROWS bins hold the smallest hash that falls
-into each, an empty bin borrows the next filled one. Classes that agree in all
+into each, an empty bin borrows the next filled one of its hash function. Classes that agree in all
 rows of a band are candidates: at the threshold of 0.8 a pair is missed with
-probability (1 - 0.8^4)^10 = 0.5 %, at 0.9 with under 0.003 %. Exact Jaccard on
-the lines themselves decides, and `linking` builds the components.
+probability (1 - 0.8^7)^24 = 0.36 %, at 0.9 with under 0.001 %. Unlike lines of one
+language share a third to a half of their short shingles, so bands are long. Two bits of
+each of 128 bins go along with a key and tell most unlike lines apart where they
+meet (see `linking.alike`; a pair at 0.8 fails that test less than once in 1,000). Exact Jaccard on the lines themselves decides, and `linking`
+builds the components.
 
 A changed character in mid-line costs `shingle` shingles on each side, so that at
 0.8 such lines are linked from 10 * shingle - 1 characters on. FINE is what the
@@ -33,18 +36,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitagrain.llm.common import bit_table, fresh, held_bits, mix, shared_folder, slot_column, written
-from vitagrain.llm.linking import bits_of, common, key_slot, link
+from vitagrain.llm.linking import SKETCH, SKETCH_BINS, bits_of, common, key_slot, link
 from vitagrain.llm.shingles import _PLACE, character_codes, character_shingles
 
 SHINGLE = 8
 #: Short enough for a changed character in a line of 29 characters.
 FINE = 3
-BANDS, ROWS = 10, 4
+BANDS, ROWS = 24, 7
+#: Hash functions that share out the bins: with fewer bins each, fewer are empty and repeat another one.
+DRAWS = 4
 NUM, DEN = 4, 5
-#: Lines that a task turns into signatures at a time.
-LINES = 4096
+#: Lines that a task turns into signatures at a time, and at most two to the power LINE_BITS at once.
+LINES, LINE_BITS = 1024, 12
 KEEP_SCHEMA = "doc_id long, text_hash long, line long, h1 long, h2 long"
+SIGNATURE = ["n", *SKETCH, "keys"]
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
+_DRAW = mix(np.arange(1, DRAWS + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
+#: What a bin that borrows adds, by the distance it borrows from.
+_AWAY = mix(np.arange(BANDS * ROWS // DRAWS + 1, dtype=np.uint64)) * (np.arange(BANDS * ROWS // DRAWS + 1) > 0).astype(np.uint64)
 
 
 def plain(line: str) -> str:
@@ -63,35 +72,58 @@ def _laid(lines: list[str], shingle: int) -> tuple[np.ndarray, np.ndarray]:
     return character_shingles(character_codes("".join(lines)), offsets, shingle)
 
 
-def band_keys(lines: list[str], shingle: int = SHINGLE) -> np.ndarray:
-    """Band keys of each non-empty line, one row of BANDS signed longs each."""
-    hashes, offsets = _laid(lines, shingle)
-    bins = BANDS * ROWS
-    low = np.full(len(lines) * bins, FULL)
-    row = np.repeat(np.arange(len(lines)), np.diff(offsets))
-    of = ((hashes >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
-    np.minimum.at(low, row * bins + of, hashes)
-    low = low.reshape(-1, bins)
-    twice = np.concatenate([low, low], axis=1)
-    filled = np.where(twice != FULL, np.arange(2 * bins), 4 * bins)
-    after = np.minimum.accumulate(filled[:, ::-1], axis=1)[:, ::-1][:, :bins]
-    away = (after - np.arange(bins)).astype(np.uint64)
-    low = np.take_along_axis(low, after % bins, axis=1) + mix(away) * (away > 0)
+def _upper(offsets: np.ndarray) -> np.ndarray:
+    """The line of each shingle in the upper bits of a word, so that one sort orders the shingles within all lines (at most 4096)."""
+    return np.repeat(np.arange(len(offsets) - 1, dtype=np.uint64) << np.uint64(64 - LINE_BITS), np.diff(offsets))
+
+
+def distinct(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each line's distinct shingles in order (52 bits, in the upper part of a word), and their offsets."""
+    packed = np.sort(_upper(offsets) | hashes >> np.uint64(LINE_BITS))
+    first = np.ones(len(packed), bool)
+    first[1:] = packed[1:] != packed[:-1]
+    packed = packed[first]
+    sizes = np.bincount((packed >> np.uint64(64 - LINE_BITS)).astype(np.int64), minlength=len(offsets) - 1)
+    return packed << np.uint64(LINE_BITS), np.concatenate([[0], np.cumsum(sizes)])
+
+
+def signatures(lines: list[str], shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each non-empty line: the number of distinct shingles, BANDS keys (ints) and two bits of each of 128 bins (four longs)."""
+    hashes, offsets = distinct(*_laid(lines, shingle))
+    n, bins = np.diff(offsets), BANDS * ROWS // DRAWS
+    upper, starts = _upper(offsets), np.repeat(np.arange(len(lines)) * bins, n)
+    low = np.empty((len(lines), bins, DRAWS), np.uint64)
+    for draw in range(DRAWS):
+        values = np.sort(upper | hashes * _DRAW[draw] >> np.uint64(LINE_BITS)) << np.uint64(LINE_BITS)
+        place = starts + ((values >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
+        first = np.ones(len(place), bool)  # of each bin's values, which are in order
+        first[1:] = place[1:] != place[:-1]
+        least = np.full(len(lines) * bins, FULL)
+        least[place[first]] = values[first]
+        twice = np.tile(least.reshape(-1, bins), 2)
+        filled = np.where(twice != FULL, np.arange(2 * bins, dtype=np.int32), np.int32(4 * bins))
+        after = np.minimum.accumulate(filled[:, ::-1], axis=1)[:, ::-1][:, :bins]
+        low[:, :, draw] = np.take_along_axis(twice, after, axis=1) + _AWAY[after - np.arange(bins, dtype=np.int32)]
+    low = low.reshape(len(lines), -1)  # neighbours in a band are of several draws
     keys = (low.reshape(-1, BANDS, ROWS) * _PLACE[:ROWS]).sum(axis=2, dtype=np.uint64)
-    return mix(keys + np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)).view(np.int64)
+    keys = mix(keys + np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    drawn = mix(low[:, :SKETCH_BINS])
+    bits = np.concatenate([np.packbits(drawn >> np.uint64(k) & np.uint64(1), axis=1, bitorder="little").view(np.int64) for k in (0, 1)], axis=1)
+    return n, (keys >> np.uint64(32)).astype(np.uint32).view(np.int32), bits
 
 
 def _lines(batches: Iterator[pa.RecordBatch], signed: bool, shingle: int) -> Iterator[pa.RecordBatch]:
-    """doc_id, hash of the text, number and hash of every line that is not blank; band keys if signed."""
+    """doc_id, hash of the text, number and hash of every line that is not blank; its signature if signed."""
     names = [f.split()[0] for f in KEEP_SCHEMA.split(", ")]
 
     def out(rows: list[tuple], texts: list[str]) -> pa.RecordBatch:
         columns = [pa.array(c, pa.int64()) for c in zip(*rows)]
         if signed:
-            keys = band_keys(texts, shingle)
+            n, keys, bits = signatures(texts, shingle)
             offsets = np.arange(0, keys.size + 1, BANDS, dtype=np.int32)
-            columns.append(pa.ListArray.from_arrays(offsets, keys.reshape(-1)))
-        return pa.RecordBatch.from_arrays(columns, names=names + ["keys"] * signed)
+            columns += [pa.array(n, pa.int64()), *(pa.array(np.ascontiguousarray(b)) for b in bits.T),
+                        pa.ListArray.from_arrays(offsets, keys.reshape(-1))]
+        return pa.RecordBatch.from_arrays(columns, names=names + SIGNATURE * signed)
 
     for batch in batches:
         rows, texts, size = [], [], 0
@@ -102,7 +134,7 @@ def _lines(batches: Iterator[pa.RecordBatch], signed: bool, shingle: int) -> Ite
                     rows.append((key, mark, number, *line_hash(line)))
                     texts.append(line if signed else "")
                     size += len(line)
-                    if len(rows) >= LINES or size >= 1 << 19:
+                    if len(rows) >= LINES or size >= 1 << 18:
                         yield out(rows, texts)
                         rows, texts, size = [], [], 0
         if rows:
@@ -132,14 +164,8 @@ def measure_lines(left: pa.Array, right: pa.Array, shingle: int = SHINGLE) -> tu
     for low in range(0, len(left), 2000):
         pairs = [left.slice(low, 2000).to_pylist(), right.slice(low, 2000).to_pylist()]
         lines = list(dict.fromkeys(pairs[0] + pairs[1]))
-        hashes, offsets = _laid(lines, shingle)
-        line = np.repeat(np.arange(len(lines)), np.diff(offsets))
-        order = np.lexsort((hashes, line))
-        hashes, line = hashes[order], line[order]
-        first = np.ones(len(hashes), bool)
-        first[1:] = (hashes[1:] != hashes[:-1]) | (line[1:] != line[:-1])
-        hashes, sizes = hashes[first], np.bincount(line[first], minlength=len(lines))
-        starts = np.concatenate([[0], np.cumsum(sizes)])
+        hashes, starts = distinct(*_laid(lines, shingle))
+        sizes = np.diff(starts)
         number = {x: i for i, x in enumerate(lines)}
         a, b = (np.array([number[x] for x in side]) for side in pairs)
         for i, (x, y) in enumerate(zip(a, b), low):
@@ -155,9 +181,9 @@ def lost_lines(docs: DataFrame, num: int = NUM, den: int = DEN, shingle: int = S
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
     texts = texts.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "line")
-    signed = texts.mapInArrow(lambda b: _lines(b, True, shingle), KEEP_SCHEMA + ", keys array<long>")
+    signed = texts.mapInArrow(lambda b: _lines(b, True, shingle), f"{KEEP_SCHEMA}, {' long, '.join(SIGNATURE)} array<int>")
     nodes = signed.groupBy("h1", "h2").agg(F.min(place).alias("place"), F.count("*").alias("copies"),
-                                           F.first("keys").alias("keys"))
+                                           *(F.first(c).alias(c) for c in SIGNATURE))
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), folder, "nodes")
 
     def fetch(asked: DataFrame, name: str) -> DataFrame:
@@ -167,7 +193,9 @@ def lost_lines(docs: DataFrame, num: int = NUM, den: int = DEN, shingle: int = S
         return texts.select(slot_column("doc_id").alias("slot"), "text").mapInArrow(
             lambda b: _asked(b, rows, lines), "h1 long, h2 long, items string")
 
-    labels = link(nodes.select("node", "h1", "h2", F.lit(1).cast("long").alias("n"), "keys"), fetch,
+    # a key is the number of its band and 32 bits
+    keys = F.expr("transform(keys, (x, i) -> shiftleft(cast(i AS long), 32) + x) AS keys")
+    labels = link(nodes.select("node", "h1", "h2", "n", *SKETCH, keys), fetch,
                   lambda left, right: measure_lines(left, right, shingle), num, den, folder,
                   positional=False)
     # classes that neither repeat nor have a component lose nothing

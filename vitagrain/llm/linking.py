@@ -15,8 +15,12 @@ by many nodes must not yield all their pairs, so linking goes in rounds:
    cannot link and is left out, as is one whose sets, given `parity`, differ in too
    many parts of the hash range. No candidate is capped or dropped.
 
-Pairs inside a component are never compared, since they cannot change it; no
-pair is compared twice. Joins are equi-joins that adaptive execution may split;
+Where sets come with bits for a test (`SKETCH`), keys of up to LIGHT nodes skip the rounds: all
+their pairs that the bits and sizes allow are compared at once, and only the other keys'
+postings go on to the rounds.
+
+Pairs inside a component are not compared in the last round, since they cannot change it;
+no pair is compared twice. Joins are equi-joins that adaptive execution may split;
 everything reused is written to the shared folder.
 """
 
@@ -39,6 +43,14 @@ SLOT_BITS = 24
 MARK_BITS, FULL_MARK = 8, 127
 #: Parts whose counts are held as odd or even, one bit each: thin enough to travel with the postings of the last round.
 PARITY_BITS = 9
+#: Longs that may go along with a posting: two bits of each of 128 bins of a MinHash signature, the first bits ahead. How far
+#: a pair may stray from the number of unequal bins that is expected at the threshold, in standard deviations.
+SKETCH = ["bits_0", "bits_1", "bits_2", "bits_3"]
+SKETCH_BINS, STRAY = 128, 4.5
+#: Keys of so many nodes have all their pairs tested where the postings of the key meet.
+LIGHT = 48
+#: The table of keys that occur again has two to this power bits (16 MB), made and sent in RANGES parts.
+AGAIN_BITS, RANGES = 27, 1024
 
 
 def components(edges: DataFrame, folder: str, name: str) -> DataFrame:
@@ -101,6 +113,32 @@ def may_differ(num: int, den: int) -> Column:
                   f"* {num + den} <= (n + other_n) * {den - num}")
 
 
+def _bounds(num: int, den: int) -> tuple[float, float]:
+    """Expected number of unequal bins of sets at the threshold, each unequal with probability (1 - Jaccard) * 3 / 4, and how far to stray."""
+    odds = (den - num) / den * 3 / 4
+    return SKETCH_BINS * odds, STRAY * (SKETCH_BINS * odds * (1 - odds)) ** 0.5
+
+
+def alike(num: int, den: int) -> Column:
+    """Whether the SKETCH bins of sets of n and other_n items differ no more often than those of sets at the threshold.
+
+    Sets of few items fill few bins and the others repeat them, so that their share varies more.
+    """
+    mean, stray = _bounds(num, den)
+    half = len(SKETCH) // 2
+    differ = " + ".join(f"bit_count(({c} ^ other_{c}) | ({d} ^ other_{d}))" for c, d in zip(SKETCH[:half], SKETCH[half:]))
+    return F.expr(f"{differ} <= {mean}D + {stray}D * sqrt(greatest(1D, {SKETCH_BINS}D / least(n, other_n)))")
+
+
+def _alike(rows: np.ndarray, a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
+    """`alike` and the test of sizes for pairs of rows (key, node, n, own, SKETCH)."""
+    mean, stray = _bounds(num, den)
+    low, high = np.minimum(rows[a, 2], rows[b, 2]), np.maximum(rows[a, 2], rows[b, 2])
+    unequal = (rows[a, 4:] ^ rows[b, 4:]).view(np.uint64)
+    differ = np.bitwise_count(unequal[:, :2] | unequal[:, 2:]).sum(axis=1)
+    return (low * den >= high * num) & (differ <= mean + stray * np.sqrt(np.maximum(1, SKETCH_BINS / low)))
+
+
 def may_reach(num: int, den: int) -> Column:
     """Suffix filter by partitions: whether sets of n and other_n items with a_marks and b_marks could share enough.
 
@@ -138,28 +176,29 @@ def measured(pairs: DataFrame, nodes: DataFrame, items: DataFrame, measure: Meas
                           f"sizes.shared > 0 AND sizes.shared * {den} >= sizes.united * {num} AS linked")
 
 
-def _spread(batches: Iterator[pa.RecordBatch], asked) -> Iterator[pa.RecordBatch]:
+def _spread(batches: Iterator[pa.RecordBatch], asked, slot_bits: int = SLOT_BITS) -> Iterator[pa.RecordBatch]:
     """Postings of the keys whose slot is in the bit table."""
     for batch in batches:
-        keys = batch.column(2)
+        keys = batch.column("keys")
         offsets = keys.offsets.to_numpy()
         values = keys.values.to_numpy()[offsets[0]: offsets[-1]]
         row = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
         start = (offsets[:-1] - offsets[0])[row]
-        held = held_bits(asked.value, key_slot(values))
+        held = held_bits(asked.value, key_slot(values, slot_bits))
         ahead = np.concatenate([[0], np.cumsum(held)])
         pos = np.arange(len(values)) - start
         met = ahead[:-1] - ahead[start]
         ends = (offsets[1:] - offsets[0])[row]
         own = ends - start - (ahead[ends] - ahead[start])
-        columns = [values, *(batch.column(k).to_numpy()[row] for k in (0, 1)), pos, met, own]
+        carried = [c for c in batch.schema.names if c != "keys"]
+        columns = [values, *(batch.column(c).to_numpy()[row] for c in carried), pos, met, own]
         yield pa.RecordBatch.from_arrays([pa.array(c[held].astype(np.int64)) for c in columns],
-                                         names=["key", "node", "n", "pos", "met", "own"])
+                                         names=["key", *carried, "pos", "met", "own"])
 
 
-def key_slot(keys: np.ndarray) -> np.ndarray:
+def key_slot(keys: np.ndarray, slot_bits: int = SLOT_BITS) -> np.ndarray:
     """Slot of a key in the bit table: its top bits, mixed."""
-    return (mix(keys.view(np.uint64)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+    return (mix(keys.view(np.uint64)) >> np.uint64(64 - slot_bits)).astype(np.int64)
 
 
 def _key_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,18 +237,124 @@ def shared_postings(nodes: DataFrame) -> DataFrame:
     return postings.join(counts, "key")
 
 
+def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The slots of all keys of a task, many to a row: steps from one to the next within a part of the table."""
+    width = AGAIN_BITS - RANGES.bit_length() + 1
+
+    def out(held: list[np.ndarray]) -> pa.RecordBatch:
+        slot = np.sort(np.concatenate(held))
+        ends = np.searchsorted(slot, np.arange(1, RANGES + 1, dtype=np.int64) << width)
+        starts = np.concatenate([[0], ends[:-1]])
+        steps = np.diff(slot, prepend=0)
+        filled = np.flatnonzero(ends > starts)
+        steps[starts[filled]] = slot[starts[filled]] & ((1 << width) - 1)
+        steps = steps.astype(np.uint32)
+        return pa.RecordBatch.from_arrays([pa.array(filled), pa.array([steps[starts[k]: ends[k]].tobytes() for k in filled], pa.binary())],
+                                          names=["part", "steps"])
+
+    held, size = [], 0
+    for batch in batches:
+        keys = batch.column(0).flatten().to_numpy()
+        held.append(key_slot(keys, AGAIN_BITS))
+        size += len(keys)
+        if size >= 1 << 21:
+            yield out(held)
+            held, size = [], 0
+    if size:
+        yield out(held)
+
+
+def _again(part: pa.Table) -> pa.Table:
+    """Bits of the slots of one part that were met twice or more."""
+    width = AGAIN_BITS - RANGES.bit_length() + 1
+    count = np.zeros(1 << width, np.uint8)
+    for steps in part.column("steps"):
+        slot = np.cumsum(np.frombuffer(steps.as_buffer(), np.uint32), dtype=np.int64)
+        count = np.minimum(count + np.minimum(np.bincount(slot, minlength=1 << width), 2).astype(np.uint8), 2)
+    bits = np.packbits(count > 1, bitorder="little").tobytes()
+    return pa.table({"part": part.column("part").slice(0, 1), "bits": pa.array([bits], pa.binary())})
+
+
+def again_bits(nodes: DataFrame) -> np.ndarray:
+    """The bit table of keys that occur twice or more (and others in their slots): fixed size for any number of keys."""
+    parts = nodes.select("keys").mapInArrow(_slots, "part long, steps binary").groupBy("part").applyInArrow(
+        _again, "part long, bits binary")
+    table = np.zeros((RANGES, (1 << AGAIN_BITS) // 8 // RANGES), np.uint8)
+    for row in parts.toLocalIterator():
+        table[row["part"]] = np.frombuffer(row["bits"], np.uint8)
+    return table.reshape(-1)
+
+
+def _meet(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """From postings in order of their keys: pairs (node, other) under keys of few nodes, and the postings of all other keys."""
+    names = ["key", "node", "n", "own", *SKETCH]
+
+    def out(rows: np.ndarray, hot: int | None) -> pa.RecordBatch:
+        key, node = rows[:, 0], rows[:, 1]
+        edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+        size = np.repeat(np.diff(edges), np.diff(edges))
+        many = size > LIGHT
+        if hot is not None:
+            many |= key == hot
+        light = np.flatnonzero(~many)
+        pairs = []
+        for step in range(1, int(size[light].max(initial=1))):
+            a = light[light + step < len(key)]
+            a = a[(key[a] == key[a + step]) & ~many[a + step]]
+            a = a[_alike(rows, a, a + step, num, den)]
+            pairs.append(np.stack([np.minimum(node[a], node[a + step]), np.maximum(node[a], node[a + step])], axis=1))
+        pairs = np.unique(np.concatenate(pairs or [np.zeros((0, 2), np.int64)]), axis=0)
+        kept = rows[many]
+        columns = [pa.array(np.concatenate([kept[:, k], pairs[:, 0] if k == 1 else np.zeros(len(pairs), np.int64)])) for k in range(len(names))]
+        other = np.concatenate([np.zeros(len(kept), np.int64), pairs[:, 1]])
+        columns.append(pa.array(other, mask=np.arange(len(other)) < len(kept)))
+        return pa.RecordBatch.from_arrays(columns, names=[*names, "other"])
+
+    rest, hot = np.zeros((0, len(names)), np.int64), None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = np.concatenate([rest, np.stack([batch.column(c).to_numpy() for c in names], axis=1)])
+        last = rows[-1, 0]
+        start = int(np.searchsorted(rows[:, 0], last))
+        if len(rows) - start > LIGHT or last == hot:  # enough of this key to know what becomes of it
+            yield out(rows, hot)
+            rest, hot = rows[:0], last
+        else:
+            if start:
+                yield out(rows[:start], hot)
+            rest = rows[start:]
+    if len(rest):
+        yield out(rest, hot)
+
+
+def met_pairs(nodes: DataFrame, num: int, den: int, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b), repeated, that keys of few nodes and the bits allow, and the postings of all other keys."""
+    asked = nodes.sparkSession.sparkContext.broadcast(again_bits(nodes))
+    names = ["key", "node", "n", "own", *SKETCH]
+    postings = nodes.select("node", "n", *SKETCH, "keys").mapInArrow(
+        lambda b: _spread(b, asked, AGAIN_BITS), ", ".join(f"{c} long" for c in ("key", "node", "n", *SKETCH, "pos", "met", "own")))
+    met = postings.select(*names).repartition("key").sortWithinPartitions("key").mapInArrow(
+        lambda b: _meet(b, num, den), ", ".join(f"{c} long" for c in (*names, "other")))
+    met = written(met, folder, "met")
+    many = met.where("other IS NULL").selectExpr(*names, "0L AS pos", "0L AS met")
+    return met.where("other IS NOT NULL").selectExpr("node AS a", "other AS b"), many
+
+
 def link(nodes: DataFrame, fetch: Callable[[DataFrame, str], DataFrame], measure: Measure, num: int, den: int, folder: str,
          positional: bool, rounds: int = 1) -> DataFrame:
     """node and component of all nodes in a component of two or more, after `rounds` leader rounds and the last one.
 
     nodes: node, h1 and h2 (the set's hash), n (set size), keys (distinct; in the global
-    order if positional) and, if there are any, marks and parity. fetch(nodes, name) gives h1, h2 and
+    order if positional) and, if there are any, marks and parity, or SKETCH bits. fetch(nodes, name) gives h1, h2 and
     items of each asked node (more than those does no harm), which measure compares. Sets
     link when shared / united >= num / den.
     """
-    shared = written(shared_postings(nodes), folder, "shared")
-
-    marked = "marks" in nodes.columns
+    marked, bits, light = "marks" in nodes.columns, [c for c in SKETCH if c in nodes.columns], None
+    if bits:
+        light, shared = met_pairs(nodes, num, den, folder)
+    else:
+        shared = written(shared_postings(nodes), folder, "shared")
 
     def compared(pairs: DataFrame, name: str) -> DataFrame:
         """All pairs, measured where the marks allow a link; the others are not linked."""
@@ -229,13 +374,15 @@ def link(nodes: DataFrame, fetch: Callable[[DataFrame, str], DataFrame], measure
     if positional:
         # keys before this one that no other node holds are in neither intersection
         fits &= F.expr(f"(least(met, other_met) + least(n - pos, other_n - other_pos)) * {num + den} >= (n + other_n) * {num}")
+    if bits:
+        fits &= alike(num, den)
 
     for turn in range(rounds):
         held = shared.join(labels, "node", "left") if labels is not None else shared.withColumn(
             "component", F.lit(None).cast("long"))
         held = held.withColumn("component", F.coalesce("component", "node"))
         # the most typical node of each component under a key, and of these the LEADERS most typical
-        ends = F.struct("own", "node", "component", "n", "pos", "met")
+        ends = F.struct("own", "node", "component", "n", "pos", "met", *bits)
         # (at first every node is a component of its own and the limit alone works ahead of the shuffle)
         typical = held.select("key", ends.alias("head")) if labels is None else held.groupBy("key", "component").agg(
             F.min(ends).alias("head"))
@@ -243,14 +390,17 @@ def link(nodes: DataFrame, fetch: Callable[[DataFrame, str], DataFrame], measure
             Window.partitionBy("key").orderBy("head"))).where(F.col("place") <= LEADERS).select("key", "head")
         tries = held.join(heads, "key").where("component <> head.component").selectExpr(
             "node AS a", "head.node AS b", "n", "pos", "met", "head.n AS other_n", "head.pos AS other_pos",
-            "head.met AS other_met").where(fits)
+            "head.met AS other_met", *bits, *(f"head.{c} AS other_{c}" for c in bits)).where(fits)
         tries = tries.groupBy("a", "b").agg(F.count("*").alias("keys"))
         if checked is not None:
             known = checked.select("a", "b").unionAll(checked.selectExpr("b AS a", "a AS b"))
             tries = tries.join(known, ["a", "b"], "left_anti")
         best = Window.partitionBy("a").orderBy(F.desc("keys"), "b")
         pairs = tries.withColumn("place", F.row_number().over(best)).where(F.col("place") <= LEADERS).selectExpr(
-            "least(a, b) AS a", "greatest(a, b) AS b").distinct()
+            "least(a, b) AS a", "greatest(a, b) AS b")
+        if turn == 0 and light is not None:
+            pairs = pairs.unionAll(light)
+        pairs = pairs.distinct()
         found = compared(pairs, f"round_{turn}")
         if turn == 0:
             # distance of each node to one of the nodes that it was first compared with
@@ -272,9 +422,10 @@ def link(nodes: DataFrame, fetch: Callable[[DataFrame, str], DataFrame], measure
     mixed = written(mixed, folder, "mixed").join(first, "node", "left")
     mixed = mixed.join(nodes.select("node", "parity"), "node") if marked else mixed.withColumn("parity", F.lit(None))
     few = mixed.where("component <> major").selectExpr(
-        "key", "node AS a", "component AS a_component", "n", "pos", "met", "near AS a_near", "parity AS a_parity")
+        "key", "node AS a", "component AS a_component", "n", "pos", "met", "near AS a_near", "parity AS a_parity", *bits)
     rest = mixed.selectExpr("key", "node AS b", "component AS b_component", "n AS other_n", "pos AS other_pos",
-                            "met AS other_met", "near AS b_near", "component = major AS in_major", "parity AS b_parity")
+                            "met AS other_met", "near AS b_near", "component = major AS in_major", "parity AS b_parity",
+                            *(f"{c} AS other_{c}" for c in bits))
     far = F.expr(f"a_near.leader = b_near.leader AND abs(a_near.gap - b_near.gap) > {reach}")
     able = (F.col("a_component") != F.col("b_component")) & (
         F.col("in_major") | (F.col("a") < F.col("b"))) & fits & ~F.coalesce(far, F.lit(False))
