@@ -275,3 +275,29 @@ def test_postings_meet_across_batches():
         groups = {k: rows[keys == k, 1].tolist() for k in set(keys.tolist())}
         assert many == {(k, x) for k, g in groups.items() if len(g) > linking.LIGHT for x in g}
         assert pairs == {(a, b) for g in groups.values() if len(g) <= linking.LIGHT for a in g for b in g if a < b}
+
+
+def test_long_unlike_lines_under_one_key_are_told_apart():
+    """More than LIGHT unlike lines of one key, some on either side of a level's limit: their near pairs come out, nothing else does."""
+    import types
+
+    import pyarrow as pa
+    rng = random.Random(33)
+    parts = ["the", "ou", "er", "and", "ing", "th", "re", "he", "an", "in", "on", "at", "nd", "st", "es", "en", "of", "ti", "ed", "to", "u", "k", "m", "bl", "p", "gr", "y", "w"]
+    lines = ["".join(rng.choice(parts) + " " * (rng.random() < 0.3) for _ in range(rng.randrange(100, 2500))).strip() for _ in range(3 * linking.LIGHT)]
+    lines += [x[: len(x) - len(x) // 12] for x in lines]
+    sets = [{x[i: i + 3] for i in range(len(x) - 2)} for x in lines]
+    want = {(a, b) for b in range(len(lines)) for a in range(b) if len(sets[a] & sets[b]) * 5 >= len(sets[a] | sets[b]) * 4}
+    n, _, bits = line_dedup.signatures(lines, line_dedup.FINE, linking.LEVELS - 1)
+    levels, rows = linking.level_of(n), []
+    assert len(set(levels.tolist())) > 2 and any(levels[a] != levels[b] for a, b in want)
+    for level in range(linking.LEVELS - 1, -1, -1):
+        of = np.flatnonzero(levels == level)
+        rows.append((level, np.column_stack([of, n[of], bits[of]]).tobytes(), np.full(len(of), 7, np.uint32).tobytes()))
+        bits = linking.folded(bits) if level else bits
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["level", "nodes", "keys"])
+    every = types.SimpleNamespace(value=np.full(1 << linking.AGAIN_BITS - 3, 255, np.uint8))
+    packed = pa.Table.from_batches(linking._postings(iter([batch, batch]), every, 1, 0, 4, 5)).sort_by("part")
+    out = [r for b in linking._meet(linking._unpacked(iter(packed.to_batches())), 4, 5) for r in b.to_pylist()]
+    found = {(r["node"], r["other"]) for r in out}
+    assert len(want) > 100 and want <= found and len(found) < 1.05 * len(want)

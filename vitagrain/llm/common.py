@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -62,6 +63,12 @@ def written(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def swept(spark: SparkSession) -> None:
+    """Has the driver collect its garbage, so that Spark removes the shuffle files of jobs whose rows were written."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def slices(array: pa.Array, limit: int = SLICE_BYTES) -> Iterator[pa.Array]:
     """The string array in runs of about `limit` bytes, at least one element each."""
     if isinstance(array, pa.ChunkedArray):

@@ -15,9 +15,9 @@ by many nodes must not yield all their pairs, so linking goes in rounds:
    cannot link and is left out, as is one whose sets, given `parity`, differ in too
    many parts of the hash range. No candidate is capped or dropped.
 
-Where sets come with bits for a test (`SKETCH`), keys of up to LIGHT nodes skip the rounds: all
-their pairs that the bits and sizes allow are compared at once, and only the other keys'
-postings go on to the rounds.
+Where sets come with bits for a test (`SKETCH`), all pairs under a key are tested by bits and
+sizes where its postings meet, in numpy. Pairs that pass are compared at once, but for parts of large keys in
+which most pairs pass (groups of copies): only their postings go on to the rounds.
 
 Pairs inside a component are not compared in the last round, since they cannot change it;
 no pair is compared twice. Joins are equi-joins that adaptive execution may split;
@@ -26,6 +26,7 @@ everything reused is written to the shared folder.
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Callable, Iterator
 
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vitagrain.llm.common import held_bits, mix, shared_folder, written
+from vitagrain.llm.common import held_bits, mix, shared_folder, swept, written
 
 LEADERS = 3
 #: The bit table of shared keys has two to this power bits: 2 MB.
@@ -43,14 +44,23 @@ SLOT_BITS = 24
 MARK_BITS, FULL_MARK = 8, 127
 #: Parts whose counts are held as odd or even, one bit each: thin enough to travel with the postings of the last round.
 PARITY_BITS = 9
-#: Longs that may go along with a posting: two bits of each of 128 bins of a MinHash signature, the first bits ahead. How far
-#: a pair may stray from the number of unequal bins that is expected at the threshold, in standard deviations.
+#: Longs that go along with a posting: whether the number of a set's hashes in each part of the hash range is odd. Sets of up to
+#: SMALL items have these 256 parts, those of up to twice as many (a level more) twice as many parts, and so on for LEVELS levels.
+#: How far a pair may stray from the number of unequal parts expected at the threshold, in standard deviations.
 SKETCH = ["bits_0", "bits_1", "bits_2", "bits_3"]
-SKETCH_BINS, STRAY = 128, 4.5
-#: Keys of so many nodes have all their pairs tested where the postings of the key meet.
-LIGHT = 48
+SMALL, LEVELS, STRAY = 320, 5, 4.5
+#: Bits of n below the key of a packed posting.
+SIZE_BITS = 27
+#: Postings are packed into two to this power buckets by their keys, so many longs at a time.
+BUCKET_BITS, GATHER = 9, 1 << 20
+#: The bands are taken in so many turns, so that only one turn's postings are on disk.
+TURNS = 4
+#: Keys of so many nodes have all their pairs that the bits allow compared; of larger ones only parts with at most DENSE pairs a node.
+LIGHT, DENSE = 48, 8
+#: Pairs of one key that are held before its dense parts shrink to one edge a node.
+HELD = 1 << 20
 #: The table of keys that occur again has two to this power bits (16 MB), made and sent in RANGES parts.
-AGAIN_BITS, RANGES = 27, 1024
+AGAIN_BITS, RANGES = 27, 256
 
 
 def components(edges: DataFrame, folder: str, name: str) -> DataFrame:
@@ -63,7 +73,7 @@ def components(edges: DataFrame, folder: str, name: str) -> DataFrame:
                   folder, f"{name}_edges")
     before = None
     for turn in itertools.count():  # the number of turns grows with the logarithm of the nodes
-        mark = now.agg(F.count("*"), F.sum(F.hash("low", "high").cast("long")), F.sum("low")).first()
+        mark = now.agg(F.count("*"), F.sum(F.hash("low", "high").cast("long")), F.bit_xor("low")).first()
         if mark == before:
             break
         before = mark
@@ -113,30 +123,59 @@ def may_differ(num: int, den: int) -> Column:
                   f"* {num + den} <= (n + other_n) * {den - num}")
 
 
-def _bounds(num: int, den: int) -> tuple[float, float]:
-    """Expected number of unequal bins of sets at the threshold, each unequal with probability (1 - Jaccard) * 3 / 4, and how far to stray."""
-    odds = (den - num) / den * 3 / 4
-    return SKETCH_BINS * odds, STRAY * (SKETCH_BINS * odds * (1 - odds)) ** 0.5
+def _bound(total: np.ndarray, parts: int, num: int, den: int) -> np.ndarray:
+    """Most unequal parts of two sets with `total` items in all that may link.
 
+    Sets at the threshold differ in total * (den - num) / (den + num) items. An unequal part holds one of
+    them, so there are no more; where parts are crowded there are fewer, up to chance.
+    """
+    most = total * (den - num) / (den + num)
+    odds = (1 - (1 - 2 / parts) ** most) / 2
+    return np.minimum(most + 1e-6, parts * odds + STRAY * np.sqrt(parts * odds * (1 - odds)))
 
-def alike(num: int, den: int) -> Column:
-    """Whether the SKETCH bins of sets of n and other_n items differ no more often than those of sets at the threshold.
 
-    Sets of few items fill few bins and the others repeat them, so that their share varies more.
-    """
-    mean, stray = _bounds(num, den)
-    half = len(SKETCH) // 2
-    differ = " + ".join(f"bit_count(({c} ^ other_{c}) | ({d} ^ other_{d}))" for c, d in zip(SKETCH[:half], SKETCH[half:]))
-    return F.expr(f"{differ} <= {mean}D + {stray}D * sqrt(greatest(1D, {SKETCH_BINS}D / least(n, other_n)))")
+@functools.lru_cache
+def _bounds(parts: int, num: int, den: int) -> np.ndarray:
+    """`_bound` of all totals below 16,384."""
+    return np.floor(_bound(np.arange(1 << 14), parts, num, den)).astype(np.int16)
+
+
+def alike(num: int, den: int) -> Column:
+    """Whether the SKETCH parts of sets of n and other_n items differ no more often than those of sets at the threshold."""
+    parts = 64 * len(SKETCH)
+    differ = " + ".join(f"bit_count({c} ^ other_{c})" for c in SKETCH)
+    most = f"((n + other_n) * {(den - num) / (den + num)}D)"
+    odds = f"((1 - pow({1 - 2 / parts}D, {most})) / 2)"
+    return F.expr(f"{differ} <= least({most} + 1e-6D, {parts} * {odds} + {STRAY}D * sqrt({parts} * {odds} * (1 - {odds})))")
 
 
 def _alike(rows: np.ndarray, a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
-    """`alike` and the test of sizes for pairs of rows (key, node, n, own, SKETCH)."""
-    mean, stray = _bounds(num, den)
-    low, high = np.minimum(rows[a, 2], rows[b, 2]), np.maximum(rows[a, 2], rows[b, 2])
-    unequal = (rows[a, 4:] ^ rows[b, 4:]).view(np.uint64)
-    differ = np.bitwise_count(unequal[:, :2] | unequal[:, 2:]).sum(axis=1)
-    return (low * den >= high * num) & (differ <= mean + stray * np.sqrt(np.maximum(1, SKETCH_BINS / low)))
+    """`alike` and the test of sizes for pairs of rows (key, node, n, own, longs of parts)."""
+    one, two = rows[a, 2], rows[b, 2]
+    able, parts = np.minimum(one, two) * den >= np.maximum(one, two) * num, 64 * (rows.shape[1] - 4)
+    at = np.flatnonzero(able)
+    a, b, total = a[at], b[at], one[at] + two[at]
+    differ = np.bitwise_count((rows[a, 4] ^ rows[b, 4]).view(np.uint64)).astype(np.int16)
+    for k in range(5, rows.shape[1]):
+        differ += np.bitwise_count((rows[a, k] ^ rows[b, k]).view(np.uint64))
+    known = _bounds(parts, num, den)
+    able[at] = differ <= (known[total] if total.max(initial=0) < len(known) else _bound(total, parts, num, den))
+    return able
+
+
+def level_of(n: np.ndarray) -> np.ndarray:
+    """The level of sets of n items."""
+    return np.searchsorted(SMALL << np.arange(LEVELS - 1), n)
+
+
+def width_of(level: int) -> int:
+    """Longs of a packed node or posting: two and those of the parts."""
+    return 2 + (len(SKETCH) << level)
+
+
+def folded(words: np.ndarray) -> np.ndarray:
+    """The longs of half as many parts."""
+    return words[:, ::2] ^ words[:, 1::2]
 
 
 def may_reach(num: int, den: int) -> Column:
@@ -158,7 +197,7 @@ def measure_sets(left: pa.Array, right: pa.Array) -> tuple[np.ndarray, np.ndarra
 
 
 def measured(pairs: DataFrame, nodes: DataFrame, items: DataFrame, measure: Measure, num: int, den: int) -> DataFrame:
-    """pairs (a, b) with `shared` (intersection size), `united` and `linked`; items are found by the nodes' h1, h2."""
+    """pairs (a, b) with `shared` (intersection size), `united` and `linked`; items are found by node or else by the nodes' h1, h2."""
 
     @F.arrow_udf("struct<shared: long, united: long>")
     def sizes(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -167,16 +206,20 @@ def measured(pairs: DataFrame, nodes: DataFrame, items: DataFrame, measure: Meas
                                              names=["shared", "united"])
 
     named = pairs
-    for side in "ab":
-        named = named.join(nodes.selectExpr(f"node AS {side}", f"h1 AS {side}1", f"h2 AS {side}2"), side)
-    for side in "ab":
-        named = named.join(items.selectExpr(f"h1 AS {side}1", f"h2 AS {side}2", f"items AS {side}_items"), [f"{side}1", f"{side}2"])
+    if "node" in items.columns:
+        for side in "ab":
+            named = named.join(items.selectExpr(f"node AS {side}", f"items AS {side}_items"), side)
+    else:
+        for side in "ab":
+            named = named.join(nodes.selectExpr(f"node AS {side}", f"h1 AS {side}1", f"h2 AS {side}2"), side)
+        for side in "ab":
+            named = named.join(items.selectExpr(f"h1 AS {side}1", f"h2 AS {side}2", f"items AS {side}_items"), [f"{side}1", f"{side}2"])
     met = named.select("a", "b", sizes("a_items", "b_items").alias("sizes")).dropDuplicates(["a", "b"])
     return met.selectExpr("a", "b", "sizes.shared AS shared", "sizes.united AS united",
                           f"sizes.shared > 0 AND sizes.shared * {den} >= sizes.united * {num} AS linked")
 
 
-def _spread(batches: Iterator[pa.RecordBatch], asked, slot_bits: int = SLOT_BITS) -> Iterator[pa.RecordBatch]:
+def _spread(batches: Iterator[pa.RecordBatch], asked) -> Iterator[pa.RecordBatch]:
     """Postings of the keys whose slot is in the bit table."""
     for batch in batches:
         keys = batch.column("keys")
@@ -184,7 +227,7 @@ def _spread(batches: Iterator[pa.RecordBatch], asked, slot_bits: int = SLOT_BITS
         values = keys.values.to_numpy()[offsets[0]: offsets[-1]]
         row = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
         start = (offsets[:-1] - offsets[0])[row]
-        held = held_bits(asked.value, key_slot(values, slot_bits))
+        held = held_bits(asked.value, key_slot(values))
         ahead = np.concatenate([[0], np.cumsum(held)])
         pos = np.arange(len(values)) - start
         met = ahead[:-1] - ahead[start]
@@ -237,122 +280,276 @@ def shared_postings(nodes: DataFrame) -> DataFrame:
     return postings.join(counts, "key")
 
 
-def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The slots of all keys of a task, many to a row: steps from one to the next within a part of the table."""
+def _longs(packed: pa.Scalar, width: int) -> np.ndarray:
+    """Rows of `width` longs from their bytes."""
+    return np.frombuffer(packed.as_buffer(), np.int64).reshape(-1, width)
+
+
+def _banded(packed: pa.Scalar, bands: int, turn: int) -> np.ndarray:
+    """A row of keys for each node of one turn: the number of the band and 32 bits."""
+    keys = np.frombuffer(packed.as_buffer(), np.uint32).reshape(-1, bands).astype(np.int64)
+    return keys | np.arange(turn * bands, (turn + 1) * bands, dtype=np.int64) << 32
+
+
+def _dealt(values: np.ndarray, part: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each part that has values, and these."""
+    order = np.argsort(part.astype(np.uint16), kind="stable")
+    values, ends = values[order], np.cumsum(np.bincount(part, minlength=parts))
+    for k in range(parts):
+        low = ends[k - 1] if k else 0
+        if low < ends[k]:
+            yield k, values[low: ends[k]]
+
+
+def _packed(values: np.ndarray, part: np.ndarray, parts: int) -> pa.RecordBatch:
+    """The values as bytes, a row for each part."""
+    dealt = list(_dealt(values, part, parts))
+    return pa.RecordBatch.from_arrays([pa.array([k for k, _ in dealt], pa.int64()), pa.array([x.tobytes() for _, x in dealt], pa.binary())],
+                                      names=["part", "packed"])
+
+
+def _slots(batches: Iterator[pa.RecordBatch], values: Callable[[pa.Scalar], np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """The slots of all values of a task within their parts of the table, many to a row."""
     width = AGAIN_BITS - RANGES.bit_length() + 1
 
     def out(held: list[np.ndarray]) -> pa.RecordBatch:
-        slot = np.sort(np.concatenate(held))
-        ends = np.searchsorted(slot, np.arange(1, RANGES + 1, dtype=np.int64) << width)
-        starts = np.concatenate([[0], ends[:-1]])
-        steps = np.diff(slot, prepend=0)
-        filled = np.flatnonzero(ends > starts)
-        steps[starts[filled]] = slot[starts[filled]] & ((1 << width) - 1)
-        steps = steps.astype(np.uint32)
-        return pa.RecordBatch.from_arrays([pa.array(filled), pa.array([steps[starts[k]: ends[k]].tobytes() for k in filled], pa.binary())],
-                                          names=["part", "steps"])
+        slot = np.concatenate(held)
+        return _packed((slot & ((1 << width) - 1)).astype(np.uint32), slot >> width, RANGES)
 
     held, size = [], 0
     for batch in batches:
-        keys = batch.column(0).flatten().to_numpy()
-        held.append(key_slot(keys, AGAIN_BITS))
-        size += len(keys)
-        if size >= 1 << 21:
-            yield out(held)
-            held, size = [], 0
+        for packed in batch.column(0):
+            held.append(key_slot(np.ascontiguousarray(values(packed)).reshape(-1), AGAIN_BITS))
+            size += len(held[-1])
+            if size >= 1 << 21:
+                yield out(held)
+                held, size = [], 0
     if size:
         yield out(held)
 
 
 def _again(part: pa.Table) -> pa.Table:
     """Bits of the slots of one part that were met twice or more."""
-    width = AGAIN_BITS - RANGES.bit_length() + 1
-    count = np.zeros(1 << width, np.uint8)
-    for steps in part.column("steps"):
-        slot = np.cumsum(np.frombuffer(steps.as_buffer(), np.uint32), dtype=np.int64)
-        count = np.minimum(count + np.minimum(np.bincount(slot, minlength=1 << width), 2).astype(np.uint8), 2)
+    count = np.zeros((1 << AGAIN_BITS) // RANGES, np.uint8)
+    for packed in part.column("packed"):
+        slot = np.sort(np.frombuffer(packed.as_buffer(), np.uint32))
+        twice = slot[1:][slot[1:] == slot[:-1]]
+        count[slot] = np.minimum(count[slot] + 1, 2)
+        count[twice] = 2
     bits = np.packbits(count > 1, bitorder="little").tobytes()
     return pa.table({"part": part.column("part").slice(0, 1), "bits": pa.array([bits], pa.binary())})
 
 
-def again_bits(nodes: DataFrame) -> np.ndarray:
-    """The bit table of keys that occur twice or more (and others in their slots): fixed size for any number of keys."""
-    parts = nodes.select("keys").mapInArrow(_slots, "part long, steps binary").groupBy("part").applyInArrow(
+def again_bits(packed: DataFrame, values: Callable[[pa.Scalar], np.ndarray]) -> np.ndarray:
+    """The bit table of values that occur twice or more (and others in their slots): fixed size for any number of values."""
+    parts = packed.mapInArrow(lambda b: _slots(b, values), "part long, packed binary").groupBy("part").applyInArrow(
         _again, "part long, bits binary")
     table = np.zeros((RANGES, (1 << AGAIN_BITS) // 8 // RANGES), np.uint8)
-    for row in parts.toLocalIterator():
+    for row in parts.collect():  # at most RANGES rows
         table[row["part"]] = np.frombuffer(row["bits"], np.uint8)
     return table.reshape(-1)
 
 
+def _postings(batches: Iterator[pa.RecordBatch], asked, bands: int, turn: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Packed postings of the keys that are in the bit table: key and n in one long, node, longs of parts.
+
+    Each level meets by itself. A set that may link with one of the level below is there as well, with folded parts.
+    """
+    def out(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for level, found in enumerate(held):
+            if found:
+                rows = np.concatenate(found)
+                made = _packed(rows, key_slot(rows[:, 0] >> SIZE_BITS, BUCKET_BITS), 1 << BUCKET_BITS)
+                yield made.set_column(0, "part", pa.array(made.column(0).to_numpy() + (level << BUCKET_BITS)))
+
+    held, size = [[] for _ in range(LEVELS)], 0
+    for batch in batches:
+        for level, nodes, keys in zip(batch.column("level").to_pylist(), batch.column("nodes"), batch.column("keys")):
+            nodes, keys = _longs(nodes, width_of(level)), _banded(keys, bands, turn)
+            row, band = np.nonzero(held_bits(asked.value, key_slot(keys.reshape(-1), AGAIN_BITS)).reshape(keys.shape))
+            rows, n = nodes[row], nodes[row, 1]
+            rows[:, 1] = rows[:, 0]
+            rows[:, 0] = keys[row, band] << SIZE_BITS | np.minimum(n, (1 << SIZE_BITS) - 1)
+            held[level].append(rows)
+            if level:
+                guests = rows[n * num <= (SMALL << level - 1) * den]
+                held[level - 1].append(np.concatenate([guests[:, :2], folded(guests[:, 2:])], axis=1))
+            size += rows.size
+            if size >= GATHER:
+                yield from out(held)
+                held, size = [[] for _ in range(LEVELS)], 0
+    yield from out(held)
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From packed postings in order of their parts: those of some whole parts in order of key and n, without repeated ones and keys of one node."""
+    def out(held: list[pa.Scalar], width: int) -> pa.RecordBatch:
+        rows = np.concatenate([_longs(x, width) for x in held])
+        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+        rows = rows[np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1)])]
+        key = rows[:, 0] >> SIZE_BITS
+        same = np.concatenate([[False], key[1:] == key[:-1], [False]])
+        kept = np.flatnonzero(same[1:] | same[:-1])
+        rows = rows[kept]
+        columns = [key[kept], rows[:, 1], rows[:, 0] & ((1 << SIZE_BITS) - 1), np.zeros(len(rows), np.int64), *rows[:, 2:].T]
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns],
+                                          names=["key", "node", "n", "own", *(f"bits_{k}" for k in range(width - 2))])
+
+    held, size, last = [], 0, 0
+    for batch in batches:
+        for part, packed in zip(batch.column("part").to_pylist(), batch.column("packed")):
+            # parts of one level go on together while they are small
+            if held and part != last and (size >= GATHER or part >> BUCKET_BITS != last >> BUCKET_BITS):
+                yield out(held, width_of(last >> BUCKET_BITS))
+                held, size = [], 0
+            last = part
+            held.append(packed)
+            size += len(packed.as_buffer()) // 8
+    if held:
+        yield out(held, width_of(last >> BUCKET_BITS))
+
+
+def _labels(size: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest place of each place's component."""
+    label = np.arange(size)
+    while True:
+        before = label.copy()
+        np.minimum.at(label, a, before[b])
+        np.minimum.at(label, b, before[a])
+        np.minimum.at(label, before, label.copy())
+        label = label[label]
+        if (label == before).all():
+            return label
+
+
+def _crowd(rows: np.ndarray, most: int, num: int, den: int) -> tuple[np.ndarray, ...]:
+    """Of one key's rows, in order of n: pairs (places) of its parts with few, the label of each place, its degree or 0 outside dense parts.
+
+    The first of a pair has at most `most` items.
+    """
+    n, size, own = rows[:, 2], len(rows), int(np.searchsorted(rows[:, 2], most, "right"))
+    words = [np.ascontiguousarray(rows[:, k]).view(np.uint64) for k in range(4, rows.shape[1])]
+    reach = np.searchsorted(n * num, n * den, "right")
+    dense = np.zeros(size, bool)
+
+    def shrunk(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
+        label = _labels(size, a, b)
+        held = np.bincount(label[a], minlength=size) > DENSE * np.bincount(label, minlength=size)
+        held[label[dense]] = True
+        dense[held] = True
+        degree = (np.bincount(a, minlength=size) + np.bincount(b, minlength=size)) * held[label]
+        sparse = ~held[label[a]]
+        return a[sparse], b[sparse], label, degree
+
+    a, b, found, top = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0, 0
+    while top < own:
+        # as many rows as make a table of 2^18 pairs
+        end = min(own, top + max(1, min(64, (1 << 18) // max(1, int(reach[top]) - top))))
+        right = int(reach[end - 1])
+        differ = np.zeros((end - top, right - top), np.int16)
+        for word in words:
+            differ += np.bitwise_count(word[top:end, None] ^ word[None, top:right])
+        x, y = np.nonzero(differ <= _bound(n[end - 1] + n[right - 1], 64 * len(words), num, den))
+        x, y = x[x < y] + top, y[x < y] + top
+        able = _alike(rows, x, y, num, den)
+        a.append(x[able])
+        b.append(y[able])
+        found, top = found + len(a[-1]), end
+        if found > HELD:
+            x, y, label, _ = shrunk(np.concatenate(a), np.concatenate(b))
+            rest = np.flatnonzero(dense[label] & (label < np.arange(size)))
+            a, b = [x, label[rest]], [y, rest]
+            found = len(x)
+    return shrunk(np.concatenate(a), np.concatenate(b))
+
+
+def _met(rows: np.ndarray, num: int, den: int) -> pa.RecordBatch:
+    """Pairs (node, other) that the bits allow under whole keys, and the postings of the dense parts of large keys, each part a key.
+
+    Of a pair one set at least is of the level that the longs of the rows tell.
+    """
+    level = ((rows.shape[1] - 4) // len(SKETCH)).bit_length() - 1
+    most = SMALL << level if level < LEVELS - 1 else np.iinfo(np.int64).max
+    key, node = rows[:, 0].copy(), rows[:, 1]
+    edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+    size, end = np.repeat(np.diff(edges), np.diff(edges)), np.repeat(edges[1:], np.diff(edges))
+    a, pairs, many = np.flatnonzero((size <= LIGHT) & (rows[:, 2] <= most)), [], np.zeros(len(rows), bool)
+    for step in range(1, LIGHT):
+        a = a[a + step < end[a]]
+        if not len(a):
+            break
+        able = a[_alike(rows, a, a + step, num, den)]
+        pairs.append((able, able + step))
+    rows = rows.copy()
+    for low, high in zip(edges[:-1], edges[1:]):
+        if high - low > LIGHT:
+            x, y, label, degree = _crowd(rows[low:high], most, num, den)
+            pairs.append((x + low, y + low))
+            many[low:high] = degree > 0
+            rows[low:high, 3] = -degree
+            if len(np.unique(label)) > 1:
+                key[low:high] = mix((key[low:high] * 31 + node[low:high][label]).view(np.uint64)).view(np.int64)
+    rows[:, 0] = key
+    pairs = [np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*pairs)] if pairs else [np.zeros(0, np.int64)] * 2
+    pairs = np.unique(np.sort(np.stack([node[x] for x in pairs], axis=1), axis=1), axis=0)
+    kept = rows[many]
+    while kept.shape[1] > 4 + len(SKETCH):
+        kept = np.concatenate([kept[:, :4], folded(kept[:, 4:])], axis=1)
+    columns = [pa.array(np.concatenate([kept[:, k], pairs[:, 0] if k == 1 else np.zeros(len(pairs), np.int64)])) for k in range(kept.shape[1])]
+    other = np.concatenate([np.zeros(len(kept), np.int64), pairs[:, 1]])
+    columns.append(pa.array(other, mask=np.arange(len(other)) < len(kept)))
+    return pa.RecordBatch.from_arrays(columns, names=["key", "node", "n", "own", *SKETCH, "other"])
+
+
 def _meet(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """From postings in order of their keys: pairs (node, other) under keys of few nodes, and the postings of all other keys."""
-    names = ["key", "node", "n", "own", *SKETCH]
-
-    def out(rows: np.ndarray, hot: int | None) -> pa.RecordBatch:
-        key, node = rows[:, 0], rows[:, 1]
-        edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
-        size = np.repeat(np.diff(edges), np.diff(edges))
-        many = size > LIGHT
-        if hot is not None:
-            many |= key == hot
-        light = np.flatnonzero(~many)
-        pairs = []
-        for step in range(1, int(size[light].max(initial=1))):
-            a = light[light + step < len(key)]
-            a = a[(key[a] == key[a + step]) & ~many[a + step]]
-            a = a[_alike(rows, a, a + step, num, den)]
-            pairs.append(np.stack([np.minimum(node[a], node[a + step]), np.maximum(node[a], node[a + step])], axis=1))
-        pairs = np.unique(np.concatenate(pairs or [np.zeros((0, 2), np.int64)]), axis=0)
-        kept = rows[many]
-        columns = [pa.array(np.concatenate([kept[:, k], pairs[:, 0] if k == 1 else np.zeros(len(pairs), np.int64)])) for k in range(len(names))]
-        other = np.concatenate([np.zeros(len(kept), np.int64), pairs[:, 1]])
-        columns.append(pa.array(other, mask=np.arange(len(other)) < len(kept)))
-        return pa.RecordBatch.from_arrays(columns, names=[*names, "other"])
-
-    rest, hot = np.zeros((0, len(names)), np.int64), None
+    """`_met` for postings in order of key and n, those of a level together."""
+    held = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        rows = np.concatenate([rest, np.stack([batch.column(c).to_numpy() for c in names], axis=1)])
-        last = rows[-1, 0]
-        start = int(np.searchsorted(rows[:, 0], last))
-        if len(rows) - start > LIGHT or last == hot:  # enough of this key to know what becomes of it
-            yield out(rows, hot)
-            rest, hot = rows[:0], last
-        else:
-            if start:
-                yield out(rows[:start], hot)
-            rest = rows[start:]
-    if len(rest):
-        yield out(rest, hot)
-
-
-def met_pairs(nodes: DataFrame, num: int, den: int, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b), repeated, that keys of few nodes and the bits allow, and the postings of all other keys."""
-    asked = nodes.sparkSession.sparkContext.broadcast(again_bits(nodes))
-    names = ["key", "node", "n", "own", *SKETCH]
-    postings = nodes.select("node", "n", *SKETCH, "keys").mapInArrow(
-        lambda b: _spread(b, asked, AGAIN_BITS), ", ".join(f"{c} long" for c in ("key", "node", "n", *SKETCH, "pos", "met", "own")))
-    met = postings.select(*names).repartition("key").sortWithinPartitions("key").mapInArrow(
-        lambda b: _meet(b, num, den), ", ".join(f"{c} long" for c in (*names, "other")))
-    met = written(met, folder, "met")
-    many = met.where("other IS NULL").selectExpr(*names, "0L AS pos", "0L AS met")
-    return met.where("other IS NOT NULL").selectExpr("node AS a", "other AS b"), many
+        rows = np.stack([c.to_numpy() for c in batch.columns], axis=1)
+        if held and (rows.shape[1] != held[-1].shape[1] or rows[0, 0] != held[-1][-1, 0]):
+            yield _met(np.concatenate(held), num, den)
+            held = []
+        start = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
+        if start:
+            yield _met(np.concatenate([*held, rows[:start]]), num, den)
+            held = []
+        held.append(rows[start:])
+    if held:
+        yield _met(np.concatenate(held), num, den)
+
+
+def met_pairs(nodes: DataFrame, bands: int, num: int, den: int, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b), repeated, that keys and the bits allow, and the postings of the dense parts of large keys."""
+    names, spark, found = ["key", "node", "n", "own", *SKETCH], nodes.sparkSession, None
+    for turn in range(TURNS):
+        part = nodes.select("level", "nodes", F.col(f"keys_{turn}").alias("keys"))
+        asked = spark.sparkContext.broadcast(again_bits(part.select("keys"), lambda x: _banded(x, bands, turn)))
+        met = part.mapInArrow(lambda b: _postings(b, asked, bands, turn, num, den), "part long, packed binary").repartition("part").sortWithinPartitions(
+            "part").mapInArrow(lambda b: _meet(_unpacked(b), num, den), ", ".join(f"{c} long" for c in (*names, "other")))
+        met = written(met, folder, f"met_{turn}")
+        found = met if found is None else found.unionAll(met)
+        swept(spark)
+    many = found.where("other IS NULL").selectExpr(*names, "0L AS pos", "0L AS met")
+    return found.where("other IS NOT NULL").selectExpr("node AS a", "other AS b"), many
 
 
 def link(nodes: DataFrame, fetch: Callable[[DataFrame, str], DataFrame], measure: Measure, num: int, den: int, folder: str,
-         positional: bool, rounds: int = 1) -> DataFrame:
+         positional: bool, rounds: int = 1, bands: int = 0) -> DataFrame:
     """node and component of all nodes in a component of two or more, after `rounds` leader rounds and the last one.
 
     nodes: node, h1 and h2 (the set's hash), n (set size), keys (distinct; in the global
-    order if positional) and, if there are any, marks and parity, or SKETCH bits. fetch(nodes, name) gives h1, h2 and
+    order if positional) and, if there are any, marks and parity. fetch(nodes, name) gives h1, h2 and
     items of each asked node (more than those does no harm), which measure compares. Sets
     link when shared / united >= num / den.
+
+    With `bands`, nodes are packed instead, those of a level together: `nodes` holds node, n and the longs of its parts, `keys_0`
+    and so on 32 bits of each of that turn's `bands` keys; a node may be there more than once. fetch then gives node and items, each node once.
     """
-    marked, bits, light = "marks" in nodes.columns, [c for c in SKETCH if c in nodes.columns], None
-    if bits:
-        light, shared = met_pairs(nodes, num, den, folder)
+    marked, bits, light = "marks" in nodes.columns, SKETCH if bands else [], None
+    if bands:
+        light, shared = met_pairs(nodes, bands, num, den, folder)
     else:
         shared = written(shared_postings(nodes), folder, "shared")
 
