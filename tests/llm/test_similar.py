@@ -301,3 +301,12 @@ def test_long_unlike_lines_under_one_key_are_told_apart():
     out = [r for b in linking._meet(linking._unpacked(iter(packed.to_batches())), 4, 5) for r in b.to_pylist()]
     found = {(r["node"], r["other"]) for r in out}
     assert len(want) > 100 and want <= found and len(found) < 1.05 * len(want)
+
+
+def test_components_of_many_edges_take_one_star(spark, tmp_path):
+    """A large group of links is handed on as one edge a node: no join of the union-find sees its pairs."""
+    edges = [(a, b) for a in range(0, 120, 2) for b in range(a + 2, 120, 2)] + [(201, 203), (203, -7), (500, 501)]
+    rows = linking.components(spark.createDataFrame(edges, "a long, b long").repartition(4), str(tmp_path), "few").collect()
+    assert {r.node: r.component for r in rows} == {**{k: 0 for k in range(0, 120, 2)}, 201: -7, 203: -7, -7: -7, 500: 500, 501: 500}
+    assert len(rows) == 65 and spark.read.parquet(f"{tmp_path}/few_edges").count() == 62
+    assert linking.components(spark.createDataFrame([], "a long, b long"), str(tmp_path), "none").collect() == []

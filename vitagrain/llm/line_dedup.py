@@ -50,8 +50,8 @@ BINS, DRAWS = 64, 3
 NUM, DEN = 4, 5
 #: Lines and characters that a task turns into signatures at a time (few enough for its caches), and at most two to the power LINE_BITS lines.
 LINES, LINE_BITS, CHARACTERS = 512, 12, 1 << 16
-#: Lines that a task remembers as signed.
-GIVEN = 200_000
+#: Lines that a task remembers as signed, and that it packs into a row.
+GIVEN, ROWS_OUT = 200_000, 4096
 PACKED = ["places", "nodes", *(f"keys_{k}" for k in range(TURNS))]
 PLACE = ["h1", "h2", "none", "doc_id", "text_hash", "line"]
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -151,24 +151,32 @@ def signatures(lines: list[str], shingle: int = SHINGLE, level: int = 0) -> tupl
 
 def _lines(batches: Iterator[pa.RecordBatch], shingle: int, salt: int) -> Iterator[pa.RecordBatch]:
     """Packed: the PLACE of every line that is not blank; nodes and keys, by level, of those that the task did not remember."""
-    def out(marks: list[bytes], rows: list[tuple], texts: list[str], own: list[bytes]) -> pa.RecordBatch:
+    signed, marks, rows = [], [], []
+
+    def sign(texts: list[str], own: list[bytes]) -> None:
+        n, keys, bits = signatures(texts, shingle, LEVELS - 1)
+        signed.append((np.frombuffer(b"".join(own), np.int64)[::2], n, keys, bits))
+
+    def out() -> pa.RecordBatch:
         places = np.concatenate([np.frombuffer(b"".join(marks), np.int64).reshape(-1, 2), np.array(rows, np.int64)], axis=1)
         packed = [(0, places, *[places[:0]] * (1 + TURNS))]
-        if texts:
-            n, keys, bits = signatures(texts, shingle, LEVELS - 1)
-            levels, node = level_of(n), np.frombuffer(b"".join(own), np.int64).reshape(-1, 2)[:, 0]
+        if signed:
+            node, n, keys, bits = (np.concatenate(c) for c in zip(*signed))
+            levels = level_of(n)
             for level in range(LEVELS - 1, -1, -1):
                 of = np.flatnonzero(levels == level)
                 if len(of):
                     packed.append((level, places[:0], np.column_stack([node[of], n[of], bits[of]]), *np.split(keys[of], TURNS, axis=1)))
                 bits = folded(bits) if level else bits
+        for held in (signed, marks, rows):
+            held.clear()
         level, *columns = zip(*packed)
         return pa.RecordBatch.from_arrays([pa.array(level, pa.int64()), *(pa.array([x.tobytes() for x in c], pa.binary()) for c in columns)],
                                           names=["level", *PACKED])
 
     given: set[bytes] = set()
     for batch in batches:
-        marks, rows, texts, own, size = [], [], [], [], 0
+        texts, own, size = [], [], 0
         for key, text_hash, text in zip(*(c.to_pylist() for c in batch.columns)):
             none, key = int(key is None), key or 0
             for number, line in enumerate(plain_lines(text)):
@@ -184,11 +192,18 @@ def _lines(batches: Iterator[pa.RecordBatch], shingle: int, salt: int) -> Iterat
                     own.append(mark)
                     texts.append(line)
                     size += len(line)
-                if len(texts) >= LINES or len(rows) >= 8 * LINES or size >= CHARACTERS:
-                    yield out(marks, rows, texts, own)
-                    marks, rows, texts, own, size = [], [], [], [], 0
-        if rows:
-            yield out(marks, rows, texts, own)
+                    if len(texts) >= LINES or size >= CHARACTERS:
+                        sign(texts, own)
+                        texts, own, size = [], [], 0
+                if len(rows) >= ROWS_OUT:
+                    if texts:
+                        sign(texts, own)
+                        texts, own, size = [], [], 0
+                    yield out()
+        if texts:
+            sign(texts, own)
+    if rows:
+        yield out()
 
 
 def _asked(batches: Iterator[pa.RecordBatch], rows, lines, salt: int) -> Iterator[pa.RecordBatch]:
@@ -242,6 +257,7 @@ def lost_lines(docs: DataFrame, num: int = NUM, den: int = DEN, shingle: int = S
     spark = docs.sparkSession
     send = spark.sparkContext.broadcast
     folder = shared_folder(spark)
+    swept(spark)
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
     texts = texts.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     signed = texts.mapInArrow(lambda b: _lines(b, shingle, salt), "level long, " + ", ".join(f"{c} binary" for c in PACKED))
@@ -262,6 +278,8 @@ def lost_lines(docs: DataFrame, num: int = NUM, den: int = DEN, shingle: int = S
     # lines that neither repeat nor have a component lose nothing
     tables = (send(bits_of(labels.select("node"))), SLOT_BITS), (send(again_bits(places, lambda x: _longs(x, len(PLACE))[:, 0])), AGAIN_BITS)
     rows = written(at(*tables), folder, "rows")
+    for table, _ in tables:
+        table.destroy()
     if rows.groupBy("h1").agg(F.min("h2").alias("low"), F.max("h2").alias("high")).where("low < high").take(1):
         return lost_lines(docs, num, den, shingle, salt + 1)  # a node stood for two lines
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "line")

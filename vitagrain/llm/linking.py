@@ -59,18 +59,62 @@ TURNS = 4
 LIGHT, DENSE = 48, 8
 #: Pairs of one key that are held before its dense parts shrink to one edge a node.
 HELD = 1 << 20
+#: Edges that a task joins at a time in the union-find.
+EDGES = 1 << 20
 #: The table of keys that occur again has two to this power bits (16 MB), made and sent in RANGES parts.
 AGAIN_BITS, RANGES = 27, 256
 
 
+def _labels(size: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest place of each place's component."""
+    label = np.arange(size)
+    while True:
+        before = label.copy()
+        np.minimum.at(label, a, before[b])
+        np.minimum.at(label, b, before[a])
+        np.minimum.at(label, before, label.copy())
+        label = label[label]
+        if (label == before).all():
+            return label
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (low, high) that join what a task's edges (a, b) join: one from each node to the smallest of its component there."""
+    def out(held: list[np.ndarray]) -> np.ndarray:
+        nodes, place = np.unique(np.concatenate(held), return_inverse=True)
+        place = place.reshape(-1, 2)
+        label = _labels(len(nodes), place[:, 0], place[:, 1])
+        more = np.flatnonzero(label < np.arange(len(nodes)))
+        return np.stack([nodes[label[more]], nodes[more]], axis=1)
+
+    held, size = [], 0
+    for batch in batches:
+        held.append(np.stack([batch.column(k).to_numpy() for k in range(2)], axis=1))
+        size += batch.num_rows
+        if size >= EDGES:
+            held = [out(held)]
+            size = len(held[0])
+            if size >= EDGES // 2:  # more nodes than are held
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in held[0].T], names=["low", "high"])
+                held, size = [], 0
+    if size:
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in out(held).T], names=["low", "high"])
+
+
 def components(edges: DataFrame, folder: str, name: str) -> DataFrame:
     """node and component (its smallest node) of every node on an edge (a, b).
 
-    Alternating large and small stars: both replace edges by edges to the
+    Each task first makes stars of its edges, so that a group of any size is left with one edge a node and task; few tasks
+    leave little to join. Then alternating large and small stars: both replace edges by edges to the
     smallest neighbour, as an aggregate and a join by node, until nothing changes.
     """
-    now = written(edges.selectExpr("least(a, b) AS low", "greatest(a, b) AS high").where("low < high").distinct(),
-                  folder, f"{name}_edges")
+    stars = written(edges.select("a", "b").mapInArrow(_stars, "low long, high long"), folder, f"{name}_stars")
+    count = stars.count()
+    if not count:
+        return stars.selectExpr("high AS node", "low AS component")
+    now = written(stars.repartition(1 + count // EDGES).mapInArrow(_stars, "low long, high long"), folder, f"{name}_edges")
+    if count < EDGES:  # one task has made the components
+        return now.selectExpr("high AS node", "low AS component").unionAll(now.selectExpr("low AS node", "low AS component").distinct())
     before = None
     for turn in itertools.count():  # the number of turns grows with the logarithm of the nodes
         mark = now.agg(F.count("*"), F.sum(F.hash("low", "high").cast("long")), F.bit_xor("low")).first()
@@ -409,19 +453,6 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(held, width_of(last >> BUCKET_BITS))
 
 
-def _labels(size: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest place of each place's component."""
-    label = np.arange(size)
-    while True:
-        before = label.copy()
-        np.minimum.at(label, a, before[b])
-        np.minimum.at(label, b, before[a])
-        np.minimum.at(label, before, label.copy())
-        label = label[label]
-        if (label == before).all():
-            return label
-
-
 def _crowd(rows: np.ndarray, most: int, num: int, den: int) -> tuple[np.ndarray, ...]:
     """Of one key's rows, in order of n: pairs (places) of its parts with few, the label of each place, its degree or 0 outside dense parts.
 
@@ -491,7 +522,10 @@ def _met(rows: np.ndarray, num: int, den: int) -> pa.RecordBatch:
                 key[low:high] = mix((key[low:high] * 31 + node[low:high][label]).view(np.uint64)).view(np.int64)
     rows[:, 0] = key
     pairs = [np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*pairs)] if pairs else [np.zeros(0, np.int64)] * 2
-    pairs = np.unique(np.sort(np.stack([node[x] for x in pairs], axis=1), axis=1), axis=0)
+    one, two = (node[x] for x in pairs)
+    pairs = np.stack([np.minimum(one, two), np.maximum(one, two)], axis=1)
+    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+    pairs = pairs[np.flatnonzero((np.diff(pairs, axis=0, prepend=pairs[:1] + 1) != 0).any(axis=1))]
     kept = rows[many]
     while kept.shape[1] > 4 + len(SKETCH):
         kept = np.concatenate([kept[:, :4], folded(kept[:, 4:])], axis=1)
@@ -530,8 +564,9 @@ def met_pairs(nodes: DataFrame, bands: int, num: int, den: int, folder: str) ->
             "part").mapInArrow(lambda b: _meet(_unpacked(b), num, den), ", ".join(f"{c} long" for c in (*names, "other")))
         met = written(met, folder, f"met_{turn}")
         found = met if found is None else found.unionAll(met)
+        asked.destroy()  # the driver would keep every turn's table
         swept(spark)
-    many = found.where("other IS NULL").selectExpr(*names, "0L AS pos", "0L AS met")
+    many = written(found.where("other IS NULL").selectExpr(*names, "0L AS pos", "0L AS met"), folder, "many")
     return found.where("other IS NOT NULL").selectExpr("node AS a", "other AS b"), many
 
 
@@ -553,6 +588,18 @@ def link(nodes: DataFrame, fetch: Callable[[DataFrame, str], DataFrame], measure
     else:
         shared = written(shared_postings(nodes), folder, "shared")
 
+    had = []
+
+    def items_of(asked: DataFrame, name: str) -> DataFrame:
+        """The items of all asked nodes; packed nodes' are fetched once."""
+        if not bands:
+            return written(fetch(asked, name), folder, f"{name}_items")
+        for items in had:
+            asked = asked.join(items, "node", "left_anti")
+        if not had or asked.take(1):
+            had.append(written(fetch(asked, name), folder, f"{name}_items"))
+        return functools.reduce(DataFrame.unionAll, had)
+
     def compared(pairs: DataFrame, name: str) -> DataFrame:
         """All pairs, measured where the marks allow a link; the others are not linked."""
         pairs = written(pairs, folder, f"{name}_pairs")
@@ -561,7 +608,7 @@ def link(nodes: DataFrame, fetch: Callable[[DataFrame, str], DataFrame], measure
             a, b = (nodes.selectExpr(f"node AS {x}", f"marks AS {x}_marks", f"n AS {n}") for x, n in (("a", "n"), ("b", "other_n")))
             near = written(pairs.join(a, "a").join(b, "b").where(may_reach(num, den)).select("a", "b"), folder, f"{name}_near")
         asked = near.select(F.col("a").alias("node")).unionAll(near.select(F.col("b").alias("node"))).distinct()
-        found = measured(near, nodes, written(fetch(asked, name), folder, f"{name}_items"), measure, num, den)
+        found = measured(near, nodes, items_of(asked, name), measure, num, den)
         return written(pairs.join(found, ["a", "b"], "left").withColumn("linked", F.coalesce("linked", F.lit(False))),
                        folder, name)
 
